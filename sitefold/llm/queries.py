@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .chat import OP4_SQL, op4_chat_formatting
+from .line_dedup import op2_line_dedup
 from .mixing import op6_source_mixing
+from .packing import op9_best_fit_packing
 from .toxicity import op3_toxicity
 from .url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_source_mixing": op6_source_mixing,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_filter": op10_url_filter,
 }
 
