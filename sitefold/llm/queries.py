@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP4_SQL, op4_chat_formatting
 from .line_dedup import op2_line_dedup
 from .mixing import op6_source_mixing
+from .ngram_join import OP8_SQL, op8_ngram_jaccard_join
 from .packing import op9_best_fit_packing
 from .toxicity import op3_toxicity
 from .url_filter import OP10_SQL, op10_url_filter
@@ -14,11 +15,13 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_source_mixing": op6_source_mixing,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL = {
     "op4_chat_formatting": OP4_SQL,
+    "op8_ngram_jaccard_join": OP8_SQL,
     "op10_url_filter": OP10_SQL,
 }
