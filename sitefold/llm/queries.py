@@ -7,10 +7,12 @@ from .line_dedup import op2_line_dedup
 from .mixing import op6_source_mixing
 from .ngram_join import OP8_SQL, op8_ngram_jaccard_join
 from .packing import op9_best_fit_packing
+from .suffix_dedup import op1_suffix_array_dedup
 from .toxicity import op3_toxicity
 from .url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_chat_formatting": op4_chat_formatting,

@@ -89,9 +89,10 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_train: int = M
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), lists], ["doc_id", "toxic", "features"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         lists = table.column("features").combine_chunks()
         values, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
         toxic, ids = table.column("toxic").to_numpy(), table.column("doc_id").to_numpy()
