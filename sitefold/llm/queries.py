@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP4_SQL, op4_chat_formatting
+from .embedding_join import OP5_SQL, op5_embedding_near_dedup
 from .line_dedup import op2_line_dedup
 from .mixing import op6_source_mixing
 from .ngram_join import OP8_SQL, op8_ngram_jaccard_join
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
@@ -24,6 +26,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_chat_formatting": OP4_SQL,
+    "op5_embedding_near_dedup": OP5_SQL,
     "op8_ngram_jaccard_join": OP8_SQL,
     "op10_url_filter": OP10_SQL,
 }
