@@ -148,7 +148,7 @@ def lms_positions(text: np.ndarray) -> np.ndarray:
     """Positions of S-type whose predecessor is L-type; the end of the text is smaller than any character."""
     n = len(text)
     step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1])
+    step[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1])
     step[-1] = -1
     known = np.where(step != 0, np.arange(n), n)
     rises = step[np.minimum.accumulate(known[::-1])[::-1]] > 0
@@ -242,16 +242,16 @@ def sorted_lms(text: np.ndarray, characters: int, cap: int, budget: int) -> np.n
     by_char = lms[np.argsort(text[lms], kind="stable")]
     parts = [pos[flags[pos]] for pos, _, rising in induce(text, characters, by_char, None, cap, budget) if rising]
     ordered = np.concatenate(parts)[::-1]
-    ends = np.r_[lms[1:] + 1, len(text)]
-    end_of = np.zeros(len(text), np.int64)
-    end_of[lms] = ends
+    nth = np.searchsorted(lms, ordered)
+    end = np.r_[lms[1:] + 1, len(text)][nth]
     sums = prefix_sums(BYTE_EXACT[text] if characters <= 256 else (text.astype(np.uint64) + np.uint64(1)) * BYTE_EXACT[7])
-    hashes, length = range_hash(sums, ordered, end_of[ordered]), end_of[ordered] - ordered
-    same = (hashes[1:] == hashes[:-1]) & (length[1:] == length[:-1]) & (end_of[ordered][1:] != len(text)) & (end_of[ordered][:-1] != len(text))
+    hashes, length = range_hash(sums, ordered, end), end - ordered
+    del sums
+    # the last substring ends with the text, and is like no other
+    same = (hashes[1:] == hashes[:-1]) & (length[1:] == length[:-1]) & (end[1:] != len(text)) & (end[:-1] != len(text))
     named = np.cumsum(np.r_[0, ~same])
-    name_at = np.zeros(len(text), np.int64)
-    name_at[ordered] = named
-    names = name_at[lms]
+    names = np.empty(len(lms), np.int64)
+    names[nth] = named
     count = int(named[-1]) + 1
     if count == len(lms):
         return ordered

@@ -34,8 +34,9 @@ from ._spark import bounded_batches, materialize, read_table
 from ._words import BYTE_EXACT, mix64, powers, prefix_sums, range_hash, text_bytes
 
 #: Bytes of a string, and of the k-gram that anchors it; bytes that are hashed at once; anchors that a task combines;
-#: bytes of suffix tuples that a task keeps in memory.
-LENGTH, GRAM, CHUNK, COMBINE, BUDGET = 100, 32, 1 << 19, 1 << 19, 1 << 26
+#: bytes of suffix tuples that a task keeps in memory; shards for each shuffle partition.
+LENGTH, GRAM, CHUNK, COMBINE, BUDGET = 100, 32, 1 << 19, 1 << 19, 1 << 24
+SHARDS = 4
 _PLACE = np.uint64((1 << 21) - 1)
 _NULL_ID = -(1 << 63)
 _BLOCK = "kind int, bucket int, docs binary, starts binary, counts binary, grams binary, wholes binary"
@@ -173,7 +174,7 @@ def compared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
         yield _pack(REPEAT, _bucket(ids[again], buckets), buckets, {"docs": ids[again], "starts": starts[again], "counts": counts[again]})
         gram = np.cumsum(np.r_[0, grams[1:] != grams[:-1]])
         several = first & (np.bincount(gram, weights=first)[gram] > 1)
-        yield _pack(ANCHOR, _bucket(grams[several], buckets), buckets, {"docs": ids[several], "starts": starts[several], "counts": counts[several]})
+        yield _pack(ANCHOR, _bucket(grams[several], SHARDS * buckets), SHARDS * buckets, {"docs": ids[several], "starts": starts[several], "counts": counts[several]})
 
     return blocks.repartition(buckets, "bucket").mapInArrow(compare, _BLOCK)
 
@@ -255,7 +256,7 @@ def fine_repeats(rows: DataFrame, buckets: int) -> DataFrame:
         count = np.diff(np.r_[cut, len(ids)])
         yield _pack(REPEAT, _bucket(ids[cut], buckets), buckets, {"docs": ids[cut], "starts": begin[cut], "counts": count})
 
-    return rows.repartition(buckets, "shard").mapInArrow(sort, _BLOCK)
+    return rows.repartition(SHARDS * buckets, "shard").mapInArrow(sort, _BLOCK)
 
 
 def merged_spans(repeats: DataFrame, buckets: int) -> DataFrame:
