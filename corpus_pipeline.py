@@ -1,8 +1,68 @@
-"""The corpus pipeline (part of the llm subpackage): stages applied in order to ``documents``."""
+"""The corpus pipeline (part of the llm subpackage): stages applied in order to ``documents``.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
+one's ``docs``. All but the last return the columns of ``documents``; the last returns packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitefold.llm._spark import materialize, read_table
+from sitefold.llm.line_dedup import dedup_lines
+from sitefold.llm.mixing import mix_sources, mixed_rows
+from sitefold.llm.ngram_join import one_of_each_group
+from sitefold.llm.packing import pack_documents
+from sitefold.llm.toxicity import fit, score
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below TOXIC, by a model of the labels that is learned from this stage's documents."""
+    model = fit(docs, read_table(spark, sf_dir, "labels"))
+    return score(docs, model, into="_score").where(F.col("_score") < TOXIC).select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the blocks that an earlier document has too; documents of which no word is left go."""
+    left = dedup_lines(docs)
+    some = (F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return left.where(some).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return one_of_each_group(docs).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, once for each time it takes them."""
+    return mixed_rows(mix_sources(docs)).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
+]
+
+#: Learned weights and permuted draws are not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what each keeps is written to the shared folder before the next reads it."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)

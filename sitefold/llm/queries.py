@@ -8,6 +8,7 @@ from .line_dedup import op2_line_dedup
 from .mixing import op6_source_mixing
 from .ngram_join import OP8_SQL, op8_ngram_jaccard_join
 from .packing import op9_best_fit_packing
+from .quality import op7_quality_rules
 from .suffix_dedup import op1_suffix_array_dedup
 from .toxicity import op3_toxicity
 from .url_filter import OP10_SQL, op10_url_filter
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_source_mixing": op6_source_mixing,
+    "op7_quality_rules": op7_quality_rules,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_filter": op10_url_filter,
