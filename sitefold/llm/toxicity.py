@@ -23,8 +23,8 @@ from ._spark import bounded_batches, read_table
 from ._words import mix64, text_bytes, word_hashes, word_spans
 
 #: Production parameters. MAX_TRAIN bounds the labelled rows that are learned from (chosen by a hash of doc_id).
-BITS, MAX_TRAIN, EPOCHS = 20, 12_288, 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.5
+BITS, MAX_TRAIN, EPOCHS = 20, 20_480, 2
+ALPHA, BETA, L1, L2 = 1.5, 1.0, 2.0, 0.5
 _BIGRAM, _SKIP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
