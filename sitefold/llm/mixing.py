@@ -22,6 +22,8 @@ from ._spark import materialize, read_table
 
 #: Production parameters: weights by source order, most repeats of a document, blocks a source, output shards, seed.
 WEIGHTS, MAX_REPEATS, BLOCKS, SHARDS, SEED = (5.0, 2.0, 1.0), 3, 1024, 64, 11
+#: Times that a part of a pass is filled up with documents that fit what is left.
+FILL_ROUNDS = 4
 WORD = r"[^\x20\x09-\x0D]+"
 RESULTS = ["size", "source_size", "target", "taken", "draws"]
 
@@ -85,54 +87,55 @@ def mix_sources(
     sizes = [found[n][0] for n in names]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(names))], cap)
     passes = [min(int(t // s), cap) if s else 0 for t, s in zip(targets, sizes, strict=True)]
-    rests = [round(t - p * s) for t, p, s in zip(targets, passes, sizes, strict=True)]
-    plan = spark.createDataFrame(
-        list(zip(names, sizes, targets, passes, rests, strict=True)), "_src string, source_size long, target double, _passes int, _rest long"
-    )
-
-    # the order of blocks in each source, and the words that come before each
-    order = Window.partitionBy("_src").orderBy(F.xxhash64(F.lit(seed + 1), "_src", "_block"), "_block")
-    ranked = per_block.withColumns({"_rank": F.row_number().over(order) - 1, "_before": F.sum("words").over(order) - F.col("words")})
-    ranked = ranked.drop("words").join(plan, "_src")
-
-    def placed(rows: DataFrame) -> DataFrame:
-        """Part of a pass: whole documents in permuted order, so long as at least half of a document fits."""
-        inside = Window.partitionBy("_src", "_block").orderBy("_deal", "doc_id", "size", "_tie")
-        rows = rows.withColumns({"_in_block": F.sum("size").over(inside) - F.col("size"), "_pos": F.row_number().over(inside)}).join(ranked, ["_src", "_block"])
-        left = F.col("_rest") - F.col("_before") - F.col("_in_block")
-        return rows.withColumn("_part", (F.col("size") > 0) & (left * 2 >= F.col("size")) & (left > 0))
-
-    part = materialize(placed(narrow).select("_src", "_rank", "_pos", "_part", "size", "_rest"), "mix-part")
-    got = {r["_src"]: (r["gap"], r["last"]) for r in part.groupBy("_src").agg(
-        (F.first("_rest") - F.coalesce(F.sum(F.when(F.col("_part"), F.col("size"))), F.lit(0))).alias("gap"),
-        F.coalesce(F.max(F.when(F.col("_part"), F.col("_rank"))), F.lit(-1)).alias("last")).collect()}
-    gaps = spark.createDataFrame([(k, int(v[0])) for k, v in got.items()], "_src string, _gap long")
-    # one more document, if one comes nearer to what is still missing
-    off = F.abs(F.col("_gap") - F.col("size"))
-    fills = {r["_src"]: r["f"] for r in part.join(gaps, "_src").where((~F.col("_part")) & (F.col("_gap") > 0) & (off < F.col("_gap")))
-             .groupBy("_src").agg(F.min(F.struct(off, "_rank", "_pos")).alias("f")).collect()}
-
-    # quotas of block draws: every block in each whole pass, then the blocks up to the last that the part pass reaches
-    rows_of = []
-    quota = []
-    for n, p in zip(names, passes, strict=True):
-        last, fill = got[n][1], fills.get(n)
-        quota.append(found[n][1] * p + last + 1 + (fill is not None and fill["_rank"] > last))
-        rows_of.append((n, found[n][1], int(last), -1 if fill is None else int(fill["_rank"]), -1 if fill is None else int(fill["_pos"])))
+    # documents have a place in their block, the same in every run
+    inside = Window.partitionBy("_src", "_block").orderBy("_deal", "doc_id", "size", "_tie")
+    placed = materialize(narrow.withColumn("_pos", F.row_number().over(inside)).select("_src", "_block", "_pos", "size").where("size > 0"), "mix-places")
+
+    # part of a pass: documents in permuted order so long as they fit, and again of those that fit what is left; first
+    # those that are large for what is asked (in large sources there are none), which would not fit later
+    gaps = {n: round(t - p * s) for n, t, p, s in zip(names, targets, passes, sizes, strict=True)}
+    picked = placed.limit(0).select("_src", "_block", "_pos", "size")
+    for kind in ["large", *["fitting"] * FILL_ROUNDS, "nearest"]:
+        open_gaps = [(k, g) for k, g in gaps.items() if g > 0]
+        if not open_gaps:
+            break
+        rest = placed.join(picked, ["_src", "_block", "_pos"], "left_anti").join(spark.createDataFrame(open_gaps, "_src string, _gap long"), "_src")
+        if kind == "nearest":  # one more document, if one comes nearer to what is still missing
+            off = F.abs(F.col("_gap") - F.col("size"))
+            best = rest.where(off < F.col("_gap")).groupBy("_src").agg(F.min(F.struct(off.alias("off"), "_block", "_pos", "size")).alias("f"))
+            more = best.select("_src", "f._block", "f._pos", "f.size")
+        else:
+            rest = rest.where("size <= _gap" + " and 4 * size > _gap" * (kind == "large"))
+            order = Window.partitionBy("_src").orderBy(F.xxhash64(F.lit(seed + 1), "_src", "_block"), "_block")
+            before = rest.groupBy("_src", "_block").agg(F.sum("size").alias("w")).withColumn("_before", F.sum("w").over(order) - F.col("w")).drop("w")
+            upto = F.sum("size").over(Window.partitionBy("_src", "_block").orderBy("_pos"))
+            more = rest.join(before, ["_src", "_block"]).where("_before < _gap").withColumn("_upto", F.col("_before") + upto)
+            more = more.where("_upto <= _gap").select("_src", "_block", "_pos", "size")
+        more = materialize(more, "mix-part")
+        for r in more.groupBy("_src").agg(F.sum("size").alias("got")).collect():
+            gaps[r["_src"]] -= r["got"]
+        picked = picked.unionByName(more)
+
+    # quotas of block draws: every block in each whole pass, then the blocks that the part pass takes from
+    turn = Window.partitionBy("_src").orderBy(F.xxhash64(F.lit(seed + 1), "_src", "_block"), "_block")
+    part_blocks = picked.select("_src", "_block").distinct().withColumn("_part_rank", F.row_number().over(turn) - 1)
+    part_counts = {r["_src"]: r["n"] for r in part_blocks.groupBy("_src").agg(F.count(F.lit(1)).alias("n")).collect()}
+    quota = [found[n][1] * p + part_counts.get(n, 0) for n, p in zip(names, passes, strict=True)]
     dealt = np.cumsum(split_quotas(np.array(quota, np.int64), shards, seed), axis=0) if names else np.zeros((shards, 0), np.int64)
-    more = spark.createDataFrame(
-        [(*r, [int(x) for x in dealt[:, i]]) for i, r in enumerate(rows_of)], "_src string, _n long, _last int, _fill_rank int, _fill_pos int, _ends array<long>"
-    )
-    rows = placed(narrow if set(kept) <= {"doc_id", "source"} else keyed).join(more, "_src")
-    rows = rows.withColumn("_part", F.col("_part") | ((F.col("_rank") == F.col("_fill_rank")) & (F.col("_pos") == F.col("_fill_pos"))))
+    plan = spark.createDataFrame(
+        [(n, s, t, p, found[n][1], [int(x) for x in dealt[:, i]]) for i, (n, s, t, p) in enumerate(zip(names, sizes, targets, passes, strict=True))],
+        "_src string, source_size long, target double, _passes int, _n long, _ends array<long>",
+    )  # one row a source
+    blocks_ = per_block.withColumn("_rank", F.row_number().over(turn) - 1).drop("words").join(part_blocks, ["_src", "_block"], "left").join(plan, "_src")
+    rows = (narrow if set(kept) <= {"doc_id", "source"} else keyed).withColumn("_pos", F.row_number().over(inside))
+    rows = rows.join(blocks_, ["_src", "_block"]).join(picked.select("_src", "_block", "_pos", F.lit(True).alias("_part")), ["_src", "_block", "_pos"], "left")
 
     def draw(p: Column) -> Column:
         """Which of its source's draws a block is in pass ``p``; each whole pass is turned anew."""
         turned = F.pmod(F.col("_rank") + F.pmod(F.xxhash64(F.lit(seed), F.col("_src"), p), F.col("_n")), F.col("_n"))
-        last = F.least(F.col("_rank"), F.col("_last") + 1)
-        return p * F.col("_n") + F.when(p < F.col("_passes"), turned).otherwise(last)
+        return p * F.col("_n") + F.when(p < F.col("_passes"), turned).otherwise(F.col("_part_rank"))
 
-    copies = F.filter(F.sequence(F.lit(0), F.col("_passes")), lambda p: (F.col("size") > 0) & ((p < F.col("_passes")) | F.col("_part")))
+    copies = F.filter(F.sequence(F.lit(0), F.col("_passes")), lambda p: (F.col("size") > 0) & ((p < F.col("_passes")) | F.coalesce("_part", F.lit(False))))
     draws = F.transform(copies, lambda p: F.struct(
         p.alias("pass"),
         F.size(F.filter("_ends", lambda e: e <= draw(p))).alias("shard"),
