@@ -33,10 +33,10 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 MIN_GROUP, SHARE, STEPS, QUANTILE = 50, 0.75, 4, 0.99999
 #: What each coordinate is and the scale below which differences do not count.
 COORDINATES = {
-    "z0": (lambda: F.col("word_chars") / F.col("n_words"), 0.3),
-    "z1": (lambda: F.log1p(100 * F.col("n_symbols") / F.col("n_words")), 0.25),
-    "z2": (lambda: F.sqrt(F.col("n_repeat_words") / F.col("n_words")), 0.15),
-    "z3": (lambda: F.log1p(100 * F.col("n_dup_lines") / F.col("n_words")), 0.5),
+    "_z0": (lambda: F.col("word_chars") / F.col("n_words"), 0.3),
+    "_z1": (lambda: F.log1p(100 * F.col("n_symbols") / F.col("n_words")), 0.25),
+    "_z2": (lambda: F.sqrt(F.col("n_repeat_words") / F.col("n_words")), 0.15),
+    "_z3": (lambda: F.log1p(100 * F.col("n_dup_lines") / F.col("n_words")), 0.5),
 }
 Z = list(COORDINATES)
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -116,7 +116,7 @@ def group_keys(lang: Column, source: Column) -> Column:
 
 
 def vectors(stats: DataFrame) -> DataFrame:
-    """(key, z0...): the vector of each document that passes the base rules, once for each of its groups."""
+    """(key, _z0...): the vector of each document that passes the base rules, once for each of its groups."""
     clipped = [F.least(F.greatest(value() / scale, F.lit(-LIMIT)), F.lit(LIMIT)).alias(z) for z, (value, scale) in COORDINATES.items()]
     return stats.where(~F.col("base_failed")).select(F.explode(group_keys(F.col("lang"), F.col("source"))).alias("key"), *clipped)
 
@@ -130,27 +130,27 @@ def grid_quantile(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
 
 
 def with_factor(estimate: DataFrame) -> DataFrame:
-    """estimate: key, m_i, v_ij. Adds l_ij, the Cholesky factor of the covariance with the scales' squares (1) added."""
+    """estimate: key, _m, _v. Adds _l, the Cholesky factor of the covariance with the scales' squares (1) added."""
     for i in range(len(Z)):
         for j in range(i + 1):
-            value = F.col(f"v_{j}_{i}") * CONSISTENCY + (1.0 if i == j else 0.0)
+            value = F.col(f"_v{j}_{i}") * CONSISTENCY + (1.0 if i == j else 0.0)
             for k in range(j):
-                value = value - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            estimate = estimate.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-6))) if i == j else value / F.col(f"l_{j}_{j}"))
-    return estimate.select("key", *[f"m_{i}" for i in range(len(Z))], *[f"l_{i}_{j}" for i in range(len(Z)) for j in range(i + 1)])
+                value = value - F.col(f"_l{i}_{k}") * F.col(f"_l{j}_{k}")
+            estimate = estimate.withColumn(f"_l{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-6))) if i == j else value / F.col(f"_l{j}_{j}"))
+    return estimate.select("key", *[f"_m{i}" for i in range(len(Z))], *[f"_l{i}_{j}" for i in range(len(Z)) for j in range(i + 1)])
 
 
 def with_distance(rows: DataFrame) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance, by forward substitution."""
+    """Adds _d2, the squared Mahalanobis distance, by forward substitution."""
     for i, z in enumerate(Z):
-        value = F.col(z) - F.col(f"m_{i}")
+        value = F.col(z) - F.col(f"_m{i}")
         for k in range(i):
-            value = value - F.col(f"l_{i}_{k}") * F.col(f"y_{k}")
-        rows = rows.withColumn(f"y_{i}", value / F.col(f"l_{i}_{i}"))
+            value = value - F.col(f"_l{i}_{k}") * F.col(f"_y{k}")
+        rows = rows.withColumn(f"_y{i}", value / F.col(f"_l{i}_{i}"))
     total = F.lit(0.0)
     for i in range(len(Z)):
-        total = total + F.col(f"y_{i}") * F.col(f"y_{i}")
-    return rows.withColumn("d2", total)
+        total = total + F.col(f"_y{i}") * F.col(f"_y{i}")
+    return rows.withColumn("_d2", total)
 
 
 def distance_bin(d2: Column) -> Column:
@@ -161,28 +161,28 @@ def concentrated(rows: DataFrame) -> DataFrame:
     """Mean and covariance of each group's rows whose ``bin`` is in the nearest share."""
     near = rows.join(grid_quantile(rows, ["key"], SHARE), "key").where(F.col("bin") <= F.col("q"))
     # sums around the first guess lose no digits
-    means = [F.avg(z).alias(f"m_{i}") for i, z in enumerate(Z)]
-    spread = [F.covar_pop(Z[i], Z[j]).alias(f"v_{i}_{j}") for i in range(len(Z)) for j in range(i, len(Z))]
+    means = [F.avg(z).alias(f"_m{i}") for i, z in enumerate(Z)]
+    spread = [F.covar_pop(Z[i], Z[j]).alias(f"_v{i}_{j}") for i in range(len(Z)) for j in range(i, len(Z))]
     return near.groupBy("key").agg(*means, *spread)
 
 
 def mcd_estimates(stats: DataFrame) -> DataFrame:
-    """key, m_i and l_ij for each group, language and all documents with at least MIN_GROUP documents."""
+    """key, _m and _l for each group, language and all documents with at least MIN_GROUP documents."""
     every = vectors(stats)
     sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_GROUP).select("key")
     rows = materialize(every.join(sizes, "key"), "vectors")
     bins = F.array(*[F.struct(F.lit(i).alias("coordinate"), F.floor(F.col(z) * GRID).cast("int").alias("bin")) for i, z in enumerate(Z)])
     middles = grid_quantile(rows.select("key", F.inline(bins)), ["key", "coordinate"], 0.5)
-    start = middles.groupBy("key").agg(*[F.max(F.when(F.col("coordinate") == i, (F.col("q") + 0.5) / GRID)).alias(f"m_{i}") for i in range(len(Z))])
+    start = middles.groupBy("key").agg(*[F.max(F.when(F.col("coordinate") == i, (F.col("q") + 0.5) / GRID)).alias(f"_m{i}") for i in range(len(Z))])
     squares = F.lit(0.0)
     for i, z in enumerate(Z):
-        squares = squares + (F.col(z) - F.col(f"m_{i}")) * (F.col(z) - F.col(f"m_{i}"))
+        squares = squares + (F.col(z) - F.col(f"_m{i}")) * (F.col(z) - F.col(f"_m{i}"))
     placed = rows.join(start, "key").withColumn("bin", distance_bin(squares)).select("key", *Z, "bin")
     estimate = None
     for _ in range(STEPS):
         was, estimate = estimate, materialize(with_factor(concentrated(placed)), "mcd")
         discard(was)
-        placed = with_distance(rows.join(estimate, "key")).withColumn("bin", distance_bin(F.col("d2"))).select("key", *Z, "bin")
+        placed = with_distance(rows.join(estimate, "key")).withColumn("bin", distance_bin(F.col("_d2"))).select("key", *Z, "bin")
     return estimate
 
 
@@ -199,11 +199,11 @@ def judge_quality(docs: DataFrame, columns: list[str] | None = None) -> DataFram
     # the finest of a document's groups that has an estimate
     combos = slim.select("lang", "source").distinct().withColumn("keys", group_keys(F.col("lang"), F.col("source")))
     named = combos.select("lang", "source", F.explode("keys").alias("key")).join(known, "key").groupBy("lang", "source").agg(F.max("key").alias("key"))
-    named = named.join(estimate, "key").withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    named = named.join(estimate, "key").drop("key").withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = rows.join(named, rows["lang"].eqNullSafe(named["_lang"]) & rows["source"].eqNullSafe(named["_source"]), "left")
     clipped = {z: F.least(F.greatest(value() / scale, F.lit(-LIMIT)), F.lit(LIMIT)) for z, (value, scale) in COORDINATES.items()}
     clipped = {z: F.when(F.col("n_words") > 0, x) for z, x in clipped.items()}
-    judged = with_distance(joined.withColumns(clipped)).withColumn("distance2", F.col("d2"))
+    judged = with_distance(joined.withColumns(clipped)).withColumn("distance2", F.col("_d2"))
     judged = judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True)))
     return judged.select(*kept, *RESULTS, "distance2")
 
