@@ -6,10 +6,11 @@ shingle among the first fifth of each (prefix filter). The inverted lists of pre
 then by position; whole blocks of a list are skipped where size or position already rule a link out.
 
 Answers are shared between similar sets: equal sets are one class, and each set first verifies only the candidate it
-shares most lists with. Sets that are linked so have one component, whose answers they inherit: every pair inside it is
-skipped. Only candidates in different components are left for the second step, which verifies all of them by whole sets.
-So a group of thousands of near copies costs about one verification a set, and no link between different components
-is lost.
+shares most lists with, its head. Sets that are linked so have one component, whose answers they inherit: every pair
+inside it is skipped. Where a list still holds sets of different components, those of the smaller component ask the
+stars (a head and its members) of the larger: a set's overlap with the head is computed once, and its overlap with each
+member follows from the few shingles that the member has more and less. So a group of thousands of near copies costs
+about one verification a set, candidates are pairs of a set and a star, and no link between components is lost.
 
 Defined results: null texts and texts without words have an empty set, linked with nothing; a null doc_id is a row of its
 own with a null component; rows that repeat a doc_id count as one document whose rows are linked, each row keeps its own
@@ -22,8 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ._components import components
 from ._spark import bounded_batches, materialize, read_table
@@ -32,6 +35,8 @@ from ._words import mix64, text_bytes, word_hashes, word_spans
 #: Words a shingle; similarity as a ratio of integers; counters of the sketch (32 bits each, whatever the corpus).
 WORDS, NUM, DEN, SKETCH = 5, 80, 100, 1 << 19
 _SLICES = 32
+#: Queries and members of a star that are compared in one task.
+QUERIES, MEMBERS = 512, 2048
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -214,24 +219,68 @@ def list_entries(blocks: DataFrame, buckets: int) -> DataFrame:
     return blocks.repartition(buckets, "bucket").drop("bucket").mapInArrow(lists, "token long, doc long, size int, place int, head long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b) of doc ids those whose whole sets are similar enough."""
+def verified_stars(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs: (a, head). Those whose whole sets are similar enough, with what a's set has more and less than its head's."""
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    right = texts.select(F.col("doc_id").alias("head"), F.col("text").alias("text_head"))
 
-    def similar(one: pa.Array, two: pa.Array) -> pa.Array:
+    def compare(one: pa.Array, two: pa.Array) -> pa.Array:
         (x, x_at), (y, y_at) = shingle_sets(one), shingle_sets(two)
-        out = np.zeros(len(one), bool)
+        similar, more, less = [], [], []
         for i in range(len(one)):
             p, q = x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]]
-            common = len(p) + len(q) - len(np.union1d(p, q))
-            out[i] = common > 0 and DEN * common >= NUM * (len(p) + len(q) - common)
-        return pa.array(out)
+            added = np.setdiff1d(p, q, assume_unique=True)
+            common = len(p) - len(added)
+            similar.append(common > 0 and DEN * common >= NUM * (len(p) + len(q) - common))
+            more.append(added.tobytes() if similar[-1] else b"")
+            less.append(np.setdiff1d(q, p, assume_unique=True).tobytes() if similar[-1] else b"")
+        return pa.StructArray.from_arrays([pa.array(similar), pa.array(more, pa.binary()), pa.array(less, pa.binary())], ["similar", "more", "less"])
 
-    from pyspark.sql.functions import arrow_udf
+    told = arrow_udf(compare, "similar boolean, more binary, less binary")("text_a", "text_head")
+    return pairs.join(left, "a").join(right, "head").select("a", "head", told.alias("told")).where("told.similar").select("a", "head", "told.more", "told.less")
 
-    return pairs.join(left, "a").join(right, "b").where(arrow_udf(similar, "boolean")("text_a", "text_b")).select("a", "b")
+
+def links_to_stars(asked: DataFrame, stars: DataFrame, docs: DataFrame) -> DataFrame:
+    """asked: (z, head). Those where z is similar to the head or to a member of its star: overlaps with the members are
+    derived from the overlap with the head and from what they have more and less. Stars and queries of a head are dealt
+    out in pairs of blocks."""
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    count = F.count(F.lit(1))
+    shape = asked.groupBy("head").agg(F.ceil(count / QUERIES).cast("int").alias("ni"))
+    members = stars.groupBy("head").agg(F.ceil(count / MEMBERS).cast("int").alias("nj"))
+    shape = shape.join(members, "head", "left").select("head", "ni", F.coalesce("nj", F.lit(1)).alias("nj"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = asked.join(shape, "head").join(texts, asked["z"] == texts["doc_id"])
+    queries = queries.select("head", F.pmod(F.xxhash64("z"), F.col("ni")).cast("int").alias("i"), every("nj").alias("j"), "z", "text")
+    blank = F.lit(None)
+    deltas = stars.join(shape, "head").select("head", every("ni").alias("i"), F.pmod(F.xxhash64("a"), F.col("nj")).cast("int").alias("j"), "more", "less", blank.cast("string").alias("text"))
+    heads = shape.join(texts, shape["head"] == texts["doc_id"]).select("head", every("ni").alias("i"), "nj", "text")
+    heads = heads.select("head", "i", every("nj").alias("j"), F.lit(b"").alias("more"), F.lit(b"").alias("less"), "text")
+
+    def answer(asking: pa.Table, star: pa.Table) -> pa.Table:
+        own = star.filter(pc.is_valid(star.column("text")))
+        found: list[tuple[int, int]] = []
+        if asking.num_rows and own.num_rows:
+            x, _ = shingle_sets(own.column("text").combine_chunks().slice(0, 1))
+            more, less = ([np.frombuffer(t, np.uint64) for t in star.column(c).to_pylist()] for c in ("more", "less"))
+            more_at, less_at = (np.cumsum([0, *map(len, t)]) for t in (more, less))
+            more, less = np.concatenate(more), np.concatenate(less)
+            size = len(x) + np.diff(more_at) - np.diff(less_at)
+            sets, at = shingle_sets(asking.column("text").combine_chunks())
+            for k, z in enumerate(asking.column("z").to_pylist()):
+                mine = sets[at[k] : at[k + 1]]
+                if not len(mine):
+                    continue
+                has = lambda t, mine=mine: mine[np.minimum(np.searchsorted(mine, t), len(mine) - 1)] == t
+                gained, lost = np.r_[0, np.cumsum(has(more))], np.r_[0, np.cumsum(has(less))]
+                common = has(x).sum() + gained[more_at[1:]] - gained[more_at[:-1]] - lost[less_at[1:]] + lost[less_at[:-1]]
+                if (DEN * common >= NUM * (len(mine) + size - common)).any():
+                    found.append((z, asking.column("head")[0].as_py()))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    keys = ["head", "i", "j"]
+    return queries.groupBy(*keys).cogroup(deltas.unionByName(heads).groupBy(*keys)).applyInArrow(answer, "a long, b long")
 
 
 def ngram_jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -247,38 +296,41 @@ def ngram_jaccard_classes(docs: DataFrame) -> DataFrame:
     same = materialize(same, "same")
     entries = materialize(list_entries(prefix_blocks(docs, shingle_counts(stats), buckets), buckets), "entries")
 
-    def of_class(pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            rep = same.select(F.col("a").alias(side), F.col("b").alias("rep"))
-            pairs = pairs.join(rep, side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
-        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "lists")
-
-    shared = entries.where("head is not null").groupBy(F.col("doc").alias("a"), F.col("head").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
-    best = of_class(shared.groupBy("a").agg(F.max_by("b", F.struct("lists", -F.col("b"))).alias("b"), F.max("lists").alias("lists"))).drop("lists").distinct()
-    first = materialize(verified(best, docs), "links")
-    links = same.union(first)
-    groups = components(links)
-
-    # lists that still hold sets of several components: all their pairs that sizes and positions allow
-    named = entries.join(groups, entries.doc == groups.node, "left").select("token", "doc", "size", "place", F.coalesce("component", "doc").alias("component"))
+    # first step: each set and the candidate that it shares most lists with
+    shared = entries.where("head is not null").groupBy(F.col("doc").alias("a"), "head").agg(F.count(F.lit(1)).alias("lists"))
+    for side in ("a", "head"):
+        shared = shared.join(same.select(F.col("a").alias(side), F.col("b").alias("rep")), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
+    best = shared.where("a <> head").groupBy("a").agg(F.max_by("head", F.struct("lists", -F.col("head"))).alias("head"))
+    stars = materialize(verified_stars(best, docs), "stars")
+    groups = components(same.union(stars.select("a", "head")))
+
+    # second step: lists that hold sets of several components. The sets of the smaller component ask the stars of the other
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    known = groups.withColumnRenamed("node", "doc").join(sizes, "component").join(same.select(F.col("a").alias("doc"), F.col("b").alias("rep")), "doc", "left")
+    known = known.withColumn("rep", F.coalesce("rep", "doc")).join(stars.select(F.col("a").alias("rep"), F.col("head").alias("star")), "rep", "left")
+    known = known.select("doc", "rep", F.coalesce("star", "rep").alias("star"), "component", "members")
+    named = entries.select("token", "doc", "size").join(known, "doc", "left").select(
+        "token", "size", F.coalesce("rep", "doc").alias("z"), F.coalesce("star", "doc").alias("star"),
+        F.coalesce("component", "doc").alias("component"), F.coalesce("members", F.lit(1)).alias("members"),
+    )
     split = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    open_lists = named.join(split, "token")
-    x, y = (open_lists.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "size", "place", "component")]) for side in ("x", "y"))
-    room = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
-    rest = (
-        x.join(y, "token")
-        .where("component_x <> component_y and (size_y < size_x or (size_y = size_x and doc_y < doc_x))")
-        .where(f"{DEN} * size_y >= {NUM} * size_x")
-        .groupBy(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))
-        .agg(F.count(F.lit(1)).alias("lists"), F.max(room).alias("room"), F.first("size_x").alias("n"), F.first("size_y").alias("m"))
+    open_lists = materialize(named.join(split, "token"), "open")
+    held = open_lists.groupBy("token", F.col("star").alias("head"), F.col("component").alias("other"), F.col("members").alias("others"))
+    held = held.agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    asking = open_lists.select("token", "z", "size", "component", "members").distinct()
+    asked = (
+        asking.join(held, "token")
+        .where("component <> other and (members < others or (members = others and component > other))")
+        .where(f"{DEN} * high >= {NUM} * size and {NUM} * low <= {DEN} * size")
+        .groupBy("z", "head").agg(F.count(F.lit(1)).alias("lists"), F.first("size").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     )
-    need = F.ceil((F.col("n") + F.col("m")) * NUM / (NUM + DEN))
     # of what the prefixes do not hold, all may be common at best
-    beyond = F.greatest(F.ceil(F.col("n") * NUM / DEN) - 1, F.ceil(F.col("m") * NUM / DEN) - 1)
-    rest = rest.where((F.col("room") >= need) & (F.col("lists") + beyond >= need))
-    rest = materialize(of_class(rest.select("a", "b", "lists")).select("a", "b").distinct(), "rest")
-    if not rest.isEmpty():
-        groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(rest, docs)))
+    beyond = F.ceil(F.greatest("n", "high") * NUM / DEN) - 1
+    least = F.greatest(F.col("low"), F.ceil(F.col("n") * NUM / DEN))
+    asked = asked.where(F.col("lists") + beyond >= F.ceil((F.col("n") + least) * NUM / (NUM + DEN))).select("z", "head")
+    asked = materialize(asked, "asked")
+    if not asked.isEmpty():
+        groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links_to_stars(asked, stars, docs)))
     return sets.join(groups, sets.doc_id == groups.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
