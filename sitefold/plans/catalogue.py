@@ -1,4 +1,584 @@
-"""Registered queries over the driver's tables and their SQL."""
+"""Registered queries over the driver's tables, and the DuckDB SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitefold.functions import patterns as P
+from sitefold.operators import bootstrap, model_choice, posterior, sites, tables
+from sitefold.sources import text
+
+from . import adapters as A
+from . import expected
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FREQ = ["daf0", "daf1", "daf2"]
+MASKS, MASKS1 = P.masks(3), P.masks(3, True)
+LABELS = A.POPS
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def r6(c: str | Column, name: str) -> Column:
+    return F.round(c, 6).alias(name)
+
+
+def product(m: int, names: tuple[str, ...] = ("p0", "p1", "p2")) -> str:
+    return " * ".join(n if m >> j & 1 else f"(1 - {n})" for j, n in enumerate(names))
+
+
+def pattern_sql(masks: list[int], source: str, where: str, names: tuple[str, ...] = ("p0", "p1", "p2"), extra: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT {extra}{m}::BIGINT AS pat, round(sum({product(m, names)}), 6) AS value FROM {source} WHERE {where}" + (" GROUP BY 1" if extra else "") for m in masks)
+
+
+def _derived(spark: SparkSession, d: str) -> DataFrame:
+    return sites.derived(A.daf_rows(spark, d), A.POPS)
+
+
+def _good(spark: SparkSession, d: str) -> DataFrame:
+    return _derived(spark, d).where("status = 'OK'")
+
+
+def _polarised(spark: SparkSession, d: str) -> DataFrame:
+    return sites.polarised(A.raf_rows(spark, d), A.POPS, A.OUTGROUP)
+
+
+# Tabulation
+
+
+@query("tabpat_af", f"WITH {A.DAF}, {A.WIDE} {pattern_sql(MASKS, 'sites', 'status = $$OK$$').replace('$$', chr(39))}")
+def _(spark, d):
+    return P.pattern_sums(_good(spark, d), FREQ).select("pat", r6("value", "value"))
+
+
+@query("tabpat_singletons", f"WITH {A.DAF}, {A.WIDE} {pattern_sql(MASKS1, 'sites', 'status = $$OK$$').replace('$$', chr(39))}")
+def _(spark, d):
+    return P.pattern_sums(_good(spark, d), FREQ, singletons=True).select("pat", r6("value", "value"))
+
+
+@query("tabpat_long_form", f"WITH {A.DAF}, {A.WIDE} {pattern_sql(MASKS1, 'sites', 'status = $$OK$$').replace('$$', chr(39))}")
+def _(spark, d):
+    return P.pattern_sums(_good(spark, d), FREQ, singletons=True, wide=2).select("pat", r6("value", "value"))
+
+
+@query("tabpat_by_chromosome", f"WITH {A.DAF}, {A.WIDE} {pattern_sql(MASKS, 'sites', 'status = $$OK$$', extra='chr, ').replace('$$', chr(39))}")
+def _(spark, d):
+    return P.pattern_sums(_good(spark, d), FREQ, by=["chr"]).select("chr", "pat", r6("value", "value"))
+
+
+@query("sitepat_raf", f"WITH {A.RAF} {pattern_sql(MASKS, 'polar', 'status = $$OK$$', ('y0', 'y1', 'y2')).replace('$$', chr(39))}")
+def _(spark, d):
+    return P.pattern_sums(_polarised(spark, d).where("status = 'OK'"), FREQ).select("pat", r6("value", "value"))
+
+
+@query("daf_status_counts", f"WITH {A.DAF}, {A.WIDE} SELECT status, count(*) AS n_sites FROM sites GROUP BY status")
+def _(spark, d):
+    return sites.status_counts(_derived(spark, d))
+
+
+@query("site_status_counts", f"WITH {A.RAF} SELECT status, count(*) AS n_sites FROM polar GROUP BY status")
+def _(spark, d):
+    return sites.status_counts(_polarised(spark, d))
+
+
+@query("rejected_sites", f"WITH {A.RAF} SELECT chr, pos, status FROM polar WHERE status <> 'OK'")
+def _(spark, d):
+    return _polarised(spark, d).where("status <> 'OK'").select("chr", "pos", "status")
+
+
+@query("aligned_daf", f"WITH {A.DAF}, {A.WIDE} SELECT chr, pos, a0 AS aa, d AS da, status, round(p0, 6) AS daf0, round(p1, 6) AS daf1, round(p2, 6) AS daf2 FROM sites")
+def _(spark, d):
+    return _derived(spark, d).select("chr", "pos", "aa", "da", "status", *[r6(c, c) for c in FREQ])
+
+
+@query("joinraf_mean", f"""WITH {A.RAF} SELECT chr, pos, f0 AS ref, coalesce(nullif(t0, '.'), nullif(t1, '.'), nullif(t2, '.'), '.') AS alt, round((r0 + r1 + r2) / 3, 6) AS raf
+FROM (SELECT *, coalesce(nullif(t0, '.'), nullif(t1, '.'), nullif(t2, '.'), '.') AS u FROM w4) WHERE f1 = f0 AND f2 = f0 AND t1 IN ('.', u) AND t2 IN ('.', u)""")
+def _(spark, d):
+    return sites.join_raf(A.raf_rows(spark, d), A.POPS).select("chr", "pos", "ref", "alt", r6("raf", "raf"))
+
+
+@query("rafdaf_wide", f"WITH {A.RAF} SELECT chr, pos, round(y0, 6) AS daf0, round(y1, 6) AS daf1, round(y2, 6) AS daf2 FROM polar WHERE status = 'OK'")
+def _(spark, d):
+    return sites.raf_to_daf_wide(A.raf_rows(spark, d), A.POPS, A.OUTGROUP).select("chr", "pos", *[r6(c, c) for c in FREQ])
+
+
+@query("raf2daf_long", f"WITH {A.RAF} " + " UNION ALL ".join(f"SELECT '{p}' AS pop, chr, pos, CASE WHEN r3 = 0 THEN t ELSE f0 END AS aa, CASE WHEN r3 = 0 THEN f0 ELSE t END AS da, round(y{i}, 6) AS daf FROM polar WHERE status = 'OK'" for i, p in enumerate(A.POPS)))
+def _(spark, d):
+    return sites.raf_to_daf_long(A.raf_rows(spark, d), A.POPS, A.OUTGROUP).select("pop", "chr", "pos", "aa", "da", r6("daf", "daf"))
+
+
+@query("dup_site_check", "SELECT l_returnflag AS pop, CAST(l_partkey % 22 + 1 AS VARCHAR) AS chr, l_partkey AS pos, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def _(spark, d):
+    items = A.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("pop"), A.chromosome(F.col("l_partkey")).alias("chr"), F.col("l_partkey").alias("pos"))
+    return sites.duplicate_sites(items)
+
+
+@query("snp_per_chr", f"WITH {A.RAF} SELECT chr, count(*) AS n_snps FROM polar WHERE status = 'OK' GROUP BY chr")
+def _(spark, d):
+    return sites.sites_per_chromosome(_polarised(spark, d))
+
+
+@query("qual_dedup", """SELECT chr, pos, qual, line_no FROM (
+  SELECT *, row_number() OVER (PARTITION BY chr, pos ORDER BY qual DESC NULLS LAST, line_no) AS n FROM (
+    SELECT CAST(l_partkey % 22 + 1 AS VARCHAR) AS chr, l_partkey AS pos, CASE WHEN l_quantity < 5 THEN NULL ELSE l_quantity END AS qual, l_orderkey * 10 + l_linenumber AS line_no FROM lineitem)) WHERE n = 1""")
+def _(spark, d):
+    x = A.table(spark, d, "lineitem")
+    rows = x.select(A.chromosome(F.col("l_partkey")).alias("chr"), F.col("l_partkey").alias("pos"), F.when(F.col("l_quantity") >= 5, F.col("l_quantity")).alias("qual"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"))
+    return sites.best_quality(rows)
+
+
+# Sources
+
+
+RAF_REJECT = """CASE WHEN ref LIKE '%,%' THEN 'multref' WHEN alt LIKE '%,%' THEN 'multalt' WHEN length(ref) <> 1 THEN 'indelref' WHEN length(alt) <> 1 THEN 'indelalt'
+  WHEN ref = '.' THEN 'missref' WHEN zeros + ones = 0 THEN 'zerogtype' END"""
+DAF_REJECT = """CASE WHEN ref LIKE '%,%' THEN 'multref' WHEN alt LIKE '%,%' THEN 'multalt' WHEN aa LIKE '%|%' THEN 'multaa' WHEN length(ref) <> 1 THEN 'indelref'
+  WHEN length(alt) <> 1 THEN 'indelalt' WHEN length(aa) <> 1 THEN 'indelaa' WHEN ref = '.' THEN 'missref' WHEN aa = '.' THEN 'missaa'
+  WHEN aa <> ref AND aa <> alt AND NOT (alt = '.') THEN 'threealleles' WHEN zeros + ones = 0 THEN 'zerogtype' END"""
+NO_AA = "regexp_replace(value, '^([^\\t]*\\t[^\\t]*\\t[^\\t]*\\t[^\\t]*)\\t[^\\t]*', '$1')"
+
+
+def _raf_lines(spark: SparkSession, d: str) -> DataFrame:
+    return A.genotype_lines(spark, d).withColumn("value", F.regexp_replace("value", "^([^\t]*\t[^\t]*\t[^\t]*\t[^\t]*)\t[^\t]*", "$1"))
+
+
+@query("raf_from_genotypes", f"WITH {A.GENOTYPES} SELECT chr, k AS pos, ref, alt, round(CAST(zeros AS DOUBLE) / (zeros + ones), 6) AS raf FROM gc WHERE ({RAF_REJECT}) IS NULL")
+def _(spark, d):
+    return text.genotype_raf(_raf_lines(spark, d)).where("reject is null").select("chr", "pos", "ref", "alt", r6("raf", "raf"))
+
+
+@query("daf_from_genotypes", f"""WITH {A.GENOTYPES} SELECT chr, k AS pos, aa, CASE WHEN aa = ref THEN (CASE WHEN alt = '.' AND aa <> ref THEN aa ELSE alt END) ELSE ref END AS da,
+  round(CAST(CASE WHEN aa = ref THEN ones ELSE zeros END AS DOUBLE) / (zeros + ones), 6) AS daf FROM gc WHERE ({DAF_REJECT}) IS NULL""")
+def _(spark, d):
+    return text.genotype_daf(A.genotype_lines(spark, d)).where("reject is null").select("chr", "pos", "aa", "da", r6("daf", "daf"))
+
+
+@query("reject_counters", f"WITH {A.GENOTYPES} SELECT coalesce({DAF_REJECT}, 'good') AS reason, count(*) AS n_rows FROM gc GROUP BY 1")
+def _(spark, d):
+    return text.reject_counts(text.genotype_daf(A.genotype_lines(spark, d)))
+
+
+@query("raf_scan", f"WITH {A.DAF} SELECT chr, pos, aa AS ref, da AS alt, round(daf, 6) AS raf, 'OK' AS status FROM daf_rows WHERE pos % 5 <> 0 UNION ALL SELECT chr, pos, aa, da, NULL, 'EINVAL' FROM daf_rows WHERE pos % 5 = 0")
+def _(spark, d):
+    rows = A.daf_rows(spark, d)
+    value = F.concat_ws("\t", "chr", F.col("pos").cast("string"), F.upper("aa"), "da", F.when(F.col("pos") % 5 == 0, F.lit("x")).otherwise(F.col("daf").cast("string")))
+    lines = rows.select(value.alias("value")).union(rows.limit(1).select(F.lit("# chr pos ref alt raf")))
+    return text.read_raf(lines).select("chr", "pos", "ref", "alt", r6("raf", "raf"), "status")
+
+
+@query("daf_scan", f"WITH {A.DAF} SELECT chr, pos, aa, da, round(daf, 6) AS daf FROM daf_rows")
+def _(spark, d):
+    rows = A.daf_rows(spark, d)
+    lines = rows.select(F.concat_ws("  ", "chr", F.col("pos").cast("string"), "aa", "da", F.col("daf").cast("string")).alias("value"))
+    return text.read_daf(lines).select("chr", "pos", "aa", "da", r6("daf", "daf"))
+
+
+@query("sort_check", """WITH r AS (SELECT o_orderstatus AS file, o_orderkey AS line_no, CAST(o_custkey % 3 AS VARCHAR) AS chr, o_custkey AS pos FROM orders),
+l AS (SELECT *, lag(chr) OVER (PARTITION BY file ORDER BY line_no) AS c, lag(pos) OVER (PARTITION BY file ORDER BY line_no) AS p FROM r)
+SELECT file, line_no, chr, pos FROM l WHERE chr < c OR (chr = c AND pos <= p)""")
+def _(spark, d):
+    o = A.table(spark, d, "orders")
+    return text.out_of_order(o.select(F.col("o_orderstatus").alias("file"), F.col("o_orderkey").alias("line_no"), (F.col("o_custkey") % 3).cast("string").alias("chr"), F.col("o_custkey").alias("pos")))
+
+
+AXT = """rec AS (SELECT c_custkey AS rec, 'chr' || (c_custkey % 5) AS chr, c_custkey * 7 AS s, 'acg-tn' || 'gat-' AS a, substr('acgtacgtnacgt-acgtacgtaccgt', CAST(1 + c_custkey % 13 AS INT), 10) AS b FROM customer),
+base AS (SELECT rec, chr, s, s + 7 AS e, s + row_number() OVER (PARTITION BY rec ORDER BY j) - 1 AS pos, substr(a, j, 1) AS ref, substr(b, j, 1) AS o
+         FROM rec, (SELECT unnest(range(1, 11))::INT AS j) WHERE substr(a, j, 1) <> '-'),
+bases AS (SELECT rec, chr, s, e, pos, ref, CASE WHEN ref = o THEN '.' ELSE o END AS alt, CASE WHEN ref = o THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS raf FROM base WHERE ref <> 'n')"""
+
+
+def _axt(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    b = F.substring(F.lit("acgtacgtnacgt-acgtacgtaccgt"), (k % 13 + 1).cast("int"), F.lit(10))
+    rows = A.table(spark, d, "customer").select(k.alias("rec"), F.concat(F.lit("chr"), (k % 5).cast("string")).alias("chr"), (k * 7).alias("start"), (k * 7 + 7).alias("end"), F.lit(9).alias("score"), F.lit("acg-tngat-").alias("a"), b.alias("b"))
+    return text.axt_bases(rows)
+
+
+@query("axt_bases", f"WITH {AXT} SELECT rec, chr, pos, ref, alt, raf FROM bases WHERE alt NOT IN ('-', 'n')")
+def _(spark, d):
+    return _axt(spark, d).select("rec", "chr", "pos", "ref", "alt", "raf")
+
+
+@query("axt_merged", f"""WITH {AXT}, ok AS (SELECT * FROM bases WHERE alt NOT IN ('-', 'n')), spans AS (SELECT DISTINCT rec, chr, s, e FROM ok),
+o AS (SELECT rec FROM (SELECT rec, e, max(e) OVER (PARTITION BY chr ORDER BY s, rec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM spans) WHERE r IS NULL OR e > r)
+SELECT chr, pos, arg_max(ref, s) AS ref, arg_max(alt, s) AS alt, arg_max(raf, s) AS raf FROM ok JOIN o USING (rec) GROUP BY chr, pos""")
+def _(spark, d):
+    return text.axt_merged(_axt(spark, d))
+
+
+@query("sim_daf", " UNION ALL ".join(f"SELECT l_orderkey AS chr, l_linenumber AS pos, '{p}' AS pop, {e} AS daf FROM lineitem" for p, e in (
+    ("x", "(CAST(l_partkey AS BIGINT) % 2)::DOUBLE"), ("y", "(l_partkey // 2 % 2 + l_suppkey % 2)::DOUBLE / 2"), ("z", "(l_suppkey // 2 % 2)::DOUBLE"))))
+def _(spark, d):
+    g = F.expr("array(cast(l_partkey % 2 as int), cast(l_partkey div 2 % 2 as int), cast(l_suppkey % 2 as int), cast(l_suppkey div 2 % 2 as int))")
+    rows = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chr"), F.col("l_linenumber").alias("pos"), g.alias("g"))
+    return text.sim_frequencies(rows, {"x": 1, "y": 2, "z": 1})
+
+
+@query("scrm_daf", """WITH s AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n, o_custkey AS c FROM orders WHERE o_orderkey % 8 <> 0),
+b AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rep FROM orders WHERE o_orderkey % 8 = 0),
+j AS (SELECT s.o_orderkey, s.c, max(b.rep) AS rep FROM s JOIN b ON b.o_orderkey < s.o_orderkey GROUP BY 1, 2),
+i AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY o_orderkey) - 1 AS idx FROM j)
+SELECT rep, idx, 'x' AS pop, (c % 2)::DOUBLE AS daf FROM i UNION ALL SELECT rep, idx, 'y', ((c // 2) % 2 + (c // 4) % 2)::DOUBLE / 2 FROM i""")
+def _(spark, d):
+    c = F.col("o_custkey")
+    row = F.concat_ws(" ", F.lit("0.5"), F.lit("1.25"), (c % 2).cast("string"), F.expr("cast(o_custkey div 2 % 2 as string)"), F.expr("cast(o_custkey div 4 % 2 as string)"))
+    lines = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("line_no"), F.when(F.col("o_orderkey") % 8 == 0, F.lit("position time 1 2 3")).otherwise(row).alias("value"))
+    return text.sim_frequencies(text.scrm_sites(lines), {"x": 1, "y": 2})
+
+
+@query("ms_transpose", """WITH s AS (SELECT s_nationkey AS rep, s_suppkey AS sample, substr('0110100110010110', CAST(1 + s_suppkey % 9 AS INT), 6) AS v FROM supplier)
+SELECT rep, (j - 1)::INT AS site, string_agg(substr(v, j, 1), '' ORDER BY sample) AS alleles FROM s, (SELECT unnest(range(1, 7))::INT AS j) GROUP BY rep, j""")
+def _(spark, d):
+    v = F.substring(F.lit("0110100110010110"), (F.col("s_suppkey") % 9 + 1).cast("int"), F.lit(6))
+    return text.ms_transposed(A.table(spark, d, "supplier").select(F.col("s_nationkey").alias("rep"), F.col("s_suppkey").alias("sample"), v.alias("value")))
+
+
+def _label(spark: SparkSession, d: str) -> DataFrame:
+    return tables.labelled(A.opf_rows(spark, d), LABELS)
+
+
+LABEL_SQL = "CASE pat WHEN 1 THEN 'A' WHEN 2 THEN 'N' WHEN 3 THEN 'A:N' WHEN 4 THEN 'R' WHEN 5 THEN 'A:R' ELSE 'N:R' END"
+
+
+@query("opf_parse", f"WITH {A.OPF} SELECT pat::BIGINT AS pat, round(sum(round(value, 2)), 4) AS value FROM opf GROUP BY pat")
+def _(spark, d):
+    lines = _label(spark, d).select(F.concat(F.lit("  "), "label", F.lit("  "), F.format_string("%.2f", "value"), F.lit("  # note")).alias("value"))
+    return tables.by_mask(text.pattern_rows(lines), LABELS).select("pat", F.round("value", 4).alias("value"))
+
+
+@query("sitepat_table_parse", f"WITH {A.OPF} SELECT tab AS file, {LABEL_SQL} AS label, round(value, 2) AS value FROM opf")
+def _(spark, d):
+    rows = _label(spark, d).select(F.col("tab").alias("file"), (F.col("pat") + 10).alias("line_no"), F.concat_ws(" ", "label", F.format_string("%.2f", "value")).alias("value"))
+    heads = rows.select("file").distinct().select("file", F.explode(F.array(F.struct(F.lit(1).cast("long").alias("line_no"), F.lit("Fitted parameter values").alias("value")), F.struct(F.lit(2).cast("long").alias("line_no"), F.lit("Txy = 3").alias("value")), F.struct(F.lit(3).cast("long").alias("line_no"), F.lit("#   SitePat BranchLen").alias("value")))).alias("l")).select("file", "l.line_no", "l.value")
+    return text.pattern_section(rows.unionByName(heads)).select("file", "label", "value")
+
+
+def _fit_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.table(spark, d, "supplier").select(F.col("s_nationkey").alias("file"), F.col("s_suppkey").alias("k"), F.round("s_acctbal", 2).alias("v"))
+    p = F.concat(F.lit("p"), F.col("k").cast("string"))
+    first = rows.select("file", F.col("k").alias("line_no"), F.concat(p, F.lit(" = 1")).alias("value"))
+    second = rows.select("file", (F.col("k") + F.when(F.col("k") % 2 == 0, 10_000_000).otherwise(30_000_000)).alias("line_no"), F.concat(p, F.lit(" = "), F.format_string("%.2f", "v")))
+    marks = rows.select("file").distinct().select("file", F.explode(F.expr("array(struct(9000000L as line_no, 'Fitted parameter values' as value), struct(20000000L as line_no, 'Constrained parameters' as value), struct(90000000L as line_no, '# SitePat BranchLen' as value))")).alias("m")).select("file", "m.line_no", "m.value")
+    return first.union(second).union(marks)
+
+
+@query("legofit_parse", "SELECT s_nationkey AS file, 'p' || s_suppkey AS name, round(s_acctbal, 2) AS value, s_suppkey % 2 = 0 AS is_free FROM supplier")
+def _(spark, d):
+    return text.fitted_parameters(_fit_lines(spark, d)).select("file", "name", "value", "is_free")
+
+
+@query("flatfile_parse", "SELECT s_nationkey AS file, 'p' || s_suppkey AS name, round(s_acctbal, 2) AS value FROM supplier")
+def _(spark, d):
+    return text.second_sightings(_fit_lines(spark, d))
+
+
+@query("state_merge", "SELECT file, pt, cost FROM (SELECT *, row_number() OVER (ORDER BY n, file) AS t FROM (SELECT s_nationkey AS file, s_suppkey AS pt, s_acctbal AS cost, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS n FROM supplier)) WHERE t <= 60")
+def _(spark, d):
+    return text.merged_states(A.table(spark, d, "supplier").select(F.col("s_nationkey").alias("file"), F.col("s_suppkey").alias("pt"), F.col("s_acctbal").alias("cost")), 60)
+
+
+# Patterns and pattern tables
+
+
+@query("pattern_domain", """SELECT m AS pat, array_to_string(list_filter(['a', 'b', 'c', 'd'], lambda x: m & (1 << (list_position(['a', 'b', 'c', 'd'], x) - 1)) > 0), ':') AS label
+FROM (SELECT unnest(range(1, 15)) AS m) WHERE bit_count(m) > 1""")
+def _(spark, d):
+    return P.pattern_domain(spark, ["a", "b", "c", "d"]).select("pat", "label")
+
+
+@query("pattern_order", """SELECT m AS pat, row_number() OVER (ORDER BY bit_count(m), reverse(right(bin(m + 16), 4)) DESC) AS n FROM (SELECT unnest(range(1, 15)) AS m)""")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    return P.pattern_domain(spark, ["a", "b", "c", "d"], singletons=True).select("pat", F.row_number().over(Window.orderBy("rank")).cast("long").alias("n"))
+
+
+@query("label_masks", f"WITH {A.OPF} SELECT tab, {LABEL_SQL} AS label, pat FROM opf")
+def _(spark, d):
+    return _label(spark, d).select("tab", "label", P.label_mask(F.col("label"), LABELS).alias("pat"))
+
+
+def _tab(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return A.opf_rows(spark, d).where(F.col("tab") == k).select("pat", "value")
+
+
+@query("normalize", f"WITH {A.OPF} SELECT tab, pat, round(value / sum(value) OVER (PARTITION BY tab), 9) AS value FROM opf")
+def _(spark, d):
+    return tables.normalised(A.opf_rows(spark, d), ["tab"]).select("tab", "pat", F.round("value", 9).alias("value"))
+
+
+@query("table_minus", f"WITH {A.OPF} SELECT pat, round(sum(CASE WHEN tab = 0 THEN value ELSE -value END), 4) AS value FROM opf WHERE tab < 2 GROUP BY pat")
+def _(spark, d):
+    return tables.combined(_tab(spark, d, 0), _tab(spark, d, 1), -1).select("pat", F.round("value", 4).alias("value"))
+
+
+@query("table_plus", f"WITH {A.OPF} SELECT pat, round(sum(value), 4) AS value FROM opf WHERE tab < 2 GROUP BY pat")
+def _(spark, d):
+    return tables.combined(_tab(spark, d, 0), _tab(spark, d, 1)).select("pat", F.round("value", 4).alias("value"))
+
+
+@query("rm_pops", f"WITH {A.OPF} SELECT tab, pat // 2 AS pat, round(sum(value), 4) AS value FROM opf WHERE pat // 2 > 0 GROUP BY 1, 2")
+def _(spark, d):
+    return tables.without_populations(A.opf_rows(spark, d), 3, {0}, ["tab"]).select("tab", "pat", F.round("value", 4).alias("value"))
+
+
+@query("collapse_pops", f"WITH {A.OPF} SELECT tab, (CASE WHEN pat & 3 > 0 THEN 1 ELSE 0 END + CASE WHEN pat & 4 > 0 THEN 2 ELSE 0 END)::BIGINT AS pat, round(sum(value), 4) AS value FROM opf GROUP BY 1, 2")
+def _(spark, d):
+    return tables.with_collapsed(A.opf_rows(spark, d), 3, {0, 1}, ["tab"]).select("tab", "pat", F.round("value", 4).alias("value"))
+
+
+TWO = f"WITH {A.OPF}, t AS (SELECT pat, sum(CASE WHEN tab = 0 THEN value END) AS a, sum(CASE WHEN tab = 1 THEN value END) AS b FROM opf WHERE tab < 2 GROUP BY pat), n AS (SELECT pat, a, a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM t)"
+
+
+@query("resid", f"{TWO} SELECT pat, round(p, 9) AS observed, round(q, 9) AS fitted, round(p - q, 9) AS residual FROM n")
+def _(spark, d):
+    return tables.residuals(_tab(spark, d, 0), _tab(spark, d, 1)).select("pat", *[F.round(c, 9).alias(c) for c in ("observed", "fitted", "residual")])
+
+
+@query("diverg_kl", f"{TWO} SELECT pat, round(p, 9) AS p, round(q, 9) AS q, round(p * ln(p / q), 9) AS kl, abs(p * ln(p / q)) >= 0.01 AS flag FROM n")
+def _(spark, d):
+    return tables.divergence(_tab(spark, d, 0), _tab(spark, d, 1)).select("pat", *[F.round(c, 9).alias(c) for c in ("p", "q", "kl")], "flag")
+
+
+@query("fit_kl", f"{TWO} SELECT round(sum(p * ln(p / q)), 9) AS kl FROM n")
+def _(spark, d):
+    return tables.kl_cost(_tab(spark, d, 0), _tab(spark, d, 1)).select(F.round("kl", 9).alias("kl"))
+
+
+@query("neg_lnl", f"{TWO} SELECT round(-sum(a * ln(q)) / 1e6, 6) AS neg_lnl FROM n")
+def _(spark, d):
+    return tables.negative_log_likelihood(_tab(spark, d, 0), _tab(spark, d, 1)).select(F.round(F.col("neg_lnl") / 1e6, 6).alias("neg_lnl"))
+
+
+@query("entropy", f"{TWO} SELECT round(-sum(p * ln(p)), 9) AS entropy FROM n")
+def _(spark, d):
+    return tables.entropy(_tab(spark, d, 0)).select(F.round("entropy", 9).alias("entropy"))
+
+
+@query("has_singletons", f"WITH {A.OPF} SELECT bool_or(bit_count(pat) = 1 AND value <> 0) AS has_singletons FROM opf")
+def _(spark, d):
+    return tables.has_singletons(A.opf_rows(spark, d))
+
+
+@query("flatpat", f"WITH {A.OPF} SELECT {LABEL_SQL} AS label, " + ", ".join(f"round(max(CASE WHEN tab = {k} THEN value END), 4) AS t{k}" for k in range(3)) + " FROM opf GROUP BY 1")
+def _(spark, d):
+    rows = _label(spark, d).withColumn("table", F.concat(F.lit("t"), F.col("tab").cast("string")))
+    return tables.table_matrix(rows, ["t0", "t1", "t2"]).select("label", *[F.round(f"t{k}", 4).alias(f"t{k}") for k in range(3)])
+
+
+@query("flatfile", f"WITH {A.EST} SELECT row AS file, " + ", ".join(f"round(max(CASE WHEN name = 'p{j}' THEN value END), 6) AS p{j}" for j in range(1, 5)) + " FROM est GROUP BY row")
+def _(spark, d):
+    rows = A.estimate_rows(spark, d).withColumnRenamed("row", "file")
+    return tables.parameter_matrix(rows, ["p1", "p2", "p3", "p4"]).select("file", *[r6(f"p{j}", f"p{j}") for j in range(1, 5)])
+
+
+@query("flatfile_t", f"WITH {A.EST} SELECT name, " + ", ".join(f"round(max(CASE WHEN row = {k} THEN value END), 6) AS f{k}" for k in range(4)) + " FROM est GROUP BY name")
+def _(spark, d):
+    rows = A.estimate_rows(spark, d).withColumn("table", F.concat(F.lit("f"), F.col("row").cast("string")))
+    return tables.table_matrix(rows, [f"f{k}" for k in range(4)], "name").select("name", *[r6(f"f{k}", f"f{k}") for k in range(4)])
+
+
+@query("label_index", "SELECT name, row_number() OVER (ORDER BY ord, place) - 1 AS bit FROM (SELECT name, min(ord * 10 + place) // 10 AS ord, min(ord * 10 + place) % 10 AS place FROM (VALUES (0, 0, 'x'), (0, 1, 'y'), (1, 0, 'x'), (1, 1, 'z'), (2, 0, 'y'), (2, 1, 'z')) v(ord, place, name) GROUP BY name)")
+def _(spark, d):
+    return tables.label_index(spark.createDataFrame([(0, "x:y"), (1, "x:z"), (2, "y:z")], "ord long, label string"))
+
+
+# Bootstrap
+
+LENGTH, REPS = 100, 5
+BOOT = f"""WITH {A.DAF}, {A.WIDE}, ix AS (SELECT chr, pos, p0, p1, p2, row_number() OVER (ORDER BY chr, pos) - 1 AS idx FROM sites WHERE status = 'OK'),
+tot AS (SELECT count(*) AS n, (2 * count(*) + {LENGTH}) // {2 * LENGTH} AS nb FROM ix),
+st AS (SELECT r AS rep, b AS block, ((r + 1) * 7919 + (b + 1) * (b + 1) * 104729 + (r + 1) * (b + 3) * 15485863) % (n - {LENGTH} + 1) AS start
+       FROM tot, (SELECT unnest(range({REPS})) AS r), LATERAL (SELECT unnest(range(nb)) AS b))"""
+
+
+def _indexed(spark: SparkSession, d: str) -> DataFrame:
+    return bootstrap.numbered(_good(spark, d))
+
+
+def _starts(spark: SparkSession, d: str) -> DataFrame:
+    return bootstrap.block_starts(spark, _good(spark, d).count(), LENGTH, REPS)
+
+
+@query("boot_index", f"{BOOT} SELECT chr, pos, idx FROM ix")
+def _(spark, d):
+    return _indexed(spark, d).select("chr", "pos", "idx")
+
+
+@query("boot_blocks", f"{BOOT} SELECT rep, block, start FROM st")
+def _(spark, d):
+    return _starts(spark, d)
+
+
+@query("boot_multiplicity", f"{BOOT} SELECT rep, idx, count(*) AS w FROM ix JOIN st ON idx >= start AND idx < start + {LENGTH} GROUP BY rep, idx")
+def _(spark, d):
+    return bootstrap.multiplicity(_starts(spark, d), _indexed(spark, d), LENGTH)
+
+
+BOOT_COUNTS = " UNION ALL ".join(f"SELECT rep, {m}::BIGINT AS pat, sum({product(m)}) AS v FROM ix JOIN st ON idx >= start AND idx < start + {LENGTH} GROUP BY rep" for m in MASKS)
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    return bootstrap.replicate_counts(_indexed(spark, d), FREQ, _starts(spark, d), LENGTH)
+
+
+@query("boot_counts", f"{BOOT} SELECT rep, pat, round(v, 6) AS value FROM ({BOOT_COUNTS})")
+def _(spark, d):
+    return _counts(spark, d).select("rep", "pat", r6("value", "value"))
+
+
+@query("boot_ci", f"{BOOT} SELECT pat, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM ({BOOT_COUNTS}) GROUP BY pat")
+def _(spark, d):
+    return bootstrap.percentile_interval(_counts(spark, d), ["pat"]).select("pat", r6("low", "low"), r6("high", "high"))
+
+
+# Posterior probability of admixture
+
+ADMIX = 0.1
+COND = f"WITH {A.OPF}, {A.DAF}, {A.WIDE}, c AS (SELECT pat, {ADMIX}::DOUBLE * q / ((1 - {ADMIX}::DOUBLE) * p + {ADMIX}::DOUBLE * q) AS c FROM (SELECT pat, a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM (SELECT pat, sum(CASE WHEN tab = 0 THEN value END) AS a, sum(CASE WHEN tab = 1 THEN value END) AS b FROM opf WHERE tab < 2 GROUP BY pat)))"
+
+
+def _cond(spark: SparkSession, d: str) -> DataFrame:
+    return posterior.conditional(tables.normalised(_tab(spark, d, 0)), tables.normalised(_tab(spark, d, 1)), ADMIX)
+
+
+def _site_sql() -> str:
+    z = " + ".join(f"{product(m)}" for m in MASKS)
+    zc = " + ".join(f"{product(m)} * (SELECT c FROM c WHERE pat = {m})" for m in MASKS)
+    return f"SELECT chr, pos, CASE WHEN {z} = 0 THEN NULL ELSE ({zc}) / ({z}) END AS posterior FROM sites WHERE status = 'OK'"
+
+
+@query("admix_cond", f"{COND} SELECT pat, round(c, 9) AS c FROM c")
+def _(spark, d):
+    return _cond(spark, d).select("pat", F.round("c", 9).alias("c"))
+
+
+@query("admix_site", f"{COND} SELECT chr, pos, round(posterior, 6) AS posterior FROM ({_site_sql()})")
+def _(spark, d):
+    return posterior.site_posterior(_good(spark, d), FREQ, _cond(spark, d)).select("chr", "pos", r6("posterior", "posterior"))
+
+
+@query("admix_mean", f"{COND} SELECT round(avg(posterior), 6) AS mean_posterior, count(posterior) AS n_sites FROM ({_site_sql()})")
+def _(spark, d):
+    return posterior.mean_posterior(posterior.site_posterior(_good(spark, d), FREQ, _cond(spark, d))).select(r6("mean_posterior", "mean_posterior"), "n_sites")
+
+
+@query("pripos", f"{COND} SELECT round(sum(value * c) / sum(value), 6) AS mean_posterior FROM (SELECT pat, value FROM opf WHERE tab = 2) JOIN c USING (pat)")
+def _(spark, d):
+    return posterior.pattern_posterior(_tab(spark, d, 2), _cond(spark, d)).select(r6("mean_posterior", "mean_posterior"))
+
+
+# Comparing models
+
+NORM = f"WITH {A.OPF}, nrm AS (SELECT tab, pat, value / sum(value) OVER (PARTITION BY tab) AS v FROM opf), msd AS (SELECT a.tab AS i, b.tab - 5 AS j, avg((a.v - b.v) * (a.v - b.v)) AS msd FROM nrm a JOIN nrm b USING (pat) WHERE a.tab < 5 AND b.tab >= 5 GROUP BY 1, 2)"
+
+
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = A.opf_rows(spark, d)
+    return rows.where("tab < 5").withColumnRenamed("tab", "i"), rows.where("tab >= 5").withColumn("j", F.col("tab") - 5).drop("tab")
+
+
+@query("msd", f"{NORM} SELECT i, j, round(msd, 12) AS msd FROM msd")
+def _(spark, d):
+    return model_choice.mean_squared_difference(*_halves(spark, d)).select("i", "j", F.round("msd", 12).alias("msd"))
+
+
+@query("bepe", f"{NORM} SELECT k AS i, round(sum(msd) / 4, 12) AS bepe FROM (SELECT i AS k, msd FROM msd WHERE i <> j UNION ALL SELECT j, msd FROM msd WHERE i <> j) GROUP BY k")
+def _(spark, d):
+    return model_choice.bootstrap_prediction_error(*_halves(spark, d)).select("i", F.round("bepe", 12).alias("bepe"))
+
+
+NAMES = ["p1", "p2", "p3", "p4"]
+
+
+def _estimates(spark: SparkSession, d: str) -> DataFrame:
+    e = A.table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("row"), *[F.get("embedding", F.lit(j)).cast("double").alias(n) for j, n in enumerate(NAMES)])
+
+
+COV = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, covar_pop(embedding[{i + 1}]::DOUBLE, embedding[{j + 1}]::DOUBLE) AS cov FROM embeddings" for i, a in enumerate(NAMES) for j, b in enumerate(NAMES))
+
+
+@query("covar", f"SELECT a, b, round(cov, 9) AS cov FROM ({COV})")
+def _(spark, d):
+    return model_choice.covariance(_estimates(spark, d), NAMES).select("a", "b", F.round("cov", 9).alias("cov"))
+
+
+HESS = [(a, b, -100.0 if a == b else 5.0) for a in NAMES for b in NAMES]
+
+
+@query("clic_trace", f"WITH c AS ({COV}), h(a, b, h) AS (VALUES {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)}, {h}::DOUBLE)' for a, b, h in HESS)}) SELECT round(-(-1234.5::DOUBLE + sum(h.h * c.cov)), 6) AS clic FROM h JOIN c ON h.a = c.b AND h.b = c.a")
+def _(spark, d):
+    return model_choice.clic(-1234.5, spark.createDataFrame(HESS, "a string, b string, h double"), model_choice.covariance(_estimates(spark, d), NAMES)).select(r6("clic", "clic"))
+
+
+CRIT = "crit AS (SELECT o_custkey % 50 AS row, o_orderpriority AS model, min(floor(o_totalprice / 1000)) AS crit FROM orders GROUP BY 1, 2)"
+WEIGHTS = f"{CRIT}, win AS (SELECT row, model, CASE WHEN crit = min(crit) OVER (PARTITION BY row) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS b FROM crit), wts AS (SELECT model, avg(b / s) AS weight FROM (SELECT model, b, sum(b) OVER (PARTITION BY row) AS s FROM win) GROUP BY model)"
+
+
+def _weights(spark: SparkSession, d: str) -> DataFrame:
+    o = A.table(spark, d, "orders")
+    crit = o.groupBy((F.col("o_custkey") % 50).alias("row"), F.col("o_orderpriority").alias("model")).agg(F.min(F.floor(F.col("o_totalprice") / 1000)).alias("crit"))
+    return model_choice.model_weights(crit)
+
+
+@query("booma_weights", f"WITH {WEIGHTS} SELECT model, round(weight, 9) AS weight FROM wts")
+def _(spark, d):
+    return _weights(spark, d).select("model", F.round("weight", 9).alias("weight"))
+
+
+@query("booma_avg", f"WITH {WEIGHTS}, e AS (SELECT o_custkey % 20 AS row, o_orderpriority AS model, o_orderstatus AS name, avg(o_totalprice) AS value FROM orders GROUP BY 1, 2, 3) SELECT row, name, round(sum(weight * value) / sum(weight), 4) AS value FROM e JOIN wts USING (model) GROUP BY row, name HAVING sum(weight) > 0")
+def _(spark, d):
+    o = A.table(spark, d, "orders")
+    e = o.groupBy((F.col("o_custkey") % 20).alias("row"), F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("name")).agg(F.avg("o_totalprice").alias("value"))
+    return model_choice.model_average(e, _weights(spark, d)).where("value is not null").select("row", "name", F.round("value", 4).alias("value"))
+
+
+@query("bootci", f"WITH {A.EST} SELECT name, round(max(CASE WHEN row = 0 THEN value END), 6) AS estimate, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM est GROUP BY name")
+def _(spark, d):
+    return model_choice.estimate_intervals(A.estimate_rows(spark, d)).select("name", r6("estimate", "estimate"), r6("low", "low"), r6("high", "high"))
+
+
+@query("pca_fracvar")
+def _(spark, d):
+    return model_choice.component_shares(_estimates(spark, d), NAMES)
+
+
+@query("hessian_regression")
+def _(spark, d):
+    """A quadratic with known second derivatives over the estimates: the regression gets them back."""
+    rows = _estimates(spark, d)
+    quad = lambda c: -3 * c["p1"] * c["p1"] + c["p1"] * c["p2"] - 2 * c["p2"] * c["p2"]
+    points = rows.select(F.col("row").alias("ord"), "p1", "p2", quad({n: F.col(n) for n in NAMES}).alias("lnL"))
+    h = model_choice.hessian(points, ["p1", "p2"])
+    return spark.createDataFrame([(a, b, float(h[i, j])) for i, a in enumerate(("p1", "p2")) for j, b in enumerate(("p1", "p2"))], "a string, b string, h double")
+
+
+@query("coalescent_exact", "SELECT label, round(value::DOUBLE, 6) AS value FROM (VALUES ('x', 0.23467169), ('y', 0.23467169), ('z', 0.35967169), ('x:y', 0.14032831), ('x:z', 0.01532831), ('y:z', 0.01532831)) v(label, value)")
+def _(spark, d):
+    """Expected pattern shares of a three-population tree with a closed form."""
+    return expected.tree_shares(spark, two_n=1.0, t_xy=1.0, t_xyz=2.0).select("label", r6("value", "value"))
+
+
+@query("coalescent_sim")
+def _(spark, d):
+    """The same shares by simulation of gene genealogies on the executors."""
+    return expected.simulated_shares(spark, two_n=1.0, t_xy=1.0, t_xyz=2.0, replicates=200_000, seed=5)
+
+
+@query("de_fit")
+def _(spark, d):
+    """The split time that fits the shares of a tree with t_xy = 1, found from 0.5 by differential evolution."""
+    return expected.fit_split_time(spark, expected.tree_shares(spark, 1.0, 1.0, 2.0), generations=25, seed=3)

@@ -1,0 +1,131 @@
+"""Expected site-pattern tables of a population tree ((x, y), z), exactly and by simulation, and a fit of its split time.
+
+One lineage is sampled from each population. x and y split at ``t_xy`` from z's ancestors at ``t_xyz``; all populations
+have ``two_n`` gene copies.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+LABELS = ["x", "y", "z"]
+
+
+def lineage_probabilities(n: int, v: float) -> np.ndarray:
+    """Probability that 1..n ancestors are left of ``n`` lineages after ``v`` units of two_n generations: the pure-death
+    process with rates i (i - 1) / 2, by its eigenvalues in exact rational coefficients."""
+    out = np.zeros(n + 1)
+    for i in range(2, n + 1):
+        total = 0.0
+        for j in range(i, n + 1):
+            # partial fractions of the rates of n, n - 1, ..., i
+            g = Fraction(1)
+            for k in range(i + 1, n + 1):
+                g *= Fraction(k * (k - 1))
+            for k in range(i, n + 1):
+                if k != j:
+                    g /= Fraction(k * (k - 1) - j * (j - 1))
+            total += float(g) * np.exp(-v * j * (j - 1) / 2)
+        out[i] = total
+    out[1] = 1 - out[2:].sum()
+    return out[1:]
+
+
+def expected_lengths(n: int, v: float) -> np.ndarray:
+    """Expected time, in units of two_n, with 1..n lineages during ``v`` units. In balance over the interval the time
+    with i lineages is what flows out of states above i divided by its rate."""
+    p, out = lineage_probabilities(n, v), np.zeros(n)
+    for i in range(n, 1, -1):
+        out[i - 1] = p[: i - 1].sum() / (i * (i - 1) / 2)
+    out[0] = v - out[1:].sum()
+    return out
+
+
+def branch_lengths(two_n: float, t_xy: float, t_xyz: float) -> dict[int, float]:
+    """Expected branch lengths by pattern. x and y coalesce before t_xyz or all three lineages do in the root."""
+    v = (t_xyz - t_xy) / two_n
+    apart, time = lineage_probabilities(2, v), expected_lengths(2, v)
+    both = two_n * time[1]
+    # in the root: three lineages wait two_n / 3 and two more two_n; a random pair of the three coalesces first
+    three, two = two_n / 3, two_n
+    out = {1: t_xy + both + apart[1] * (three + two / 3), 2: t_xy + both + apart[1] * (three + two / 3), 4: t_xyz + apart[1] * (three + two / 3) + apart[0] * two}
+    out[3] = two_n * time[0] + apart[0] * two + apart[1] * two / 3
+    out[5] = out[6] = apart[1] * two / 3
+    return out
+
+
+def tree_shares(spark: SparkSession, two_n: float, t_xy: float, t_xyz: float) -> DataFrame:
+    from sitefold.functions.patterns import pattern_label
+
+    lengths = branch_lengths(two_n, t_xy, t_xyz)
+    total = sum(lengths.values())
+    rows = spark.createDataFrame([(m, float(x / total)) for m, x in lengths.items()], "pat long, value double")
+    return rows.withColumn("label", pattern_label(F.col("pat"), LABELS))
+
+
+def simulated_shares(spark: SparkSession, two_n: float, t_xy: float, t_xyz: float, replicates: int, seed: int, chunk: int = 20_000) -> DataFrame:
+    """Mean branch length of each pattern over simulated genealogies: chunks of replicates are drawn on the executors, each
+    by its own seed, and summed."""
+    from sitefold.functions.patterns import pattern_label
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k, n in zip(frame["id"], frame["n"], strict=True):
+                rng = np.random.default_rng([seed, int(k)])
+                first = t_xy + rng.exponential(two_n, n)
+                early = first < t_xyz
+                root = t_xyz + rng.exponential(two_n / 3, n) * ~early
+                second = root + rng.exponential(two_n, n)
+                pair = rng.integers(0, 3, n)  # which pair is first in the root: xy, xz, yz
+                sums = dict.fromkeys(range(1, 7), 0.0)
+                low = np.where(early, first, root)
+                masks = np.where(early, 3, np.array([3, 5, 6])[pair])
+                for m in (3, 5, 6):
+                    chosen = masks == m
+                    sums[m] += float((second - low)[chosen].sum())
+                    for bit in (1, 2, 4):
+                        sums[bit] += float(np.where(m & bit, low, second)[chosen].sum())
+                yield pd.DataFrame({"pat": list(sums), "value": list(sums.values())})
+
+    chunks = spark.range(-(-replicates // chunk)).withColumn("n", F.least(F.lit(chunk), F.lit(replicates) - F.col("id") * chunk))
+    sums = chunks.mapInPandas(draw, "pat long, value double").groupBy("pat").agg(F.sum("value").alias("value"))
+    total = sums.agg(F.sum("value")).scalar()
+    return sums.select("pat", (F.col("value") / total).alias("value"), pattern_label(F.col("pat"), LABELS).alias("label"))
+
+
+def fit_split_time(spark: SparkSession, observed: DataFrame, generations: int, seed: int, points: int = 12) -> DataFrame:
+    """t_xy and its cost: differential evolution (rand/1) over t_xy in (0, 2), the whole generation evaluated at once."""
+    shares = {r["pat"]: r["value"] for r in observed.select("pat", "value").collect()}  # six rows
+
+    def cost(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for t in frame["t"]:
+                lengths = branch_lengths(1.0, float(t), 2.0)
+                total = sum(lengths.values())
+                out.append(sum(p * np.log(p * total / lengths[m]) for m, p in shares.items()))
+            yield frame.assign(cost=out)
+
+    def costs(t: np.ndarray) -> np.ndarray:
+        told = spark.createDataFrame(pd.DataFrame({"i": range(len(t)), "t": t})).mapInPandas(cost, "i long, t double, cost double").toPandas()
+        return told.sort_values("i")["cost"].to_numpy()
+
+    rng = np.random.default_rng(seed)
+    t = np.r_[0.5, rng.uniform(0.05, 1.95, points - 1)]
+    now = costs(t)
+    for _ in range(generations):
+        if now.max() - now.min() < 1e-9:
+            break
+        a, b, c = (t[rng.permutation(points)] for _ in range(3))
+        trial = np.clip(a + 0.6 * (b - c), 1e-3, 1.999)
+        new = costs(trial)
+        better = new <= now
+        t, now = np.where(better, trial, t), np.where(better, new, now)
+    best = int(now.argmin())
+    return spark.createDataFrame([(float(t[best]), float(now[best]))], "t_xy double, cost double")
