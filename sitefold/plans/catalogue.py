@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitefold.functions import numeric
 from sitefold.functions import patterns as P
-from sitefold.operators import bootstrap, model_choice, posterior, sites, tables
+from sitefold.operators import bootstrap, model_choice, posterior, rewriting, sites, tables
 from sitefold.sources import text
 
 from . import adapters as A
@@ -566,6 +567,45 @@ def _(spark, d):
     return spark.createDataFrame([(a, b, float(h[i, j])) for i, a in enumerate(("p1", "p2")) for j, b in enumerate(("p1", "p2"))], "a string, b string, h double")
 
 
+# Functions and rewriting
+
+
+@query("reflect_values", "SELECT l_orderkey, l_linenumber, round(-1 + least(y, 4 - y), 6) AS folded FROM (SELECT l_orderkey, l_linenumber, (l_extendedprice / 1000 + 1) - 4 * floor((l_extendedprice / 1000 + 1) / 4) AS y FROM lineitem)")
+def _(spark, d):
+    x = A.table(spark, d, "lineitem")
+    return x.select("l_orderkey", "l_linenumber", r6(numeric.reflect(F.col("l_extendedprice") / 1000, -1.0, 1.0), "folded"))
+
+
+@query("sorted_searches", "SELECT l_orderkey, l_linenumber, (CASE WHEN l_quantity <= 10 THEN 0 WHEN l_quantity <= 20 THEN 1 WHEN l_quantity <= 40 THEN 2 ELSE 3 END)::INT AS first_geq, (CASE WHEN l_quantity < 10 THEN -1 WHEN l_quantity < 20 THEN 0 WHEN l_quantity < 40 THEN 1 ELSE 2 END)::INT AS last_leq FROM lineitem")
+def _(spark, d):
+    values = F.array(*[F.lit(v) for v in (10.0, 20.0, 40.0)])
+    q = F.col("l_quantity")
+    return A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", numeric.first_at_least(values, q).alias("first_geq"), numeric.last_at_most(values, q).alias("last_leq"))
+
+
+@query("mkfitted_lines", "SELECT s_suppkey AS line_no, CASE WHEN s_suppkey % 3 = 0 THEN 'segment s' || s_suppkey || ' t=T twoN=N' WHEN s_suppkey % 3 = 1 THEN 'time free T' || s_suppkey || ' = ' || (s_nationkey * 4) || ' # old' ELSE 'twoN fixed [1, 2] N' || s_suppkey || '=7' END AS value FROM supplier")
+def _(spark, d):
+    x = A.table(spark, d, "supplier")
+    k = F.col("s_suppkey").cast("string")
+    value = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("segment s"), k, F.lit(" t=T twoN=N"))).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("time free T"), k, F.lit(" = 1.5 # old"))).otherwise(F.concat(F.lit("twoN fixed [1, 2] N"), k, F.lit("=7")))
+    fitted = x.select(F.concat(F.lit("T"), k).alias("name"), (F.col("s_nationkey") * 4).cast("double").alias("fit"))
+    return rewriting.with_fitted_values(x.select(F.col("s_suppkey").alias("line_no"), value.alias("value")), fitted)
+
+
+@query("pclgo_lines")
+def _(spark, d):
+    lines = rewriting.component_lines(_estimates(spark, d), NAMES, 0.2)
+    return spark.createDataFrame(list(enumerate(lines)), "line_no int, value string")
+
+
+@query("pts_parse", f"WITH {A.EST} SELECT row, name, round(value, 6) AS value FROM est WHERE row < 100")
+def _(spark, d):
+    e = _estimates(spark, d).where("row < 100")
+    rows = e.select((F.col("row") + 2).alias("line_no"), F.concat_ws(" ", *[F.col(n).cast("string") for n in NAMES]).alias("value"))
+    head = spark.createDataFrame([(0, "# 100 points"), (1, " ".join(NAMES))], "line_no long, value string")
+    return text.flat_rows(rows.unionByName(head)).select("row", "name", r6("value", "value"))
+
+
 @query("coalescent_exact", "SELECT label, round(value::DOUBLE, 6) AS value FROM (VALUES ('x', 0.23467169), ('y', 0.23467169), ('z', 0.35967169), ('x:y', 0.14032831), ('x:z', 0.01532831), ('y:z', 0.01532831)) v(label, value)")
 def _(spark, d):
     """Expected pattern shares of a three-population tree with a closed form."""

@@ -183,3 +183,22 @@ def test_streaming_tabulation(spark, tmp_path):
     q.awaitTermination(120)
     want = {r["pat"]: r["value"] for r in P.pattern_sums(rows, ["a", "b"], True).collect()}
     assert {r["pat"]: r["value"] for r in spark.table("live_patterns").collect()} == pytest.approx(want)
+
+
+def test_fitted_values_replace_assignments(spark):
+    from sitefold.operators import rewriting
+
+    lines = ["# time free T = 1", "time free T=1  # split", "twoN fixed [1, 1e7] N = 2", "param constrained x = T + 1", "segment s t=T twoN=N", "mixFrac free m = 0.5"]
+    frame = spark.createDataFrame(list(enumerate(lines)), "line_no int, value string")
+    got = rewriting.with_fitted_values(frame, spark.createDataFrame([("T", 12.0), ("m", 0.123456789)], "name string, fit double"))
+    want = ["# time free T = 1", "time free T=12  # split", *lines[2:5], "mixFrac free m = 0.123457"]
+    assert [r["value"] for r in got.orderBy("line_no").collect()] == want
+
+
+def test_numeric_functions(spark):
+    from sitefold.functions import numeric
+
+    told = spark.createDataFrame([(0.5,), (1.25,), (-3.5,), (5.0,)], "x double").select(numeric.reflect(F.col("x"), 0.0, 1.0).alias("y"))
+    assert [r["y"] for r in told.collect()] == [0.5, 0.75, 0.5, 1.0]
+    one = spark.range(1).select(numeric.binomial(F.lit(6), 2).alias("a"), numeric.binomial(F.lit(1), 2).alias("b"))
+    assert tuple(one.first()) == (15.0, None)
