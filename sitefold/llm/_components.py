@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +34,19 @@ def components(links: DataFrame) -> DataFrame:
             break
     discard(edges)
     return labels.select("node", "component")
+
+
+def linked_groups(similar: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """The smallest row that each of ``n`` rows is linked with, directly or not, from batches of linked pairs of rows."""
+    least = np.arange(n)
+    for i, j in similar:
+        while True:
+            while not np.array_equal(least, jumped := least[least]):
+                least = jumped
+            one, two = least[i], least[j]
+            apart = one != two
+            if not apart.any():
+                break
+            i, j, one, two = i[apart], j[apart], one[apart], two[apart]
+            np.minimum.at(least, np.maximum(one, two), np.minimum(one, two))
+    return least

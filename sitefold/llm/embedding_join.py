@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._components import components
+from ._components import components, linked_groups
 from ._spark import bounded_batches, materialize, read_table
 
 #: Least cosine; vectors a cell should hold; pivots in all, which bounds what is broadcast; vectors of a block.
@@ -66,22 +66,6 @@ def _unit(column: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat / np.repeat(norm, np.diff(at))))
 
 
-def linked_groups(similar: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-    """The smallest row that each of ``n`` rows is linked with, directly or not, from batches of linked pairs of rows."""
-    least = np.arange(n)
-    for i, j in similar:
-        while True:
-            while not np.array_equal(least, jumped := least[least]):
-                least = jumped
-            one, two = least[i], least[j]
-            apart = one != two
-            if not apart.any():
-                break
-            i, j, one, two = i[apart], j[apart], one[apart], two[apart]
-            np.minimum.at(least, np.maximum(one, two), np.minimum(one, two))
-    return least
-
-
 def cells(classes: DataFrame, cell: int, max_pivots: int, radius: float) -> DataFrame:
     """classes (rep, group, n, unit) with cell and own: once with own = true, and once for each cell it is copied to."""
     sizes = classes.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > cell)

@@ -7,10 +7,11 @@ then by position; whole blocks of a list are skipped where size or position alre
 
 Answers are shared between similar sets: equal sets are one class, and each set first verifies only the candidate it
 shares most lists with, its head. Sets that are linked so have one component, whose answers they inherit: every pair
-inside it is skipped. Where a list still holds sets of different components, those of the smaller component ask the
-stars (a head and its members) of the larger: a set's overlap with the head is computed once, and its overlap with each
-member follows from the few shingles that the member has more and less. So a group of thousands of near copies costs
-about one verification a set, candidates are pairs of a set and a star, and no link between components is lost.
+inside it is skipped. Sets that candidates tie together are a family: those outside its largest component are compared
+with all others of the family, whose overlaps follow from the few shingles in which each differs from one of them. Where
+a list still holds sets of different families and components, those of the smaller component ask the stars (a head and
+its members) of the other. So a group of thousands of near copies costs about one verification a set, sets are compared
+in blocks and never as rows of pairs, and no link between components is lost.
 
 Defined results: null texts and texts without words have an empty set, linked with nothing; a null doc_id is a row of its
 own with a null component; rows that repeat a doc_id count as one document whose rows are linked, each row keeps its own
@@ -28,21 +29,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._components import components
+from ._components import components, linked_groups
 from ._spark import bounded_batches, materialize, read_table
-from ._words import mix64, text_bytes, word_hashes, word_spans
+from ._words import mix64, text_bytes, tidy, word_hashes, word_spans
 
 #: Words a shingle; similarity as a ratio of integers; counters of the sketch (32 bits each, whatever the corpus).
 WORDS, NUM, DEN, SKETCH = 5, 80, 100, 1 << 19
 _SLICES = 32
 #: Queries and members of a star that are compared in one task.
 QUERIES, MEMBERS = 512, 2048
+#: Sets of a block of a family; pairs of equal shingles counted at once; bytes of text hashed at once.
+FAMILY, PAIRS, BYTES = 768, 1 << 20, 1 << 20
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, one text after the other; and where each text's begin."""
     raw, at = text_bytes(column)
+    cuts, n = [0], len(at) - 1
+    while cuts[-1] < n:  # runs of whole texts of about BYTES bytes
+        cuts.append(max(int(np.searchsorted(at, at[cuts[-1]] + BYTES, side="right")) - 1, cuts[-1] + 1))
+    parts = [_shingle_sets(raw[at[a] : at[b]], at[a : b + 1] - at[a], words) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    sizes = np.concatenate([np.zeros(1, np.int64), *[np.diff(x) for _, x in parts]])
+    return np.concatenate([np.zeros(0, np.uint64), *[t for t, _ in parts]]), np.cumsum(sizes)
+
+
+def _shingle_sets(raw: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = word_spans(raw, at)
     hashed = word_hashes(raw, starts, ends)
     n = np.diff(first)
@@ -97,7 +109,7 @@ def set_stats(docs: DataFrame) -> DataFrame:
         none = pa.nulls(_SLICES, pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(_SLICES, np.int32)), none.cast(id_type), pa.array(np.arange(_SLICES)), none, none, pa.array([x.tobytes() for x in np.split(counts, _SLICES)], pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(stats, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(stats), schema)
 
 
 def shingle_counts(stats: DataFrame) -> np.ndarray:
@@ -111,7 +123,7 @@ def shingle_counts(stats: DataFrame) -> np.ndarray:
                 total[k] = total[k] + part if k in total else part
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["n", "block"])
 
-    rows = stats.where("kind = 1").select("n", "block").repartition(_SLICES, "n").mapInArrow(add, "n long, block binary").toPandas()
+    rows = stats.where("kind = 1").select("n", "block").repartition(_SLICES, "n").mapInArrow(tidy(add), "n long, block binary").toPandas()
     out = np.zeros((_SLICES, SKETCH // _SLICES), np.uint64)
     for k, block in zip(rows["n"], rows["block"], strict=True):
         out[k] = np.frombuffer(block, np.uint64)
@@ -157,7 +169,7 @@ def prefix_blocks(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFram
         if held:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(blocks, "bucket int, tokens binary, docs binary, sizes binary, places binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(blocks), "bucket int, tokens binary, docs binary, sizes binary, places binary")
 
 
 def candidate_heads(token: np.ndarray, doc: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +228,7 @@ def list_entries(blocks: DataFrame, buckets: int) -> DataFrame:
         table = pa.Table.from_arrays([pa.array(token.view(np.int64)), pa.array(doc), pa.array(size), pa.array(place), heads], ["token", "doc", "size", "place", "head"])
         yield from table.to_batches(max_chunksize=50_000)
 
-    return blocks.repartition(buckets, "bucket").drop("bucket").mapInArrow(lists, "token long, doc long, size int, place int, head long")
+    return blocks.repartition(buckets, "bucket").drop("bucket").mapInArrow(tidy(lists), "token long, doc long, size int, place int, head long")
 
 
 def verified_stars(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -283,6 +295,75 @@ def links_to_stars(asked: DataFrame, stars: DataFrame, docs: DataFrame) -> DataF
     return queries.groupBy(*keys).cogroup(deltas.unionByName(heads).groupBy(*keys)).applyInArrow(answer, "a long, b long")
 
 
+def overlaps(tokens: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, like: int) -> np.ndarray:
+    """How many tokens each set of ``left`` shares with each of ``right``, derived from set ``like``: sets that are much
+    like it differ in few tokens, and only those are counted pair by pair."""
+    x = tokens[at[like] : at[like + 1]]
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    known = x[np.minimum(np.searchsorted(x, tokens), max(len(x) - 1, 0))] == tokens if len(x) else np.zeros(len(tokens), bool)
+    held = np.bincount(row[known], minlength=len(at) - 1)
+    place = {int(r): k for k, r in enumerate(right)}
+    side_l, side_r = np.full(len(at) - 1, -1), np.full(len(at) - 1, -1)
+    side_l[left], side_r[list(place)] = np.arange(len(left)), list(place.values())
+    # what sets have more than x, and what they lack of it
+    lacks_row, lacks = [], []
+    for r in range(len(at) - 1):
+        lost = x[~np.isin(x, tokens[at[r] : at[r + 1]], assume_unique=True)]
+        lacks_row.append(np.full(len(lost), r))
+        lacks.append(lost)
+    shared = np.zeros(len(left) * len(right), np.int32)
+    for values, rows in ((tokens[~known], row[~known]), (np.concatenate(lacks), np.concatenate(lacks_row))):
+        order = np.argsort(values, kind="stable")
+        values, rows = values[order], rows[order]
+        one, two = rows[side_l[rows] >= 0], rows[side_r[rows] >= 0]
+        v1, v2 = values[side_l[rows] >= 0], values[side_r[rows] >= 0]
+        begin, end = np.searchsorted(v2, v1), np.searchsorted(v2, v1, side="right")
+        many = end - begin
+        cut = np.r_[0, np.searchsorted(np.cumsum(many), np.arange(PAIRS, many.sum() + PAIRS, PAIRS), side="right")]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            n = many[a:b]
+            other = np.repeat(begin[a:b], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            flat = np.repeat(side_l[one[a:b]] * len(right), n) + side_r[two[other]]
+            shared += np.bincount(flat, minlength=len(shared)).astype(np.int32)
+    lost = len(x) - held
+    return shared.reshape(len(left), len(right)) + len(x) - lost[left][:, None] - lost[right][None, :]
+
+
+def links_in_families(families: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """families: (node, family). Links between different components of a family: sets outside its largest component
+    against all of its sets, dealt out in pairs of blocks."""
+    count = F.count(F.lit(1))
+    sets = families.join(groups, "node", "left").select("family", F.col("node").alias("doc"), F.coalesce("component", "node").alias("component"))
+    parts = sets.groupBy("family", "component").agg(count.alias("n"))
+    shape = parts.groupBy("family").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top")).where("all > top.n")
+    blocks = lambda n: F.ceil(n / FAMILY).cast("int")
+    shape = shape.select("family", F.col("top.component").alias("top"), blocks(F.col("all") - F.col("top.n")).alias("ni"), blocks(F.col("all")).alias("nj"))
+    placed = sets.join(shape, "family")
+    mine = lambda n: F.pmod(F.xxhash64(F.lit(3), "doc"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = placed.where("component <> top").select("family", "doc", "component", F.lit(True).alias("asks"), mine("ni").alias("i"), every("nj").alias("j"))
+    others = placed.select("family", "doc", "component", F.lit(False).alias("asks"), every("ni").alias("i"), mine("nj").alias("j"))
+    rows = asking.unionByName(others).join(docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text"), "doc")
+
+    def compare(table: pa.Table) -> pa.Table:
+        doc, component, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "component", "asks"))
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        tokens, at = shingle_sets(table.column("text").combine_chunks())
+        size = np.diff(at)
+        least = np.arange(len(doc))
+        if len(left) and len(right):
+            names, counts = np.unique(component[right], return_counts=True)
+            like = right[component[right] == names[counts.argmax()]][0]
+            common = overlaps(tokens, at, left, right, int(like))
+            near = (DEN * common >= NUM * (size[left][:, None] + size[right][None, :] - common)) & (common > 0)
+            i, j = np.nonzero(near & (component[left][:, None] != component[right][None, :]))
+            least = linked_groups(iter([(left[i], right[j])]), len(doc))
+        tied = np.flatnonzero(least != np.arange(len(doc)))
+        return pa.table({"a": pa.array(doc[tied], pa.int64()), "b": pa.array(doc[least[tied]], pa.int64())})
+
+    return rows.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def ngram_jaccard_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row for each row of ``docs``."""
     spark = docs.sparkSession
@@ -304,23 +385,29 @@ def ngram_jaccard_classes(docs: DataFrame) -> DataFrame:
     stars = materialize(verified_stars(best, docs), "stars")
     groups = components(same.union(stars.select("a", "head")))
 
-    # second step: lists that hold sets of several components. The sets of the smaller component ask the stars of the other
+    # second step: within families, that is sets tied by candidates, sets outside the largest component against all others
+    families = components(best.select("a", F.col("head").alias("b"))).select("node", F.col("component").alias("family"))
+    groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links_in_families(families, groups, docs)))
+
+    # third step: lists that hold sets of several components and families. Those of the smaller component ask the others' stars
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     known = groups.withColumnRenamed("node", "doc").join(sizes, "component").join(same.select(F.col("a").alias("doc"), F.col("b").alias("rep")), "doc", "left")
     known = known.withColumn("rep", F.coalesce("rep", "doc")).join(stars.select(F.col("a").alias("rep"), F.col("head").alias("star")), "rep", "left")
     known = known.select("doc", "rep", F.coalesce("star", "rep").alias("star"), "component", "members")
+    known = known.join(families.withColumnRenamed("node", "rep"), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
     named = entries.select("token", "doc", "size").join(known, "doc", "left").select(
-        "token", "size", F.coalesce("rep", "doc").alias("z"), F.coalesce("star", "doc").alias("star"),
+        "token", "size", F.coalesce("rep", "doc").alias("z"), F.coalesce("star", "doc").alias("star"), F.coalesce("family", "doc").alias("family"),
         F.coalesce("component", "doc").alias("component"), F.coalesce("members", F.lit(1)).alias("members"),
     )
-    split = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    split = named.groupBy("token").agg(*[f(c).alias(f"{c}_{n}") for c in ("component", "family") for f, n in ((F.min, "low"), (F.max, "high"))])
+    split = split.where("component_low < component_high and family_low < family_high").select("token")
     open_lists = materialize(named.join(split, "token"), "open")
-    held = open_lists.groupBy("token", F.col("star").alias("head"), F.col("component").alias("other"), F.col("members").alias("others"))
+    held = open_lists.groupBy("token", F.col("star").alias("head"), F.col("component").alias("other"), F.col("members").alias("others"), F.col("family").alias("kin"))
     held = held.agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    asking = open_lists.select("token", "z", "size", "component", "members").distinct()
+    asking = open_lists.select("token", "z", "size", "component", "members", "family").distinct()
     asked = (
         asking.join(held, "token")
-        .where("component <> other and (members < others or (members = others and component > other))")
+        .where("family <> kin and component <> other and (members < others or (members = others and component > other))")
         .where(f"{DEN} * high >= {NUM} * size and {NUM} * low <= {DEN} * size")
         .groupBy("z", "head").agg(F.count(F.lit(1)).alias("lists"), F.first("size").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     )

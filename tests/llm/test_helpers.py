@@ -10,7 +10,7 @@ import pytest
 from sitefold.llm import _induced
 from sitefold.llm._tokens import tokenizer
 from sitefold.llm._words import text_bytes, word_spans
-from sitefold.llm.embedding_join import linked_groups
+from sitefold.llm._components import linked_groups
 from sitefold.llm.line_dedup import common_blocks, patience_matches
 from sitefold.llm.mixing import split_quotas, water_fill
 from sitefold.llm.packing import packing_plan
