@@ -7,7 +7,7 @@ import re
 import struct
 
 #: Entries each cache holds in one Python worker; beyond it, ids are computed each time.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 #: Punctuation that may end a chunk; apostrophes are left to the pre-tokenizer.
 _TAIL = ".,;:!?$%&*#)(]["
 #: Characters that str.split() takes for white space and the tokenizer does not.

@@ -6,6 +6,9 @@ bytes with A-Z lower-cased, so that a whole batch is hashed without building one
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -22,6 +25,22 @@ BYTE_EXACT = _BYTE
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``f`` for a task: when it ends, memory that was freed goes back to the system, as several reused workers share an
+    executor's memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            for k in (0, 1):
+                _powers[k] = np.ones(1, np.uint64)
+            pa.default_memory_pool().release_unused()
+            getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+    return run
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse modulo 2**64; kept for the next call."""
     if len(_powers[0]) < n:

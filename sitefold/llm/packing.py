@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ._spark import bounded_batches, materialize, read_table
 from ._tokens import tokenizer
+from ._words import tidy
 
 #: Production parameters.
 TOKENIZER, END_ID, CAPACITY, SALTS = "word_bpe_49k.json", 1, 4096, 256
@@ -54,7 +55,7 @@ def token_pieces(docs: DataFrame, name: str = TOKENIZER, end_id: int = END_ID, c
             columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=[f.split(" ")[0] for f in schema.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(pieces, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(pieces), schema)
 
 
 class Stock:

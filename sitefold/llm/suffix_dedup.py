@@ -31,7 +31,7 @@ from pyspark.sql.functions import arrow_udf
 
 from ._induced import suffixes_descending
 from ._spark import bounded_batches, materialize, read_table
-from ._words import BYTE_EXACT, mix64, powers, prefix_sums, range_hash, text_bytes
+from ._words import BYTE_EXACT, mix64, powers, prefix_sums, range_hash, text_bytes, tidy
 
 #: Bytes of a string, and of the k-gram that anchors it; bytes that are hashed at once; anchors that a task combines;
 #: bytes of suffix tuples that a task keeps in memory; shards for each shuffle partition.
@@ -150,7 +150,7 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield from flush()
 
-    return docs.select("key", "text").mapInArrow(blocks, _BLOCK)
+    return docs.select("key", "text").mapInArrow(tidy(blocks), _BLOCK)
 
 
 def compared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -176,7 +176,7 @@ def compared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
         several = first & (np.bincount(gram, weights=first)[gram] > 1)
         yield _pack(ANCHOR, _bucket(grams[several], SHARDS * buckets), SHARDS * buckets, {"docs": ids[several], "starts": starts[several], "counts": counts[several]})
 
-    return blocks.repartition(buckets, "bucket").mapInArrow(compare, _BLOCK)
+    return blocks.repartition(buckets, "bucket").mapInArrow(tidy(compare), _BLOCK)
 
 
 def shard_rows(compared: DataFrame, docs: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def shard_rows(compared: DataFrame, docs: DataFrame) -> DataFrame:
                 ids, starts, counts = (np.frombuffer(x, _KINDS[n]) for x, n in zip(packed, ("docs", "starts", "counts"), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), shard, np.int32)), pa.array(ids), pa.array(starts.astype(np.int64)), pa.array(counts.astype(np.int32))], ["shard", "key", "start", "count"])
 
-    asked = compared.where(F.col("kind") == ANCHOR).select("bucket", "docs", "starts", "counts").mapInArrow(rows, "shard int, key long, start long, count int")
+    asked = compared.where(F.col("kind") == ANCHOR).select("bucket", "docs", "starts", "counts").mapInArrow(tidy(rows), "shard int, key long, start long, count int")
     asked = asked.groupBy("key").agg(F.collect_list(F.struct("shard", "start", "count")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +204,7 @@ def shard_rows(compared: DataFrame, docs: DataFrame) -> DataFrame:
             keys = batch.column("key").to_numpy()[row]
             yield pa.RecordBatch.from_arrays([pa.array(shard[inside]), pa.array(keys[inside]), pa.array(start[inside]), pa.array(count[inside]), pa.array(pieces, pa.binary())], ["shard", "key", "start", "count", "bytes"])
 
-    return docs.join(asked.hint("shuffle_hash"), "key").select("key", "text", "asked").mapInArrow(cut, "shard int, key long, start long, count int, bytes binary")
+    return docs.join(asked.hint("shuffle_hash"), "key").select("key", "text", "asked").mapInArrow(tidy(cut), "shard int, key long, start long, count int, bytes binary")
 
 
 def repeated_starts(keys: np.ndarray, starts: np.ndarray, counts: np.ndarray, pieces: list[bytes], budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +256,7 @@ def fine_repeats(rows: DataFrame, buckets: int) -> DataFrame:
         count = np.diff(np.r_[cut, len(ids)])
         yield _pack(REPEAT, _bucket(ids[cut], buckets), buckets, {"docs": ids[cut], "starts": begin[cut], "counts": count})
 
-    return rows.repartition(SHARDS * buckets, "shard").mapInArrow(sort, _BLOCK)
+    return rows.repartition(SHARDS * buckets, "shard").mapInArrow(tidy(sort), _BLOCK)
 
 
 def merged_spans(repeats: DataFrame, buckets: int) -> DataFrame:
@@ -284,7 +284,7 @@ def merged_spans(repeats: DataFrame, buckets: int) -> DataFrame:
             packed = [spans[a:b].tobytes() for a, b in zip(doc[some], ends[some], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids[cut][doc[some]]), pa.array(packed, pa.binary())], ["key", "spans"])
 
-    return repeats.select("kind", "bucket", "docs", "starts", "counts").repartition(buckets, "bucket").mapInArrow(merge, "key long, spans binary")
+    return repeats.select("kind", "bucket", "docs", "starts", "counts").repartition(buckets, "bucket").mapInArrow(tidy(merge), "key long, spans binary")
 
 
 def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:

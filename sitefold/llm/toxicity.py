@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import bounded_batches, read_table
-from ._words import mix64, text_bytes, word_hashes, word_spans
+from ._words import mix64, text_bytes, tidy, word_hashes, word_spans
 
 #: Production parameters. MAX_TRAIN bounds the labelled rows that are learned from (chosen by a hash of doc_id).
 BITS, MAX_TRAIN, EPOCHS = 20, 20_480, 2
@@ -106,8 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_train: int = M
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(w[kept])], ["feature", "weight"])
 
-    rows = training_rows(docs, labels, max_train).mapInArrow(features, "doc_id long, toxic int, features array<int>")
-    found = rows.repartition(1).mapInArrow(train, "feature long, weight double").toPandas()
+    rows = training_rows(docs, labels, max_train).mapInArrow(tidy(features), "doc_id long, toxic int, features array<int>")
+    found = rows.repartition(1).mapInArrow(tidy(train), "feature long, weight double").toPandas()
     return found["feature"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
 
 
@@ -129,7 +129,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
     from pyspark.sql.functions import arrow_udf
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from scores(batches)
+        yield from tidy(scores)(batches)
 
     return docs.withColumn(into, arrow_udf(run, "double")(F.col(text)))
 
