@@ -203,7 +203,7 @@ def candidate_heads(token: np.ndarray, doc: np.ndarray, size: np.ndarray, place:
 
 
 def list_entries(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(token, doc, size, place, head): entries of the inverted lists that hold more than one set, with the head that
+    """(token, doc, size, place, head): entries of the inverted lists that could have a partner there, with the head that
     each could be linked to first (null: none)."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +224,12 @@ def list_entries(blocks: DataFrame, buckets: int) -> DataFrame:
         head = np.full(len(token), -1, np.int64)
         row, other = candidate_heads(token, doc, size, place)
         head[row] = other
-        heads = pa.array(np.where(head >= 0, doc[head], 0), mask=head < 0)
+        # without a head, and with the next set too large, an entry has no partner in its list
+        next_size, bounded = np.r_[size[1:], 0].astype(np.int64), np.r_[token[1:] == token[:-1], False]
+        usable = (head >= 0) | (bounded & (place < index_length(size.astype(np.int64))) & (NUM * next_size <= DEN * size.astype(np.int64)))
+        heads = np.where(head >= 0, doc[head], 0)[usable]
+        token, doc, size, place, head = (x[usable] for x in (token, doc, size, place, head))
+        heads = pa.array(heads, mask=head < 0)
         table = pa.Table.from_arrays([pa.array(token.view(np.int64)), pa.array(doc), pa.array(size), pa.array(place), heads], ["token", "doc", "size", "place", "head"])
         yield from table.to_batches(max_chunksize=50_000)
 
@@ -376,6 +381,9 @@ def ngram_jaccard_classes(docs: DataFrame) -> DataFrame:
     same = sets.join(classes.where("b <> last"), ["n", "s1", "s2"]).select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
     same = materialize(same, "same")
     entries = materialize(list_entries(prefix_blocks(docs, shingle_counts(stats), buckets), buckets), "entries")
+    # texts of the sets that have a possible partner: they alone are joined by what follows
+    met = entries.select(F.col("doc").alias("doc_id")).distinct()
+    docs = materialize(docs.select("doc_id", "text").join(met, "doc_id", "left_semi"), "texts")
 
     # first step: each set and the candidate that it shares most lists with
     shared = entries.where("head is not null").groupBy(F.col("doc").alias("a"), "head").agg(F.count(F.lit(1)).alias("lists"))
