@@ -410,19 +410,26 @@ def ngram_jaccard_classes(docs: DataFrame) -> DataFrame:
     split = named.groupBy("token").agg(*[f(c).alias(f"{c}_{n}") for c in ("component", "family") for f, n in ((F.min, "low"), (F.max, "high"))])
     split = split.where("component_low < component_high and family_low < family_high").select("token")
     open_lists = materialize(named.join(split, "token"), "open")
-    held = open_lists.groupBy("token", F.col("star").alias("head"), F.col("component").alias("other"), F.col("members").alias("others"), F.col("family").alias("kin"))
-    held = held.agg(F.min("size").alias("low"), F.max("size").alias("high"))
     asking = open_lists.select("token", "z", "size", "component", "members", "family").distinct()
-    asked = (
-        asking.join(held, "token")
-        .where("family <> kin and component <> other and (members < others or (members = others and component > other))")
-        .where(f"{DEN} * high >= {NUM} * size and {NUM} * low <= {DEN} * size")
-        .groupBy("z", "head").agg(F.count(F.lit(1)).alias("lists"), F.first("size").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    )
+    sides = [F.col("component").alias("other"), F.col("members").alias("others"), F.col("family").alias("kin")]
+    span = [F.min("size").alias("low"), F.max("size").alias("high")]
+    fits = f"{DEN} * high >= {NUM} * size and {NUM} * low <= {DEN} * size"
+    counted = [F.count(F.lit(1)).alias("lists"), F.first("size").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")]
     # of what the prefixes do not hold, all may be common at best
     beyond = F.ceil(F.greatest("n", "high") * NUM / DEN) - 1
     least = F.greatest(F.col("low"), F.ceil(F.col("n") * NUM / DEN))
-    asked = asked.where(F.col("lists") + beyond >= F.ceil((F.col("n") + least) * NUM / (NUM + DEN))).select("z", "head")
+    enough = F.col("lists") + beyond >= F.ceil((F.col("n") + least) * NUM / (NUM + DEN))
+    # a set shares no more lists with a star than with the star's whole family: first families, then stars of those left
+    kin = (
+        asking.join(open_lists.groupBy("token", *sides).agg(*span), "token")
+        .where("family <> kin and component <> other and (members < others or (members = others and component > other))").where(fits)
+        .groupBy("z", "kin", "other").agg(*counted).where(enough).select("z", "kin", "other")
+    )
+    held = open_lists.groupBy("token", F.col("star").alias("head"), *sides).agg(*span).drop("others")
+    asked = (
+        kin.join(asking.select("token", "z", "size"), "z").join(held, ["token", "kin", "other"]).where(fits)
+        .groupBy("z", "head").agg(*counted).where(enough).select("z", "head")
+    )
     asked = materialize(asked, "asked")
     if not asked.isEmpty():
         groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links_to_stars(asked, stars, docs)))
