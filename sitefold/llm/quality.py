@@ -42,6 +42,8 @@ Z = list(COORDINATES)
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 #: Values are clipped to +-LIMIT scales; quantiles are read off a grid of 1/GRID scales.
 LIMIT, GRID = 1000.0, 16
+#: Parts of a group's rows that meet its estimate apart from one another: all documents are one of the groups.
+SALTS = 64
 
 
 def chi_square_cdf(x: float, even: int) -> float:
@@ -116,9 +118,14 @@ def group_keys(lang: Column, source: Column) -> Column:
 
 
 def vectors(stats: DataFrame) -> DataFrame:
-    """(key, _z0...): the vector of each document that passes the base rules, once for each of its groups."""
+    """(key, _z0..., _salt): the vector of each document that passes the base rules, once for each of its groups."""
     clipped = [F.least(F.greatest(value() / scale, F.lit(-LIMIT)), F.lit(LIMIT)).alias(z) for z, (value, scale) in COORDINATES.items()]
-    return stats.where(~F.col("base_failed")).select(F.explode(group_keys(F.col("lang"), F.col("source"))).alias("key"), *clipped)
+    return stats.where(~F.col("base_failed")).select(F.explode(group_keys(F.col("lang"), F.col("source"))).alias("key"), *clipped, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("_salt"))
+
+
+def salted(groups: DataFrame) -> DataFrame:
+    """A row of each group for each part of its rows."""
+    return groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def grid_quantile(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -159,7 +166,7 @@ def distance_bin(d2: Column) -> Column:
 
 def concentrated(rows: DataFrame) -> DataFrame:
     """Mean and covariance of each group's rows whose ``bin`` is in the nearest share."""
-    near = rows.join(grid_quantile(rows, ["key"], SHARE), "key").where(F.col("bin") <= F.col("q"))
+    near = rows.join(salted(grid_quantile(rows, ["key"], SHARE)), ["key", "_salt"]).where(F.col("bin") <= F.col("q"))
     # sums around the first guess lose no digits
     means = [F.avg(z).alias(f"_m{i}") for i, z in enumerate(Z)]
     spread = [F.covar_pop(Z[i], Z[j]).alias(f"_v{i}_{j}") for i in range(len(Z)) for j in range(i, len(Z))]
@@ -170,19 +177,19 @@ def mcd_estimates(stats: DataFrame) -> DataFrame:
     """key, _m and _l for each group, language and all documents with at least MIN_GROUP documents."""
     every = vectors(stats)
     sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_GROUP).select("key")
-    rows = materialize(every.join(sizes, "key"), "vectors")
+    rows = materialize(every.join(salted(sizes), ["key", "_salt"]), "vectors")
     bins = F.array(*[F.struct(F.lit(i).alias("coordinate"), F.floor(F.col(z) * GRID).cast("int").alias("bin")) for i, z in enumerate(Z)])
     middles = grid_quantile(rows.select("key", F.inline(bins)), ["key", "coordinate"], 0.5)
     start = middles.groupBy("key").agg(*[F.max(F.when(F.col("coordinate") == i, (F.col("q") + 0.5) / GRID)).alias(f"_m{i}") for i in range(len(Z))])
     squares = F.lit(0.0)
     for i, z in enumerate(Z):
         squares = squares + (F.col(z) - F.col(f"_m{i}")) * (F.col(z) - F.col(f"_m{i}"))
-    placed = rows.join(start, "key").withColumn("bin", distance_bin(squares)).select("key", *Z, "bin")
+    placed = rows.join(salted(start), ["key", "_salt"]).withColumn("bin", distance_bin(squares)).select("key", "_salt", *Z, "bin")
     estimate = None
     for _ in range(STEPS):
         was, estimate = estimate, materialize(with_factor(concentrated(placed)), "mcd")
         discard(was)
-        placed = with_distance(rows.join(estimate, "key")).withColumn("bin", distance_bin(F.col("_d2"))).select("key", *Z, "bin")
+        placed = with_distance(rows.join(salted(estimate), ["key", "_salt"])).withColumn("bin", distance_bin(F.col("_d2"))).select("key", "_salt", *Z, "bin")
     return estimate
 
 
