@@ -203,8 +203,8 @@ def candidate_heads(token: np.ndarray, doc: np.ndarray, size: np.ndarray, place:
 
 
 def list_entries(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(token, doc, size, place, head): entries of the inverted lists that could have a partner there, with the head that
-    each could be linked to first (null: none)."""
+    """(token, doc, size, early, head): entries of the inverted lists with a set of similar size in their list, whether the
+    places allow a link there, and the head that each could be linked to first (null: none)."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[], [], [], []]
@@ -218,22 +218,28 @@ def list_entries(blocks: DataFrame, buckets: int) -> DataFrame:
         ordered = token[order]
         again = np.r_[False, ordered[1:] == ordered[:-1]]
         shared = order[again | np.r_[again[1:], False]]
+        if not len(shared):
+            return
         token, doc, size, place = (x[shared] for x in (token, doc, size, place))
         order = np.lexsort((doc, place, size, token))
         token, doc, size, place = (x[order] for x in (token, doc, size, place))
         head = np.full(len(token), -1, np.int64)
         row, other = candidate_heads(token, doc, size, place)
         head[row] = other
-        # without a head, and with the next set too large, an entry has no partner in its list
-        next_size, bounded = np.r_[size[1:], 0].astype(np.int64), np.r_[token[1:] == token[:-1], False]
-        usable = (head >= 0) | (bounded & (place < index_length(size.astype(np.int64))) & (NUM * next_size <= DEN * size.astype(np.int64)))
+        # lists are in order of size: with the next size on both sides too far off, an entry has no partner in its list.
+        # Places do not count here: what two sets share is bounded by how many lists of their whole prefixes they share
+        like = (token[1:] == token[:-1]) & (NUM * size[1:].astype(np.int64) <= DEN * size[:-1].astype(np.int64))
+        usable = np.r_[like, False] | np.r_[False, like]
+        # a link has its first common shingle early in both sets; the smaller one need not be a head there
+        same = (token[1:] == token[:-1]) & (size[1:] == size[:-1])
+        early = (head >= 0) | ((place < index_length(size.astype(np.int64))) & (np.r_[like, False] | np.r_[False, same]))
         heads = np.where(head >= 0, doc[head], 0)[usable]
-        token, doc, size, place, head = (x[usable] for x in (token, doc, size, place, head))
+        token, doc, size, head, early = (x[usable] for x in (token, doc, size, head, early))
         heads = pa.array(heads, mask=head < 0)
-        table = pa.Table.from_arrays([pa.array(token.view(np.int64)), pa.array(doc), pa.array(size), pa.array(place), heads], ["token", "doc", "size", "place", "head"])
+        table = pa.Table.from_arrays([pa.array(token.view(np.int64)), pa.array(doc), pa.array(size), pa.array(early), heads], ["token", "doc", "size", "early", "head"])
         yield from table.to_batches(max_chunksize=50_000)
 
-    return blocks.repartition(buckets, "bucket").drop("bucket").mapInArrow(tidy(lists), "token long, doc long, size int, place int, head long")
+    return blocks.repartition(buckets, "bucket").drop("bucket").mapInArrow(tidy(lists), "token long, doc long, size int, early boolean, head long")
 
 
 def verified_stars(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -382,8 +388,8 @@ def ngram_jaccard_classes(docs: DataFrame) -> DataFrame:
     same = materialize(same, "same")
     entries = materialize(list_entries(prefix_blocks(docs, shingle_counts(stats), buckets), buckets), "entries")
     # texts of the sets that have a possible partner: they alone are joined by what follows
-    met = entries.select(F.col("doc").alias("doc_id")).distinct()
-    docs = materialize(docs.select("doc_id", "text").join(met, "doc_id", "left_semi"), "texts")
+    met = entries.where("early").select("doc").distinct()
+    docs = materialize(docs.select("doc_id", "text").join(met.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"), "texts")
 
     # first step: each set and the candidate that it shares most lists with
     shared = entries.where("head is not null").groupBy(F.col("doc").alias("a"), "head").agg(F.count(F.lit(1)).alias("lists"))
@@ -403,7 +409,7 @@ def ngram_jaccard_classes(docs: DataFrame) -> DataFrame:
     known = known.withColumn("rep", F.coalesce("rep", "doc")).join(stars.select(F.col("a").alias("rep"), F.col("head").alias("star")), "rep", "left")
     known = known.select("doc", "rep", F.coalesce("star", "rep").alias("star"), "component", "members")
     known = known.join(families.withColumnRenamed("node", "rep"), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
-    named = entries.select("token", "doc", "size").join(known, "doc", "left").select(
+    named = entries.select("token", "doc", "size").join(met, "doc", "left_semi").join(known, "doc", "left").select(
         "token", "size", F.coalesce("rep", "doc").alias("z"), F.coalesce("star", "doc").alias("star"), F.coalesce("family", "doc").alias("family"),
         F.coalesce("component", "doc").alias("component"), F.coalesce("members", F.lit(1)).alias("members"),
     )
