@@ -387,9 +387,10 @@ def ngram_jaccard_classes(docs: DataFrame) -> DataFrame:
     same = sets.join(classes.where("b <> last"), ["n", "s1", "s2"]).select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
     same = materialize(same, "same")
     entries = materialize(list_entries(prefix_blocks(docs, shingle_counts(stats), buckets), buckets), "entries")
-    # texts of the sets that have a possible partner: they alone are joined by what follows
+    # texts of the sets that have a possible partner, under the name of their class: they alone are joined by what follows
     met = entries.where("early").select("doc").distinct()
-    docs = materialize(docs.select("doc_id", "text").join(met.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"), "texts")
+    named = met.join(same.select(F.col("a").alias("doc"), F.col("b").alias("rep")), "doc", "left").select(F.coalesce("rep", "doc").alias("doc_id")).distinct()
+    docs = materialize(docs.select("doc_id", "text").join(named, "doc_id", "left_semi"), "texts")
 
     # first step: each set and the candidate that it shares most lists with
     shared = entries.where("head is not null").groupBy(F.col("doc").alias("a"), "head").agg(F.count(F.lit(1)).alias("lists"))

@@ -31,3 +31,10 @@ def test_equal_sized_near_copies_in_any_order_of_shingles(spark, monkeypatch):
         data += [(2 * k, " ".join(words_of(k))), (2 * k + 1, " ".join(changed(words_of(k), at, at, "y")))]
     got = classes(spark, data)
     assert got == {d: (100, d // 2 * 2) for d, _ in data} == groups_by_brute_force(data)
+
+
+def test_near_copies_of_exact_copies_in_falling_order(spark):
+    base = words_of(0)
+    data = [(20, " ".join(base)), (10, " ".join(base)), (15, " ".join(changed(base, 50, 50, "y"))), (30, " ".join(words_of(1)))]
+    got = classes(spark, data)
+    assert got == groups_by_brute_force(data) == {20: (100, 10), 10: (100, 10), 15: (100, 10), 30: (100, 30)}
