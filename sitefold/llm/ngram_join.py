@@ -422,7 +422,7 @@ def ngram_jaccard_classes(docs: DataFrame) -> DataFrame:
     span = [F.min("size").alias("low"), F.max("size").alias("high")]
     fits = f"{DEN} * high >= {NUM} * size and {NUM} * low <= {DEN} * size"
     counted = [F.count(F.lit(1)).alias("lists"), F.first("size").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")]
-    # of what the prefixes do not hold, all may be common at best
+    # of what the prefixes do not hold, all may be common at best; ``lists`` counts all that the whole prefixes share
     beyond = F.ceil(F.greatest("n", "high") * NUM / DEN) - 1
     least = F.greatest(F.col("low"), F.ceil(F.col("n") * NUM / DEN))
     enough = F.col("lists") + beyond >= F.ceil((F.col("n") + least) * NUM / (NUM + DEN))

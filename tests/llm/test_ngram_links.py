@@ -38,3 +38,14 @@ def test_near_copies_of_exact_copies_in_falling_order(spark):
     data = [(20, " ".join(base)), (10, " ".join(base)), (15, " ".join(changed(base, 50, 50, "y"))), (30, " ".join(words_of(1)))]
     got = classes(spark, data)
     assert got == groups_by_brute_force(data) == {20: (100, 10), 10: (100, 10), 15: (100, 10), 30: (100, 30)}
+
+
+def test_links_at_the_threshold_between_families(spark):
+    """Two sets with 89 of 100 shingles in common and a nearer copy each: only their whole prefixes show that they link."""
+    data = []
+    for k in range(6):
+        one = words_of(k)
+        two = changed(one, 50, 56, "y")
+        data += [(10 * k + i, " ".join(w)) for i, w in enumerate((changed(one, 103, 103, "a"), one, changed(two, 103, 103, "b"), two))]
+    got = classes(spark, data)
+    assert got == groups_by_brute_force(data) == {d: (100, d // 10 * 10) for d, _ in data}
