@@ -1,9 +1,9 @@
 """Line dedup by pairwise alignment: shared rare line hashes find overlapping documents, patience diff aligns them, and
 aligned common blocks are deleted from the later document.
 
-Lines of at least ``MIN_WORDS`` words found pairs: each document is paired with the earliest holder of each of its lines
-(its owner), so a line shared by a third of all documents gives one pair a document and not all pairs of a group, and no
-frequency cap loses copies. What is rare is left to patience diff: anchors are lines unique in both documents of a pair.
+The shortest runs of lines that reach ``MIN_WORDS`` words found pairs, most of them single lines: each document is paired
+with the earliest holder of each of its runs (its owner) and the earliest that holds it only once, so a line shared by a
+third of all documents gives at most two pairs a document and not all pairs of a group, and no frequency cap loses copies. What is rare is left to patience diff: anchors are lines unique in both documents of a pair.
 Only arrays of line hashes travel to the pairs, not texts. Blocks of aligned lines with ``MIN_WORDS`` words or more are
 deleted from the later document, with the short and blank lines inside them; the owner keeps them.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,9 @@ from ._spark import bounded_batches, materialize, read_table
 
 #: Words that a line must have to found a pair, and a block to be deleted.
 MIN_WORDS = 5
+#: An odd number and its inverse modulo 2^64, for hashes of runs.
+_UP = np.uint64(0x9FB21C651E98DF25)
+_DOWN = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -102,12 +106,39 @@ def line_table(docs: DataFrame) -> DataFrame:
     )
 
 
+def line_runs(hashes: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shortest runs of lines that reach ``min_words`` words, from each line with a word, each run once; and
+    whether the run is there only once. A line with enough words is a run of its own."""
+    n = len(hashes)
+    total = np.r_[0, np.cumsum(words)]
+    start = np.flatnonzero(words > 0)
+    end = np.searchsorted(total, total[start] + min_words)
+    start, end = start[end <= n], end[end <= n]
+    with np.errstate(over="ignore"):
+        up = np.r_[np.uint64(1), np.cumprod(np.full(n, _UP))]
+        down = np.r_[np.uint64(1), np.cumprod(np.full(n, _DOWN))]
+        sums = np.r_[np.uint64(0), np.cumsum(hashes.view(np.uint64) * up[:n])]
+        runs = (sums[end] - sums[start]) * down[start]
+    found, times = np.unique(runs.view(np.int64), return_counts=True)
+    return found, times == 1
+
+
 def overlapping_pairs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, owner): a document and the earliest holder of one of its lines, each pair once."""
-    held = lines.select("key", F.explode(F.array_distinct(F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= min_words))).alias("line"))
-    held = held.select("key", "line.hashes", "line.words")
-    owners = held.groupBy("hashes", "words").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner <> last").drop("last")
-    return held.join(owners, ["hashes", "words"]).where("key <> owner").select("key", "owner").distinct()
+    """(key, owner): a document and the earliest holder of one of its runs, and the earliest in which the run is alone;
+    each pair once."""
+
+    def runs(hashes: pa.Array, words: pa.Array) -> pa.Array:
+        told = [line_runs(np.array(h, np.int64), np.array(w, np.int64), min_words) for h, w in zip(hashes.to_pylist(), words.to_pylist(), strict=True)]
+        at = pa.array(np.cumsum([0, *[len(r) for r, _ in told]]), pa.int32())
+        run, alone = (pa.array(np.concatenate([np.zeros(0, t), *x])) for t, x in ((np.int64, [r for r, _ in told]), (bool, [o for _, o in told])))
+        return pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([run, alone], ["run", "alone"]))
+
+    from pyspark.sql.functions import arrow_udf
+
+    held = lines.select("key", arrow_udf(runs, "array<struct<run:long,alone:boolean>>")("hashes", "words").alias("runs")).select("key", F.inline("runs"))
+    owners = held.groupBy("run").agg(F.min("key").alias("owner"), F.max("key").alias("last"), F.min(F.when(F.col("alone"), F.col("key"))).alias("other"))
+    owners = owners.where("owner <> last").select("run", F.array_distinct(F.array("owner", "other")).alias("owners"))
+    return held.join(owners, "run").select("key", F.explode("owners").alias("owner")).where("key > owner").distinct()
 
 
 def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
