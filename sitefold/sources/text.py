@@ -194,10 +194,14 @@ def second_sightings(lines: DataFrame) -> DataFrame:
     return rows.withColumn("_n", nth).where("_n = 2").select(*keys, "name", value.alias("value"))
 
 
-def flat_rows(lines: DataFrame) -> DataFrame:
-    """row, name, value of a matrix with a header of names; ``#`` begins a comment."""
+def flat_rows(lines: DataFrame, width: int = 4096) -> DataFrame:
+    """row, name, value of a matrix with a header of names; ``#`` begins a comment. Lines are numbered within ranges of
+    ``width`` line numbers, and only counts of ranges pass through one task."""
     told = lines.withColumn("_t", F.trim(F.regexp_replace("value", "#.*", ""))).where("_t <> ''")
-    nth = told.withColumn("_n", F.row_number().over(Window.orderBy("line_no")) - 1).withColumn("_f", F.split("_t", r"\s+"))
+    told = told.withColumn("_bin", F.coalesce(F.floor(F.col("line_no") / width), F.lit(-1)))
+    before = told.groupBy("_bin").agg(F.count(F.lit(1)).alias("_in")).withColumn("_before", F.sum("_in").over(Window.orderBy("_bin")) - F.col("_in"))
+    place = F.row_number().over(Window.partitionBy("_bin").orderBy("line_no")) - 1
+    nth = told.withColumn("_place", place).join(before, "_bin").withColumn("_n", F.col("_before") + F.col("_place")).withColumn("_f", F.split("_t", r"\s+"))
     head = nth.where("_n = 0").select(F.col("_f").alias("_names"))
     each = nth.where("_n > 0").join(F.broadcast(head)).select((F.col("_n") - 1).cast("long").alias("row"), F.explode(F.arrays_zip(F.col("_names").alias("name"), F.col("_f").alias("value"))).alias("p"))
     return each.select("row", "p.name", F.col("p.value").cast("double").alias("value"))
