@@ -1,7 +1,7 @@
 """Vectorised word hashing over Arrow string columns (numpy, inside tasks).
 
-Words are runs of bytes other than ``\\x20`` and ``\\x09-\\x0D``; hashes are 64-bit polynomial prefix hashes of the
-bytes with A-Z lower-cased, so that a whole batch is hashed without building one Python string.
+Words are runs of bytes other than ``\\x20`` and ``\\x09-\\x0D``, hashed with A-Z lower-cased; a whole batch is hashed
+without building one Python string. Windows of bytes have 64-bit polynomial prefix hashes.
 """
 
 from __future__ import annotations
@@ -20,8 +20,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-BYTE_LOWER = _BYTE[_LOWER]
 BYTE_EXACT = _BYTE
+#: Pieces of a word that are hashed for all words at once; masks of the first bytes of a piece; a step between pieces.
+_ROUNDS = 8
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_STEP = np.uint64(0x9FB21C651E98DF25)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -105,6 +108,22 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each lower-cased word."""
-    sums = prefix_sums(BYTE_LOWER[raw])
-    return mix64(range_hash(sums, starts, ends) + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each lower-cased word: a sum over its 8-byte pieces, each scrambled together with its place. (A
+    polynomial modulo 2**64 would give words of a thousand regularly alternating letters one hash at any base.)"""
+    low = np.zeros(len(raw) + 8, np.uint8)
+    low[: len(raw)] = _LOWER[raw]
+    pieces = np.lib.stride_tricks.as_strided(low[:8].view(np.uint64), (len(raw) + 1,), (1,))
+    size = ends - starts
+    out = size.astype(np.uint64)
+    long = np.flatnonzero(size > 8 * _ROUNDS)
+    row = np.arange(len(starts))
+    for k in range(_ROUNDS):
+        row = row[size[row] > 8 * k]
+        if not len(row):
+            break
+        out[row] += mix64((pieces[starts[row] + 8 * k] & _KEEP[np.minimum(size[row] - 8 * k, 8)]) + _STEP * np.uint64(k + 1))
+    for i in long.tolist():  # what is left of the few long words, each at once
+        at = np.arange(starts[i] + 8 * _ROUNDS, ends[i], 8)
+        keep = _KEEP[np.minimum(ends[i] - at, 8)]
+        out[i] += mix64((pieces[at] & keep) + _STEP * np.arange(_ROUNDS + 1, _ROUNDS + 1 + len(at), dtype=np.uint64)).sum()
+    return mix64(out)
