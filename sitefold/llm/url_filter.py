@@ -1,10 +1,10 @@
 """URL filters: a blocked Bloom filter passes possible hits to an exact hash join. DataFrame functions only.
 
 Listed entries are canonical URLs (host, then path). Every URL gives probe keys: each suffix of its host that starts at
-a label, joined to each prefix of its path that is as long as some listed path. The Bloom filter has a fixed number of
-blocks of four 64-bit words, one bit a word for each key, so a probe reads one block; its size is a parameter, not a
-function of the data. Keys that pass are joined exactly with the list, which removes false positives; of the entries
-that fit, the longest wins.
+a label, joined to each prefix of its path that is as long as some listed path. The Bloom filter has a number of blocks of
+four 64-bit words, one bit a word for each key, so a probe reads one block; its size is a parameter, to be chosen by the
+length of the list, and not a function of the pages. Keys that pass are joined exactly with the list, which removes false
+positives (so a list too long for the filter costs time and changes nothing); of the entries that fit, the longest wins.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and matches nothing; ties between equally
 long entries go to the longer host, then to ``allow``; repeated rows are judged alike, each on its own; empty tables
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import read_table
+from ._spark import packed, read_table, unpacked
 
 #: Production rules: (host, path, verdict).
 RULES = [
@@ -28,6 +28,7 @@ RULES = [
     ("com", "/de/", "block"),
 ]
 DEFAULT_VERDICT = "allow"
+RESULTS = ["host", "path", "rule", "verdict"]
 #: Blocks of 4 x 64 bits: 4096 blocks take 128 KB and serve some 50,000 entries at a false-positive rate near 1 %.
 BLOOM_BLOCKS = 4096
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,7 +88,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     )
     bloom = bloom_words(listed, blocks).scalar()
     lengths = listed.agg(F.coalesce(F.collect_set("path_chars"), F.array().cast("array<int>"))).scalar()
-    judged = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))}).drop("rule", "verdict")
+    kept = [c for c in pages.columns if c not in RESULTS]
+    judged = pages.select(packed(kept), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
 
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -99,9 +101,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .select("host", "path", F.explode(F.filter(keys, lambda k: might_contain(F.col("bloom"), k, blocks))).alias("key"))
     )
     best = hits.join(listed, "key").groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "host_chars", "rule")).alias("hit"))
-    return judged.join(best, ["host", "path"], "left").select(
-        *[c for c in judged.columns], F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict")
-    )
+    # URLs without a host have no rule, and would all be one key of the join
+    out = [*unpacked(kept), "host", "path"]
+    told = judged.where("host <> ''").join(best, ["host", "path"], "left").select(*out, F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
+    return told.unionAll(judged.where("host = ''").select(*out, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
