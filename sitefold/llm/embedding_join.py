@@ -1,14 +1,17 @@
 """Embedding near-dedup as an exact metric range join.
 
-Cosine at least 0.98 is a distance of unit vectors of at most r = sqrt(2 - 2 * 0.98). Pivots, drawn by a hash from each
-large enough label, partition its vectors: each belongs to the cell of its nearest pivot. By the triangle inequality a
-vector v can have a partner in the cell of pivot p only if d(v, p) - d(v, own pivot) <= 2 r (in Euclidean space also only
-if it is within r of the plane between the two pivots), and it is copied to those cells. So every cell holds all
-partners of its own vectors, and cells are joined independently: exact dot products in double precision, a count of
-links for each own vector, and links as a star for each group of linked vectors rather than as pairs. A cell larger than
-``BLOCK`` is dealt out as pairs of blocks, so no task holds more than two blocks, whatever the density of the data.
-
-Equal vectors are one class from the start: a class of m copies is one vector with m - 1 links of its own.
+Cosine at least 0.98 is a distance of unit vectors of at most r = sqrt(2 - 2 * 0.98). Pivots, drawn by a hash from the
+vectors of each label, partition them: each belongs to the cell of its nearest pivot. By the triangle inequality a vector
+v can have a partner in the cell of pivot p only if d(v, p) - d(v, nearest pivot) <= 2 r (in Euclidean space also only if
+it is within r of the plane between the two pivots), and it is copied to those cells. So every cell holds all partners of
+its own vectors. A cell that is still large is partitioned again by pivots of its own, where its vectors and the copies in
+it obey the same inequality, until cells are small or pivots no longer halve the comparisons. Cells are joined
+independently: exact dot products in double precision, a count of links for each own vector, and links as a star for each
+group of linked vectors rather than as pairs. A cell larger than ``BLOCK`` that pivots do not take apart is dealt out as
+pairs of blocks, so no task holds more than two blocks, whatever the density of the data.
+
+Equal vectors are one class from the start: a class of m copies is one vector with m - 1 links of its own. Classes are
+numbered when they are written; a repeated vec_id is in as many classes as it has vectors.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors without a label,
 link with nothing; vectors of different lengths link with nothing; rows that repeat a vec_id are vectors of their own
@@ -30,8 +33,8 @@ from pyspark.sql.functions import arrow_udf
 from ._components import components, linked_groups
 from ._spark import bounded_batches, materialize, read_table
 
-#: Least cosine; vectors a cell should hold; pivots in all, which bounds what is broadcast; vectors of a block.
-COSINE, CELL, MAX_PIVOTS, BLOCK = 0.98, 1024, 4096, 4096
+#: Least cosine; vectors a cell should hold; pivots that part a cell; times that cells are parted; vectors of a block.
+COSINE, CELL, FAN, LEVELS, BLOCK = 0.98, 1024, 256, 8, 4096
 _SLACK = 1e-9
 
 
@@ -66,61 +69,84 @@ def _unit(column: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat / np.repeat(norm, np.diff(at))))
 
 
-def cells(classes: DataFrame, cell: int, max_pivots: int, radius: float) -> DataFrame:
-    """classes (rep, group, n, unit) with cell and own: once with own = true, and once for each cell it is copied to."""
-    sizes = classes.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > cell)
-    share = sizes.agg(F.sum(F.ceil(F.col("size") / cell))).first()[0] or 0
-    shrink = max(1.0, share / max_pivots)
-    wanted = sizes.select("group", F.greatest(F.lit(1), F.floor(F.col("size") / (cell * shrink))).cast("int").alias("wanted"))
-    nth = Window.partitionBy("group").orderBy(F.xxhash64("rep"), "rep")
-    drawn = classes.join(wanted, "group").withColumn("nth", F.row_number().over(nth)).where((F.col("nth") <= F.col("wanted")) & (F.col("nth") <= max_pivots))
-    rows = drawn.select("group", "nth", "unit").orderBy("group", "nth").limit(2 * max_pivots).toPandas()  # at most 2 * max_pivots vectors
-    pivots = {g: np.stack([np.asarray(u, float) for u in part["unit"]]) for g, part in rows.groupby("group")}
-    sent = classes.sparkSession.sparkContext.broadcast(pivots)
-
-    def assign(groups: pa.Array, units: pa.Array) -> pa.Array:
-        names = np.asarray(groups.to_pylist(), object)
-        out: list[list[int]] = [[0]] * len(names)
-        for g in set(names.tolist()):
-            at = np.flatnonzero(names == g)
-            p = sent.value.get(g)
-            if p is None or len(p) < 2:
-                continue
-            x = _matrix(units.take(pa.array(at)))
-            squared = np.maximum(2 - 2 * (x @ p.T), 0)
-            near = squared.argmin(axis=1)
-            own = squared[np.arange(len(x)), near]
-            distance = np.sqrt(squared)
-            between = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))[near]
-            possible = distance - np.sqrt(own)[:, None] <= 2 * radius + _SLACK
-            possible &= squared - own[:, None] <= 2 * radius * between + _SLACK
-            possible[np.arange(len(x)), near] = False
-            for row, (first, others) in enumerate(zip(near, possible, strict=True)):
-                out[at[row]] = [int(first), *np.flatnonzero(others).tolist()]
-        return pa.array(out, pa.list_(pa.int32()))
-
-    placed = classes.withColumn("cells", arrow_udf(assign, "array<int>")("group", "unit"))
-    return placed.select("rep", "group", "n", "unit", F.posexplode("cells").alias("place", "cell")).withColumn("own", F.col("place") == 0).drop("place")
+def near_pivots(x: np.ndarray, own: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``x`` with the cells they go to, and whether a row belongs there: an own vector belongs to the cell of its
+    nearest pivot, and all vectors are copied to the other cells that can hold a partner."""
+    squared = np.maximum(2 - 2 * (x @ pivots.T), 0)
+    near = squared.argmin(axis=1)
+    least = squared[np.arange(len(x)), near]
+    between = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0))[near]
+    possible = np.sqrt(squared) - np.sqrt(least)[:, None] <= 2 * radius + _SLACK
+    possible &= squared - least[:, None] <= 2 * radius * between + _SLACK
+    possible[np.arange(len(x)), near] = True
+    row, cell = np.nonzero(possible)
+    return row, cell, own[row] & (cell == near[row])
+
+
+def parted(rows: DataFrame, big: DataFrame, cell: int, fan: int, block: int, radius: float) -> DataFrame:
+    """rows (group, cell, cls, n, unit, own) of the cells in big (group, cell, rows, owns) with ``part``, the cell of the
+    cell's own pivots. Vectors and pivots meet in pieces of about ``block`` vectors."""
+    told = big.select("group", "cell", F.least(F.ceil(F.col("owns") / cell), F.lit(fan)).cast("int").alias("wanted"), "owns", F.ceil(F.col("rows") / block).cast("int").alias("pieces"))
+    placed = rows.join(told, ["group", "cell"])
+    # drawn by a hash: about twice as many as wanted, of which the first are taken
+    chance = (2 * F.col("wanted") + 16) / F.col("owns")
+    first = Window.partitionBy("group", "cell").orderBy(F.xxhash64(F.lit(11), "cls"), "cls")
+    drawn = placed.where(F.col("own") & (F.pmod(F.xxhash64(F.lit(7), "cls", "cell"), F.lit(1 << 30)) < chance * (1 << 30)))
+    drawn = materialize(drawn.withColumn("nth", F.row_number().over(first)).where("nth <= wanted").select("group", "cell", "pieces", "nth", "unit"), "pivots")
+    pivots = drawn.select("group", "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "nth", "unit")
+    dealt_ = placed.select("group", "cell", F.pmod(F.xxhash64(F.lit(3), "cls"), F.col("pieces")).cast("int").alias("piece"), "cls", "n", "unit", "own")
+
+    def assign(vectors: pa.Table, drawn: pa.Table) -> pa.Table:
+        out = vectors.select(["group", "cell", "cls", "n", "unit", "own"])
+        if drawn.num_rows < 2 or not out.num_rows:
+            return out.append_column("part", pa.array(np.zeros(out.num_rows, np.int32)))
+        own = out.column("own").to_numpy(zero_copy_only=False)
+        row, part, mine = near_pivots(_matrix(out.column("unit")), own, _matrix(drawn.sort_by("nth").column("unit")), radius)
+        out = out.take(pa.array(row)).set_column(5, "own", pa.array(mine))
+        return out.append_column("part", pa.array(part.astype(np.int32)))
+
+    keys = ["group", "cell", "piece"]
+    schema = "group string, cell string, cls long, n long, unit array<double>, own boolean, part int"
+    return dealt_.groupBy(*keys).cogroup(pivots.groupBy(*keys)).applyInArrow(assign, schema)
+
+
+def cells(classes: DataFrame, cell: int, fan: int, block: int, radius: float) -> DataFrame:
+    """classes (cls, group, n, unit) with cell and own: once with own = true, and once for each cell it is copied to."""
+    key, done = ["group", "cell"], []
+    rows = classes.select("group", F.lit("").alias("cell"), "cls", "n", "unit", F.lit(True).alias("own"))
+    for _ in range(LEVELS):
+        counts = [F.count(F.lit(1)).alias("rows"), F.count_if("own").alias("owns")]
+        big = materialize(rows.groupBy(*key).agg(*counts).where(F.col("rows") > 2 * cell), "large-cells")
+        if big.isEmpty():
+            break
+        parts = materialize(parted(rows, big, cell, fan, block, radius), "cells")
+        after = parts.groupBy(*key, "part").agg(*counts).groupBy(*key).agg(F.sum(F.col("rows") * F.col("owns")).alias("after"))
+        better = materialize(big.join(after, key).where(F.col("after") * 2 <= F.col("rows") * F.col("owns")).select(*key), "parted-cells")
+        done.append(rows.join(better, key, "left_anti"))
+        rows = parts.join(better, key).select("group", F.concat_ws("/", "cell", "part").alias("cell"), "cls", "n", "unit", "own")
+    for part in done:
+        rows = rows.unionByName(part)
+    return rows
 
 
 def dealt(rows: DataFrame, block: int) -> DataFrame:
     """Rows of cells of more than ``block`` vectors once for each pair of blocks they take part in: left and right tell as
     which side."""
     spread = rows.groupBy("group", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    keyed = rows.join(spread, ["group", "cell"]).withColumn("b", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("blocks")).cast("int"))
+    keyed = rows.join(spread, ["group", "cell"]).withColumn("b", F.pmod(F.xxhash64(F.lit(5), "cls"), F.col("blocks")).cast("int"))
     blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
     left = F.transform(blocks, lambda j: F.struct(F.col("b").alias("i"), j.alias("j"), F.col("own").alias("left"), (j == F.col("b")).alias("right")))
     right = F.transform(F.filter(blocks, lambda i: i != F.col("b")), lambda i: F.struct(i.alias("i"), F.col("b").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right")))
     parts = F.filter(F.concat(left, right), lambda p: p["left"] | p["right"])
-    return keyed.select("group", "cell", "rep", "n", "unit", F.inline(parts))
+    return keyed.select("group", "cell", "cls", "n", "unit", F.inline(parts))
 
 
 def joined_cells(rows: DataFrame, cosine: float) -> DataFrame:
-    """(rep, links, root): links of an own vector in its cell; or, with links null, a link to the root of its group."""
+    """(cls, links, root): links of an own vector in its cell; or, with links null, a link to the root of its group."""
 
     def join(table: pa.Table) -> pa.Table:
-        table = table.sort_by("rep")
-        rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
+        table = table.sort_by("cls")
+        cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy()
         x = _matrix(table.column("unit"))
         left, right = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
         links = np.zeros(len(left), np.int64)
@@ -135,29 +161,33 @@ def joined_cells(rows: DataFrame, cosine: float) -> DataFrame:
                 i, j = np.nonzero(near)
                 yield some[i], right[j]
 
-        root = linked_groups(similar(), len(rep))
-        tied = np.flatnonzero(root != np.arange(len(rep)))
+        root = linked_groups(similar(), len(cls))
+        tied = np.flatnonzero(root != np.arange(len(cls)))
         return pa.table({
-            "rep": np.r_[rep[left], rep[tied]],
+            "cls": np.r_[cls[left], cls[tied]],
             "links": pa.array(np.r_[links, np.zeros(len(tied), np.int64)], mask=np.r_[np.zeros(len(left), bool), np.ones(len(tied), bool)]),
-            "root": pa.array(np.r_[rep[left], rep[root[tied]]]),
+            "root": pa.array(np.r_[cls[left], cls[root[tied]]]),
         })
 
-    return rows.groupBy("group", "cell", "i", "j").applyInArrow(join, "rep long, links long, root long")
+    return rows.groupBy("group", "cell", "i", "j").applyInArrow(join, "cls long, links long, root long")
 
 
-def near_dedup(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, max_pivots: int = MAX_PIVOTS, block: int = BLOCK) -> DataFrame:
+def near_dedup(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, fan: int = FAN, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept): a row for each row of ``vectors`` (vec_id, embedding, label)."""
     bounded_batches(vectors.sparkSession)
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
     good = usable(vectors)
-    classes = good.groupBy("group", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = materialize(classes.withColumn("unit", arrow_udf(_unit, "array<double>")("embedding")), "classes")
-    found = materialize(joined_cells(dealt(cells(classes.select("rep", "group", "n", "unit"), cell, max_pivots, radius), block), cosine), "found")
-    links = found.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(found.where("links is null").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    told = classes.select("group", "embedding", "rep", "n").join(links, "rep").join(groups, F.col("rep") == F.col("node"), "left")
-    told = told.select("group", "embedding", (F.col("links") + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    classes = good.groupBy("group", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    classes = classes.withColumn("unit", arrow_udf(_unit, "array<double>")("embedding")).withColumn("cls", F.monotonically_increasing_id())
+    classes = materialize(classes, "classes")
+    found = materialize(joined_cells(dealt(cells(classes.select("cls", "group", "n", "unit"), cell, fan, block, radius), block), cosine), "found")
+    links = found.where("links is not null").groupBy("cls").agg(F.sum("links").alias("links"))
+    groups = components(found.where("links is null").select(F.col("cls").alias("a"), F.col("root").alias("b")))
+    told = classes.select("group", "embedding", "cls", "least", "n").join(links, "cls").join(groups, F.col("cls") == F.col("node"), "left")
+    told = told.withColumn("component", F.coalesce("component", "cls"))
+    # a component is named by its smallest vec_id
+    smallest = told.groupBy("component").agg(F.min("least").alias("component_id"))
+    told = told.join(smallest, "component").select("group", "embedding", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
     # rows are matched by their vector's class, as a vec_id may be repeated
     out = vectors.select("vec_id", *_class_key()).join(told, ["group", "embedding"], "left")
     component = F.coalesce("component_id", "vec_id")
