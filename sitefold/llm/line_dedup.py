@@ -1,15 +1,21 @@
 """Line dedup by pairwise alignment: shared rare line hashes find overlapping documents, patience diff aligns them, and
 aligned common blocks are deleted from the later document.
 
-The shortest runs of lines that reach ``MIN_WORDS`` words found pairs, most of them single lines: each document is paired
-with the earliest holder of each of its runs (its owner) and the earliest that holds it only once, so a line shared by a
-third of all documents gives at most two pairs a document and not all pairs of a group, and no frequency cap loses copies. What is rare is left to patience diff: anchors are lines unique in both documents of a pair.
-Only arrays of line hashes travel to the pairs, not texts. Blocks of aligned lines with ``MIN_WORDS`` words or more are
-deleted from the later document, with the short and blank lines inside them; the owner keeps them.
+The shortest runs of lines that reach ``MIN_WORDS`` words found pairs, most of them single lines, and whole texts too. A
+run is rare if at most ``RARE`` documents hold it: then each of them is paired with every earlier holder. Of more frequent
+runs no cap loses any: a document is paired with the earliest holder, with the earliest that holds the run only once, and
+with the holder before it (of those with its salt, where a run is in more than ``HOT`` documents), so that a line shared by
+a third of all documents gives at most three pairs a document and not all pairs of a group. Anchors of the alignment are
+lines unique in both documents of a pair. What is left of the later document after an alignment is aligned again, so
+passages that stand in another order are found too: every line that is alone in the later document and in some earlier one
+goes, if its block is long enough. Only arrays of line hashes travel to the pairs, not texts. Blocks of aligned lines with
+``MIN_WORDS`` words or more are deleted from the later document, with the short and blank lines inside them; the owner
+keeps them.
 
 Defined results: documents are ordered by (doc_id, text), a null doc_id first; rows that repeat both are one document;
 a null text has no lines and stays null; an empty text is one empty line; a text of which every line goes becomes empty;
-empty tables give empty results; other columns pass through, those named like a result column are replaced.
+empty tables give empty results; other columns pass through, whatever their names, and those named like a result column
+are replaced.
 """
 
 from __future__ import annotations
@@ -18,13 +24,16 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from ._spark import bounded_batches, materialize, read_table
+from ._spark import bounded_batches, materialize, packed, read_table, unpacked
 
 #: Words that a line must have to found a pair, and a block to be deleted.
 MIN_WORDS = 5
+#: Documents that hold a rare run (three earlier ones at most for each); documents beyond which holders are salted; salts.
+RARE, HOT, SALTS = 4, 1024, 64
 #: An odd number and its inverse modulo 2^64, for hashes of runs.
 _UP = np.uint64(0x9FB21C651E98DF25)
 _DOWN = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
@@ -82,18 +91,26 @@ def patience_matches(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list, a_words: list, b: list, min_words: int = MIN_WORDS) -> list[int]:
-    """Positions in ``a`` of aligned blocks (runs that are adjacent in both) with at least ``min_words`` words."""
+    """Positions in ``a`` of aligned blocks (runs that are adjacent in both) with at least ``min_words`` words. What is left
+    of ``a`` is aligned again until no block is found."""
     out: list[int] = []
-    block: list[int] = []
-    last = (-2, -2)
-    for p, q in [*patience_matches(a, b), (-2, -2)]:
-        if (p, q) != (last[0] + 1, last[1] + 1) or p < 0:
-            if sum(a_words[k] for k in block) >= min_words:
-                out += block
-            block = []
-        block.append(p)
-        last = (p, q)
-    return out
+    left: list = list(a)
+    while True:
+        found: list[int] = []
+        block: list[int] = []
+        last = (-2, -2)
+        for p, q in [*patience_matches(left, b), (-2, -2)]:
+            if (p, q) != (last[0] + 1, last[1] + 1) or p < 0:
+                if sum(a_words[k] for k in block) >= min_words:
+                    found += block
+                block = []
+            block.append(p)
+            last = (p, q)
+        if not found:
+            return sorted(out)
+        out += found
+        for k in found:
+            left[k] = None  # equals no line
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -123,9 +140,8 @@ def line_runs(hashes: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS)
     return found, times == 1
 
 
-def overlapping_pairs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, owner): a document and the earliest holder of one of its runs, and the earliest in which the run is alone;
-    each pair once."""
+def overlapping_pairs(lines: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE, hot: int = HOT) -> DataFrame:
+    """(key, owner): a document and an earlier one that share a run of lines, each pair once; see above for which."""
 
     def runs(hashes: pa.Array, words: pa.Array) -> pa.Array:
         told = [line_runs(np.array(h, np.int64), np.array(w, np.int64), min_words) for h, w in zip(hashes.to_pylist(), words.to_pylist(), strict=True)]
@@ -133,45 +149,58 @@ def overlapping_pairs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
         run, alone = (pa.array(np.concatenate([np.zeros(0, t), *x])) for t, x in ((np.int64, [r for r, _ in told]), (bool, [o for _, o in told])))
         return pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([run, alone], ["run", "alone"]))
 
-    from pyspark.sql.functions import arrow_udf
+    kind = "array<struct<run:long,alone:boolean>>"
+    whole = F.array(F.struct(F.xxhash64(F.lit("whole"), "hashes").alias("run"), F.lit(True).alias("alone"))).cast(kind)
+    enough = F.aggregate("words", F.lit(0), lambda a, x: a + x) >= min_words
+    held = lines.where(enough).select("key", F.inline(F.concat(arrow_udf(runs, kind)("hashes", "words"), whole)))
+    held = materialize(held, "runs")
+    owners = held.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.min(F.when(F.col("alone"), F.col("key"))).alias("other")).where("n > 1")
+    owners = materialize(owners, "owners")
+    few = held.join(owners.where(F.col("n") <= hot), "run").withColumn("salt", F.lit(0))
+    salted = owners.where(F.col("n") > hot).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    many = held.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["run", "salt"]).select(*few.columns)
 
-    held = lines.select("key", arrow_udf(runs, "array<struct<run:long,alone:boolean>>")("hashes", "words").alias("runs")).select("key", F.inline("runs"))
-    owners = held.groupBy("run").agg(F.min("key").alias("owner"), F.max("key").alias("last"), F.min(F.when(F.col("alone"), F.col("key"))).alias("other"))
-    owners = owners.where("owner <> last").select("run", F.array_distinct(F.array("owner", "other")).alias("owners"))
-    return held.join(owners, "run").select("key", F.explode("owners").alias("owner")).where("key > owner").distinct()
+    def earlier(met: DataFrame) -> DataFrame:
+        at = Window.partitionBy("run", "salt").orderBy("key")
+        before = F.array(*[F.lag("key", k).over(at) for k in range(1, rare)])
+        known = F.when(F.col("n") <= rare, before).otherwise(F.array("first", "other", F.get(before, F.lit(0))))
+        return met.select("key", known.alias("known")).select("key", F.explode("known").alias("owner")).where("key > owner")
 
+    return earlier(few).union(earlier(many)).distinct()
 
-def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+
+def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE, hot: int = HOT) -> DataFrame:
     """(key, gone): positions of the lines that are deleted from a document."""
     bounded_batches(docs.sparkSession)
     lines = materialize(line_table(docs).dropDuplicates(["key"]), "lines")
-    pairs = overlapping_pairs(lines, min_words)
+    pairs = overlapping_pairs(lines, min_words, rare, hot)
     both = pairs.join(lines, "key").join(lines.select(F.col("key").alias("owner"), F.col("hashes").alias("owned")), "owner")
 
     def aligned(hashes: pa.Array, words: pa.Array, owned: pa.Array) -> pa.Array:
         rows = zip(hashes.to_pylist(), words.to_pylist(), owned.to_pylist(), strict=True)
         return pa.array([common_blocks(a, w, b, min_words) for a, w, b in rows], pa.list_(pa.int32()))
 
-    from pyspark.sql.functions import arrow_udf
-
     gone = both.select("key", arrow_udf(aligned, "array<int>")("hashes", "words", "owned").alias("gone")).where("size(gone) > 0")
     return gone.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE, hot: int = HOT) -> DataFrame:
     """``docs`` with the kept text, n_lines and n_removed_lines; the documents' other columns stay."""
-    gone = deleted_lines(docs, min_words)
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    keyed = docs.select(*kept, F.struct("doc_id", F.xxhash64("text").alias("tie")).alias("_key"))
-    joined = keyed.join(gone.withColumnRenamed("key", "_key").withColumnRenamed("gone", "_gone"), "_key", "left")
+    gone = deleted_lines(docs.select("doc_id", "text"), min_words, rare, hot)
+    results = ("n_lines", "n_removed_lines")
+    passed = [c for c in docs.columns if c not in (*results, "text")]
+    keyed = docs.select(packed(passed), "text", F.struct("doc_id", F.xxhash64("text").alias("tie")).alias("key"))
+    joined = keyed.join(gone, "key", "left")
     lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    changed = joined.withColumns({
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    told = {
         "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
-        "n_removed_lines": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"),
-        "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left),
-    })
-    return changed.select(*kept, "n_lines", "n_removed_lines")
+        "n_removed_lines": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long"),
+        "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(left),
+    }
+    order = [c for c in docs.columns if c not in results]
+    row = dict(zip(passed, unpacked(passed), strict=True)) | told
+    return joined.select(*[row[c].alias(c) for c in (*order, *results)])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
