@@ -29,9 +29,16 @@ WEIGHTS, MAX_REPEATS, BLOCKS, BLOCK_ROWS, SHARDS, SEED = (5.0, 2.0, 1.0), 3, 102
 #: source within TOLERANCE of its target is left as it is.
 ROUNDS, TOLERANCE = ("fit", "fit", "nearest", "fit", "fit", "nearest", "fit", "nearest"), 0.0005
 WORD = r"[^\x20\x09-\x0D]+"
+#: Sources up to which a row for each (some hundred bytes) is broadcast, so that rows of a large source need not meet in one task.
+MOST_SENT = 100_000
 RESULTS = ["size", "source_size", "target", "taken", "draws"]
 
 
+def by_source(rows: DataFrame, sources: int) -> DataFrame:
+    """A table of one row a source, to be sent to all tasks unless there are too many sources."""
+    return F.broadcast(rows) if sources <= MOST_SENT else rows
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -117,7 +124,7 @@ def towards_targets(placed: DataFrame, needs: dict[str, tuple[int, float]], seed
         if not gaps:
             break
         room = F.abs("gap")
-        open_ = placed.join(spark.createDataFrame(gaps, "src string, gap long"), "src", "left")
+        open_ = placed.join(by_source(spark.createDataFrame(gaps, "src string, gap long"), len(gaps)), "src", "left")
         open_ = open_.withColumn("open", F.coalesce((F.col("size") > 0) & (F.col("part") == (F.col("gap") < 0)), F.lit(False)))
         if kind == "fit":
             open_ = open_.withColumn("w", F.when(F.col("open") & (F.col("size") <= room), F.col("size")).otherwise(0))
@@ -130,7 +137,7 @@ def towards_targets(placed: DataFrame, needs: dict[str, tuple[int, float]], seed
             off = F.abs(room - F.col("size"))
             best = open_.where("open").where(off < room).groupBy("src").agg(F.min(F.struct(off.alias("off"), "block", "pos")).alias("best"))
             picked = (F.col("block") == F.col("best.block")) & (F.col("pos") == F.col("best.pos"))
-            turned = open_.join(best, "src", "left").withColumn("part", F.col("part") != F.coalesce(picked, F.lit(False)))
+            turned = open_.join(by_source(best, len(gaps)), "src", "left").withColumn("part", F.col("part") != F.coalesce(picked, F.lit(False)))
         was, placed = placed, materialize(turned.select(*placed.columns), "mix-part")
         discard(was)
     return placed
@@ -162,7 +169,7 @@ def mix_sources(
 
     def dealt(rows: DataFrame) -> DataFrame:
         inside = Window.partitionBy("src", "block").orderBy("deal", "id", "size", "tie")
-        return rows.join(deals, "src").withColumn("block", F.pmod("deal", "deals")).withColumn("pos", F.row_number().over(inside))
+        return rows.join(by_source(deals, len(names)), "src").withColumn("block", F.pmod("deal", "deals")).withColumn("pos", F.row_number().over(inside))
 
     places = materialize(dealt(narrow).drop("tie", "deals"), "mix-places")
     discard(narrow)
@@ -179,7 +186,7 @@ def mix_sources(
     placed = towards_targets(materialize(placed, "mix-part"), {n: (needs[n], t) for n, t in zip(names, targets, strict=True)}, seed)
 
     rows = (places if slim else dealt(keyed)).join(placed.select("src", "block", "pos", "part"), ["src", "block", "pos"])
-    rows = rows.join(drawn.drop("drawn"), ["src", "block"], "left").join(sources.drop("n"), "src")
+    rows = rows.join(drawn.drop("drawn"), ["src", "block"], "left").join(by_source(sources.drop("n"), len(names)), "src")
     none = F.array().cast("array<struct<pass:int,shard:int>>")
     last = F.when(F.col("part"), F.array(F.struct(F.col("passes").alias("pass"), F.col("own").alias("shard")))).otherwise(none)
     copies = F.when(F.col("size") > 0, F.concat(F.coalesce("whole", none), last)).otherwise(none)
