@@ -1,19 +1,22 @@
 """Quality rules with robust multivariate outliers. DataFrame functions only.
 
 Statistics of each text (words, symbols, repeated lines, words in repeated three-word windows) are transformed into a
-vector. For each language and source a minimum-covariance-determinant estimate is made of the vectors that pass the base
-rules: from the three quarters that are nearest to the coordinate-wise median, concentration steps take mean and
-covariance of the nearest three quarters by Mahalanobis distance again and again. Each coordinate has a scale below
-which differences do not count; its square is added to the variance, so that statistics that are constant in most
-documents do not make the covariance singular. A document is rejected if its distance is beyond a chi-square quantile.
-
-Groups with fewer than ``MIN_GROUP`` documents use the estimate of their language, or else of all documents; with fewer
-in all, nothing is rejected by distance. Quantiles within a group come from counts of a fixed grid of values, so no
-group is gathered in one task, and results do not depend on the partitioning.
+vector. For each language and source, each language, and all documents, a minimum-covariance-determinant estimate is made
+of the vectors that pass the base rules. From several starts (the coordinate-wise median, and small sets of vectors drawn
+by hashes) concentration steps take mean and covariance of the nearest three quarters by Mahalanobis distance again, until
+no determinant falls any more; the start that ends with the least determinant wins. Each coordinate has a scale below
+which differences do not count; its square is added to the variance (the regularised form of the estimator), so that
+statistics that are constant in most documents do not make the covariance singular. A document is rejected if its distance
+is beyond a chi-square quantile.
+
+Every group has an estimate of its own. That of a group with fewer than ``FULL`` documents is mixed with that of its
+language, in proportion to its documents, and a language's with that of all documents in the same way. Vectors that fall
+into one cell of a fine grid are one weighted point, and moments are summed by bins of the distance, so no group is
+gathered in one task and results do not depend on the partitioning.
 
 Defined results: a null text has no words, and fails the base rules as an empty one does; null languages and sources are
 groups of their own; repeated rows are judged alike, each on its own; empty tables give empty results; other columns
-pass through, those named like a result column are replaced.
+pass through, whatever their names, and those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -24,13 +27,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import discard, materialize, read_table
+from ._spark import discard, materialize, packed, read_table, unpacked
 
 WORD, SPACE, SYMBOL = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+", r"[#*$%&|<>]"
 #: Base rules: least words, largest percentage of words in repeated windows.
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: Least documents of a group; share of them that the estimate rests on; steps; quantile of the distance.
-MIN_GROUP, SHARE, STEPS, QUANTILE = 50, 0.75, 4, 0.99999
+#: Documents of a group whose estimate stands alone; share of them that it rests on; most steps; starts besides the median;
+#: quantile of the distance.
+FULL, SHARE, STEPS, STARTS, QUANTILE = 100, 0.75, 10, 3, 0.99999
 #: What each coordinate is and the scale below which differences do not count.
 COORDINATES = {
     "_z0": (lambda: F.col("word_chars") / F.col("n_words"), 0.3),
@@ -40,9 +44,9 @@ COORDINATES = {
 }
 Z = list(COORDINATES)
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-#: Values are clipped to +-LIMIT scales; quantiles are read off a grid of 1/GRID scales.
-LIMIT, GRID = 1000.0, 16
-#: Parts of a group's rows that meet its estimate apart from one another: all documents are one of the groups.
+#: Values are clipped to +-LIMIT scales; medians are read off a grid of 1/GRID scales; points are cells of 1/CELL scales.
+LIMIT, GRID, CELL = 1000.0, 16, 1024
+#: Parts of a group's points that meet its estimate apart from one another: all documents are one of the groups.
 SALTS = 64
 
 
@@ -117,34 +121,47 @@ def group_keys(lang: Column, source: Column) -> Column:
     return F.array(F.concat(F.lit("2"), mark(lang), F.lit("\n"), mark(source)), F.concat(F.lit("1"), mark(lang)), F.lit("0"))
 
 
-def vectors(stats: DataFrame) -> DataFrame:
-    """(key, _z0..., _salt): the vector of each document that passes the base rules, once for each of its groups."""
-    clipped = [F.least(F.greatest(value() / scale, F.lit(-LIMIT)), F.lit(LIMIT)).alias(z) for z, (value, scale) in COORDINATES.items()]
-    return stats.where(~F.col("base_failed")).select(F.explode(group_keys(F.col("lang"), F.col("source"))).alias("key"), *clipped, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("_salt"))
+def clipped() -> dict[str, Column]:
+    return {z: F.least(F.greatest(value() / scale, F.lit(-LIMIT)), F.lit(LIMIT)) for z, (value, scale) in COORDINATES.items()}
 
 
-def salted(groups: DataFrame) -> DataFrame:
-    """A row of each group for each part of its rows."""
-    return groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def points(stats: DataFrame) -> DataFrame:
+    """(key, n, _z0..., _salt): for each group the occupied cells of the grid, with their documents and mean vector."""
+    rows = stats.where(~F.col("base_failed")).select("lang", "source", *[x.alias(z) for z, x in clipped().items()])
+    cells = rows.groupBy("lang", "source", *[F.floor(F.col(z) * CELL).alias(f"{z}c") for z in Z]).agg(F.count(F.lit(1)).alias("n"), *[F.sum(z).alias(z) for z in Z])
+    cells = cells.withColumn("key", F.explode(group_keys(F.col("lang"), F.col("source"))))
+    every = cells.groupBy("key", *[f"{z}c" for z in Z]).agg(F.sum("n").alias("n"), *[F.sum(z).alias(z) for z in Z])
+    return every.select("key", "n", *[(F.col(z) / F.col("n")).alias(z) for z in Z], F.pmod(F.xxhash64(*[f"{z}c" for z in Z]), F.lit(SALTS)).cast("int").alias("_salt"))
 
 
 def grid_quantile(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """keys and q: the smallest ``bin`` up to which a share of the rows lies."""
-    counts = rows.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    """keys and q: the smallest ``bin`` up to which a share of the documents (``n``) lies."""
+    counts = rows.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
     upto, whole = Window.partitionBy(*keys).orderBy("bin"), Window.partitionBy(*keys)
     told = counts.withColumns({"upto": F.sum("n").over(upto), "whole": F.sum("n").over(whole)})
-    return told.where(F.col("upto") >= share * F.col("whole")).groupBy(*keys).agg(F.min("bin").alias("q"), F.first("whole").alias("size"))
+    return told.where(F.col("upto") >= share * F.col("whole")).groupBy(*keys).agg(F.min("bin").alias("q"))
+
+
+def moments() -> list[str]:
+    return [f"_m{i}" for i in range(len(Z))] + [f"_v{i}_{j}" for i in range(len(Z)) for j in range(i, len(Z))]
+
+
+def factors() -> list[str]:
+    return [f"_l{i}_{j}" for i in range(len(Z)) for j in range(i + 1)]
 
 
-def with_factor(estimate: DataFrame) -> DataFrame:
-    """estimate: key, _m, _v. Adds _l, the Cholesky factor of the covariance with the scales' squares (1) added."""
+def with_factor(estimate: DataFrame, consistency: float = CONSISTENCY) -> DataFrame:
+    """Adds _l, the Cholesky factor of the covariance with the scales' squares (1) added, and its determinant's logarithm."""
     for i in range(len(Z)):
         for j in range(i + 1):
-            value = F.col(f"_v{j}_{i}") * CONSISTENCY + (1.0 if i == j else 0.0)
+            value = F.col(f"_v{j}_{i}") * consistency + (1.0 if i == j else 0.0)
             for k in range(j):
                 value = value - F.col(f"_l{i}_{k}") * F.col(f"_l{j}_{k}")
             estimate = estimate.withColumn(f"_l{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-6))) if i == j else value / F.col(f"_l{j}_{j}"))
-    return estimate.select("key", *[f"_m{i}" for i in range(len(Z))], *[f"_l{i}_{j}" for i in range(len(Z)) for j in range(i + 1)])
+    log = F.lit(0.0)
+    for i in range(len(Z)):
+        log = log + 2 * F.ln(F.col(f"_l{i}_{i}"))
+    return estimate.withColumn("logdet", log)
 
 
 def with_distance(rows: DataFrame) -> DataFrame:
@@ -164,55 +181,96 @@ def distance_bin(d2: Column) -> Column:
     return F.floor(F.log1p(d2) * 256).cast("int")
 
 
-def concentrated(rows: DataFrame) -> DataFrame:
-    """Mean and covariance of each group's rows whose ``bin`` is in the nearest share."""
-    near = rows.join(salted(grid_quantile(rows, ["key"], SHARE)), ["key", "_salt"]).where(F.col("bin") <= F.col("q"))
-    # sums around the first guess lose no digits
-    means = [F.avg(z).alias(f"_m{i}") for i, z in enumerate(Z)]
-    spread = [F.covar_pop(Z[i], Z[j]).alias(f"_v{i}_{j}") for i in range(len(Z)) for j in range(i, len(Z))]
-    return near.groupBy("key").agg(*means, *spread)
+def first_estimates(rows: DataFrame) -> DataFrame:
+    """key, start, _m and _l of each start: the median with the scales, and sets of one vector more than coordinates."""
+    bins = F.array(*[F.struct(F.lit(i).alias("coordinate"), F.floor(F.col(z) * GRID).cast("int").alias("bin")) for i, z in enumerate(Z)])
+    middles = grid_quantile(rows.select("key", "n", F.inline(bins)), ["key", "coordinate"], 0.5)
+    median = middles.groupBy("key").agg(*[F.max(F.when(F.col("coordinate") == i, (F.col("q") + 0.5) / GRID)).alias(f"_m{i}") for i in range(len(Z))])
+    median = median.select("key", F.lit(0).alias("start"), *[f"_m{i}" for i in range(len(Z))], *[F.lit(float(i == j)).alias(f"_l{i}_{j}") for i in range(len(Z)) for j in range(i + 1)])
+    some = len(Z) + 1
+    pick = lambda s, k: F.min(F.struct(F.xxhash64(F.lit(1000 * s + k), *Z).alias("h"), *Z)).alias(f"p{s}_{k}")
+    drawn = rows.groupBy("key").agg(*[pick(s, k) for s in range(1, STARTS + 1) for k in range(some)])
+    starts = median
+    for s in range(1, STARTS + 1):
+        at = lambda i, k, s=s: F.col(f"p{s}_{k}.{Z[i]}")
+        means = {f"_m{i}": sum((at(i, k) for k in range(some)), F.lit(0.0)) / some for i in range(len(Z))}
+        spread = {f"_v{i}_{j}": sum(((at(i, k) - F.col(f"_m{i}")) * (at(j, k) - F.col(f"_m{j}")) for k in range(some)), F.lit(0.0)) / some for i in range(len(Z)) for j in range(i, len(Z))}
+        mine = with_factor(drawn.withColumns(means).withColumns(spread), 1.0)
+        starts = starts.unionByName(mine.select("key", F.lit(s).alias("start"), *[f"_m{i}" for i in range(len(Z))], *factors()))
+    return starts.withColumn("logdet", F.lit(float("inf")))
+
+
+def concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """One concentration step of every start: mean and covariance of the nearest share. Sums are made by bins of the distance
+    (around the last mean, so that they lose no digits), in one pass over the points."""
+    told = estimates.groupBy("key").agg(F.collect_list(F.struct("start", *[f"_m{i}" for i in range(len(Z))], *factors(), "logdet")).alias("e"))  # a few starts
+    met = rows.join(told.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "_salt"])
+    each = with_distance(met.select("key", "n", *Z, F.inline("e"))).withColumn("bin", distance_bin(F.col("_d2")))
+    off = lambda i: F.col(Z[i]) - F.col(f"_m{i}")
+    sums = {f"s{i}": F.sum(F.col("n") * off(i)) for i in range(len(Z))} | {f"s{i}_{j}": F.sum(F.col("n") * off(i) * off(j)) for i in range(len(Z)) for j in range(i, len(Z))}
+    same = [F.first(f"_m{i}").alias(f"_m{i}") for i in range(len(Z))]
+    binned = each.groupBy("key", "start", "bin").agg(F.sum("n").alias("n"), *[x.alias(k) for k, x in sums.items()], *same, F.first("logdet").alias("was"))
+    upto, whole = Window.partitionBy("key", "start").orderBy("bin"), Window.partitionBy("key", "start")
+    near = binned.withColumns({"upto": F.sum("n").over(upto), "whole": F.sum("n").over(whole)})
+    # up to the first bin with which the share is reached
+    near = near.where((F.col("upto") - F.col("n")) < SHARE * F.col("whole")).groupBy("key", "start")
+    near = near.agg(F.sum("n").alias("h"), F.first("whole").alias("n"), F.first("was").alias("was"), *[F.sum(k).alias(k) for k in sums], *same)
+    share = {k: F.col(k) / F.col("h") for k in sums}
+    near = near.withColumns({f"_v{i}_{j}": share[f"s{i}_{j}"] - share[f"s{i}"] * share[f"s{j}"] for i in range(len(Z)) for j in range(i, len(Z))})
+    near = near.withColumns({f"_m{i}": F.col(f"_m{i}") + share[f"s{i}"] for i in range(len(Z))})
+    return with_factor(near).select("key", "start", "n", "was", "logdet", *moments(), *factors())
 
 
 def mcd_estimates(stats: DataFrame) -> DataFrame:
-    """key, _m and _l for each group, language and all documents with at least MIN_GROUP documents."""
-    every = vectors(stats)
-    sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_GROUP).select("key")
-    rows = materialize(every.join(salted(sizes), ["key", "_salt"]), "vectors")
-    bins = F.array(*[F.struct(F.lit(i).alias("coordinate"), F.floor(F.col(z) * GRID).cast("int").alias("bin")) for i, z in enumerate(Z)])
-    middles = grid_quantile(rows.select("key", F.inline(bins)), ["key", "coordinate"], 0.5)
-    start = middles.groupBy("key").agg(*[F.max(F.when(F.col("coordinate") == i, (F.col("q") + 0.5) / GRID)).alias(f"_m{i}") for i in range(len(Z))])
-    squares = F.lit(0.0)
-    for i, z in enumerate(Z):
-        squares = squares + (F.col(z) - F.col(f"_m{i}")) * (F.col(z) - F.col(f"_m{i}"))
-    placed = rows.join(salted(start), ["key", "_salt"]).withColumn("bin", distance_bin(squares)).select("key", "_salt", *Z, "bin")
-    estimate = None
+    """key, n, logdet, _m, _v and _l of each group, language and all documents: the least determinant over all starts."""
+    rows = materialize(points(stats), "points")
+    estimates = materialize(first_estimates(rows), "mcd")
     for _ in range(STEPS):
-        was, estimate = estimate, materialize(with_factor(concentrated(placed)), "mcd")
+        was, estimates = estimates, materialize(concentrated(rows, estimates), "mcd")
         discard(was)
-        placed = with_distance(rows.join(salted(estimate), ["key", "_salt"])).withColumn("bin", distance_bin(F.col("_d2"))).select("key", "_salt", *Z, "bin")
-    return estimate
+        if estimates.where(F.col("was") - F.col("logdet") > 1e-9).isEmpty():
+            break
+    discard(rows)
+    return estimates.groupBy("key").agg(F.min_by(F.struct("n", "logdet", *moments(), *factors()), F.struct("logdet", "start")).alias("e")).select("key", "e.*")
+
+
+def mixed_with(own: str, parent: str) -> list[Column]:
+    """The moments of ``own``, mixed with those of ``parent`` in proportion to the documents of ``own``."""
+    w = F.least(F.lit(1.0), F.col(f"{own}.n") / F.lit(float(FULL)))
+    blend = lambda c: w * F.col(f"{own}.{c}") + (1 - w) * F.col(f"{parent}.{c}")
+    apart = lambda i: F.col(f"{own}._m{i}") - F.col(f"{parent}._m{i}")
+    means = [blend(f"_m{i}").alias(f"_m{i}") for i in range(len(Z))]
+    # that of a mixture: the distance of the means counts as well
+    return means + [(blend(f"_v{i}_{j}") + w * (1 - w) * apart(i) * apart(j) / CONSISTENCY).alias(f"_v{i}_{j}") for i in range(len(Z)) for j in range(i, len(Z))]
+
+
+def group_estimates(stats: DataFrame) -> DataFrame:
+    """lang, source, _m and _l: what documents of each language and source are judged by."""
+    estimates = materialize(mcd_estimates(stats).select("key", F.struct("n", *moments()).alias("e")), "estimates")
+    combos = stats.select("lang", "source").distinct().withColumn("keys", group_keys(F.col("lang"), F.col("source")))
+    for k, name in enumerate(("own", "tongue", "every")):
+        combos = combos.withColumn("key", F.get("keys", F.lit(k))).join(estimates.withColumnRenamed("e", name), "key", "left").drop("key")
+    # without a document that passes the base rules, a group is its language, and a language is all documents
+    tongue = F.when(F.col("tongue").isNull(), F.struct(F.lit(0).cast("long").alias("n"), *[F.col(f"every.{c}").alias(c) for c in moments()])).otherwise(F.col("tongue"))
+    combos = combos.withColumn("tongue", tongue)
+    combos = combos.withColumn("tongue", F.struct(F.col("tongue.n").alias("n"), *mixed_with("tongue", "every")))
+    own = F.when(F.col("own").isNull(), F.struct(F.lit(0).cast("long").alias("n"), *[F.col(f"tongue.{c}").alias(c) for c in moments()])).otherwise(F.col("own"))
+    combos = combos.withColumn("own", own).select("lang", "source", *mixed_with("own", "tongue"))
+    return materialize(with_factor(combos).select("lang", "source", *[f"_m{i}" for i in range(len(Z))], *factors()), "groups")
 
 
 def judge_quality(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``docs`` (default all) with the statistics, base_failed, distance2 and kept."""
     kept = [c for c in (docs.columns if columns is None else columns) if c not in (*RESULTS, "distance2")]
-    extra = [c for c in ("lang", "source") if c not in kept]
-    narrow = set(kept) <= {"doc_id", "lang", "source"}
-    stats = text_statistics(docs, [*kept, *extra])
-    slim = materialize(stats if narrow else stats.drop(*[c for c in kept if c not in ("lang", "source")]), "stats")
-    estimate = mcd_estimates(slim)
-    known = estimate.groupBy("key").count().select("key", F.lit(True).alias("known"))
-    rows = slim if narrow else stats
-    # the finest of a document's groups that has an estimate
-    combos = slim.select("lang", "source").distinct().withColumn("keys", group_keys(F.col("lang"), F.col("source")))
-    named = combos.select("lang", "source", F.explode("keys").alias("key")).join(known, "key").groupBy("lang", "source").agg(F.max("key").alias("key"))
-    named = named.join(estimate, "key").drop("key").withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    slim = set(kept) <= {"doc_id", "lang", "source"}
+    stats = text_statistics(docs.select(packed(kept), "text", "lang", "source"), ["row", "lang", "source"])
+    narrow = materialize(stats if slim else stats.drop("row"), "stats")
+    named = group_estimates(narrow).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    rows = narrow if slim else stats
     joined = rows.join(named, rows["lang"].eqNullSafe(named["_lang"]) & rows["source"].eqNullSafe(named["_source"]), "left")
-    clipped = {z: F.least(F.greatest(value() / scale, F.lit(-LIMIT)), F.lit(LIMIT)) for z, (value, scale) in COORDINATES.items()}
-    clipped = {z: F.when(F.col("n_words") > 0, x) for z, x in clipped.items()}
-    judged = with_distance(joined.withColumns(clipped)).withColumn("distance2", F.col("_d2"))
-    judged = judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True)))
-    return judged.select(*kept, *RESULTS, "distance2")
+    judged = with_distance(joined.withColumns({z: F.when(F.col("n_words") > 0, x) for z, x in clipped().items()}))
+    judged = judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("_d2") <= CUTOFF, F.lit(True)))
+    return judged.select(*unpacked(kept), *RESULTS, F.col("_d2").alias("distance2"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
