@@ -234,14 +234,18 @@ def mcd_estimates(stats: DataFrame) -> DataFrame:
     return estimates.groupBy("key").agg(F.min_by(F.struct("n", "logdet", *moments(), *factors()), F.struct("logdet", "start")).alias("e")).select("key", "e.*")
 
 
-def mixed_with(own: str, parent: str) -> list[Column]:
-    """The moments of ``own``, mixed with those of ``parent`` in proportion to the documents of ``own``."""
-    w = F.least(F.lit(1.0), F.col(f"{own}.n") / F.lit(float(FULL)))
-    blend = lambda c: w * F.col(f"{own}.{c}") + (1 - w) * F.col(f"{parent}.{c}")
-    apart = lambda i: F.col(f"{own}._m{i}") - F.col(f"{parent}._m{i}")
+def mixed_with(groups: DataFrame, own: str, parent: str) -> DataFrame:
+    """``groups`` with the moments of ``own`` mixed with those of ``parent`` in proportion to the documents of ``own``. Written,
+    since the optimizer would otherwise put one mixture's expressions into the next one's again and again."""
+    w = F.least(F.lit(1.0), F.coalesce(F.col(f"{own}.n"), F.lit(0)) / F.lit(float(FULL)))
+    # without a document that passes the base rules, a group is its parent
+    mine = lambda c: F.coalesce(F.col(f"{own}.{c}"), F.col(f"{parent}.{c}"))
+    blend = lambda c: w * mine(c) + (1 - w) * F.col(f"{parent}.{c}")
+    apart = lambda i: mine(f"_m{i}") - F.col(f"{parent}._m{i}")
     means = [blend(f"_m{i}").alias(f"_m{i}") for i in range(len(Z))]
-    # that of a mixture: the distance of the means counts as well
-    return means + [(blend(f"_v{i}_{j}") + w * (1 - w) * apart(i) * apart(j) / CONSISTENCY).alias(f"_v{i}_{j}") for i in range(len(Z)) for j in range(i, len(Z))]
+    # the covariance is that of a mixture: the distance of the means counts as well
+    spread = [(blend(f"_v{i}_{j}") + w * (1 - w) * apart(i) * apart(j) / CONSISTENCY).alias(f"_v{i}_{j}") for i in range(len(Z)) for j in range(i, len(Z))]
+    return materialize(groups.withColumn(own, F.struct(F.col(f"{own}.n").alias("n"), *means, *spread)), "mixtures")
 
 
 def group_estimates(stats: DataFrame) -> DataFrame:
@@ -250,13 +254,8 @@ def group_estimates(stats: DataFrame) -> DataFrame:
     combos = stats.select("lang", "source").distinct().withColumn("keys", group_keys(F.col("lang"), F.col("source")))
     for k, name in enumerate(("own", "tongue", "every")):
         combos = combos.withColumn("key", F.get("keys", F.lit(k))).join(estimates.withColumnRenamed("e", name), "key", "left").drop("key")
-    # without a document that passes the base rules, a group is its language, and a language is all documents
-    tongue = F.when(F.col("tongue").isNull(), F.struct(F.lit(0).cast("long").alias("n"), *[F.col(f"every.{c}").alias(c) for c in moments()])).otherwise(F.col("tongue"))
-    combos = combos.withColumn("tongue", tongue)
-    combos = combos.withColumn("tongue", F.struct(F.col("tongue.n").alias("n"), *mixed_with("tongue", "every")))
-    own = F.when(F.col("own").isNull(), F.struct(F.lit(0).cast("long").alias("n"), *[F.col(f"tongue.{c}").alias(c) for c in moments()])).otherwise(F.col("own"))
-    combos = combos.withColumn("own", own).select("lang", "source", *mixed_with("own", "tongue"))
-    return materialize(with_factor(combos).select("lang", "source", *[f"_m{i}" for i in range(len(Z))], *factors()), "groups")
+    combos = mixed_with(mixed_with(combos.drop("keys"), "tongue", "every"), "own", "tongue")
+    return materialize(with_factor(combos.select("lang", "source", "own.*")).select("lang", "source", *[f"_m{i}" for i in range(len(Z))], *factors()), "groups")
 
 
 def judge_quality(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
