@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sitefold.llm._spark import materialize, read_table
 from sitefold.llm.line_dedup import dedup_lines
-from sitefold.llm.mixing import mix_sources, mixed_rows
+from sitefold.llm.mixing import mix_sources, shuffled_rows
 from sitefold.llm.ngram_join import one_of_each_group
 from sitefold.llm.packing import pack_documents
 from sitefold.llm.toxicity import fit, score
@@ -39,8 +39,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, once for each time it takes them."""
-    return mixed_rows(mix_sources(docs)).select(*COLUMNS)
+    """The documents that the mix takes, once for each time it takes them, in the shuffled order of their shards."""
+    return shuffled_rows(mix_sources(docs)).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
