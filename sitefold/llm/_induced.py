@@ -1,12 +1,18 @@
 """External induced suffix sorting with capped common-prefix values (numpy, inside one task).
 
 Suffixes are sorted as in induced sorting: positions after which the text first rises (LMS) are sorted by recursion on
-their named substrings, and their order induces that of all others in two scans over buckets by first character. A scan
-reads each bucket's queue in order and pushes the suffix that starts one character earlier to the queue of that
-character; every tuple carries the length it has in common with the tuple before it, which is one more than the least
-such value between their sources. Both scans are monotone in the first character, so the priority queue is a queue for
-each character. The queues keep a bounded number of bytes in memory and the rest in a temporary file that ends with
-the task, so a shard may be far larger than memory. The recursion ends by doubling prefixes when names are all distinct or too many for queues.
+their named substrings, and their order induces that of all others in two scans. The tuples of a scan, a position and the
+length it has in common with the tuple before it, are in a priority queue: as the number of suffixes of each first
+character is known, every tuple has a slot, and the slots of a character fill up in the order in which they are pushed.
+A scan reads the slots in runs: as far as they are filled, and no farther than the least slot that the run itself pushes
+to. Names of a recursion are characters like any other, so every level is induced, whatever the number of names. The
+common-prefix value of a pushed tuple is one more than the least value between its source and the source before; those of
+the LMS suffixes come from the recursion: so many names in common are so many characters, to which comes what the first
+unlike substrings have in common.
+
+All arrays that are as long as the text (text, types, names, queues) live in a :class:`Store`. It keeps a bounded number of
+bytes in memory and the rest in temporary files that end with the task; scans, pushes and comparisons take blocks of at
+most ``BLOCK`` entries. So a shard may be far larger than memory.
 
 Common-prefix values are capped at ``cap``; order and values are exact up to that many characters.
 """
@@ -14,280 +20,349 @@ Common-prefix values are capped at ``cap``; order and values are exact up to tha
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 
-from ._words import BYTE_EXACT, prefix_sums, range_hash
-
-#: Tuples of one read from a queue; names up to which the recursion induces.
-BLOCK, MOST_NAMES = 1 << 18, 512
-
-
-class Queues:
-    """First-in first-out queues of (position, common prefix) for each character, spilled to disk beyond a budget."""
-
-    def __init__(self, characters: int, budget: int):
-        self.recent: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(characters)]
-        self.spilled: list[list[tuple[int, int]]] = [[] for _ in range(characters)]
-        self.budget, self.held, self.file = budget, 0, None
-
-    def push(self, c: int, pos: np.ndarray, lcp: np.ndarray) -> None:
-        self.recent[c].append((pos, lcp))
-        self.held += pos.nbytes + lcp.nbytes
-        if self.held > self.budget:
-            self.spill()
-
-    def spill(self) -> None:
-        self.file = self.file or tempfile.TemporaryFile()
-        self.file.seek(0, 2)
-        for c, parts in enumerate(self.recent):
-            if parts:
-                pos, lcp = (np.concatenate(x) for x in zip(*parts, strict=True))
-                for k in range(0, len(pos), BLOCK):
-                    at = self.file.tell()
-                    pos[k : k + BLOCK].astype(np.int64).tofile(self.file)
-                    lcp[k : k + BLOCK].tofile(self.file)
-                    self.spilled[c].append((at, len(pos[k : k + BLOCK])))
-                self.recent[c] = []
-        self.held = 0
-
-    def _read(self, at: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        self.file.seek(at)
-        return np.fromfile(self.file, np.int64, n), np.fromfile(self.file, np.uint8, n)
-
-    def _recent(self, c: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        parts, self.recent[c] = self.recent[c], []
-        self.held -= sum(p.nbytes + x.nbytes for p, x in parts)
-        if not parts:
-            return []
-        pos, lcp = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return [(pos[k : k + BLOCK], lcp[k : k + BLOCK]) for k in range(0, len(pos), BLOCK)]
-
-    def drain(self, c: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All tuples of ``c``, those too that are pushed meanwhile."""
-        while self.spilled[c] or self.recent[c]:
-            blocks, self.spilled[c] = self.spilled[c], []
-            for at, n in blocks:
-                yield self._read(at, n)
-            if not self.spilled[c]:
-                yield from self._recent(c)
-
-    def drain_back(self, c: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All tuples of ``c`` in blocks from the last to the first; within a block in order."""
-        yield from reversed(self._recent(c))
-        blocks, self.spilled[c] = self.spilled[c], []
-        for at, n in reversed(blocks):
-            yield self._read(at, n)
-
-    def close(self) -> None:
-        if self.file:
-            self.file.close()
-
-
-class RangeMin:
-    """Least values of ranges of a short array."""
-
-    def __init__(self, values: np.ndarray):
-        self.levels = [values]
-
-    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Over left..right, both included and left <= right."""
-        span = right - left + 1
-        level = np.frexp(span.astype(np.float64))[1] - 1
-        while len(self.levels) <= (int(level.max()) if len(level) else 0):
-            half = 1 << (len(self.levels) - 1)
-            last = self.levels[-1]
-            self.levels.append(np.minimum(last[:-half], last[half:]))
-        out = np.empty(len(left), np.uint8)
-        for k in np.unique(level):
-            at = np.flatnonzero(level == k)
-            table = self.levels[k]
-            out[at] = np.minimum(table[left[at]], table[right[at] - (1 << int(k)) + 1])
-        return out
-
-
-class Scan:
-    """One induction scan: pushes predecessors and keeps, for each character, the least value since its last push."""
-
-    def __init__(self, text: np.ndarray, characters: int, cap: int, budget: int, with_lcp: bool):
-        self.text, self.cap, self.with_lcp = text, cap, with_lcp
-        self.queues, self.carry = Queues(characters, budget), np.zeros(characters, np.uint8)
-
-    def feed(self, pos: np.ndarray, lcp: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray]) -> None:
-        before = self.text[np.maximum(pos - 1, 0)]
-        at = np.flatnonzero(wanted(before) & (pos > 0))
-        order = np.argsort(before[at], kind="stable")
-        at = at[order]
-        chars = before[at]
-        cut = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]]) if len(at) else np.zeros(0, np.int64)
-        if self.with_lcp:
-            least = RangeMin(lcp)
-            left = np.empty(len(at), np.int64)
-            if len(at):
-                left[1:] = at[:-1] + 1
-                left[cut] = 0
-                value = least(left, at)
-                value[cut] = np.minimum(value[cut], self.carry[chars[cut]])
-                value = np.minimum(value.astype(np.uint16) + 1, self.cap).astype(np.uint8)
-            np.minimum(self.carry, lcp.min(), out=self.carry)
-            if len(at):
-                last = at[np.r_[cut[1:], len(at)] - 1]
-                rest = np.full(len(last), 255, np.uint8)
-                open_ = last < len(lcp) - 1
-                rest[open_] = least(last[open_] + 1, np.full(open_.sum(), len(lcp) - 1))
-                self.carry[chars[cut]] = rest
-        else:
-            value = np.zeros(len(at), np.uint8)
-        pushed = pos[at] - 1
-        for k, end in zip(cut, np.r_[cut[1:], len(at)] if len(at) else cut, strict=True):
-            self.queues.push(int(chars[k]), pushed[k:end], value[k:end])
+#: Entries of one block of a scan; entries that a run of a scan tries at least.
+BLOCK, LEAST = 1 << 18, 1024
+
+
+class Store:
+    """Arrays in memory up to ``budget`` bytes, and in unnamed temporary files beyond."""
+
+    def __init__(self, budget: int):
+        self.left, self.on_disk = budget, 0
+
+    def array(self, n: int, kind: type) -> np.ndarray:
+        size = n * np.dtype(kind).itemsize
+        if size <= self.left or not n:
+            self.left -= size
+            return np.zeros(n, kind)
+        self.on_disk += size
+        file = tempfile.TemporaryFile()
+        file.truncate(size)
+        return np.memmap(file, kind, "r+", shape=(n,))
+
+    def release(self, *arrays: np.ndarray) -> None:
+        """Give back the room of arrays that were in memory and are not used any more."""
+        self.left += sum(a.nbytes for a in arrays if not isinstance(a, np.memmap))
 
 
-def lms_positions(text: np.ndarray) -> np.ndarray:
-    """Positions of S-type whose predecessor is L-type; the end of the text is smaller than any character."""
+def blocks(n: int) -> Iterator[slice]:
+    for k in range(0, n, BLOCK):
+        yield slice(k, min(k + BLOCK, n))
+
+
+def common(text: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many characters the suffixes ``p`` and ``q`` have in common, at most ``most`` and up to the end of the text."""
+    limit = np.minimum(np.minimum(len(text) - p, len(text) - q), most)
+    out = np.zeros(len(p), np.int64)
+    row, k = np.flatnonzero(limit > 0), 0
+    while len(row):
+        same = text[p[row] + k] == text[q[row] + k]
+        k += 1
+        row = row[same]
+        out[row] = k
+        row = row[limit[row] > k]
+    return out
+
+
+def rising(text: np.ndarray, store: Store) -> np.ndarray:
+    """Whether each suffix is S-type, that is smaller than the next one; the end of the text is smaller than any character."""
     n = len(text)
-    step = np.zeros(n, np.int8)
-    step[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1])
-    step[-1] = -1
-    known = np.where(step != 0, np.arange(n), n)
-    rises = step[np.minimum.accumulate(known[::-1])[::-1]] > 0
-    return np.flatnonzero(rises[1:] & ~rises[:-1]) + 1
-
-
-def induce(
-    text: np.ndarray, characters: int, seeds: np.ndarray, seed_lcp: np.ndarray | None, cap: int, budget: int
-) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """All suffixes from the last to the first in blocks (position, common prefix with the suffix before in this order,
-    whether they are S-type), induced from the sorted LMS suffixes ``seeds``."""
+    out = store.array(n, bool)
+    after, after_rises = None, False
+    for part in reversed(list(blocks(n))):
+        here = np.asarray(text[part])
+        step = np.zeros(len(here), np.int8)
+        step[:-1] = (here[1:] > here[:-1]).astype(np.int8) - (here[1:] < here[:-1])
+        if after is None:
+            step[-1] = -1
+        else:
+            step[-1] = int(after > here[-1]) - int(after < here[-1]) or (1 if after_rises else -1)
+        known = np.where(step != 0, np.arange(len(here)), len(here))
+        rises = step[np.minimum.accumulate(known[::-1])[::-1]] > 0
+        out[part] = rises
+        after, after_rises = here[0], bool(rises[0])
+    return out
+
+
+def lms_positions(rises: np.ndarray, store: Store) -> np.ndarray:
+    """S-type positions whose predecessor is L-type."""
+    found, n = [], 0
+    for part in blocks(len(rises)):
+        before = np.r_[True if part.start == 0 else rises[part.start - 1], rises[part][:-1]]
+        at = np.flatnonzero(rises[part] & ~before) + part.start
+        n += len(at)
+        kept = store.array(len(at), np.int64)
+        kept[:] = at
+        found.append(kept)
+    out = store.array(n, np.int64)
+    n = 0
+    for kept in found:
+        out[n : n + len(kept)] = kept
+        n += len(kept)
+        store.release(kept)
+    return out
+
+
+def counts_of(text: np.ndarray, characters: int, rises: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many L- and S-type suffixes begin with each character."""
+    falling, rising_ = np.zeros(characters, np.int64), np.zeros(characters, np.int64)
+    for part in blocks(len(text)):
+        chars, up = np.asarray(text[part]), np.asarray(rises[part])
+        falling += np.bincount(chars[~up], minlength=characters)
+        rising_ += np.bincount(chars[up], minlength=characters)
+    return falling, rising_
+
+
+class Queue:
+    """Tuples (position, common prefix) by slot. ``seams``: slots whose tuple follows one of the other type."""
+
+    def __init__(self, text: np.ndarray, rises: np.ndarray, size: int, heads: np.ndarray, cap: int, store: Store, with_lcp: bool):
+        self.text, self.rises, self.cap, self.store, self.with_lcp = text, rises, cap, store, with_lcp
+        self.pos = store.array(size, np.int64)
+        for part in blocks(size):
+            self.pos[part] = -1
+        self.lcp = store.array(size if with_lcp else 0, np.uint8)
+        self.head, self.first = heads.copy(), heads
+        self.carry = np.zeros(len(heads) if with_lcp else 0, np.uint8)
+        self.seams, self.seam_at = np.zeros(0, np.int64), 0
+        self.short_seams = False
+
+    def seam(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """What L- and S-type suffixes of one first character have in common: the shorter run of it."""
+        if self.short_seams:
+            return np.ones(len(p), np.uint8)
+
+        def run(at: np.ndarray) -> np.ndarray:
+            out, row = np.ones(len(at), np.int64), np.arange(len(at))
+            for k in range(1, self.cap):
+                row = row[at[row] + k < len(self.text)]
+                row = row[self.text[at[row] + k] == self.text[at[row]]]
+                if not len(row):
+                    break
+                out[row] = k + 1
+            return out
+
+        return np.minimum(np.minimum(run(p), run(q)), self.cap).astype(np.uint8)
+
+    def scan(self, up: bool) -> None:
+        """Read all slots in order; each tuple pushes the suffix that starts one character earlier, if that is S-type (``up``)
+        or L-type."""
+        slots, text, rises, head, with_lcp = self.pos, self.text, self.rises, self.head, self.with_lcp
+        s, size, width = 0, len(slots), LEAST
+        while s < size:
+            pos = slots[s : s + width]
+            if pos.min() < 0:
+                pos = pos[: int((pos < 0).argmax())]
+            end = len(pos)
+            before = pos - 1
+            at = ((rises[before] == up) & (pos > 0)).nonzero()[0]  # -1 is the last position, and left out
+            n = len(at)
+            if n:
+                chars = text[before[at]]
+                least = int(head[chars].min()) - s
+                if least < end:
+                    end = least
+                    n = int(at.searchsorted(end))
+                    at, chars, pos = at[:n], chars[:n], pos[:end]
+            # a run that had to stop early is tried shorter the next time
+            width = min(2 * width, BLOCK) if end == width else max(2 * end, LEAST)
+            if n:
+                order = chars.argsort(kind="stable")
+                at, chars = at[order], chars[order]
+                new = np.empty(n, bool)
+                new[0] = True
+                np.not_equal(chars[1:], chars[:-1], out=new[1:])
+                cut = new.nonzero()[0]
+                there = chars[cut]
+                many = np.empty(len(cut), np.int64)
+                many[:-1] = cut[1:]
+                many[-1] = n
+                many -= cut
+                slot = (head[there] - cut).repeat(many) + np.arange(n)
+                slots[slot] = before[at]
+                if with_lcp:
+                    self.push_lcp(s, pos, at, there, cut, slot)
+                head[there] += many
+            elif with_lcp:
+                np.minimum(self.carry, self.settled(s, pos).min(), out=self.carry)
+            s += end
+
+    def settled(self, s: int, pos: np.ndarray) -> np.ndarray:
+        """The common prefixes of a run of slots, with those of its seams."""
+        lcp = self.lcp[s : s + len(pos)]
+        low = self.seam_at
+        while self.seam_at < len(self.seams) and self.seams[self.seam_at] < s + len(pos):
+            self.seam_at += 1
+        if low < self.seam_at:
+            there = self.seams[low : self.seam_at]
+            lcp[there - s] = self.seam(pos[there - s], self.pos[there - 1])
+        return lcp
+
+    def push_lcp(self, s: int, pos: np.ndarray, at: np.ndarray, there: np.ndarray, cut: np.ndarray, slot: np.ndarray) -> None:
+        """Common prefixes of the tuples that the run of slots from ``s`` pushes: ``at`` are their sources, by character."""
+        n = len(pos)
+        lcp = np.empty(n + 1, np.uint8)
+        lcp[:n] = self.settled(s, pos)
+        lcp[n] = 255
+        # least values from after the source before up to the source; for the first of a character from the last run on
+        span = np.empty(2 * len(at), np.int64)
+        span[2::2] = at[:-1] + 1
+        span[2 * cut] = at[cut]
+        span[1::2] = at + 1
+        value = np.minimum.reduceat(lcp, span)[::2]
+        value[cut] = np.minimum(np.minimum.accumulate(lcp)[at[cut]], self.carry[there])
+        value = np.minimum(value, self.cap - 1) + np.uint8(1)
+        fresh = cut[slot[cut] == self.first[there]]
+        value[fresh] = 0  # the first of its character
+        self.lcp[slot] = value
+        np.minimum(self.carry, lcp.min(), out=self.carry)
+        last = np.empty(len(cut), np.int64)
+        last[:-1] = cut[1:]
+        last[-1] = len(at)
+        self.carry[there] = np.minimum.accumulate(lcp[::-1])[::-1][at[last - 1] + 1]
+
+
+def induced(text: np.ndarray, characters: int, rises: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray | None, cap: int, store: Store, substrings: bool = False) -> Queue:
+    """All suffixes from the last to the first, with the common prefix with the one before in this order, induced from the
+    LMS suffixes ``seeds`` in order; for ``substrings`` only their first characters are."""
     with_lcp = seed_lcp is not None
-    changes = np.flatnonzero(np.r_[text[1:] != text[:-1], True])
-
-    def seam(p: int, q: int) -> int:
-        """What an L- and an S-type suffix of one first character have in common: the shorter run of it."""
-        runs = changes[np.searchsorted(changes, [p, q])] - [p, q] + 1
-        return min(int(runs.min()), cap)
-
-    first_char = text[seeds]
-    bounds = np.searchsorted(first_char, np.arange(characters + 1))
-    lefts = Queues(characters, budget)
-    scan = Scan(text, characters, cap, budget, with_lcp)
-    scan.queues.push(int(text[-1]), np.array([len(text) - 1]), np.zeros(1, np.uint8))
-    largest = np.full(characters, -1, np.int64)
-    for c in range(characters):
-        for pos, lcp in scan.queues.drain(c):
-            if largest[c] < 0:
-                lcp = lcp.copy()
-                lcp[0] = 0
-            largest[c] = pos[-1]
-            lefts.push(c, pos, lcp)
-            scan.feed(pos, lcp, lambda before, c=c: before >= c)
-        mine = slice(bounds[c], bounds[c + 1])
-        if bounds[c] < bounds[c + 1]:
-            pos = seeds[mine]
-            lcp = seed_lcp[mine].copy() if with_lcp else np.zeros(len(pos), np.uint8)
-            lcp[0] = seam(largest[c], pos[0]) if with_lcp and largest[c] >= 0 else 0
-            scan.feed(pos, lcp, lambda before, c=c: before > c)
-    scan.queues.close()
-
-    scan = Scan(text, characters, cap, budget, with_lcp)
-    for c in reversed(range(characters)):
-        last = -1
-        for pos, lcp in scan.queues.drain(c):
-            if last < 0:
-                lcp = lcp.copy()
-                lcp[0] = 0
-            last = int(pos[-1])
-            scan.feed(pos, lcp, lambda before, c=c: before <= c)
-            yield pos, lcp, True
-        above = seam(int(largest[c]), last) if with_lcp and last >= 0 and largest[c] >= 0 else 0
-        for pos, lcp in lefts.drain_back(c):
-            back = np.r_[np.uint8(above), lcp[:0:-1]]
-            above = int(lcp[0])
-            scan.feed(pos[::-1], back, lambda before, c=c: before < c)
-            yield pos[::-1], back, False
-    scan.queues.close()
-    lefts.close()
-
-
-def doubled_order(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of ``names`` by their first ``depth`` names, by doubling prefixes."""
-    rank = names.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    span = 1
-    while span < depth:
-        next_ = np.zeros(len(rank), np.int64)
-        next_[:-span] = rank[span:] + 1
-        key = rank * (int(rank.max()) + 2) + next_
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
-        if rank[order[-1]] == len(rank) - 1:
-            break
-        span *= 2
-        if span >= len(rank):
-            break
-    return order
-
-
-def sorted_lms(text: np.ndarray, characters: int, cap: int, budget: int) -> np.ndarray:
-    """LMS positions in the order of their suffixes: substrings are sorted by induction and named, and the text of names
-    is sorted by recursion."""
-    lms = lms_positions(text)
-    if len(lms) < 2:
-        return lms
-    flags = np.zeros(len(text), bool)
-    flags[lms] = True
-    by_char = lms[np.argsort(text[lms], kind="stable")]
-    parts = [pos[flags[pos]] for pos, _, rising in induce(text, characters, by_char, None, cap, budget) if rising]
-    ordered = np.concatenate(parts)[::-1]
-    nth = np.searchsorted(lms, ordered)
-    end = np.r_[lms[1:] + 1, len(text)][nth]
-    sums = prefix_sums(BYTE_EXACT[text] if characters <= 256 else (text.astype(np.uint64) + np.uint64(1)) * BYTE_EXACT[7])
-    hashes, length = range_hash(sums, ordered, end), end - ordered
-    del sums
-    # the last substring ends with the text, and is like no other
-    same = (hashes[1:] == hashes[:-1]) & (length[1:] == length[:-1]) & (end[1:] != len(text)) & (end[:-1] != len(text))
-    named = np.cumsum(np.r_[0, ~same])
-    names = np.empty(len(lms), np.int64)
-    names[nth] = named
-    count = int(named[-1]) + 1
-    if count == len(lms):
-        return ordered
-    depth = cap // 2 + 2  # an LMS substring spans two characters at least
-    if count <= MOST_NAMES and len(lms) > 4 * MOST_NAMES:
-        seeds = sorted_lms(names, count, depth, budget)
-        order = np.concatenate([pos for pos, _, _ in induce(names, count, seeds, None, depth, budget)])[::-1]
+    falling, up = counts_of(text, characters, rises)
+    of_seeds = np.zeros(characters, np.int64)
+    for part in blocks(len(seeds)):
+        of_seeds += np.bincount(np.asarray(text[seeds[part]]), minlength=characters)
+    heads = np.cumsum(np.r_[0, falling + of_seeds])[:-1]
+    lefts = Queue(text, rises, int(falling.sum() + of_seeds.sum()), heads, cap, store, with_lcp)
+    lefts.short_seams = substrings
+    shift = np.cumsum(falling)  # L-type suffixes up to a character come before its seeds
+    for part in blocks(len(seeds)):
+        pos = np.asarray(seeds[part])
+        slot = np.arange(part.start, part.stop) + shift[text[pos]]
+        lefts.pos[slot] = pos
+        if with_lcp:
+            lefts.lcp[slot] = seed_lcp[part]
+    begins = np.flatnonzero(of_seeds > 0)
+    if with_lcp:
+        lefts.lcp[heads[begins] + falling[begins]] = 0
+    lefts.seams = (heads + falling)[(of_seeds > 0) & (falling > 0)]
+    last = int(text[-1])
+    lefts.pos[heads[last]] = len(text) - 1
+    lefts.head[last] += 1
+    lefts.scan(False)
+
+    # from the last to the first: for each character its S-type suffixes, then its L-type ones
+    before = np.cumsum((falling + up)[::-1])[::-1] - (falling + up)
+    out = Queue(text, rises, len(text), before, cap, store, with_lcp)
+    for part in blocks(len(lefts.pos)):
+        pos = np.asarray(lefts.pos[part])
+        chars = np.asarray(text[pos]).astype(np.int64)
+        nth = np.arange(part.start, part.stop) - heads[chars]
+        mine = nth < falling[chars]
+        slot = (before + up + falling - 1)[chars[mine]] - nth[mine]
+        out.pos[slot] = pos[mine]
+        if with_lcp:
+            more = mine & (nth + 1 < falling[chars])
+            out.lcp[(before + up + falling - 1)[chars[more]] - nth[more]] = lefts.lcp[np.flatnonzero(more) + part.start + 1]
+    out.seams = (before + up)[(up > 0) & (falling > 0)][::-1].copy()
+    store.release(lefts.pos, lefts.lcp)
+    out.scan(True)
+    return out
+
+
+def named(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray, cap: int, store: Store) -> tuple[np.ndarray, int]:
+    """Names of the LMS substrings in text order, from the LMS positions in the order of their substrings."""
+    names = store.array(len(lms), np.int64)
+    name, last = -1, np.zeros(0, np.int64)
+    for part in blocks(len(ordered)):
+        pos = np.r_[last, ordered[part]]
+        nth = np.searchsorted(lms, pos)
+        end = np.where(nth + 1 < len(lms), lms[np.minimum(nth + 1, len(lms) - 1)] + 1, len(text))
+        size = end - pos
+        # the last substring ends with the text, and is like no other
+        alike = (size[1:] == size[:-1]) & (nth[1:] + 1 < len(lms)) & (nth[:-1] + 1 < len(lms))
+        most = np.where(alike, np.minimum(size[1:], cap), 0)
+        same = alike & (common(text, pos[1:], pos[:-1], most) == most)
+        new = np.cumsum(np.r_[(True,) if not len(last) else (), ~same]) + name
+        names[nth[len(last) :]] = new
+        name, last = int(new[-1]), pos[-1:]
+    return names, name + 1
+
+
+def sorted_lms(text: np.ndarray, characters: int, rises: np.ndarray, lms: np.ndarray, cap: int, store: Store, depths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """LMS positions in the order of their suffixes, and the common prefix of each with the one before."""
+    n = len(lms)
+    by_char, lcp = store.array(n, np.int64), store.array(n, np.uint8)
+    if n < 2:
+        by_char[:] = lms
+        return by_char, lcp
+    head = np.zeros(characters, np.int64)
+    for part in blocks(n):
+        head += np.bincount(np.asarray(text[lms[part]]), minlength=characters)
+    head = np.cumsum(np.r_[0, head])[:-1]
+    for part in blocks(n):
+        chars = np.asarray(text[lms[part]]).astype(np.int64)
+        order = np.argsort(chars, kind="stable")
+        chars = chars[order]
+        cut = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]])
+        many = np.diff(np.r_[cut, len(chars)])
+        by_char[head[chars] + np.arange(len(chars)) - np.repeat(cut, many)] = np.asarray(lms[part])[order]
+        head[chars[cut]] += many
+    queue = induced(text, characters, rises, by_char, None, cap, store, substrings=True)
+    ordered, k = by_char, n
+    for part in blocks(len(queue.pos)):
+        pos = np.asarray(queue.pos[part])
+        mine = pos[(pos > 0) & rises[pos] & ~rises[np.maximum(pos - 1, 0)]]
+        ordered[k - len(mine) : k] = mine[::-1]
+        k -= len(mine)
+    store.release(queue.pos)
+    names, count = named(text, lms, ordered, cap, store)
+    if count < n:
+        # an LMS substring spans two characters at least
+        deeper = sorted_suffixes(names, count, cap // 2 + 2, store, depths)
+        for part in blocks(n):  # from the last to the first
+            ordered[n - part.stop : n - part.start] = lms[deeper.pos[part]][::-1]
+        for part in blocks(n - 1):
+            a, b = deeper.pos[part.start + 1 : part.stop + 1], deeper.pos[part]
+            lcp[n - part.stop : n - part.start] = carried(text, lms, a, b, deeper.lcp[part.start + 1 : part.stop + 1], cap)[::-1]
+        store.release(deeper.pos, deeper.lcp)
     else:
-        order = doubled_order(names, depth)
-    return lms[order]
-
-
-def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
-    """Capped length that each suffix has in common with the one before; 0 for the first. ``text``: bytes."""
-    padded = np.r_[text.astype(np.uint8), np.zeros(cap + 16, np.uint8)]
-    words = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(padded) - 8,), (1,))
-    out = np.zeros(len(order), np.int64)
-    row = np.arange(1, len(order))
-    for k in range(0, cap, 8):
-        if not len(row):
-            break
-        differ = words[order[row] + k] ^ words[order[row - 1] + k]
-        low = differ & (~differ + np.uint64(1))
-        equal = np.where(differ == 0, 8, (np.frexp(np.maximum(low, 1).astype(np.float64))[1] - 1) // 8)
-        out[row] += equal
-        row = row[equal == 8]
-    limit = len(text) - order
-    out[1:] = np.minimum(out[1:], np.minimum(limit[1:], limit[:-1])) if len(out) else out[1:]
-    return np.minimum(out, cap).astype(np.uint8)
-
-
-def suffixes_descending(text: np.ndarray, cap: int, budget: int = 1 << 26) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part in blocks(n - 1):
+            p, q = ordered[part], ordered[part.start + 1 : part.stop + 1]
+            lcp[part.start + 1 : part.stop + 1] = common(text, p, q, np.full(len(p), cap))
+    store.release(names)
+    return ordered, lcp
+
+
+def carried(text: np.ndarray, lms: np.ndarray, a: np.ndarray, b: np.ndarray, names: np.ndarray, cap: int) -> np.ndarray:
+    """The common prefixes of LMS suffixes (numbers ``a`` and ``b``) that have so many ``names`` in common: the characters of
+    these names, and what the first unlike substrings have in common."""
+    k = names.astype(np.int64)
+    last = len(lms) - 1
+    one, two = lms[np.minimum(a + k, last)], lms[np.minimum(b + k, last)]
+    known = np.minimum(one - lms[a], cap)
+    return np.minimum(known + common(text, one, two, cap - known), cap)
+
+
+def sorted_suffixes(text: np.ndarray, characters: int, cap: int, store: Store, depths: list[int]) -> Queue:
+    """All suffixes from the last to the first with their common prefixes; ``depths`` gets the length of each level's text."""
+    depths.append(len(text))
+    rises = rising(text, store)
+    lms = lms_positions(rises, store)
+    seeds, lcp = sorted_lms(text, characters, rises, lms, cap, store, depths)
+    store.release(lms)
+    out = induced(text, characters, rises, seeds, lcp, cap, store)
+    store.release(seeds, lcp, rises)
+    return out
+
+
+def suffixes_descending(text: np.ndarray, cap: int, budget: int = 1 << 26, depths: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes of a byte text from the last to the first, in blocks of (position, capped common prefix with the
-    suffix before in this order). ``cap`` is at most 254."""
+    suffix before in this order). ``cap`` is at most 254; ``text`` may be mapped from a file."""
     if not len(text):
         return
-    seeds = sorted_lms(text, 256, cap, budget)
-    for pos, lcp, _ in induce(text, 256, seeds, common_prefixes(text, seeds, cap), cap, budget):
-        yield pos, lcp
+    out = sorted_suffixes(text, 256, cap, Store(budget), [] if depths is None else depths)
+    for part in blocks(len(text)):
+        yield np.asarray(out.pos[part]), np.asarray(out.lcp[part])

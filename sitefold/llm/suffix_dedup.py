@@ -5,22 +5,26 @@ sorted by external induced sorting (:mod:`._induced`), shard by shard. So that s
 what can repeat, every start of a string belongs to an anchor: the k-gram with the smallest hash in the string, which
 equal strings choose alike. Anchors are dealt to shards by that hash, so all copies of a string meet in one shard.
 
-* An anchor comes with the hash of the bytes its strings cover together. Where an earlier anchor has both hashes, all
-  its strings repeat; tasks combine such anchors before they are sent, so a passage in a third of all documents is sent
-  once a task.
+* An anchor comes with the hash of the bytes its strings cover together. Where an earlier anchor has both hashes, it is the
+  same piece of text, of which only the first is sorted; tasks combine such pieces before they are sent, so a passage in a
+  third of all documents is sent once a task.
 * An anchor whose k-gram occurs nowhere else with other surroundings has nothing to be compared with.
 * The bytes around the remaining anchors, the first of their kind each, make up the shard: its suffixes are sorted with
-  common-prefix values, and in every run of suffixes with ``LENGTH`` bytes in common all but the earliest are repeats.
+  common-prefix values, and in every run of suffixes with ``LENGTH`` bytes in common all but the earliest are repeats. A
+  shard is written to disk as its pieces arrive in order, and sorted there beyond ``BUDGET`` bytes.
+* A k-gram with more than ``HOT`` kinds of surroundings would be one large shard: its strings are dealt out by a checksum of
+  the whole string instead.
 
 Defined results: a null text is empty, with no bytes and no spans; texts shorter than ``LENGTH`` bytes lose nothing; a
 null doc_id counts as the smallest; rows that repeat a doc_id are one document (equal offsets of them are no repeats of
 one another, and what is removed at an offset is removed from each); empty tables give empty results; other columns pass
-through, those named like a result column are replaced.
+through, whatever their names, and those named like a result column are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,20 +33,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._induced import suffixes_descending
-from ._spark import bounded_batches, materialize, read_table
+from ._induced import Store, suffixes_descending
+from ._spark import bounded_batches, materialize, packed, partitions_for, read_table, text_bytes_in, unpacked
 from ._words import BYTE_EXACT, mix64, powers, prefix_sums, range_hash, text_bytes, tidy
 
 #: Bytes of a string, and of the k-gram that anchors it; bytes that are hashed at once; anchors that a task combines;
-#: bytes of suffix tuples that a task keeps in memory; shards for each shuffle partition.
-LENGTH, GRAM, CHUNK, COMBINE, BUDGET = 100, 32, 1 << 19, 1 << 19, 1 << 24
-SHARDS = 4
+#: bytes of a shard's arrays that a task keeps in memory; kinds of surroundings beyond which a k-gram is hot.
+LENGTH, GRAM, CHUNK, COMBINE, BUDGET, HOT = 100, 32, 1 << 19, 1 << 19, 1 << 26, 2048
+#: Bytes of input for each bucket of anchors, and for each shard.
+BUCKET_BYTES, SHARD_BYTES = 1 << 26, 1 << 22
 _PLACE = np.uint64((1 << 21) - 1)
 _NULL_ID = -(1 << 63)
 _BLOCK = "kind int, bucket int, docs binary, starts binary, counts binary, grams binary, wholes binary"
 _NAMES = [f.split(" ")[0] for f in _BLOCK.split(", ")]
 _KINDS = {"docs": np.int64, "starts": np.uint32, "counts": np.uint8, "grams": np.uint64, "wholes": np.uint64}
-ANCHOR, REPEAT = 0, 1
+ANCHOR, REPEAT, LOOSE = 0, 1, 2
 
 
 def document_key(doc_id: Column) -> Column:
@@ -153,9 +158,9 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(tidy(blocks), _BLOCK)
 
 
-def compared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Blocks of REPEAT by document for anchors that an earlier one equals; of ANCHOR by shard (one k-gram bucket each)
-    for the first of each kind where a k-gram has several kinds of surroundings."""
+def compared_anchors(blocks: DataFrame, buckets: int, shards: int, hot: int = HOT) -> DataFrame:
+    """Blocks of REPEAT by document for anchors that an earlier one equals; of ANCHOR by shard (one k-gram in one shard) for
+    the first of each kind where a k-gram has several kinds of surroundings, or of LOOSE where it has more than ``hot``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
@@ -173,22 +178,24 @@ def compared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
         again = ~first
         yield _pack(REPEAT, _bucket(ids[again], buckets), buckets, {"docs": ids[again], "starts": starts[again], "counts": counts[again]})
         gram = np.cumsum(np.r_[0, grams[1:] != grams[:-1]])
-        several = first & (np.bincount(gram, weights=first)[gram] > 1)
-        yield _pack(ANCHOR, _bucket(grams[several], SHARDS * buckets), SHARDS * buckets, {"docs": ids[several], "starts": starts[several], "counts": counts[several]})
+        kinds = np.bincount(gram, weights=first)[gram]
+        for kind, some in ((ANCHOR, first & (kinds > 1) & (kinds <= hot)), (LOOSE, first & (kinds > hot))):
+            yield _pack(kind, _bucket(grams[some], shards), shards, {"docs": ids[some], "starts": starts[some], "counts": counts[some]})
 
     return blocks.repartition(buckets, "bucket").mapInArrow(tidy(compare), _BLOCK)
 
 
-def shard_rows(compared: DataFrame, docs: DataFrame) -> DataFrame:
+def shard_rows(compared: DataFrame, docs: DataFrame, shards: int) -> DataFrame:
     """(shard, key, start, count, bytes): what the suffixes of each shard are sorted in."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, *packed in zip(*(batch.column(n).to_pylist() for n in ("bucket", "docs", "starts", "counts")), strict=True):
-                ids, starts, counts = (np.frombuffer(x, _KINDS[n]) for x, n in zip(packed, ("docs", "starts", "counts"), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), shard, np.int32)), pa.array(ids), pa.array(starts.astype(np.int64)), pa.array(counts.astype(np.int32))], ["shard", "key", "start", "count"])
+            for kind, shard, *told in zip(*(batch.column(n).to_pylist() for n in ("kind", "bucket", "docs", "starts", "counts")), strict=True):
+                ids, starts, counts = (np.frombuffer(x, _KINDS[n]) for x, n in zip(told, ("docs", "starts", "counts"), strict=True))
+                shard = np.full(len(ids), shard if kind == ANCHOR else -1, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids), pa.array(starts.astype(np.int64)), pa.array(counts.astype(np.int32))], ["shard", "key", "start", "count"])
 
-    asked = compared.where(F.col("kind") == ANCHOR).select("bucket", "docs", "starts", "counts").mapInArrow(tidy(rows), "shard int, key long, start long, count int")
+    asked = compared.where(F.col("kind") != REPEAT).select("kind", "bucket", "docs", "starts", "counts").mapInArrow(tidy(rows), "shard int, key long, start long, count int")
     asked = asked.groupBy("key").agg(F.collect_list(F.struct("shard", "start", "count")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,29 +204,74 @@ def shard_rows(compared: DataFrame, docs: DataFrame) -> DataFrame:
             fields = lists.flatten()
             shard, start, count = (fields.field(n).to_numpy() for n in ("shard", "start", "count"))
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            loose = shard < 0
+            if loose.any():  # each string of a hot k-gram by itself
+                many = np.where(loose, count, 1)
+                nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                shard, start, count, row = np.repeat(shard, many), np.repeat(start, many) + nth, np.repeat(np.where(loose, 1, count), many), np.repeat(row, many)
             raw, at = text_bytes(batch.column("text"))
             begin, data = at[row] + start, raw.tobytes()
             inside = begin + count - 1 + LENGTH <= at[row + 1]  # not so only for rows that repeat a doc_id with another text
             pieces = [data[b:e] for b, e in zip(begin[inside].tolist(), (begin + count - 1 + LENGTH)[inside].tolist(), strict=True)]
+            shard = shard[inside].copy()
+            for k in np.flatnonzero(shard < 0).tolist():
+                shard[k] = zlib.crc32(pieces[k]) % shards
             keys = batch.column("key").to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(shard[inside]), pa.array(keys[inside]), pa.array(start[inside]), pa.array(count[inside]), pa.array(pieces, pa.binary())], ["shard", "key", "start", "count", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(keys[inside]), pa.array(start[inside]), pa.array(count[inside]), pa.array(pieces, pa.binary())], ["shard", "key", "start", "count", "bytes"])
 
     return docs.join(asked.hint("shuffle_hash"), "key").select("key", "text", "asked").mapInArrow(tidy(cut), "shard int, key long, start long, count int, bytes binary")
 
 
-def repeated_starts(keys: np.ndarray, starts: np.ndarray, counts: np.ndarray, pieces: list[bytes], budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
-    """Of all strings that start in a shard, those that start earlier too: (document, start)."""
-    order = np.lexsort((starts, keys))
-    keys, starts, counts = keys[order], starts[order], counts[order]
-    # pieces in order of document and start, each closed by a byte that is in no UTF-8 text
-    text = np.frombuffer(b"\xff".join([*[pieces[i] for i in order], b""]), np.uint8)
-    begin = np.cumsum(np.r_[0, counts - 1 + LENGTH + 1])[:-1]
-    piece = np.repeat(np.arange(len(keys)), counts)
-    at = begin[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(np.r_[0, counts])[:-1], counts)
-    starts_here, repeats = np.zeros(len(text), bool), np.zeros(len(text), bool)
-    starts_here[at] = True
+class Growing:
+    """An array that grows at its end: in memory up to the room of a store, then in a file of it."""
+
+    def __init__(self, kind: type, store: Store):
+        self.kind, self.store, self.data, self.n = kind, store, store.array(0, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            was = self.data
+            self.data = self.store.array(2 * (self.n + len(values)), self.kind)
+            for k in range(0, self.n, 1 << 20):
+                self.data[k : min(k + (1 << 20), self.n)] = was[k : min(k + (1 << 20), self.n)]
+            self.store.release(was)
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def whole(self) -> np.ndarray:
+        return self.data[: self.n]
+
+
+def repeated_starts(rows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], budget: int = BUDGET, block: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """rows: (document, start, count, all bytes) of a shard's pieces, in order of document and start. Of all strings that
+    start in the shard, those that start earlier too: blocks of (document, start)."""
+    store = Store(budget // 2)
+    text, keys, starts, counts = (Growing(t, store) for t in (np.uint8, np.int64, np.int64, np.int64))
+    for doc, start, count, data in rows:
+        # each piece is closed by a byte that is in no UTF-8 text
+        size = count - 1 + LENGTH
+        joined = np.full(len(data) + len(doc), 255, np.uint8)
+        joined[np.arange(len(data)) + np.repeat(np.arange(len(doc)), size)] = data
+        for column, values in zip((text, keys, starts, counts), (joined, doc, start, count), strict=True):
+            column.add(values)
+    text, keys, starts, counts = (x.whole() for x in (text, keys, starts, counts))
+
+    def strings() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of strings: piece, number in it, place in the text."""
+        end = 0
+        for k in range(0, len(keys), block):
+            count = np.asarray(counts[k : k + block])
+            begin = end + np.cumsum(np.r_[0, count + LENGTH])[:-1]
+            end += int((count + LENGTH).sum())
+            piece = np.repeat(np.arange(len(count)), count)
+            nth = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+            yield piece + k, nth, begin[piece] + nth
+
+    starts_here, repeats = store.array(len(text), bool), store.array(len(text), bool)
+    for _, _, at in strings():
+        starts_here[at] = True
     open_min = -1  # the earliest start of the run that the blocks so far end in
-    for pos, lcp in suffixes_descending(text, LENGTH, budget):
+    for pos, lcp in suffixes_descending(text, LENGTH, budget // 2):
         run = np.cumsum(lcp < LENGTH)
         mine = starts_here[pos]
         pos_in, run_in = pos[mine], run[mine]
@@ -234,29 +286,31 @@ def repeated_starts(keys: np.ndarray, starts: np.ndarray, counts: np.ndarray, pi
             least[0] = min(open_min, least[0])
         repeats[pos_in[pos_in != np.repeat(least, np.diff(np.r_[cut, len(pos_in)]))]] = True
         open_min = int(least[-1]) if run_in[-1] == run[-1] else -1
-    found = np.flatnonzero(repeats[at])
-    return keys[piece[found]], starts[piece[found]] + (at - begin[piece])[found]
+    for piece, nth, at in strings():
+        found = np.flatnonzero(repeats[at])
+        if len(found):
+            yield keys[piece[found]], starts[piece[found]] + nth[found]
 
 
-def fine_repeats(rows: DataFrame, buckets: int) -> DataFrame:
+def fine_repeats(rows: DataFrame, buckets: int, shards: int) -> DataFrame:
     """REPEAT blocks by document of the strings that suffix sorting finds in the shards."""
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in batches:
+            if batch.num_rows:
+                key, start, count = (batch.column(n).to_numpy() for n in ("key", "start", "count"))
+                yield key, start, count.astype(np.int64), text_bytes(batch.column("bytes"))[0]
+
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        keys, starts, counts = (table.column(n).to_numpy() for n in ("key", "start", "count"))
-        pieces = [bytes(x) for x in table.column("bytes").to_pylist()]
-        ids, begin = repeated_starts(keys, starts.astype(np.int64), counts.astype(np.int64), pieces)
-        # runs of starts one after the other, of at most 255
-        first = np.r_[True, (ids[1:] != ids[:-1]) | (begin[1:] != begin[:-1] + 1)][: len(ids)]
-        nth = np.arange(len(ids)) - np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0)) if len(ids) else np.zeros(0, np.int64)
-        cut = np.flatnonzero(first | (nth % 255 == 0))
-        count = np.diff(np.r_[cut, len(ids)])
-        yield _pack(REPEAT, _bucket(ids[cut], buckets), buckets, {"docs": ids[cut], "starts": begin[cut], "counts": count})
+        for ids, begin in repeated_starts(pieces(batches)):
+            # runs of starts one after the other, of at most 255
+            first = np.r_[True, (ids[1:] != ids[:-1]) | (begin[1:] != begin[:-1] + 1)]
+            nth = np.arange(len(ids)) - np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))
+            cut = np.flatnonzero(first | (nth % 255 == 0))
+            count = np.diff(np.r_[cut, len(ids)])
+            yield _pack(REPEAT, _bucket(ids[cut], buckets), buckets, {"docs": ids[cut], "starts": begin[cut], "counts": count})
 
-    return rows.repartition(SHARDS * buckets, "shard").mapInArrow(tidy(sort), _BLOCK)
+    return rows.repartition(shards, "shard").sortWithinPartitions("key", "start").mapInArrow(tidy(sort), _BLOCK)
 
 
 def merged_spans(repeats: DataFrame, buckets: int) -> DataFrame:
@@ -292,15 +346,14 @@ def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     bytes (which need not be whole characters)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
     columns = [c for c in docs.columns if c not in results]
-    keyed = docs.select(*columns, document_key(F.col("doc_id")).alias("key") if "key" not in columns else document_key(F.col("doc_id")).alias("_key"))
-    key = "key" if "key" not in columns else "_key"
-    slim = keyed.select(F.col(key).alias("key"), "text")
-    compared = materialize(compared_anchors(anchor_blocks(slim, buckets), buckets), "anchors")
-    fine = fine_repeats(shard_rows(compared, slim), buckets)
-    spans = merged_spans(compared.where(F.col("kind") == REPEAT).unionByName(fine), buckets).withColumnRenamed("key", "_span_key").withColumnRenamed("spans", "_spans")
+    slim = docs.select(document_key(F.col("doc_id")).alias("key"), "text")
+    total = text_bytes_in(docs)
+    buckets, shards = (partitions_for(spark, total, each) for each in (BUCKET_BYTES, SHARD_BYTES))
+    compared = materialize(compared_anchors(anchor_blocks(slim, buckets), buckets, shards), "anchors")
+    fine = fine_repeats(shard_rows(compared, slim, shards), buckets, shards)
+    spans = merged_spans(compared.where(F.col("kind") == REPEAT).unionByName(fine), buckets)
 
     def apply(text: pa.Array, packed: pa.Array) -> pa.Array:
         raw, at = text_bytes(text)
@@ -326,9 +379,9 @@ def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         return pa.StructArray.from_arrays(arrays, results)
 
     done = arrow_udf(apply, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept binary")
-    joined = keyed.join(spans.hint("shuffle_hash"), keyed[key] == spans["_span_key"], "left")
-    out = joined.withColumn("_done", done("text", "_spans"))
-    return out.select(*columns, *[F.col(f"_done.{r}").alias(r) for r in results if with_kept or r != "kept"])
+    keyed = docs.select(packed(columns), document_key(F.col("doc_id")).alias("key"), "text")
+    out = keyed.join(spans.hint("shuffle_hash"), "key", "left").withColumn("done", done("text", "spans"))
+    return out.select(*unpacked(columns), *[F.col(f"done.{r}").alias(r) for r in results if with_kept or r != "kept"])
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
