@@ -27,14 +27,31 @@ def n_blocks(n: int, length: int) -> int:
     return (2 * n + length) // (2 * length)
 
 
-def block_starts(spark: SparkSession, n: int, length: int, reps: int) -> DataFrame:
-    """rep, block, start: starts are spread over 0..n - length by integer arithmetic, so every engine draws the same."""
+#: A multiplicative generator modulo a prime (so that every engine with 64-bit integers draws the same).
+PRIME, FACTOR = 2_147_483_647, 48_271
+
+
+def seeded_draw(seed: int, rep: Column, block: Column, below: int) -> Column:
+    """A number from 0 to below - 1 for each replicate and block: squared and multiplied in turn, so that neighbours differ."""
+
+    def turned(x: Column) -> Column:
+        for k in range(3):
+            x = ((x * x) % PRIME * FACTOR + (seed + k + 1)) % PRIME
+        return x
+
+    first = turned(((rep + 1) * 7_919 + (block + 1) * 104_729 + seed) % PRIME)
+    return (first * PRIME + turned((first + block + 1) % PRIME)) % below
+
+
+def block_starts(spark: SparkSession, n: int, length: int, reps: int, seed: int | None = None) -> DataFrame:
+    """rep, block, start: starts from 0 to n - length, drawn with ``seed``. Without one they are spread by integer arithmetic."""
     if not 0 < length < n:
         raise ValueError(f"blocks of {length} need more than {n} sites")
     blocks = n_blocks(n, length)
     every = spark.range(reps * blocks).select((F.col("id") / blocks).cast("long").alias("rep"), (F.col("id") % blocks).alias("block"))
     r, b = F.col("rep"), F.col("block")
-    return every.withColumn("start", ((r + 1) * 7919 + (b + 1) * (b + 1) * 104729 + (r + 1) * (b + 3) * 15485863) % (n - length + 1))
+    spread = ((r + 1) * 7919 + (b + 1) * (b + 1) * 104729 + (r + 1) * (b + 3) * 15485863) % (n - length + 1)
+    return every.withColumn("start", spread if seed is None else seeded_draw(seed, r, b, n - length + 1))
 
 
 def multiplicity(starts: DataFrame, sites: DataFrame, length: int) -> DataFrame:

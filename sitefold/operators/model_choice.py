@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import normalised
@@ -55,6 +56,62 @@ def clic(lnl: float, hess: DataFrame, cov: DataFrame) -> DataFrame:
     return hess.join(cov, (hess.a == cov.b) & (hess.b == cov.a)).agg((-(F.lit(lnl) + F.sum(F.col("h") * F.col("cov")))).alias("clic"))
 
 
+def hessians(points: DataFrame, names: list[str]) -> DataFrame:
+    """file, lnL, a, b, h: as :func:`hessian` for each file of points. The sums of the normal equations are made by partial
+    aggregation; each file's small system is then solved where its row of sums is."""
+    first = points.where("ord = 0").select("file", F.col("lnL").alias("_l"), *[F.col(n).alias(f"_0{n}") for n in names])
+    d = [F.col(n) - F.col(f"_0{n}") for n in names]
+    terms = [F.lit(1.0), *d, *[d[j] * d[k] for j in range(len(d)) for k in range(j, len(d))]]
+    n, y = len(terms), F.col("lnL") - F.col("_l")
+    sums = [F.sum(terms[i] * terms[j]).alias(f"a{i}_{j}") for i in range(n) for j in range(i, n)] + [F.sum(terms[i] * y).alias(f"b{i}") for i in range(n)]
+    told = points.join(first, "file").groupBy("file", "_l").agg(*sums)
+
+    def solve(frames):
+        for frame in frames:
+            out = []
+            for r in frame.to_dict("records"):
+                a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
+                scale = 1 / np.sqrt(np.maximum(np.diag(a), 1e-300))
+                beta = np.linalg.lstsq(a * scale[:, None] * scale, np.array([r[f"b{i}"] for i in range(n)]) * scale, rcond=None)[0] * scale
+                at = 1 + len(names)
+                for j in range(len(names)):
+                    for k in range(j, len(names)):
+                        h = beta[at] * (2 if j == k else 1)
+                        out += [(r["file"], r["_l"], x, z, h) for x, z in {(names[j], names[k]), (names[k], names[j])}]
+                        at += 1
+            yield pd.DataFrame(out, columns=["file", "lnL", "a", "b", "h"])
+
+    return told.mapInPandas(solve, f"file {dict(points.dtypes)['file']}, lnL double, a string, b string, h double")
+
+
+def clic_by_file(hessians: DataFrame, cov: DataFrame) -> DataFrame:
+    """file, clic of each file of points, with the covariance of the bootstrap estimates. Parameters of a file that are not those
+    of the estimates are an error."""
+    known = cov.select("a").distinct().agg(F.sort_array(F.collect_list("a")).alias("_known"))
+    held = hessians.groupBy("file", "lnL").agg(F.sort_array(F.collect_set("a")).alias("_held"))
+    checked = held.join(F.broadcast(known)).select("file", F.when(F.col("_known") == F.col("_held"), F.col("lnL")).otherwise(F.raise_error(F.lit("points and estimates have other parameters")).cast("double")).alias("lnL"))  # one row
+    trace = hessians.join(cov.select(F.col("b").alias("a"), F.col("a").alias("b"), "cov"), ["a", "b"]).groupBy("file").agg(F.sum(F.col("h") * F.col("cov")).alias("_t"))
+    return checked.join(trace, "file", "left").select("file", (-(F.col("lnL") + F.col("_t"))).alias("clic"))
+
+
+def data_name(name: Column, kind: str) -> Column:
+    """What a row of a table of criteria is told by: the data file itself, or the middle part of a points file ``x-name-y.pts``."""
+    if kind != "clic":
+        return name
+    middle = F.regexp_extract(name, r"^[^-]*-([^-]*)-[^-]*$", 1)
+    return F.when(name.rlike(r"^[^-]*-[^-]*-[^-]*$"), middle).otherwise(F.raise_error(F.concat(F.lit("illegal name of a points file: "), name)).cast("string"))
+
+
+def aligned_criteria(criteria: DataFrame, kind: str) -> DataFrame:
+    """row, model, crit of criteria (model, name, crit): rows are told by their data, and every model has to have the same."""
+    rows = criteria.select(data_name(F.col("name"), kind).alias("row"), "model", "crit")
+    models = criteria.select("model").distinct().agg(F.count(F.lit(1)).alias("_all"))
+    per_row = rows.groupBy("row").agg(F.count_distinct("model").alias("_n"), F.count(F.lit(1)).alias("_rows")).join(F.broadcast(models))  # one row
+    odd = F.raise_error(F.concat(F.lit("models have no one row each for "), F.col("row"))).cast("double")
+    fits = (F.col("_n") == F.col("_all")) & (F.col("_rows") == F.col("_all"))
+    return rows.join(per_row, "row").select("row", "model", F.when(fits, F.col("crit")).otherwise(odd).alias("crit"))
+
+
 def model_weights(criteria: DataFrame) -> DataFrame:
     """model, weight. criteria: row, model, crit. In each row the least criterion wins; ties share it."""
     row = Window.partitionBy("row")

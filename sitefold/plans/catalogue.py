@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from sitefold.functions import numeric
 from sitefold.functions import patterns as P
 from sitefold.operators import bootstrap, model_choice, posterior, rewriting, sites, tables
-from sitefold.sources import text
+from sitefold.sources import samples, text
 
 from . import adapters as A
-from . import expected
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,27 +58,27 @@ def _polarised(spark: SparkSession, d: str) -> DataFrame:
 # Tabulation
 
 
-@query("tabpat_af", f"WITH {A.DAF}, {A.WIDE} {pattern_sql(MASKS, 'sites', 'status = $$OK$$').replace('$$', chr(39))}")
+@query("daf_patterns", f"WITH {A.DAF}, {A.WIDE} {pattern_sql(MASKS, 'sites', 'status = $$OK$$').replace('$$', chr(39))}")
 def _(spark, d):
     return P.pattern_sums(_good(spark, d), FREQ).select("pat", r6("value", "value"))
 
 
-@query("tabpat_singletons", f"WITH {A.DAF}, {A.WIDE} {pattern_sql(MASKS1, 'sites', 'status = $$OK$$').replace('$$', chr(39))}")
+@query("daf_patterns_singletons", f"WITH {A.DAF}, {A.WIDE} {pattern_sql(MASKS1, 'sites', 'status = $$OK$$').replace('$$', chr(39))}")
 def _(spark, d):
     return P.pattern_sums(_good(spark, d), FREQ, singletons=True).select("pat", r6("value", "value"))
 
 
-@query("tabpat_long_form", f"WITH {A.DAF}, {A.WIDE} {pattern_sql(MASKS1, 'sites', 'status = $$OK$$').replace('$$', chr(39))}")
+@query("daf_patterns_long_form", f"WITH {A.DAF}, {A.WIDE} {pattern_sql(MASKS1, 'sites', 'status = $$OK$$').replace('$$', chr(39))}")
 def _(spark, d):
     return P.pattern_sums(_good(spark, d), FREQ, singletons=True, wide=2).select("pat", r6("value", "value"))
 
 
-@query("tabpat_by_chromosome", f"WITH {A.DAF}, {A.WIDE} {pattern_sql(MASKS, 'sites', 'status = $$OK$$', extra='chr, ').replace('$$', chr(39))}")
+@query("daf_patterns_by_chromosome", f"WITH {A.DAF}, {A.WIDE} {pattern_sql(MASKS, 'sites', 'status = $$OK$$', extra='chr, ').replace('$$', chr(39))}")
 def _(spark, d):
     return P.pattern_sums(_good(spark, d), FREQ, by=["chr"]).select("chr", "pat", r6("value", "value"))
 
 
-@query("sitepat_raf", f"WITH {A.RAF} {pattern_sql(MASKS, 'polar', 'status = $$OK$$', ('y0', 'y1', 'y2')).replace('$$', chr(39))}")
+@query("raf_patterns", f"WITH {A.RAF} {pattern_sql(MASKS, 'polar', 'status = $$OK$$', ('y0', 'y1', 'y2')).replace('$$', chr(39))}")
 def _(spark, d):
     return P.pattern_sums(_polarised(spark, d).where("status = 'OK'"), FREQ).select("pat", r6("value", "value"))
 
@@ -104,18 +103,18 @@ def _(spark, d):
     return _derived(spark, d).select("chr", "pos", "aa", "da", "status", *[r6(c, c) for c in FREQ])
 
 
-@query("joinraf_mean", f"""WITH {A.RAF} SELECT chr, pos, f0 AS ref, coalesce(nullif(t0, '.'), nullif(t1, '.'), nullif(t2, '.'), '.') AS alt, round((r0 + r1 + r2) / 3, 6) AS raf
+@query("raf_mean", f"""WITH {A.RAF} SELECT chr, pos, f0 AS ref, coalesce(nullif(t0, '.'), nullif(t1, '.'), nullif(t2, '.'), '.') AS alt, round((r0 + r1 + r2) / 3, 6) AS raf
 FROM (SELECT *, coalesce(nullif(t0, '.'), nullif(t1, '.'), nullif(t2, '.'), '.') AS u FROM w4) WHERE f1 = f0 AND f2 = f0 AND t1 IN ('.', u) AND t2 IN ('.', u)""")
 def _(spark, d):
     return sites.join_raf(A.raf_rows(spark, d), A.POPS).select("chr", "pos", "ref", "alt", r6("raf", "raf"))
 
 
-@query("rafdaf_wide", f"WITH {A.RAF} SELECT chr, pos, round(y0, 6) AS daf0, round(y1, 6) AS daf1, round(y2, 6) AS daf2 FROM polar WHERE status = 'OK'")
+@query("raf_to_daf_wide", f"WITH {A.RAF} SELECT chr, pos, round(y0, 6) AS daf0, round(y1, 6) AS daf1, round(y2, 6) AS daf2 FROM polar WHERE status = 'OK'")
 def _(spark, d):
     return sites.raf_to_daf_wide(A.raf_rows(spark, d), A.POPS, A.OUTGROUP).select("chr", "pos", *[r6(c, c) for c in FREQ])
 
 
-@query("raf2daf_long", f"WITH {A.RAF} " + " UNION ALL ".join(f"SELECT '{p}' AS pop, chr, pos, CASE WHEN r3 = 0 THEN t ELSE f0 END AS aa, CASE WHEN r3 = 0 THEN f0 ELSE t END AS da, round(y{i}, 6) AS daf FROM polar WHERE status = 'OK'" for i, p in enumerate(A.POPS)))
+@query("raf_to_daf_long", f"WITH {A.RAF} " + " UNION ALL ".join(f"SELECT '{p}' AS pop, chr, pos, CASE WHEN r3 = 0 THEN t ELSE f0 END AS aa, CASE WHEN r3 = 0 THEN f0 ELSE t END AS da, round(y{i}, 6) AS daf FROM polar WHERE status = 'OK'" for i, p in enumerate(A.POPS)))
 def _(spark, d):
     return sites.raf_to_daf_long(A.raf_rows(spark, d), A.POPS, A.OUTGROUP).select("pop", "chr", "pos", "aa", "da", r6("daf", "daf"))
 
@@ -259,7 +258,7 @@ def _(spark, d):
     return tables.by_mask(text.pattern_rows(lines), LABELS).select("pat", F.round("value", 4).alias("value"))
 
 
-@query("sitepat_table_parse", f"WITH {A.OPF} SELECT tab AS file, {LABEL_SQL} AS label, round(value, 2) AS value FROM opf")
+@query("pattern_table_parse", f"WITH {A.OPF} SELECT tab AS file, {LABEL_SQL} AS label, round(value, 2) AS value FROM opf")
 def _(spark, d):
     rows = _label(spark, d).select(F.col("tab").alias("file"), (F.col("pat") + 10).alias("line_no"), F.concat_ws(" ", "label", F.format_string("%.2f", "value")).alias("value"))
     heads = rows.select("file").distinct().select("file", F.explode(F.array(F.struct(F.lit(1).cast("long").alias("line_no"), F.lit("Fitted parameter values").alias("value")), F.struct(F.lit(2).cast("long").alias("line_no"), F.lit("Txy = 3").alias("value")), F.struct(F.lit(3).cast("long").alias("line_no"), F.lit("#   SitePat BranchLen").alias("value")))).alias("l")).select("file", "l.line_no", "l.value")
@@ -275,7 +274,7 @@ def _fit_lines(spark: SparkSession, d: str) -> DataFrame:
     return first.union(second).union(marks)
 
 
-@query("legofit_parse", "SELECT s_nationkey AS file, 'p' || s_suppkey AS name, round(s_acctbal, 2) AS value, s_suppkey % 2 = 0 AS is_free FROM supplier")
+@query("fit_parse", "SELECT s_nationkey AS file, 'p' || s_suppkey AS name, round(s_acctbal, 2) AS value, s_suppkey % 2 = 0 AS is_free FROM supplier")
 def _(spark, d):
     return text.fitted_parameters(_fit_lines(spark, d)).select("file", "name", "value", "is_free")
 
@@ -311,23 +310,25 @@ def _(spark, d):
     return _label(spark, d).select("tab", "label", P.label_mask(F.col("label"), LABELS).alias("pat"))
 
 
-def _tab(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return A.opf_rows(spark, d).where(F.col("tab") == k).select("pat", "value")
-
-
 @query("normalize", f"WITH {A.OPF} SELECT tab, pat, round(value / sum(value) OVER (PARTITION BY tab), 9) AS value FROM opf")
 def _(spark, d):
     return tables.normalised(A.opf_rows(spark, d), ["tab"]).select("tab", "pat", F.round("value", 9).alias("value"))
 
 
-@query("table_minus", f"WITH {A.OPF} SELECT pat, round(sum(CASE WHEN tab = 0 THEN value ELSE -value END), 4) AS value FROM opf WHERE tab < 2 GROUP BY pat")
+def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All tables: the first five as observed, each with one of the others as fitted."""
+    rows = A.opf_rows(spark, d).withColumn("file", F.col("tab") % 5)
+    return rows.where("tab < 5").select("file", "pat", "value"), rows.where("tab >= 5").select("file", "pat", "value")
+
+
+@query("table_minus", f"WITH {A.OPF} SELECT tab % 5 AS file, pat, round(sum(CASE WHEN tab < 5 THEN value ELSE -value END), 4) AS value FROM opf GROUP BY 1, 2")
 def _(spark, d):
-    return tables.combined(_tab(spark, d, 0), _tab(spark, d, 1), -1).select("pat", F.round("value", 4).alias("value"))
+    return tables.combined(*_pairs(spark, d), -1, ["file"]).select("file", "pat", F.round("value", 4).alias("value"))
 
 
-@query("table_plus", f"WITH {A.OPF} SELECT pat, round(sum(value), 4) AS value FROM opf WHERE tab < 2 GROUP BY pat")
+@query("table_plus", f"WITH {A.OPF} SELECT tab % 5 AS file, pat, round(sum(value), 4) AS value FROM opf GROUP BY 1, 2")
 def _(spark, d):
-    return tables.combined(_tab(spark, d, 0), _tab(spark, d, 1)).select("pat", F.round("value", 4).alias("value"))
+    return tables.combined(*_pairs(spark, d), by=["file"]).select("file", "pat", F.round("value", 4).alias("value"))
 
 
 @query("rm_pops", f"WITH {A.OPF} SELECT tab, pat // 2 AS pat, round(sum(value), 4) AS value FROM opf WHERE pat // 2 > 0 GROUP BY 1, 2")
@@ -340,32 +341,45 @@ def _(spark, d):
     return tables.with_collapsed(A.opf_rows(spark, d), 3, {0, 1}, ["tab"]).select("tab", "pat", F.round("value", 4).alias("value"))
 
 
-TWO = f"WITH {A.OPF}, t AS (SELECT pat, sum(CASE WHEN tab = 0 THEN value END) AS a, sum(CASE WHEN tab = 1 THEN value END) AS b FROM opf WHERE tab < 2 GROUP BY pat), n AS (SELECT pat, a, a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM t)"
+TWO = f"WITH {A.OPF}, t AS (SELECT tab % 5 AS file, pat, sum(CASE WHEN tab < 5 THEN value END) AS a, sum(CASE WHEN tab >= 5 THEN value END) AS b FROM opf GROUP BY 1, 2), n AS (SELECT file, pat, a, a / sum(a) OVER (PARTITION BY file) AS p, b / sum(b) OVER (PARTITION BY file) AS q FROM t)"
+
+
+@query("resid", f"{TWO} SELECT file, pat, round(p, 9) AS observed, round(q, 9) AS fitted, round(p - q, 9) AS residual FROM n")
+def _(spark, d):
+    return tables.residuals(*_pairs(spark, d), ["file"]).select("file", "pat", *[F.round(c, 9).alias(c) for c in ("observed", "fitted", "residual")])
 
 
-@query("resid", f"{TWO} SELECT pat, round(p, 9) AS observed, round(q, 9) AS fitted, round(p - q, 9) AS residual FROM n")
+@query("resid_matrix", f"""WITH {A.OPF}, s AS (SELECT tab % 5 AS file, tab < 5 AS obs, (pat & 1) | (CASE WHEN pat & 6 > 0 THEN 2 ELSE 0 END) AS pat, sum(value) AS v FROM opf GROUP BY 1, 2, 3),
+n AS (SELECT file, obs, pat, v / sum(v) OVER (PARTITION BY file, obs) AS v FROM s)
+SELECT file, pat::BIGINT AS pat, round(sum(CASE WHEN obs THEN v ELSE -v END), 9) AS value FROM n GROUP BY 1, 2""")
 def _(spark, d):
-    return tables.residuals(_tab(spark, d, 0), _tab(spark, d, 1)).select("pat", *[F.round(c, 9).alias(c) for c in ("observed", "fitted", "residual")])
+    return tables.residual_matrix(*_pairs(spark, d), 3, collapsed=[{1, 2}]).select("file", "pat", F.round("value", 9).alias("value"))
 
 
-@query("diverg_kl", f"{TWO} SELECT pat, round(p, 9) AS p, round(q, 9) AS q, round(p * ln(p / q), 9) AS kl, abs(p * ln(p / q)) >= 0.01 AS flag FROM n")
+@query("share_matrix", f"WITH {A.OPF}, s AS (SELECT tab AS file, pat // 2 AS pat, sum(value) AS v FROM opf WHERE pat // 2 > 0 GROUP BY 1, 2) SELECT file, pat, round(v / sum(v) OVER (PARTITION BY file), 9) AS value FROM s")
 def _(spark, d):
-    return tables.divergence(_tab(spark, d, 0), _tab(spark, d, 1)).select("pat", *[F.round(c, 9).alias(c) for c in ("p", "q", "kl")], "flag")
+    rows = A.opf_rows(spark, d).withColumnRenamed("tab", "file")
+    return tables.residual_matrix(rows, None, 3, removed={0}).select("file", "pat", F.round("value", 9).alias("value"))
 
 
-@query("fit_kl", f"{TWO} SELECT round(sum(p * ln(p / q)), 9) AS kl FROM n")
+@query("diverg_kl", f"{TWO} SELECT file, pat, round(p, 9) AS p, round(q, 9) AS q, round(p * ln(p / q), 9) AS kl, abs(p * ln(p / q)) >= 0.01 AS flag FROM n")
 def _(spark, d):
-    return tables.kl_cost(_tab(spark, d, 0), _tab(spark, d, 1)).select(F.round("kl", 9).alias("kl"))
+    return tables.divergence(*_pairs(spark, d), by=["file"]).select("file", "pat", *[F.round(c, 9).alias(c) for c in ("p", "q", "kl")], "flag")
 
 
-@query("neg_lnl", f"{TWO} SELECT round(-sum(a * ln(q)) / 1e6, 6) AS neg_lnl FROM n")
+@query("fit_kl", f"{TWO} SELECT file, round(sum(p * ln(p / q)), 9) AS kl FROM n GROUP BY file")
 def _(spark, d):
-    return tables.negative_log_likelihood(_tab(spark, d, 0), _tab(spark, d, 1)).select(F.round(F.col("neg_lnl") / 1e6, 6).alias("neg_lnl"))
+    return tables.kl_cost(*_pairs(spark, d), ["file"]).select("file", F.round("kl", 9).alias("kl"))
 
 
-@query("entropy", f"{TWO} SELECT round(-sum(p * ln(p)), 9) AS entropy FROM n")
+@query("neg_lnl", f"{TWO} SELECT file, round(-sum(a * ln(q)) / 1e6, 6) AS neg_lnl FROM n GROUP BY file")
 def _(spark, d):
-    return tables.entropy(_tab(spark, d, 0)).select(F.round("entropy", 9).alias("entropy"))
+    return tables.negative_log_likelihood(*_pairs(spark, d), ["file"]).select("file", F.round(F.col("neg_lnl") / 1e6, 6).alias("neg_lnl"))
+
+
+@query("entropy", f"WITH {A.OPF} SELECT tab, round(-sum(p * ln(p)), 9) AS entropy FROM (SELECT tab, value / sum(value) OVER (PARTITION BY tab) AS p FROM opf) GROUP BY tab")
+def _(spark, d):
+    return tables.entropy(A.opf_rows(spark, d), ["tab"]).select("tab", F.round("entropy", 9).alias("entropy"))
 
 
 @query("has_singletons", f"WITH {A.OPF} SELECT bool_or(bit_count(pat) = 1 AND value <> 0) AS has_singletons FROM opf")
@@ -373,10 +387,10 @@ def _(spark, d):
     return tables.has_singletons(A.opf_rows(spark, d))
 
 
-@query("flatpat", f"WITH {A.OPF} SELECT {LABEL_SQL} AS label, " + ", ".join(f"round(max(CASE WHEN tab = {k} THEN value END), 4) AS t{k}" for k in range(3)) + " FROM opf GROUP BY 1")
+@query("flatpat", f"WITH {A.OPF} SELECT {LABEL_SQL} AS label, " + ", ".join(f"round(max(CASE WHEN tab = {k} THEN value END), 4) AS t{k}" for k in range(10)) + " FROM opf GROUP BY 1")
 def _(spark, d):
     rows = _label(spark, d).withColumn("table", F.concat(F.lit("t"), F.col("tab").cast("string")))
-    return tables.table_matrix(rows, ["t0", "t1", "t2"]).select("label", *[F.round(f"t{k}", 4).alias(f"t{k}") for k in range(3)])
+    return tables.table_matrix(rows, [f"t{k}" for k in range(10)]).select("label", *[F.round(f"t{k}", 4).alias(f"t{k}") for k in range(10)])
 
 
 @query("flatfile", f"WITH {A.EST} SELECT row AS file, " + ", ".join(f"round(max(CASE WHEN name = 'p{j}' THEN value END), 6) AS p{j}" for j in range(1, 5)) + " FROM est GROUP BY row")
@@ -385,10 +399,12 @@ def _(spark, d):
     return tables.parameter_matrix(rows, ["p1", "p2", "p3", "p4"]).select("file", *[r6(f"p{j}", f"p{j}") for j in range(1, 5)])
 
 
-@query("flatfile_t", f"WITH {A.EST} SELECT name, " + ", ".join(f"round(max(CASE WHEN row = {k} THEN value END), 6) AS f{k}" for k in range(4)) + " FROM est GROUP BY name")
+@query("flatfile_t", f"WITH {A.EST} SELECT name, model, " + ", ".join(f"round(avg(CASE WHEN row % 4 = {k} THEN value END), 6) AS f{k}" for k in range(4)) + " FROM est GROUP BY name, model")
 def _(spark, d):
-    rows = A.estimate_rows(spark, d).withColumn("table", F.concat(F.lit("f"), F.col("row").cast("string")))
-    return tables.table_matrix(rows, [f"f{k}" for k in range(4)], "name").select("name", *[r6(f"f{k}", f"f{k}") for k in range(4)])
+    """One row a parameter and model, one column a quarter of the replicates."""
+    rows = A.estimate_rows(spark, d).groupBy("name", "model", (F.col("row") % 4).alias("k")).agg(F.avg("value").alias("value"))
+    rows = rows.select(F.struct("name", "model").alias("of"), F.concat(F.lit("f"), F.col("k").cast("string")).alias("table"), "value")
+    return tables.table_matrix(rows, [f"f{k}" for k in range(4)], "of").select("of.name", "of.model", *[r6(f"f{k}", f"f{k}") for k in range(4)])
 
 
 @query("label_index", "SELECT name, row_number() OVER (ORDER BY ord, place) - 1 AS bit FROM (SELECT name, min(ord * 10 + place) // 10 AS ord, min(ord * 10 + place) % 10 AS place FROM (VALUES (0, 0, 'x'), (0, 1, 'y'), (1, 0, 'x'), (1, 1, 'z'), (2, 0, 'y'), (2, 1, 'z')) v(ord, place, name) GROUP BY name)")
@@ -423,6 +439,28 @@ def _(spark, d):
     return _starts(spark, d)
 
 
+SEED = 20_301
+
+
+def _seeded_sql() -> str:
+    rows = f"{BOOT}, f0 AS (SELECT rep, block, (((rep + 1) * 7919 + (block + 1) * 104729 + {SEED}) % {bootstrap.PRIME})::BIGINT AS x FROM st)"
+    last = "f0"
+    for step in range(6):
+        name, k = f"f{step + 1}", step % 3
+        first = ", first_" if step > 3 else ""
+        if step == 3:
+            rows += f", g AS (SELECT rep, block, x AS first_, ((x + block + 1) % {bootstrap.PRIME})::BIGINT AS x FROM {last})"
+            last, first = "g", ", first_"
+        rows += f", {name} AS (SELECT rep, block{first}, ((x * x) % {bootstrap.PRIME} * {bootstrap.FACTOR} + {SEED + k + 1}) % {bootstrap.PRIME} AS x FROM {last})"
+        last = name
+    return f"{rows} SELECT rep, block, (first_ * {bootstrap.PRIME} + x) % (SELECT n - {LENGTH} + 1 FROM tot) AS start FROM {last}"
+
+
+@query("boot_blocks_seeded", _seeded_sql())
+def _(spark, d):
+    return bootstrap.block_starts(spark, _good(spark, d).count(), LENGTH, REPS, SEED)
+
+
 @query("boot_multiplicity", f"{BOOT} SELECT rep, idx, count(*) AS w FROM ix JOIN st ON idx >= start AND idx < start + {LENGTH} GROUP BY rep, idx")
 def _(spark, d):
     return bootstrap.multiplicity(_starts(spark, d), _indexed(spark, d), LENGTH)
@@ -448,11 +486,12 @@ def _(spark, d):
 # Posterior probability of admixture
 
 ADMIX = 0.1
-COND = f"WITH {A.OPF}, {A.DAF}, {A.WIDE}, c AS (SELECT pat, {ADMIX}::DOUBLE * q / ((1 - {ADMIX}::DOUBLE) * p + {ADMIX}::DOUBLE * q) AS c FROM (SELECT pat, a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM (SELECT pat, sum(CASE WHEN tab = 0 THEN value END) AS a, sum(CASE WHEN tab = 1 THEN value END) AS b FROM opf WHERE tab < 2 GROUP BY pat)))"
+COND = f"WITH {A.OPF}, {A.DAF}, {A.WIDE}, c AS (SELECT pat, {ADMIX}::DOUBLE * q / ((1 - {ADMIX}::DOUBLE) * p + {ADMIX}::DOUBLE * q) AS c FROM (SELECT pat, a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM (SELECT pat, sum(CASE WHEN tab < 5 THEN value END) AS a, sum(CASE WHEN tab >= 5 THEN value END) AS b FROM opf GROUP BY pat)))"
 
 
 def _cond(spark: SparkSession, d: str) -> DataFrame:
-    return posterior.conditional(tables.normalised(_tab(spark, d, 0)), tables.normalised(_tab(spark, d, 1)), ADMIX)
+    sums = [t.groupBy("pat").agg(F.sum("value").alias("value")) for t in _pairs(spark, d)]
+    return posterior.conditional(tables.normalised(sums[0]), tables.normalised(sums[1]), ADMIX)
 
 
 def _site_sql() -> str:
@@ -476,9 +515,9 @@ def _(spark, d):
     return posterior.mean_posterior(posterior.site_posterior(_good(spark, d), FREQ, _cond(spark, d))).select(r6("mean_posterior", "mean_posterior"), "n_sites")
 
 
-@query("pripos", f"{COND} SELECT round(sum(value * c) / sum(value), 6) AS mean_posterior FROM (SELECT pat, value FROM opf WHERE tab = 2) JOIN c USING (pat)")
+@query("pattern_posterior", f"{COND} SELECT round(sum(value * c) / sum(value), 6) AS mean_posterior FROM (SELECT pat, sum(value) AS value FROM opf GROUP BY pat) JOIN c USING (pat)")
 def _(spark, d):
-    return posterior.pattern_posterior(_tab(spark, d, 2), _cond(spark, d)).select(r6("mean_posterior", "mean_posterior"))
+    return posterior.pattern_posterior(A.opf_rows(spark, d).groupBy("pat").agg(F.sum("value").alias("value")), _cond(spark, d)).select(r6("mean_posterior", "mean_posterior"))
 
 
 # Comparing models
@@ -496,7 +535,7 @@ def _(spark, d):
     return model_choice.mean_squared_difference(*_halves(spark, d)).select("i", "j", F.round("msd", 12).alias("msd"))
 
 
-@query("bepe", f"{NORM} SELECT k AS i, round(sum(msd) / 4, 12) AS bepe FROM (SELECT i AS k, msd FROM msd WHERE i <> j UNION ALL SELECT j, msd FROM msd WHERE i <> j) GROUP BY k")
+@query("prediction_error", f"{NORM} SELECT k AS i, round(sum(msd) / 4, 12) AS bepe FROM (SELECT i AS k, msd FROM msd WHERE i <> j UNION ALL SELECT j, msd FROM msd WHERE i <> j) GROUP BY k")
 def _(spark, d):
     return model_choice.bootstrap_prediction_error(*_halves(spark, d)).select("i", F.round("bepe", 12).alias("bepe"))
 
@@ -535,19 +574,19 @@ def _weights(spark: SparkSession, d: str) -> DataFrame:
     return model_choice.model_weights(crit)
 
 
-@query("booma_weights", f"WITH {WEIGHTS} SELECT model, round(weight, 9) AS weight FROM wts")
+@query("model_weights", f"WITH {WEIGHTS} SELECT model, round(weight, 9) AS weight FROM wts")
 def _(spark, d):
     return _weights(spark, d).select("model", F.round("weight", 9).alias("weight"))
 
 
-@query("booma_avg", f"WITH {WEIGHTS}, e AS (SELECT o_custkey % 20 AS row, o_orderpriority AS model, o_orderstatus AS name, avg(o_totalprice) AS value FROM orders GROUP BY 1, 2, 3) SELECT row, name, round(sum(weight * value) / sum(weight), 4) AS value FROM e JOIN wts USING (model) GROUP BY row, name HAVING sum(weight) > 0")
+@query("model_average", f"WITH {WEIGHTS}, e AS (SELECT o_custkey % 20 AS row, o_orderpriority AS model, o_orderstatus AS name, avg(o_totalprice) AS value FROM orders GROUP BY 1, 2, 3) SELECT row, name, round(sum(weight * value) / sum(weight), 4) AS value FROM e JOIN wts USING (model) GROUP BY row, name HAVING sum(weight) > 0")
 def _(spark, d):
     o = A.table(spark, d, "orders")
     e = o.groupBy((F.col("o_custkey") % 20).alias("row"), F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("name")).agg(F.avg("o_totalprice").alias("value"))
     return model_choice.model_average(e, _weights(spark, d)).where("value is not null").select("row", "name", F.round("value", 4).alias("value"))
 
 
-@query("bootci", f"WITH {A.EST} SELECT name, round(max(CASE WHEN row = 0 THEN value END), 6) AS estimate, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM est GROUP BY name")
+@query("estimate_intervals", f"WITH {A.EST} SELECT name, round(max(CASE WHEN row = 0 THEN value END), 6) AS estimate, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM est GROUP BY name")
 def _(spark, d):
     return model_choice.estimate_intervals(A.estimate_rows(spark, d)).select("name", r6("estimate", "estimate"), r6("low", "low"), r6("high", "high"))
 
@@ -583,7 +622,7 @@ def _(spark, d):
     return A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", numeric.first_at_least(values, q).alias("first_geq"), numeric.last_at_most(values, q).alias("last_leq"))
 
 
-@query("mkfitted_lines", "SELECT s_suppkey AS line_no, CASE WHEN s_suppkey % 3 = 0 THEN 'segment s' || s_suppkey || ' t=T twoN=N' WHEN s_suppkey % 3 = 1 THEN 'time free T' || s_suppkey || ' = ' || (s_nationkey * 4) || ' # old' ELSE 'twoN fixed [1, 2] N' || s_suppkey || '=7' END AS value FROM supplier")
+@query("fitted_lines", "SELECT s_suppkey AS line_no, CASE WHEN s_suppkey % 3 = 0 THEN 'segment s' || s_suppkey || ' t=T twoN=N' WHEN s_suppkey % 3 = 1 THEN 'time free T' || s_suppkey || ' = ' || (s_nationkey * 4) || ' # old' ELSE 'twoN fixed [1, 2] N' || s_suppkey || '=7' END AS value FROM supplier")
 def _(spark, d):
     x = A.table(spark, d, "supplier")
     k = F.col("s_suppkey").cast("string")
@@ -592,33 +631,120 @@ def _(spark, d):
     return rewriting.with_fitted_values(x.select(F.col("s_suppkey").alias("line_no"), value.alias("value")), fitted)
 
 
-@query("pclgo_lines")
+@query("component_lines")
 def _(spark, d):
     lines = rewriting.component_lines(_estimates(spark, d), NAMES, 0.2)
     return spark.createDataFrame(list(enumerate(lines)), "line_no int, value string")
 
 
-@query("pts_parse", f"WITH {A.EST} SELECT row, name, round(value, 6) AS value FROM est WHERE row < 100")
+@query("pts_parse", f"WITH {A.EST} SELECT row, name, round(value, 6) AS value FROM est")
 def _(spark, d):
-    e = _estimates(spark, d).where("row < 100")
+    e = _estimates(spark, d)
     rows = e.select((F.col("row") + 2).alias("line_no"), F.concat_ws(" ", *[F.col(n).cast("string") for n in NAMES]).alias("value"))
-    head = spark.createDataFrame([(0, "# 100 points"), (1, " ".join(NAMES))], "line_no long, value string")
+    head = spark.createDataFrame([(0, "# points"), (1, " ".join(NAMES))], "line_no long, value string")
     return text.flat_rows(rows.unionByName(head)).select("row", "name", r6("value", "value"))
 
 
-@query("coalescent_exact", "SELECT label, round(value::DOUBLE, 6) AS value FROM (VALUES ('x', 0.23467169), ('y', 0.23467169), ('z', 0.35967169), ('x:y', 0.14032831), ('x:z', 0.01532831), ('y:z', 0.01532831)) v(label, value)")
+# Readers with headers, and what is made of several files
+
+
+@query("daf_scan_status", f"WITH {A.DAF} SELECT chr, pos, aa, da, round(daf, 6) AS daf, 'OK' AS status FROM daf_rows WHERE pos % 7 > 1 UNION ALL SELECT chr, pos, aa, da, NULL, 'EINVAL' FROM daf_rows WHERE pos % 7 = 0 UNION ALL SELECT chr, pos, aa, NULL, NULL, 'BAD_DAF_INPUT' FROM daf_rows WHERE pos % 7 = 1")
+def _(spark, d):
+    k = F.col("pos") % 7
+    last = F.when(k == 0, F.concat("da", F.lit(" x"))).when(k == 1, F.lit("")).otherwise(F.concat("da", F.lit(" "), F.col("daf").cast("string")))
+    lines = A.daf_rows(spark, d).select(F.concat_ws(" ", "chr", F.col("pos").cast("string"), F.upper("aa"), last).alias("value"))
+    return text.read_daf(lines, status=True).select("chr", "pos", "aa", "da", r6("daf", "daf"), "status")
+
+
+_CHECKS = (
+    (("multref", "ref LIKE '%,%'"), ("multalt", "alt LIKE '%,%'"), ("multaa", "aa LIKE '%|%'")),
+    (("indelref", "length(ref) <> 1"), ("indelalt", "length(alt) <> 1"), ("indelaa", "length(aa) <> 1")),
+    (("missref", "ref = '.'"), ("missaa", "aa = '.'")),
+)
+
+
+def _counter_sql() -> str:
+    parts, before = [], "true"
+    for group in _CHECKS:
+        parts += [f"SELECT '{name}' AS reason FROM gc WHERE {before} AND {test}" for name, test in group]
+        before += "".join(f" AND NOT ({test})" for _, test in group)
+    parts.append(f"SELECT CASE WHEN aa <> ref AND aa <> alt AND alt <> '.' THEN 'threealleles' WHEN zeros + ones = 0 THEN 'zerogtype' ELSE 'good' END FROM gc WHERE {before}")
+    parts.append(f"SELECT 'bad' FROM gc WHERE NOT ({before}) OR (aa <> ref AND aa <> alt AND alt <> '.') OR zeros + ones = 0")
+    return f"WITH {A.GENOTYPES} SELECT reason, count(*) AS n_rows FROM ({' UNION ALL '.join(parts)}) GROUP BY reason"
+
+
+@query("genotype_counters", _counter_sql())
 def _(spark, d):
-    """Expected pattern shares of a three-population tree with a closed form."""
-    return expected.tree_shares(spark, two_n=1.0, t_xy=1.0, t_xyz=2.0).select("label", r6("value", "value"))
+    return text.genotype_counters(A.genotype_lines(spark, d))
 
 
-@query("coalescent_sim")
+def _sim_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Two files with headers, one of each line status."""
+    x = A.table(spark, d, "lineitem")
+    bit = lambda e: F.expr(f"cast({e} % 2 as string)")
+    row = F.concat_ws(" ", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), bit("l_partkey"), bit("l_partkey div 2"), bit("l_suppkey"), bit("l_suppkey div 2"))
+    rows = x.select(F.col("l_linestatus").alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber") + 10).alias("line_no"), row.alias("value"))
+    head = ["nchromosomes = 3", "chrlen = 1000", "npops = 3", "pop sampsize", "x 1", "y 2", "z 1"]
+    heads = rows.select("file").distinct().select("file", F.posexplode(F.array(*[F.lit(h) for h in head])).alias("line_no", "value"))
+    return rows.unionByName(heads.withColumn("line_no", F.col("line_no").cast("long")))
+
+
+SIM = "sim AS (SELECT l_linestatus AS file, (CAST(l_partkey AS BIGINT) % 2)::DOUBLE AS p0, (l_partkey // 2 % 2 + l_suppkey % 2)::DOUBLE / 2 AS p1, (l_suppkey // 2 % 2)::DOUBLE AS p2 FROM lineitem)"
+
+
+@query("sim_patterns", f"WITH {SIM} {pattern_sql(MASKS1, 'sim', 'true', extra='file, ')}")
+def _(spark, d):
+    lines = _sim_lines(spark, d)
+    sizes = samples.sim_samples(lines)
+    sites_ = samples.frequency_columns(samples.sim_sites(lines, sizes), sizes)
+    return P.pattern_sums(sites_, list(sizes), singletons=True, by=["file"]).select("file", "pat", r6("value", "value"))
+
+
+SCRM = "scrm AS (SELECT o_orderstatus AS file, (c % 2)::DOUBLE AS p0, ((c // 2) % 2 + (c // 4) % 2)::DOUBLE / 2 AS p1 FROM (SELECT o_orderstatus, o_orderkey, o_custkey AS c, sum(CASE WHEN o_orderkey % 8 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS b FROM orders) WHERE b > 0 AND o_orderkey % 8 <> 0)"
+
+
+@query("scrm_patterns", f"WITH {SCRM} {pattern_sql(P.masks(2, True), 'scrm', 'true', ('p0', 'p1'), 'file, ')}")
+def _(spark, d):
+    c = F.col("o_custkey")
+    row = F.concat_ws(" ", F.lit("0.5"), F.lit("1.25"), (c % 2).cast("string"), F.expr("cast(o_custkey div 2 % 2 as string)"), F.expr("cast(o_custkey div 4 % 2 as string)"))
+    lines = A.table(spark, d, "orders").select(F.col("o_orderstatus").alias("file"), F.col("o_orderkey").alias("line_no"), F.when(F.col("o_orderkey") % 8 == 0, F.lit("position time 1 2 3")).otherwise(row).alias("value"))
+    sizes = dict(zip(("x", "y"), samples.scrm_samples("scrm 3 9 -transpose-segsites -I 2 1 0 -eI 0.5 0 2"), strict=True))
+    return P.pattern_sums(samples.frequency_columns(text.scrm_sites(lines), sizes), ["x", "y"], singletons=True, by=["file"]).select("file", "pat", r6("value", "value"))
+
+
+@query("state_parse", "SELECT s_nationkey AS file, dense_rank() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pt, round(s_acctbal, 2) AS cost, u.name AS name, (CASE WHEN u.k = 0 THEN s_suppkey ELSE s_nationkey END)::DOUBLE AS value FROM supplier, (VALUES (0, 0, 'T'), (0, 1, 'N'), (1, 0, 'p0'), (1, 1, 'p1')) u(old, k, name) WHERE u.old = s_nationkey % 2")
 def _(spark, d):
-    """The same shares by simulation of gene genealogies on the executors."""
-    return expected.simulated_shares(spark, two_n=1.0, t_xy=1.0, t_xyz=2.0, replicates=200_000, seed=5)
+    x = A.table(spark, d, "supplier")
+    row = F.concat_ws(" ", F.format_string("%.2f", "s_acctbal"), F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string"))
+    rows = x.select(F.col("s_nationkey").alias("file"), (F.col("s_suppkey") + 2).cast("long").alias("line_no"), row.alias("value"))
+    old = F.col("file") % 2 == 1
+    first = F.concat(F.col("n").cast("string"), F.when(old, F.lit(" 2")).otherwise(F.lit(" 2 fmt2")))
+    heads = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select("file", F.inline(F.filter(F.array(F.struct(F.lit(0).cast("long").alias("line_no"), first.alias("value")), F.struct(F.lit(1).cast("long").alias("line_no"), F.when(~old, F.lit("cost T N")).alias("value"))), lambda h: h["value"].isNotNull())))
+    return text.state_points(rows.unionByName(heads)).select("file", "pt", "cost", "name", "value")
 
 
-@query("de_fit")
+@query("model_weights_by_file", f"WITH f AS (SELECT o_custkey % 10 AS row, o_orderpriority AS model, min(floor(o_totalprice / 1000)) AS crit FROM orders GROUP BY 1, 2), win AS (SELECT row, model, CASE WHEN crit = min(crit) OVER (PARTITION BY row) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS b FROM f) SELECT model, round(avg(b / s), 9) AS weight FROM (SELECT model, b, sum(b) OVER (PARTITION BY row) AS s FROM win) GROUP BY model")
 def _(spark, d):
-    """The split time that fits the shares of a tree with t_xy = 1, found from 0.5 by differential evolution."""
-    return expected.fit_split_time(spark, expected.tree_shares(spark, 1.0, 1.0, 2.0), generations=25, seed=3)
+    o = A.table(spark, d, "orders")
+    name = F.concat(F.lower(F.substring("o_orderpriority", 1, 1)), F.lit("-data"), (F.col("o_custkey") % 10).cast("string"), F.lit("-x.pts"))
+    crit = o.groupBy(name.alias("name"), F.col("o_orderpriority").alias("model")).agg(F.min(F.floor(F.col("o_totalprice") / 1000)).alias("crit"))
+    return model_choice.model_weights(model_choice.aligned_criteria(crit, "clic")).select("model", F.round("weight", 9).alias("weight"))
+
+
+def _quadratic(p1, p2):
+    return -3 * p1 * p1 + p1 * p2 - 2 * p2 * p2
+
+
+COV2 = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, covar_pop(embedding[{i}]::DOUBLE, embedding[{j}]::DOUBLE) AS cov FROM embeddings" for i, a in ((1, "p1"), (2, "p2")) for j, b in ((1, "p1"), (2, "p2")))
+
+
+@query("clic_by_file", f"WITH c AS ({COV2}), h(a, b, h) AS (VALUES ('p1', 'p1', -6.0::DOUBLE), ('p1', 'p2', 1.0::DOUBLE), ('p2', 'p1', 1.0::DOUBLE), ('p2', 'p2', -4.0::DOUBLE)), tr AS (SELECT sum(h.h * c.cov) AS t FROM h JOIN c ON h.a = c.b AND h.b = c.a), first AS (SELECT label AS file, arg_min(embedding[1]::DOUBLE, vec_id) AS x, arg_min(embedding[2]::DOUBLE, vec_id) AS y FROM embeddings GROUP BY label) SELECT file, round(-(-3 * x * x + x * y - 2 * y * y + t), 4) AS clic FROM first, tr")
+def _(spark, d):
+    """Points of a quadratic for each label; the regression finds its second derivatives."""
+    from pyspark.sql import Window
+
+    rows = A.table(spark, d, "embeddings").select(F.col("label").alias("file"), "vec_id", *[F.get("embedding", F.lit(j)).cast("double").alias(n) for j, n in enumerate(("p1", "p2"))])
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("vec_id")) - 1
+    points = rows.withColumns({"ord": nth, "lnL": _quadratic(F.col("p1"), F.col("p2"))})
+    hess = model_choice.hessians(points, ["p1", "p2"])
+    return model_choice.clic_by_file(hess, model_choice.covariance(rows, ["p1", "p2"])).select("file", F.round("clic", 4).alias("clic"))

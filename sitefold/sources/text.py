@@ -1,6 +1,6 @@
 """Readers of population-genetic text formats. Each takes lines (line_no, value), so a table of lines serves as a file
-does; ``read_lines`` gets them from files, gzipped or not. Line order only matters where a format has sections, and then
-files are read whole."""
+does; ``read_lines`` gets them from files, gzipped or not. Where lines come with a column ``file``, each file is read by
+itself."""
 
 from __future__ import annotations
 
@@ -9,11 +9,33 @@ from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
-    """file, line_no and value. Unordered reading splits large files; ordered reading numbers the lines of each file."""
+    """file, line_no and value. Large files are read in splits; for ordered reading lines are numbered within each split,
+    and only counts of splits are summed up within a file."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), "value")
     if not ordered:
-        return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.lit(None).cast("long").alias("line_no"), "value")
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
-    return whole.withColumn("line_no", F.col("line_no").cast("long"))
+        return lines.select("file", F.lit(None).cast("long").alias("line_no"), "value")
+    # ids rise within a split, which one task reads
+    lines = lines.withColumn("_id", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("file", "_split").orderBy("_id")) - 1
+    before = lines.groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select("file", "_split", (F.sum("_n").over(Window.partitionBy("file").orderBy("_split")) - F.col("_n")).alias("_before"))
+    return lines.withColumn("_place", place).join(before, ["file", "_split"]).select("file", (F.col("_before") + F.col("_place")).alias("line_no"), "value")
+
+
+def file_key(lines: DataFrame) -> list[str]:
+    """What lines of several files are kept apart by."""
+    return [c for c in lines.columns if c == "file"]
+
+
+def running_count(lines: DataFrame, mark: Column, name: str, width: int = 4096) -> DataFrame:
+    """``lines`` with ``name``: how many lines of their file up to and including each have ``mark``. Lines are counted within
+    ranges of ``width`` line numbers, and only counts of ranges are summed up within a file."""
+    keys = file_key(lines)
+    told = lines.withColumn("_mark", mark.cast("long")).withColumn("_bin", F.coalesce(F.floor(F.col("line_no") / width), F.lit(-1)))
+    whole = Window.partitionBy(*keys).orderBy("_bin")
+    before = told.groupBy(*keys, "_bin").agg(F.sum("_mark").alias("_in")).withColumn("_before", F.sum("_in").over(whole) - F.col("_in")).drop("_in")
+    within = F.sum("_mark").over(Window.partitionBy(*keys, "_bin").orderBy("line_no"))
+    return told.withColumn("_within", within).join(before, [*keys, "_bin"]).withColumn(name, F.col("_before") + F.col("_within")).drop("_mark", "_bin", "_within", "_before")
 
 
 def not_comment(value: Column) -> Column:
@@ -37,12 +59,17 @@ def read_raf(lines: DataFrame) -> DataFrame:
     return out.where((F.col("status") == "BAD_RAF_INPUT") | ((F.length("ref") == 1) & (F.length("alt") == 1)))
 
 
-def read_daf(lines: DataFrame) -> DataFrame:
-    """chr, pos, aa, da, daf; spaces or tabs separate the fields."""
+def read_daf(lines: DataFrame, status: bool = False) -> DataFrame:
+    """chr, pos, aa, da, daf; spaces or tabs separate the fields. With ``status`` (OK, BAD_DAF_INPUT for another number of fields,
+    EINVAL, ERANGE) every line that is not a comment has a row; without, lines of another number of fields have none."""
     f = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     kept = [c for c in lines.columns if c != "value"]
-    rows = lines.where(not_comment(F.col("value"))).where(F.size(f) == 5)
-    return rows.select(*kept, f[0].alias("chr"), f[1].try_cast("long").alias("pos"), F.lower(f[2]).alias("aa"), F.lower(f[3]).alias("da"), f[4].try_cast("double").alias("daf"))
+    rows = lines.where(not_comment(F.col("value"))).withColumn("_n", F.size(f))
+    daf = F.get(f, F.lit(4)).try_cast("double")
+    told = F.when(F.col("_n") != 5, F.lit("BAD_DAF_INPUT")).when(daf.isNull() | F.get(f, F.lit(1)).try_cast("long").isNull(), F.lit("EINVAL"))
+    told = told.when((F.abs(daf) == float("inf")) | (F.get(f, F.lit(4)).rlike("[1-9].*[eE]") & (daf == 0)), F.lit("ERANGE")).otherwise(F.lit("OK"))
+    fields = [F.get(f, F.lit(0)).alias("chr"), F.get(f, F.lit(1)).try_cast("long").alias("pos"), F.lower(F.get(f, F.lit(2))).alias("aa"), F.lower(F.get(f, F.lit(3))).alias("da"), daf.alias("daf")]
+    return rows.select(*kept, *fields, told.alias("status")) if status else rows.where("_n = 5").select(*kept, *fields)
 
 
 def out_of_order(rows: DataFrame) -> DataFrame:
@@ -98,35 +125,59 @@ def reject_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("reject", F.lit("good")).alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def genotype_counters(lines: DataFrame) -> DataFrame:
+    """reason, n_rows of rows chr, pos, ref, alt, aa, genotypes...: of the first group of checks that a row fails (numbers of
+    alleles, lengths, missing alleles) every counter that applies goes up; ``bad`` goes up once a row."""
+    p = F.split("value", "\t")
+    ref, alt, aa = (F.translate(F.lower(p[i]), "-", ".") for i in (2, 3, 4))
+    _, called, odd = _counts(_genotypes(F.col("value"), 5), "0")
+    name = lambda test, word: F.when(test, F.lit(word))
+    many = F.array_compact(F.array(name(ref.contains(","), "multref"), name(alt.contains(","), "multalt"), name(aa.contains("|"), "multaa")))
+    longer = F.array_compact(F.array(name(F.length(ref) != 1, "indelref"), name(F.length(alt) != 1, "indelalt"), name(F.length(aa) != 1, "indelaa")))
+    missing = F.array_compact(F.array(name(ref == ".", "missref"), name(aa == ".", "missaa")))
+    other = F.array(F.when((aa != ref) & (aa != F.when(alt == ".", aa).otherwise(alt)), F.lit("threealleles")).when(odd, F.lit("badgtype")).when(called == 0, F.lit("zerogtype")))
+    reasons = F.when(F.size(many) > 0, many).when(F.size(longer) > 0, longer).when(F.size(missing) > 0, missing).otherwise(F.array_compact(other))
+    told = lines.where(not_comment(F.col("value"))).select(reasons.alias("_r"))
+    counted = F.when(F.size("_r") > 0, F.concat("_r", F.array(F.lit("bad")))).otherwise(F.array(F.lit("good")))
+    return told.select(F.explode(counted).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def axt_records(lines: DataFrame) -> DataFrame:
-    """rec, chr, start, end, score, a, b from lines (line_no, value) of three-line records."""
-    full = lines.where(not_comment(F.col("value")))
-    at = Window.partitionBy("file").orderBy("line_no") if "file" in lines.columns else Window.orderBy("line_no")
-    n = F.row_number().over(at) - 1
-    parts = full.select(*(["file"] if "file" in lines.columns else []), F.floor(n / 3).alias("rec"), (n % 3).alias("part"), "value")
-    wide = parts.groupBy(*[c for c in ("file", "rec") if c in parts.columns]).agg(*[F.max(F.when(F.col("part") == i, F.col("value"))).alias(x) for i, x in enumerate(("head", "a", "b"))])
+    """rec, chr, start, end, score, a, b (and file) from lines (line_no, value) of three-line records. Sequences of unlike
+    length, or with other numbers of bases than the header says, are an error."""
+    keys = file_key(lines)
+    full = running_count(lines.where(not_comment(F.col("value"))), F.lit(True), "_n").withColumn("_n", F.col("_n") - 1)
+    parts = full.select(*keys, F.floor(F.col("_n") / 3).alias("rec"), (F.col("_n") % 3).alias("part"), "value")
+    wide = parts.groupBy(*keys, "rec").agg(*[F.max(F.when(F.col("part") == i, F.trim("value"))).alias(x) for i, x in enumerate(("head", "a", "b"))])
     h = F.split("head", r"\s+")
-    return wide.select("rec", h[1].alias("chr"), h[2].cast("long").alias("start"), h[3].cast("long").alias("end"), h[8].cast("long").alias("score"), F.lower("a").alias("a"), F.lower("b").alias("b"))
+    bases = lambda c: F.length(F.replace(F.col(c), F.lit("-"), F.lit("")))
+    spans = lambda i: h[i + 1].cast("long") - h[i].cast("long") + 1
+    fault = F.when(F.length("a") != F.length("b"), F.lit("sequences of unlike length")).when((bases("a") != spans(2)) | (bases("b") != spans(5)), F.lit("other numbers of bases than the header says"))
+    checked = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("alignment "), h[0], F.lit(": "), fault)).cast("string")).otherwise(F.lower("a"))
+    whole = wide.where("a is not null and b is not null")
+    return whole.select(*keys, "rec", h[1].alias("chr"), h[2].cast("long").alias("start"), h[3].cast("long").alias("end"), h[8].cast("long").alias("score"), checked.alias("a"), F.lower("b").alias("b"))
 
 
 def axt_bases(records: DataFrame, min_length: int = 1, min_score: int = 0) -> DataFrame:
-    """rec, start, chr, pos, ref, alt, raf: bases of A that are not gaps, against B."""
+    """rec, start, chr, pos, ref, alt, raf (and file): bases of A that are not gaps, against B. Bases are numbered within their
+    record's array, so nothing is shuffled."""
+    keys = file_key(records)
     good = records.where((F.length("a") == F.length("b")) & (F.col("end") - F.col("start") + 1 >= min_length) & (F.col("score") >= min_score))
-    each = good.select("rec", "chr", "start", "end", F.posexplode(F.arrays_zip(F.split("a", "").alias("x"), F.split("b", "").alias("y"))).alias("j", "p"))
-    bases = each.select("rec", "chr", "start", "end", "j", F.col("p.x").alias("ref"), F.col("p.y").alias("other")).where("ref <> '-'")
-    pos = F.col("start") + F.row_number().over(Window.partitionBy("rec").orderBy("j")) - 1
-    same = F.col("ref") == F.col("other")
-    rows = bases.select("rec", "start", "end", "chr", pos.alias("pos"), "ref", F.when(same, F.lit(".")).otherwise(F.col("other")).alias("alt"), same.cast("double").alias("raf"))
+    pairs = F.filter(F.arrays_zip(F.split("a", "").alias("x"), F.split("b", "").alias("y")), lambda p: p["x"] != "-")
+    each = good.select(*keys, "rec", "chr", "start", "end", F.posexplode(pairs).alias("j", "p"))
+    same = F.col("p.x") == F.col("p.y")
+    rows = each.select(*keys, "rec", "start", "end", "chr", (F.col("start") + F.col("j")).alias("pos"), F.col("p.x").alias("ref"), F.when(same, F.lit(".")).otherwise(F.col("p.y")).alias("alt"), same.cast("double").alias("raf"))
     return rows.where("ref <> 'n' and alt not in ('-', 'n')")
 
 
 def axt_merged(bases: DataFrame) -> DataFrame:
-    """One row a position: of overlapping records the one that starts last, unless it is nested in an earlier one."""
-    spans = bases.select("rec", "chr", "start", "end").distinct()
-    before = Window.partitionBy("chr").orderBy("start", "rec").rowsBetween(Window.unboundedPreceding, -1)
-    outer = spans.withColumn("_reach", F.max("end").over(before)).where("_reach is null or end > _reach").select("rec")
-    best = bases.join(outer, "rec").groupBy("chr", "pos").agg(F.max_by(F.struct("ref", "alt", "raf"), "start").alias("r"))
-    return best.select("chr", "pos", "r.ref", "r.alt", "r.raf")
+    """One row a position (of a file): of overlapping records the one that starts last, unless it is nested in an earlier one."""
+    keys = file_key(bases)
+    spans = bases.select(*keys, "rec", "chr", "start", "end").distinct()
+    before = Window.partitionBy(*keys, "chr").orderBy("start", "rec").rowsBetween(Window.unboundedPreceding, -1)
+    outer = spans.withColumn("_reach", F.max("end").over(before)).where("_reach is null or end > _reach").select(*keys, "rec")
+    best = bases.join(outer, [*keys, "rec"]).groupBy(*keys, "chr", "pos").agg(F.max_by(F.struct("ref", "alt", "raf"), "start").alias("r"))
+    return best.select(*keys, "chr", "pos", "r.ref", "r.alt", "r.raf")
 
 
 def sim_frequencies(rows: DataFrame, sizes: dict[str, int]) -> DataFrame:
@@ -140,13 +191,13 @@ def sim_frequencies(rows: DataFrame, sizes: dict[str, int]) -> DataFrame:
 
 
 def scrm_sites(lines: DataFrame) -> DataFrame:
-    """rep, idx, g from the transposed segregating sites of blocks that begin with a ``position`` line."""
-    at = Window.orderBy("line_no") if "file" not in lines.columns else Window.partitionBy("file").orderBy("line_no")
-    numbered = lines.withColumn("rep", F.sum(F.col("value").startswith("position").cast("long")).over(at) - 1)
+    """rep, idx, g (and file) from the transposed segregating sites of blocks that begin with a ``position`` line."""
+    keys = file_key(lines)
+    numbered = running_count(lines, F.col("value").startswith("position"), "_block").withColumn("rep", F.col("_block") - 1)
     rows = numbered.where((F.col("rep") >= 0) & F.col("value").rlike(r"^[0-9.eE+-]+\s+[0-9.eE+-]+\s+[01]"))
     f = F.split(F.trim("value"), r"\s+")
-    idx = F.row_number().over(Window.partitionBy("rep").orderBy("line_no")) - 1
-    return rows.select("rep", idx.cast("long").alias("idx"), F.slice(f, 3, F.size(f)).cast("array<int>").alias("g"))
+    idx = F.row_number().over(Window.partitionBy(*keys, "rep").orderBy("line_no")) - 1
+    return rows.select(*keys, "rep", idx.cast("long").alias("idx"), F.slice(f, 3, F.size(f)).cast("array<int>").alias("g"))
 
 
 def ms_transposed(rows: DataFrame) -> DataFrame:
@@ -195,20 +246,36 @@ def second_sightings(lines: DataFrame) -> DataFrame:
 
 
 def flat_rows(lines: DataFrame, width: int = 4096) -> DataFrame:
-    """row, name, value of a matrix with a header of names; ``#`` begins a comment. Lines are numbered within ranges of
-    ``width`` line numbers, and only counts of ranges pass through one task."""
+    """row, name, value (and file) of a matrix with a header of names; ``#`` begins a comment."""
+    keys = file_key(lines)
     told = lines.withColumn("_t", F.trim(F.regexp_replace("value", "#.*", ""))).where("_t <> ''")
-    told = told.withColumn("_bin", F.coalesce(F.floor(F.col("line_no") / width), F.lit(-1)))
-    before = told.groupBy("_bin").agg(F.count(F.lit(1)).alias("_in")).withColumn("_before", F.sum("_in").over(Window.orderBy("_bin")) - F.col("_in"))
-    place = F.row_number().over(Window.partitionBy("_bin").orderBy("line_no")) - 1
-    nth = told.withColumn("_place", place).join(before, "_bin").withColumn("_n", F.col("_before") + F.col("_place")).withColumn("_f", F.split("_t", r"\s+"))
-    head = nth.where("_n = 0").select(F.col("_f").alias("_names"))
-    each = nth.where("_n > 0").join(F.broadcast(head)).select((F.col("_n") - 1).cast("long").alias("row"), F.explode(F.arrays_zip(F.col("_names").alias("name"), F.col("_f").alias("value"))).alias("p"))
-    return each.select("row", "p.name", F.col("p.value").cast("double").alias("value"))
+    nth = running_count(told, F.lit(True), "_n", width).withColumn("_n", F.col("_n") - 1).withColumn("_f", F.split("_t", r"\s+"))
+    head = nth.where("_n = 0").select(*keys, F.col("_f").alias("_names"))
+    rows = nth.where("_n > 0")
+    both = rows.join(head, keys) if keys else rows.join(F.broadcast(head))  # one row
+    each = both.select(*keys, (F.col("_n") - 1).cast("long").alias("row"), F.explode(F.arrays_zip(F.col("_names").alias("name"), F.col("_f").alias("value"))).alias("p"))
+    return each.select(*keys, "row", "p.name", F.col("p.value").cast("double").alias("value"))
+
+
+def state_points(lines: DataFrame) -> DataFrame:
+    """pt, cost, name, value (and file) of state files. Their first line tells the numbers of points and parameters; if it also
+    names a format, a line with ``cost`` and the parameters' names follows, else the names are p0, p1, ... Another number of
+    points or of values in a row than announced is an error."""
+    keys = file_key(lines)
+    nth = running_count(lines.where(F.col("value").rlike(r"\S")), F.lit(True), "_n").withColumn("_f", F.split(F.trim("value"), r"\s+"))
+    head = nth.groupBy(*keys).agg(F.max(F.when(F.col("_n") == 1, F.col("_f"))).alias("_h"), F.max(F.when(F.col("_n") == 2, F.col("_f"))).alias("_names"), F.max("_n").alias("_last"))
+    npar, fresh = F.col("_h")[1].cast("int"), F.size("_h") > 2
+    names = F.when(fresh, F.slice("_names", 2, F.greatest(npar, F.lit(1)))).otherwise(F.transform(F.sequence(F.lit(0), npar - 1), lambda i: F.concat(F.lit("p"), i.cast("string"))))
+    told = head.select(*keys, names.alias("_p"), F.when(fresh, F.lit(2)).otherwise(F.lit(1)).alias("_skip"), F.col("_h")[0].cast("long").alias("_pts"), npar.alias("_npar"), "_last")
+    rows = (nth.join(told, keys) if keys else nth.join(F.broadcast(told))).where("_n > _skip")  # one row a file
+    bad = (F.size("_f") != F.col("_npar") + 1) | (F.col("_last") - F.col("_skip") != F.col("_pts"))
+    cost = F.when(bad, F.raise_error(F.lit("state file with other numbers than announced")).cast("double")).otherwise(F.col("_f")[0].cast("double"))
+    values = F.arrays_zip(F.col("_p").alias("name"), F.slice("_f", 2, F.size("_f")).alias("value"))
+    each = rows.select(*keys, (F.col("_n") - F.col("_skip") - 1).alias("pt"), cost.alias("cost"), F.explode(values).alias("v"))
+    return each.select(*keys, "pt", "cost", "v.name", F.col("v.value").cast("double").alias("value"))
 
 
 def merged_states(points: DataFrame, n: int) -> DataFrame:
     """``n`` points of several swarms: the best of each file in turn. points: file, pt, cost, params."""
     nth = Window.partitionBy("file").orderBy("cost", "pt")
-    turn = Window.orderBy("_n", "file")
-    return points.withColumn("_n", F.row_number().over(nth)).withColumn("_t", F.row_number().over(turn)).where(F.col("_t") <= n).drop("_n", "_t")
+    return points.withColumn("_n", F.row_number().over(nth)).orderBy("_n", "file").limit(n).drop("_n")

@@ -37,7 +37,7 @@ def test_entry_works_without_the_llm_subpackage():
 
     code = (
         "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; "
-        "q = e.queries(); assert 'tabpat_af' in q and 'pipeline' not in q and not any(x.startswith('op') and x[2].isdigit() for x in q); assert set(e.oracle_sql()) <= set(q)"
+        "q = e.queries(); assert 'daf_patterns' in q and 'pipeline' not in q and not any(x.startswith('op') and x[2].isdigit() for x in q); assert set(e.oracle_sql()) <= set(q)"
     )
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
