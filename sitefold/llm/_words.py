@@ -121,7 +121,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         row = row[size[row] > 8 * k]
         if not len(row):
             break
-        out[row] += mix64((pieces[starts[row] + 8 * k] & _KEEP[np.minimum(size[row] - 8 * k, 8)]) + _STEP * np.uint64(k + 1))
+        out[row] += mix64((pieces[starts[row] + 8 * k] & _KEEP[np.minimum(size[row] - 8 * k, 8)]) + np.uint64(int(_STEP) * (k + 1) % (1 << 64)))
     for i in long.tolist():  # what is left of the few long words, each at once
         at = np.arange(starts[i] + 8 * _ROUNDS, ends[i], 8)
         keep = _KEEP[np.minimum(ends[i] - at, 8)]

@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ._components import components, linked_groups
-from ._spark import bounded_batches, materialize, read_table
+from ._spark import bounded_batches, discard, materialize, partitions_for, read_table, text_bytes_in
 from ._words import mix64, text_bytes, tidy, word_hashes, word_spans
 
 #: Words a shingle; similarity as a ratio of integers; counters of the sketch (32 bits each, whatever the corpus).
 WORDS, NUM, DEN, SKETCH = 5, 80, 100, 1 << 19
 _SLICES = 32
+#: Bytes of input for each bucket of the lists.
+BUCKET_BYTES = 1 << 26
 #: Queries and members of a star that are compared in one task.
 QUERIES, MEMBERS = 512, 2048
 #: Sets of a block of a family; pairs of equal shingles counted at once; bytes of text hashed at once.
@@ -379,7 +381,7 @@ def ngram_jaccard_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row for each row of ``docs``."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = partitions_for(spark, text_bytes_in(docs), BUCKET_BYTES)
     stats = materialize(set_stats(docs), "set-stats")
     sets = stats.where("kind = 0").select("doc_id", "n", "s1", "s2")
     # equal sets are one class, named by its smallest document
@@ -440,6 +442,8 @@ def ngram_jaccard_classes(docs: DataFrame) -> DataFrame:
     asked = materialize(asked, "asked")
     if not asked.isEmpty():
         groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links_to_stars(asked, stars, docs)))
+    for table in (asked, open_lists, stars, docs, entries, same):
+        discard(table)
     return sets.join(groups, sets.doc_id == groups.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -5,8 +5,8 @@ Features are hashed unigrams, bigrams and one-word-gap skip-grams, each present
 are small enough to send to every task: at most ``2 ** bits`` of them.
 
 Defined results: a null text is the empty text, and an empty text gets the score of the bias alone; rows without a label
-are not learned from; a ``doc_id`` labelled more than once is toxic if any of its labels is; repeated rows are scored
-alike, each on its own; without a labelled row all scores are 0.5 minus nothing learned, that is sigmoid(0); an empty
+are not learned from; a ``doc_id`` labelled more than once is toxic if any of its labels is; of rows that repeat a
+``doc_id`` the smallest text is learned from, and repeated rows are scored alike, each on its own; without a labelled row all scores are 0.5 minus nothing learned, that is sigmoid(0); an empty
 table gives an empty result; other columns pass through, and a column that has the name of a result is replaced by it.
 """
 
@@ -73,8 +73,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     )
-    # at most max_train pairs of numbers are broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    # at most max_train pairs of numbers are broadcast; of rows that repeat a doc_id one text is learned from
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_train: int = MAX_TRAIN, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_train: int = M
         lists = table.column("features").combine_chunks()
         values, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
         toxic, ids = table.column("toxic").to_numpy(), table.column("doc_id").to_numpy()
-        # the order depends on ids and features only, so that every run learns the same
-        order = np.lexsort((bounds[1:] - bounds[:-1], ids))
+        # an id is here once, so every run learns in the same order
+        order = np.argsort(ids, kind="stable")
         model, rng = Ftrl(1 << bits), np.random.Generator(np.random.PCG64(7))
         for _ in range(epochs):
             for i in rng.permutation(order):
