@@ -8,10 +8,11 @@ then by position; whole blocks of a list are skipped where size or position alre
 Answers are shared between similar sets: equal sets are one class, and each set first verifies only the candidate it
 shares most lists with, its head. Sets that are linked so have one component, whose answers they inherit: every pair
 inside it is skipped. Sets that candidates tie together are a family: those outside its largest component are compared
-with all others of the family, whose overlaps follow from the few shingles in which each differs from one of them. Where
-a list still holds sets of different families and components, those of the smaller component ask the stars (a head and
-its members) of the other. So a group of thousands of near copies costs about one verification a set, sets are compared
-in blocks and never as rows of pairs, and no link between components is lost.
+with all others of the family. Where a list still holds sets of different families and components, those of the smaller
+component ask the other family, if they share enough lists with it for a link. Both comparisons take blocks of sets: their
+overlaps follow from the few shingles in which each differs from one highly similar set of the block, whose overlaps are
+counted once. So a group of thousands of near copies costs about one verification a set, sets are never rows of pairs,
+and no link between components is lost.
 
 Defined results: null texts and texts without words have an empty set, linked with nothing; a null doc_id is a row of its
 own with a null component; rows that repeat a doc_id count as one document whose rows are linked, each row keeps its own
@@ -38,8 +39,6 @@ WORDS, NUM, DEN, SKETCH = 5, 80, 100, 1 << 19
 _SLICES = 32
 #: Bytes of input for each bucket of the lists.
 BUCKET_BYTES = 1 << 26
-#: Queries and members of a star that are compared in one task.
-QUERIES, MEMBERS = 512, 2048
 #: Sets of a block of a family; pairs of equal shingles counted at once; bytes of text hashed at once.
 FAMILY, PAIRS, BYTES = 768, 1 << 20, 1 << 20
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -244,68 +243,22 @@ def list_entries(blocks: DataFrame, buckets: int) -> DataFrame:
     return blocks.repartition(buckets, "bucket").drop("bucket").mapInArrow(tidy(lists), "token long, doc long, size int, early boolean, head long")
 
 
-def verified_stars(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs: (a, head). Those whose whole sets are similar enough, with what a's set has more and less than its head's."""
+def verified_heads(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs: (a, head). Those whose whole sets are similar enough."""
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("head"), F.col("text").alias("text_head"))
 
     def compare(one: pa.Array, two: pa.Array) -> pa.Array:
         (x, x_at), (y, y_at) = shingle_sets(one), shingle_sets(two)
-        similar, more, less = [], [], []
+        similar = []
         for i in range(len(one)):
             p, q = x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]]
-            added = np.setdiff1d(p, q, assume_unique=True)
-            common = len(p) - len(added)
+            common = int(np.isin(p, q, assume_unique=True).sum())
             similar.append(common > 0 and DEN * common >= NUM * (len(p) + len(q) - common))
-            more.append(added.tobytes() if similar[-1] else b"")
-            less.append(np.setdiff1d(q, p, assume_unique=True).tobytes() if similar[-1] else b"")
-        return pa.StructArray.from_arrays([pa.array(similar), pa.array(more, pa.binary()), pa.array(less, pa.binary())], ["similar", "more", "less"])
+        return pa.array(similar, pa.bool_())
 
-    told = arrow_udf(compare, "similar boolean, more binary, less binary")("text_a", "text_head")
-    return pairs.join(left, "a").join(right, "head").select("a", "head", told.alias("told")).where("told.similar").select("a", "head", "told.more", "told.less")
-
-
-def links_to_stars(asked: DataFrame, stars: DataFrame, docs: DataFrame) -> DataFrame:
-    """asked: (z, head). Those where z is similar to the head or to a member of its star: overlaps with the members are
-    derived from the overlap with the head and from what they have more and less. Stars and queries of a head are dealt
-    out in pairs of blocks."""
-    texts = docs.where("doc_id is not null").select("doc_id", "text")
-    count = F.count(F.lit(1))
-    shape = asked.groupBy("head").agg(F.ceil(count / QUERIES).cast("int").alias("ni"))
-    members = stars.groupBy("head").agg(F.ceil(count / MEMBERS).cast("int").alias("nj"))
-    shape = shape.join(members, "head", "left").select("head", "ni", F.coalesce("nj", F.lit(1)).alias("nj"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    queries = asked.join(shape, "head").join(texts, asked["z"] == texts["doc_id"])
-    queries = queries.select("head", F.pmod(F.xxhash64("z"), F.col("ni")).cast("int").alias("i"), every("nj").alias("j"), "z", "text")
-    blank = F.lit(None)
-    deltas = stars.join(shape, "head").select("head", every("ni").alias("i"), F.pmod(F.xxhash64("a"), F.col("nj")).cast("int").alias("j"), "more", "less", blank.cast("string").alias("text"))
-    heads = shape.join(texts, shape["head"] == texts["doc_id"]).select("head", every("ni").alias("i"), "nj", "text")
-    heads = heads.select("head", "i", every("nj").alias("j"), F.lit(b"").alias("more"), F.lit(b"").alias("less"), "text")
-
-    def answer(asking: pa.Table, star: pa.Table) -> pa.Table:
-        own = star.filter(pc.is_valid(star.column("text")))
-        found: list[tuple[int, int]] = []
-        if asking.num_rows and own.num_rows:
-            x, _ = shingle_sets(own.column("text").combine_chunks().slice(0, 1))
-            more, less = ([np.frombuffer(t, np.uint64) for t in star.column(c).to_pylist()] for c in ("more", "less"))
-            more_at, less_at = (np.cumsum([0, *map(len, t)]) for t in (more, less))
-            more, less = np.concatenate(more), np.concatenate(less)
-            size = len(x) + np.diff(more_at) - np.diff(less_at)
-            sets, at = shingle_sets(asking.column("text").combine_chunks())
-            for k, z in enumerate(asking.column("z").to_pylist()):
-                mine = sets[at[k] : at[k + 1]]
-                if not len(mine):
-                    continue
-                has = lambda t, mine=mine: mine[np.minimum(np.searchsorted(mine, t), len(mine) - 1)] == t
-                gained, lost = np.r_[0, np.cumsum(has(more))], np.r_[0, np.cumsum(has(less))]
-                common = has(x).sum() + gained[more_at[1:]] - gained[more_at[:-1]] - lost[less_at[1:]] + lost[less_at[:-1]]
-                if (DEN * common >= NUM * (len(mine) + size - common)).any():
-                    found.append((z, asking.column("head")[0].as_py()))
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
-
-    keys = ["head", "i", "j"]
-    return queries.groupBy(*keys).cogroup(deltas.unionByName(heads).groupBy(*keys)).applyInArrow(answer, "a long, b long")
+    return pairs.join(left, "a").join(right, "head").where(arrow_udf(compare, "boolean")("text_a", "text_head")).select("a", "head")
 
 
 def overlaps(tokens: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, like: int) -> np.ndarray:
@@ -344,19 +297,24 @@ def overlaps(tokens: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.nda
 
 def links_in_families(families: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
     """families: (node, family). Links between different components of a family: sets outside its largest component
-    against all of its sets, dealt out in pairs of blocks."""
-    count = F.count(F.lit(1))
+    against all of its sets."""
     sets = families.join(groups, "node", "left").select("family", F.col("node").alias("doc"), F.coalesce("component", "node").alias("component"))
-    parts = sets.groupBy("family", "component").agg(count.alias("n"))
+    parts = sets.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
     shape = parts.groupBy("family").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top")).where("all > top.n")
-    blocks = lambda n: F.ceil(n / FAMILY).cast("int")
-    shape = shape.select("family", F.col("top.component").alias("top"), blocks(F.col("all") - F.col("top.n")).alias("ni"), blocks(F.col("all")).alias("nj"))
-    placed = sets.join(shape, "family")
+    placed = sets.join(shape.select("family", F.col("top.component").alias("top")), "family")
+    return links_by_blocks(placed.where("component <> top").drop("top"), placed.drop("top"), docs)
+
+
+def links_by_blocks(asking: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+    """asking and members: (family, doc, component). Links of the asking sets of a family with its members of other components,
+    dealt out in pairs of blocks."""
+    sizes = lambda rows, name: rows.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY).cast("int").alias(name))
+    shape = sizes(asking, "ni").join(sizes(members, "nj"), "family")
     mine = lambda n: F.pmod(F.xxhash64(F.lit(3), "doc"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asking = placed.where("component <> top").select("family", "doc", "component", F.lit(True).alias("asks"), mine("ni").alias("i"), every("nj").alias("j"))
-    others = placed.select("family", "doc", "component", F.lit(False).alias("asks"), every("ni").alias("i"), mine("nj").alias("j"))
-    rows = asking.unionByName(others).join(docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text"), "doc")
+    left = asking.join(shape, "family").select("family", "doc", "component", F.lit(True).alias("asks"), mine("ni").alias("i"), every("nj").alias("j"))
+    right = members.join(shape, "family").select("family", "doc", "component", F.lit(False).alias("asks"), every("ni").alias("i"), mine("nj").alias("j"))
+    rows = left.unionByName(right).join(docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text"), "doc")
 
     def compare(table: pa.Table) -> pa.Table:
         doc, component, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "component", "asks"))
@@ -399,21 +357,19 @@ def ngram_jaccard_classes(docs: DataFrame) -> DataFrame:
     for side in ("a", "head"):
         shared = shared.join(same.select(F.col("a").alias(side), F.col("b").alias("rep")), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
     best = shared.where("a <> head").groupBy("a").agg(F.max_by("head", F.struct("lists", -F.col("head"))).alias("head"))
-    stars = materialize(verified_stars(best, docs), "stars")
-    groups = components(same.union(stars.select("a", "head")))
+    groups = components(same.union(verified_heads(best, docs)))
+    linked = lambda: groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
     # second step: within families, that is sets tied by candidates, sets outside the largest component against all others
     families = components(best.select("a", F.col("head").alias("b"))).select("node", F.col("component").alias("family"))
-    groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links_in_families(families, groups, docs)))
+    groups = components(linked().union(links_in_families(families, groups, docs)))
 
-    # third step: lists that hold sets of several components and families. Those of the smaller component ask the others' stars
+    # third step: lists that hold sets of several components and families. Those of the smaller component ask the other family
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     known = groups.withColumnRenamed("node", "doc").join(sizes, "component").join(same.select(F.col("a").alias("doc"), F.col("b").alias("rep")), "doc", "left")
-    known = known.withColumn("rep", F.coalesce("rep", "doc")).join(stars.select(F.col("a").alias("rep"), F.col("head").alias("star")), "rep", "left")
-    known = known.select("doc", "rep", F.coalesce("star", "rep").alias("star"), "component", "members")
-    known = known.join(families.withColumnRenamed("node", "rep"), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
+    known = known.select("doc", F.coalesce("rep", "doc").alias("rep"), "component", "members").join(families.withColumnRenamed("node", "rep"), "rep", "left")
     named = entries.select("token", "doc", "size").join(met, "doc", "left_semi").join(known, "doc", "left").select(
-        "token", "size", F.coalesce("rep", "doc").alias("z"), F.coalesce("star", "doc").alias("star"), F.coalesce("family", "doc").alias("family"),
+        "token", "size", F.coalesce("rep", "doc").alias("z"), F.coalesce("family", "rep", "doc").alias("family"),
         F.coalesce("component", "doc").alias("component"), F.coalesce("members", F.lit(1)).alias("members"),
     )
     split = named.groupBy("token").agg(*[f(c).alias(f"{c}_{n}") for c in ("component", "family") for f, n in ((F.min, "low"), (F.max, "high"))])
@@ -423,26 +379,28 @@ def ngram_jaccard_classes(docs: DataFrame) -> DataFrame:
     sides = [F.col("component").alias("other"), F.col("members").alias("others"), F.col("family").alias("kin")]
     span = [F.min("size").alias("low"), F.max("size").alias("high")]
     fits = f"{DEN} * high >= {NUM} * size and {NUM} * low <= {DEN} * size"
-    counted = [F.count(F.lit(1)).alias("lists"), F.first("size").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")]
+    counted = [F.count(F.lit(1)).alias("lists"), F.first("size").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("component").alias("component")]
     # of what the prefixes do not hold, all may be common at best; ``lists`` counts all that the whole prefixes share
     beyond = F.ceil(F.greatest("n", "high") * NUM / DEN) - 1
     least = F.greatest(F.col("low"), F.ceil(F.col("n") * NUM / DEN))
     enough = F.col("lists") + beyond >= F.ceil((F.col("n") + least) * NUM / (NUM + DEN))
-    # a set shares no more lists with a star than with the star's whole family: first families, then stars of those left
-    kin = (
+    # a set shares no more lists with a set of a family's component than with all of them together
+    asked = (
         asking.join(open_lists.groupBy("token", *sides).agg(*span), "token")
         .where("family <> kin and component <> other and (members < others or (members = others and component > other))").where(fits)
-        .groupBy("z", "kin", "other").agg(*counted).where(enough).select("z", "kin", "other")
-    )
-    held = open_lists.groupBy("token", F.col("star").alias("head"), *sides).agg(*span).drop("others")
-    asked = (
-        kin.join(asking.select("token", "z", "size"), "z").join(held, ["token", "kin", "other"]).where(fits)
-        .groupBy("z", "head").agg(*counted).where(enough).select("z", "head")
+        .groupBy("z", "kin", "other").agg(*counted).where(enough).select("z", "kin", "other", "component")
     )
     asked = materialize(asked, "asked")
     if not asked.isEmpty():
-        groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links_to_stars(asked, stars, docs)))
-    for table in (asked, open_lists, stars, docs, entries, same):
+        kin = asked.select(F.col("kin").alias("family"), F.col("other").alias("component")).distinct()
+        told = families.select(F.col("node").alias("doc"), "family").join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left")
+        told = told.select("family", "doc", F.coalesce("component", "doc").alias("component"))
+        # a set without candidates is a family of its own, named by itself
+        alone = kin.join(families.select(F.col("node").alias("family")), "family", "left_anti").select("family", F.col("family").alias("doc"), "component")
+        members = told.join(kin, ["family", "component"]).unionByName(alone).distinct()
+        asks = asked.select(F.col("kin").alias("family"), F.col("z").alias("doc"), "component").distinct()
+        groups = components(linked().union(links_by_blocks(asks, members.select("family", "doc", "component"), docs)))
+    for table in (asked, open_lists, docs, entries, same):
         discard(table)
     return sets.join(groups, sets.doc_id == groups.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
