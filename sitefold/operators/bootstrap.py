@@ -1,4 +1,4 @@
-"""Moving-blocks bootstrap of pattern counts, with equi-joins on prefix sums instead of a range join."""
+"""Moving-blocks bootstrap of pattern counts, with equi-joins on running sums instead of a range join."""
 
 from __future__ import annotations
 
@@ -63,28 +63,19 @@ def multiplicity(starts: DataFrame, sites: DataFrame, length: int) -> DataFrame:
     return met.groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("w"))
 
 
-def cumulative(sites: DataFrame, values: dict[str, Column], width: int) -> DataFrame:
-    """idx and the sums of ``values`` over all sites before it, for each idx and for the number of sites."""
-    named = sites.select("idx", *[v.alias(k) for k, v in values.items()]).withColumn("_cell", F.floor(F.col("idx") / width))
-    upto = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = named.groupBy("_cell").agg(*[F.sum(k).alias(k) for k in values])
-    before = cells.select("_cell", *[F.coalesce(F.sum(k).over(upto), F.lit(0.0)).alias(f"_b_{k}") for k in values])
-    within = Window.partitionBy("_cell").orderBy("idx")
-    run = named.select("_cell", "idx", *[F.sum(k).over(within).alias(k) for k in values]).join(before, "_cell")
-    after = run.select((F.col("idx") + 1).alias("idx"), *[(F.col(k) + F.col(f"_b_{k}")).alias(k) for k in values])
-    first = sites.sparkSession.range(1).select("id", *[F.lit(0.0).alias(k) for k in values]).withColumnRenamed("id", "idx")
-    return after.unionByName(first)
-
-
 def replicate_counts(sites: DataFrame, frequencies: list[str], starts: DataFrame, length: int, singletons: bool = False) -> DataFrame:
-    """rep, pat, value: a block's sum is the difference of prefix sums at its ends, so nothing is multiplied out."""
+    """rep, pat, value. Sites are summed up within cells of ``length``, so a block is the end of one cell and the begin of the
+    next: two equi-joins on running sums, nothing is multiplied out, and no sum is longer than a cell."""
     every = masks(len(frequencies), singletons)
     columns = [F.col(c) for c in frequencies]
-    sums = cumulative(sites, {f"_{m}": pattern_probability(columns, m) for m in every}, 4096)
-    low = sums.select(F.col("idx").alias("start"), *[F.col(f"_{m}").alias(f"low_{m}") for m in every])
-    high = sums.select(F.col("idx").alias("end"), *[F.col(f"_{m}").alias(f"high_{m}") for m in every])
-    blocks = starts.withColumn("end", F.col("start") + length).join(low, "start").join(high, "end")
-    wide = blocks.groupBy("rep").agg(*[F.sum(F.col(f"high_{m}") - F.col(f"low_{m}")).alias(f"_{m}") for m in every])
+    named = sites.select("idx", F.floor(F.col("idx") / length).alias("_cell"), *[pattern_probability(columns, m).alias(f"_{m}") for m in every])
+    upto, whole = Window.partitionBy("_cell").orderBy("idx"), Window.partitionBy("_cell")
+    run = named.select("idx", *[F.sum(f"_{m}").over(upto).alias(f"_r{m}") for m in every], *[F.sum(f"_{m}").over(whole).alias(f"_t{m}") for m in every])
+    after = F.col("idx") + 1
+    first = run.where(after % length != 0).select(after.alias("start"), *[(F.col(f"_t{m}") - F.col(f"_r{m}")).alias(f"first_{m}") for m in every])
+    last = run.select(after.alias("end"), *[F.col(f"_r{m}").alias(f"last_{m}") for m in every])
+    blocks = starts.withColumn("end", F.col("start") + length).join(last, "end").join(first, "start", "left")
+    wide = blocks.groupBy("rep").agg(*[F.sum(F.col(f"last_{m}") + F.coalesce(f"first_{m}", F.lit(0.0))).alias(f"_{m}") for m in every])
     pairs = F.array(*[F.struct(F.lit(m).cast("long").alias("pat"), F.col(f"_{m}").alias("value")) for m in every])
     return wide.select("rep", F.inline(pairs))
 
