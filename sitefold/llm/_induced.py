@@ -319,6 +319,11 @@ def sorted_lms(text: np.ndarray, characters: int, rises: np.ndarray, lms: np.nda
         k -= len(mine)
     store.release(queue.pos)
     names, count = named(text, lms, ordered, cap, store)
+    if count <= 1 << 16:  # short characters are gathered and sorted faster
+        wide, names = names, store.array(n, np.uint16)
+        for part in blocks(n):
+            names[part] = wide[part]
+        store.release(wide)
     if count < n:
         # an LMS substring spans two characters at least
         deeper = sorted_suffixes(names, count, cap // 2 + 2, store, depths)
