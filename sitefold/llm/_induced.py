@@ -42,11 +42,11 @@ class Store:
         self.on_disk += size
         file = tempfile.TemporaryFile()
         file.truncate(size)
-        return np.memmap(file, kind, "r+", shape=(n,))
+        return np.asarray(np.memmap(file, kind, "r+", shape=(n,)))  # as a plain array, whose slices cost less
 
     def release(self, *arrays: np.ndarray) -> None:
         """Give back the room of arrays that were in memory and are not used any more."""
-        self.left += sum(a.nbytes for a in arrays if not isinstance(a, np.memmap))
+        self.left += sum(a.nbytes for a in arrays if a.base is None)  # mapped files are views
 
 
 def blocks(n: int) -> Iterator[slice]:
@@ -127,7 +127,10 @@ class Queue:
             self.pos[part] = -1
         self.lcp = store.array(size if with_lcp else 0, np.uint8)
         self.head, self.first = heads.copy(), heads
-        self.carry = np.zeros(len(heads) if with_lcp else 0, np.uint8)
+        # for each character the least value after its last push within that run of slots, and which run it was; for each
+        # value the last run that holds no more: so what is least since a push is looked up, and not kept up for all characters
+        self.rest, self.run_of = (store.array(len(heads) if with_lcp else 0, t) for t in (np.uint8, np.int32))
+        self.runs, self.last_run = 1, np.zeros(256, np.int64)
         self.seams, self.seam_at = np.zeros(0, np.int64), 0
         self.short_seams = False
 
@@ -188,7 +191,8 @@ class Queue:
                     self.push_lcp(s, pos, at, there, cut, slot)
                 head[there] += many
             elif with_lcp:
-                np.minimum(self.carry, self.settled(s, pos).min(), out=self.carry)
+                self.last_run[int(self.settled(s, pos).min()) :] = self.runs
+                self.runs += 1
             s += end
 
     def settled(self, s: int, pos: np.ndarray) -> np.ndarray:
@@ -214,16 +218,19 @@ class Queue:
         span[2 * cut] = at[cut]
         span[1::2] = at + 1
         value = np.minimum.reduceat(lcp, span)[::2]
-        value[cut] = np.minimum(np.minimum.accumulate(lcp)[at[cut]], self.carry[there])
+        since = np.minimum(self.rest[there], self.last_run.searchsorted(self.run_of[there], side="right"))
+        value[cut] = np.minimum(np.minimum.accumulate(lcp)[at[cut]], since)
         value = np.minimum(value, self.cap - 1) + np.uint8(1)
         fresh = cut[slot[cut] == self.first[there]]
         value[fresh] = 0  # the first of its character
         self.lcp[slot] = value
-        np.minimum(self.carry, lcp.min(), out=self.carry)
+        self.last_run[int(lcp.min()) :] = self.runs
         last = np.empty(len(cut), np.int64)
         last[:-1] = cut[1:]
         last[-1] = len(at)
-        self.carry[there] = np.minimum.accumulate(lcp[::-1])[::-1][at[last - 1] + 1]
+        self.rest[there] = np.minimum.accumulate(lcp[::-1])[::-1][at[last - 1] + 1]
+        self.run_of[there] = self.runs
+        self.runs += 1
 
 
 def induced(text: np.ndarray, characters: int, rises: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray | None, cap: int, store: Store, substrings: bool = False) -> Queue:
@@ -267,8 +274,9 @@ def induced(text: np.ndarray, characters: int, rises: np.ndarray, seeds: np.ndar
             more = mine & (nth + 1 < falling[chars])
             out.lcp[(before + up + falling - 1)[chars[more]] - nth[more]] = lefts.lcp[np.flatnonzero(more) + part.start + 1]
     out.seams = (before + up)[(up > 0) & (falling > 0)][::-1].copy()
-    store.release(lefts.pos, lefts.lcp)
+    store.release(lefts.pos, lefts.lcp, lefts.rest, lefts.run_of)
     out.scan(True)
+    store.release(out.rest, out.run_of)
     return out
 
 

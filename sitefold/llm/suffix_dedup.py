@@ -39,7 +39,7 @@ from ._words import BYTE_EXACT, mix64, powers, prefix_sums, range_hash, text_byt
 
 #: Bytes of a string, and of the k-gram that anchors it; bytes that are hashed at once; anchors that a task combines;
 #: bytes of a shard's arrays that a task keeps in memory; kinds of surroundings beyond which a k-gram is hot.
-LENGTH, GRAM, CHUNK, COMBINE, BUDGET, HOT = 100, 32, 1 << 19, 1 << 19, 1 << 26, 2048
+LENGTH, GRAM, CHUNK, COMBINE, BUDGET, HOT = 100, 32, 1 << 19, 1 << 19, 1 << 27, 2048
 #: Bytes of input for each bucket of anchors, and for each shard.
 BUCKET_BYTES, SHARD_BYTES = 1 << 26, 1 << 22
 _PLACE = np.uint64((1 << 21) - 1)
