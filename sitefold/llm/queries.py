@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .centroids import OP11_SQL, op11_centroid_clustering
 from .chat import OP4_SQL, op4_chat_formatting
 from .embedding_join import OP5_SQL, op5_embedding_near_dedup
+from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .line_dedup import op2_line_dedup
 from .mixing import op6_source_mixing
 from .ngram_join import OP8_SQL, op8_ngram_jaccard_join
@@ -12,6 +14,7 @@ from .quality import op7_quality_rules
 from .suffix_dedup import op1_suffix_array_dedup
 from .toxicity import op3_toxicity
 from .url_filter import OP10_SQL, op10_url_filter
+from .warc import OP13_SQL, op13_warc
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_filter": op10_url_filter,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_warc": op13_warc,
 }
 
 ORACLE_SQL = {
@@ -31,4 +37,7 @@ ORACLE_SQL = {
     "op5_embedding_near_dedup": OP5_SQL,
     "op8_ngram_jaccard_join": OP8_SQL,
     "op10_url_filter": OP10_SQL,
+    "op11_centroid_clustering": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
+    "op13_warc": OP13_SQL,
 }
