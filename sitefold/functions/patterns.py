@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A mask is a non-negative LONG.
-MAX_POPULATIONS = 31
+#: A mask, and its rank with the number of its bits above it, are non-negative LONGs.
+MAX_POPULATIONS = 56
+#: Populations whose products are multiplied out in one array: no array holds more than 2**CHUNK patterns.
+CHUNK = 8
 
 
 def check_labels(labels: list[str]) -> list[str]:
@@ -77,15 +79,41 @@ def pattern_probability(frequencies: list[Column], mask: int) -> Column:
     return reduce(lambda a, b: a * b, [p if mask >> j & 1 else 1 - p for j, p in enumerate(frequencies)])
 
 
-def _scaled(values: Column, by: Column) -> Column:
-    return F.transform(values, lambda z: z * by)
+def occurring_patterns(sites: DataFrame, frequencies: list[str], keep: list[str]) -> DataFrame:
+    """``keep``, pat and z: a row for each pattern that a site shows with a probability z other than 0, monomorphic ones included.
+
+    A population at 0 or 1 does not branch, so a site makes 2 ** (undecided populations) rows, however many populations there
+    are. Undecided ones are multiplied out ``CHUNK`` at a time, each product of a chunk with all of the next, so that arrays stay small.
+    Sites with a null frequency show nothing."""
+    columns = [F.col(c) for c in frequencies]
+    known = reduce(lambda a, b: a & b, [p.isNotNull() for p in columns])
+    fixed = reduce(lambda a, b: a.bitwiseOR(b), [F.when(p == 1, F.lit(1 << j)).otherwise(F.lit(0)).cast("long") for j, p in enumerate(columns)])
+    branches = F.array(*[F.struct(F.lit(1 << j).cast("long").alias("bit"), p.cast("double").alias("p")) for j, p in enumerate(columns)])
+    undecided = F.filter(branches, lambda b: (b["p"] != 0) & (b["p"] != 1))
+    rows = sites.where(known).select(*keep, undecided.alias("_u"), fixed.alias("pat"), F.lit(1.0).alias("z"))
+
+    def both(products: Column, b: Column) -> Column:
+        without = lambda e: F.struct(e["pat"].alias("pat"), (e["z"] * (1 - b["p"])).alias("z"))
+        with_it = lambda e: F.struct(e["pat"].bitwiseOR(b["bit"]).alias("pat"), (e["z"] * b["p"]).alias("z"))
+        return F.concat(F.transform(products, without), F.transform(products, with_it))
+
+    for first in range(0, len(columns), CHUNK):
+        start = F.array(F.struct("pat", "z"))
+        rows = rows.select(*keep, "_u", F.inline(F.aggregate(F.slice("_u", first + 1, CHUNK), start, both)))
+    return rows.drop("_u")
+
+
+def is_pattern(k: int, singletons: bool) -> Column:
+    """Of ``pat``: neither none nor all of ``k`` populations and, without ``singletons``, more than one."""
+    some = (F.col("pat") > 0) & (F.col("pat") < (1 << k) - 1)
+    return some if singletons else some & (F.bit_count("pat") > 1)
 
 
 def pattern_sums(sites: DataFrame, frequencies: list[str], singletons: bool = False, by: list[str] | None = None, wide: int = 6) -> DataFrame:
     """``by``, pat and value: the sum over sites of each pattern's probability.
 
     Up to ``wide`` populations every pattern is a sum of its own, so sites are never multiplied and partial sums are all
-    that is shuffled; beyond that, patterns are exploded from an array that doubles with each population.
+    that is shuffled. Beyond that, sites are expanded to the patterns they show; patterns that no site shows have no row.
     """
     by, columns = by or [], [F.col(c) for c in frequencies]
     if len(frequencies) <= wide:
@@ -93,9 +121,7 @@ def pattern_sums(sites: DataFrame, frequencies: list[str], singletons: bool = Fa
         sums = sites.groupBy(*by).agg(*[F.sum(pattern_probability(columns, m)).alias(f"_{m}") for m in every])
         pairs = F.array(*[F.struct(F.lit(m).cast("long").alias("pat"), F.coalesce(F.col(f"_{m}"), F.lit(0.0)).alias("value")) for m in every])
         return sums.select(*by, F.inline(pairs))
-    products = F.array(F.lit(1.0))
-    for p in columns:  # bit j doubles the array: first without it, then with it
-        products = F.concat(_scaled(products, 1 - p), _scaled(products, p))
-    rows = sites.select(*by, F.posexplode(products).alias("pat", "z")).where((F.col("pat") > 0) & (F.col("pat") < (1 << len(columns)) - 1))
-    rows = rows.where(singletons | (F.bit_count("pat") > 1))
-    return rows.groupBy(*by, F.col("pat").cast("long").alias("pat")).agg(F.sum("z").alias("value"))
+    if len(frequencies) > MAX_POPULATIONS:
+        raise ValueError(f"at most {MAX_POPULATIONS} populations")
+    rows = occurring_patterns(sites, frequencies, by).where(is_pattern(len(frequencies), singletons))
+    return rows.groupBy(*by, "pat").agg(F.sum("z").alias("value"))

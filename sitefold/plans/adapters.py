@@ -131,3 +131,20 @@ def estimate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EST = "est AS (" + " UNION ALL ".join(f"SELECT vec_id AS row, 'm' || label AS model, 'p{j}' AS name, CAST(embedding[{j}] AS DOUBLE) AS value FROM embeddings" for j in range(1, 5)) + ")"
+
+
+MANY = [f"q{j}" for j in range(32)]
+
+
+def many_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id and a frequency of each of 32 populations, most of them 0 or 1: sums of components j and j + 32, folded into [0, 1]."""
+    x = lambda j: F.get("embedding", F.lit(j)).cast("double")
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[F.least(F.lit(1.0), F.greatest(F.lit(0.0), 50 * (x(j) + x(j + 32) + 0.01))).alias(q) for j, q in enumerate(MANY)])
+
+
+#: Rows (vec_id, pat, z) of the patterns that each vector shows, one population after the other.
+MANY_SQL = """folded AS (SELECT vec_id, j, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 50 * (embedding[j + 1]::DOUBLE + embedding[j + 33]::DOUBLE + 0.01::DOUBLE))) AS p FROM embeddings, (SELECT unnest(range(32)) AS j)),
+grown(vec_id, j, pat, z) AS (
+  SELECT vec_id, 0::BIGINT, 0::BIGINT, 1.0::DOUBLE FROM embeddings
+  UNION ALL SELECT vec_id, g.j + 1, g.pat + b * (1::BIGINT << g.j), z * (CASE WHEN b = 1 THEN p ELSE 1 - p END) FROM grown g JOIN folded USING (vec_id, j), (SELECT unnest([0, 1]) AS b) WHERE CASE WHEN b = 1 THEN p ELSE 1 - p END > 0),
+shown AS (SELECT vec_id, pat, z FROM grown WHERE j = 32 AND pat > 0 AND pat < (1::BIGINT << 32) - 1)"""

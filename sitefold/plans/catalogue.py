@@ -78,6 +78,11 @@ def _(spark, d):
     return P.pattern_sums(_good(spark, d), FREQ, by=["chr"]).select("chr", "pat", r6("value", "value"))
 
 
+@query("many_population_patterns", f"WITH RECURSIVE {A.MANY_SQL} SELECT pat, round(sum(z), 6) AS value FROM shown WHERE bit_count(pat) > 1 GROUP BY pat")
+def _(spark, d):
+    return P.pattern_sums(A.many_frequencies(spark, d), A.MANY).select("pat", r6("value", "value"))
+
+
 @query("raf_patterns", f"WITH {A.RAF} {pattern_sql(MASKS, 'polar', 'status = $$OK$$', ('y0', 'y1', 'y2')).replace('$$', chr(39))}")
 def _(spark, d):
     return P.pattern_sums(_polarised(spark, d).where("status = 'OK'"), FREQ).select("pat", r6("value", "value"))
@@ -515,6 +520,29 @@ def _(spark, d):
     return posterior.mean_posterior(posterior.site_posterior(_good(spark, d), FREQ, _cond(spark, d))).select(r6("mean_posterior", "mean_posterior"), "n_sites")
 
 
+def _frequency_sql() -> str:
+    z = " + ".join(product(m) for m in MASKS)
+    each = " UNION ALL ".join(f"SELECT {m}::BIGINT AS pat, avg(({product(m)}) / z) AS frequency FROM s" for m in MASKS)
+    return f"{COND}, s AS (SELECT *, {z} AS z FROM sites WHERE status = 'OK' AND {z} > 0), f AS ({each}) SELECT pat, round(frequency, 6) AS frequency, round(c, 9) AS c, round((SELECT sum(f.frequency * c.c) FROM f JOIN c USING (pat)), 6) AS mean_posterior, (SELECT count(*) FROM s) AS n_sites FROM f JOIN c USING (pat)"
+
+
+@query("admix_pattern_frequencies", _frequency_sql())
+def _(spark, d):
+    told = posterior.pattern_frequencies(_good(spark, d), FREQ, _cond(spark, d))
+    return told.select("pat", r6("frequency", "frequency"), F.round("c", 9).alias("c"), r6("mean_posterior", "mean_posterior"), "n_sites")
+
+
+@query("many_population_posterior", f"""WITH RECURSIVE {A.MANY_SQL}, c AS (SELECT bit_count(pat) AS n, avg(z) AS c FROM shown GROUP BY 1)
+SELECT vec_id, round(sum(z * c) / sum(z), 6) AS posterior FROM shown JOIN c ON n = bit_count(pat) WHERE n > 1 GROUP BY vec_id""")
+def _(spark, d):
+    """Each pattern's c is the mean probability of the patterns with as many populations."""
+    rows = A.many_frequencies(spark, d)
+    shown = P.occurring_patterns(rows, A.MANY, []).where(P.is_pattern(len(A.MANY), True)).withColumn("n", F.bit_count("pat"))
+    c = shown.groupBy("n").agg(F.avg("z").alias("c")).join(shown.select("n", "pat").distinct(), "n")
+    at = rows.withColumns({"chr": F.lit("1"), "pos": F.col("vec_id")})
+    return posterior.site_posterior(at, A.MANY, c).where("posterior is not null").select(F.col("pos").alias("vec_id"), r6("posterior", "posterior"))
+
+
 @query("pattern_posterior", f"{COND} SELECT round(sum(value * c) / sum(value), 6) AS mean_posterior FROM (SELECT pat, sum(value) AS value FROM opf GROUP BY pat) JOIN c USING (pat)")
 def _(spark, d):
     return posterior.pattern_posterior(A.opf_rows(spark, d).groupBy("pat").agg(F.sum("value").alias("value")), _cond(spark, d)).select(r6("mean_posterior", "mean_posterior"))

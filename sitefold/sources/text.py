@@ -38,6 +38,19 @@ def running_count(lines: DataFrame, mark: Column, name: str, width: int = 4096)
     return told.withColumn("_within", within).join(before, [*keys, "_bin"]).withColumn(name, F.col("_before") + F.col("_within")).drop("_mark", "_bin", "_within", "_before")
 
 
+def with_previous(rows: DataFrame, keys: list[str], at: str, columns: list[str], width: int) -> DataFrame:
+    """``rows`` with ``_before``, a struct of ``columns`` of the row before by ``at`` within ``keys``. Rows are put in order within
+    segments of ``width``; of each segment only its last row meets those of the other segments."""
+    told = rows.withColumn("_segment", F.coalesce(F.floor(F.col(at) / width), F.lit(-1)))
+    value = F.struct(*columns)
+    last = told.groupBy(*keys, "_segment").agg(F.max_by(value, at).alias("_last"))
+    across = Window.partitionBy(*keys).orderBy("_segment")
+    borders = last.select(*keys, "_segment", F.lag("_last").over(across).alias("_border"))
+    within = Window.partitionBy(*keys, "_segment").orderBy(at)
+    both = told.withColumn("_within", F.lag(value).over(within)).join(borders, [*keys, "_segment"])
+    return both.withColumn("_before", F.coalesce("_within", "_border")).drop("_segment", "_within", "_border")
+
+
 def not_comment(value: Column) -> Column:
     return ~value.rlike(r"^\s*#") & value.rlike(r"\S")
 
@@ -72,11 +85,12 @@ def read_daf(lines: DataFrame, status: bool = False) -> DataFrame:
     return rows.select(*kept, *fields, told.alias("status")) if status else rows.where("_n = 5").select(*kept, *fields)
 
 
-def out_of_order(rows: DataFrame) -> DataFrame:
-    """Rows whose position does not follow the one before in their file (strict order by chr, pos)."""
-    at = Window.partitionBy("file").orderBy("line_no")
-    was = rows.withColumns({"_c": F.lag("chr").over(at), "_p": F.lag("pos").over(at)})
-    return was.where((F.col("chr") < F.col("_c")) | ((F.col("chr") == F.col("_c")) & (F.col("pos") <= F.col("_p")))).drop("_c", "_p")
+def out_of_order(rows: DataFrame, width: int = 1 << 14) -> DataFrame:
+    """Rows whose position does not follow the one before in their file (strict order by chr, pos). A file is looked at in segments
+    of ``width`` line numbers."""
+    was = with_previous(rows, ["file"], "line_no", ["chr", "pos"], width)
+    chr_, pos = F.col("_before.chr"), F.col("_before.pos")
+    return was.where((F.col("chr") < chr_) | ((F.col("chr") == chr_) & (F.col("pos") <= pos))).drop("_before")
 
 
 def _genotypes(value: Column, first: int) -> Column:
@@ -170,12 +184,23 @@ def axt_bases(records: DataFrame, min_length: int = 1, min_score: int = 0) -> Da
     return rows.where("ref <> 'n' and alt not in ('-', 'n')")
 
 
-def axt_merged(bases: DataFrame) -> DataFrame:
+def with_reach(spans: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``spans`` (``keys``, start, end, rec) with ``_reach``, the largest end of all spans before each in order of (start, rec): the
+    largest within its range of ``width`` starts, or of the ranges before, of which each tells one number."""
+    told = spans.withColumn("_range", F.floor(F.col("start") / width))
+    tops = told.groupBy(*keys, "_range").agg(F.max("end").alias("_top"))
+    ranges = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = tops.select(*keys, "_range", F.max("_top").over(ranges).alias("_earlier"))
+    within = Window.partitionBy(*keys, "_range").orderBy("start", "rec").rowsBetween(Window.unboundedPreceding, -1)
+    both = told.withColumn("_own", F.max("end").over(within)).join(before, [*keys, "_range"])
+    return both.withColumn("_reach", F.greatest("_own", "_earlier")).drop("_range", "_own", "_earlier")
+
+
+def axt_merged(bases: DataFrame, width: int = 1 << 12) -> DataFrame:
     """One row a position (of a file): of overlapping records the one that starts last, unless it is nested in an earlier one."""
     keys = file_key(bases)
     spans = bases.select(*keys, "rec", "chr", "start", "end").distinct()
-    before = Window.partitionBy(*keys, "chr").orderBy("start", "rec").rowsBetween(Window.unboundedPreceding, -1)
-    outer = spans.withColumn("_reach", F.max("end").over(before)).where("_reach is null or end > _reach").select(*keys, "rec")
+    outer = with_reach(spans, [*keys, "chr"], width).where("_reach is null or end > _reach").select(*keys, "rec")
     best = bases.join(outer, [*keys, "rec"]).groupBy(*keys, "chr", "pos").agg(F.max_by(F.struct("ref", "alt", "raf"), "start").alias("r"))
     return best.select(*keys, "chr", "pos", "r.ref", "r.alt", "r.raf")
 
