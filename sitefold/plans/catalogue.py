@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sitefold.functions import numeric
 from sitefold.functions import patterns as P
-from sitefold.operators import bootstrap, model_choice, posterior, rewriting, sites, tables
-from sitefold.sources import samples, text
+from sitefold.operators import bootstrap, model_choice, posterior, rewriting, sites, tables, tabulate
+from sitefold.sources import ms, samples, stored, text
 
 from . import adapters as A
 
@@ -108,6 +108,35 @@ def _(spark, d):
     return _derived(spark, d).select("chr", "pos", "aa", "da", "status", *[r6(c, c) for c in FREQ])
 
 
+def _one_pass(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, str]:
+    path = stored.stored_path(spark, "rejected")
+    return *tabulate.tabulated(_polarised(spark, d), FREQ, path), path
+
+
+@query("observed_patterns", ORACLE_SQL["raf_patterns"])
+def _(spark, d):
+    return _one_pass(spark, d)[0].select("pat", r6("value", "value"))
+
+
+@query("observed_counters", ORACLE_SQL["site_status_counts"])
+def _(spark, d):
+    return _one_pass(spark, d)[1]
+
+
+@query("rejected_log", ORACLE_SQL["rejected_sites"])
+def _(spark, d):
+    path = _one_pass(spark, d)[2]
+    return spark.read.schema("chr string, pos long, status string").option("sep", "\t").csv(path).select("chr", "pos", "status")
+
+
+@query("aligned_by_position", ORACLE_SQL["aligned_daf"])
+def _(spark, d):
+    """The same from a table in buckets by position."""
+    path = stored.stored_path(spark, "frequencies")
+    table = stored.write_by_position(A.daf_rows(spark, d), path.rpartition("/")[2].replace("-", "_"), path, 8)
+    return sites.derived(table, A.POPS).select("chr", "pos", "aa", "da", "status", *[r6(c, c) for c in FREQ])
+
+
 @query("raf_mean", f"""WITH {A.RAF} SELECT chr, pos, f0 AS ref, coalesce(nullif(t0, '.'), nullif(t1, '.'), nullif(t2, '.'), '.') AS alt, round((r0 + r1 + r2) / 3, 6) AS raf
 FROM (SELECT *, coalesce(nullif(t0, '.'), nullif(t1, '.'), nullif(t2, '.'), '.') AS u FROM w4) WHERE f1 = f0 AND f2 = f0 AND t1 IN ('.', u) AND t2 IN ('.', u)""")
 def _(spark, d):
@@ -250,6 +279,40 @@ def _(spark, d):
     return text.ms_transposed(A.table(spark, d, "supplier").select(F.col("s_nationkey").alias("rep"), F.col("s_suppkey").alias("sample"), v.alias("value")))
 
 
+def _ms_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Two files (one of each line status) of ms output, written and read again: an order's items of that status are the sites of a
+    replicate of four haplotypes."""
+    x = A.table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("file"), "l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("s"))
+    hap = lambda h: F.array_join(F.transform("s", lambda r: F.pmod(F.shiftright(r["l_partkey"], h), F.lit(2)).cast("string")), "")
+    block = [F.lit("//"), F.concat(F.lit("segsites: "), F.size("s").cast("string")), F.concat(F.lit("positions: "), F.array_join(F.transform("s", lambda r: F.format_string("%.4f", r["l_linenumber"] / 10)), " ")), *[hap(h) for h in range(4)], F.lit("")]
+    lines = x.select("file", "l_orderkey", F.posexplode(F.array(*block)).alias("k", "value")).select("file", (F.col("l_orderkey") * 10 + F.col("k")).alias("line_no"), "value")
+    heads = lines.select("file").distinct().select("file", F.posexplode(F.array(F.lit("ms 4 9 -t 5 -I 2 2 1 -eA 0.5 1 1 -n 1 2"), F.lit("1 2 3"))).alias("line_no", "value"))
+    return _kept(lines.unionByName(heads.withColumn("line_no", F.col("line_no").cast("long"))), "ms-lines")
+
+
+def _kept(lines: DataFrame, label: str) -> DataFrame:
+    path = stored.stored_path(lines.sparkSession, label)
+    lines.write.parquet(path)
+    return lines.sparkSession.read.parquet(path)
+
+
+MS = """m AS (SELECT l_linestatus AS file, l_orderkey, l_linenumber, l_partkey % 2 AS h0, (l_partkey >> 1) % 2 AS h1, (l_partkey >> 2) % 2 AS h2, (l_partkey >> 3) % 2 AS h3,
+  dense_rank() OVER (PARTITION BY l_linestatus ORDER BY l_orderkey) - 1 AS rep, row_number() OVER (PARTITION BY l_linestatus, l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS site FROM lineitem)"""
+
+
+@query("ms_sim_lines", f"WITH {MS} SELECT file, (rep + 1) * 4294967296 + site AS line_no, concat_ws(' ', rep, h2, h3, h0, h1) AS value FROM m UNION ALL SELECT DISTINCT file, u.k, u.v FROM m, (VALUES (0, 'npops = 3'), (1, 'pop sampsize'), (2, 'y 1'), (3, 'z 1'), (4, 'x 2')) u(k, v)")
+def _(spark, d):
+    return ms.sim_lines(_ms_lines(spark, d), ["x:1", "y:2", "z:0"]).select("file", "line_no", "value")
+
+
+@query("ms_sim_patterns", f"WITH {MS}, f AS (SELECT file, h2::DOUBLE AS p0, h3::DOUBLE AS p1, (h0 + h1) / 2.0::DOUBLE AS p2 FROM m) {pattern_sql(MASKS1, 'f', 'true', extra='file, ')}")
+def _(spark, d):
+    lines = _kept(ms.sim_lines(_ms_lines(spark, d), ["x:1", "y:2", "z:0"]), "sim-lines")
+    sizes = samples.sim_samples(lines)
+    rows = samples.frequency_columns(samples.sim_sites(lines, sizes), sizes)
+    return P.pattern_sums(rows, list(sizes), singletons=True, by=["file"]).select("file", "pat", r6("value", "value"))
+
+
 def _label(spark: SparkSession, d: str) -> DataFrame:
     return tables.labelled(A.opf_rows(spark, d), LABELS)
 

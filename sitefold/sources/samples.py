@@ -43,30 +43,44 @@ def ms_samples(command: str) -> list[tuple[int, float, int]]:
     return sorted(((pop, age, n) for (pop, age), n in found.items() if n), key=lambda s: s[1])
 
 
-def label_order(arguments: list[str]) -> list[str]:
-    """Labels in the order that ``label:index`` arguments give; the indexes have to be a permutation of 0..n-1."""
-    told = {int(index): label for label, _, index in (a.rpartition(":") for a in arguments)}
-    if sorted(told) != list(range(len(arguments))):
+def output_order(arguments: list[str]) -> tuple[list[str], list[int]]:
+    """The labels of arguments ``label`` or ``label:index``, and which of them is printed in each place: its index, or its own place
+    without one. The indexes have to be a permutation of 0..n-1."""
+    labels, order = [], []
+    for place, argument in enumerate(arguments):
+        label, colon, index = argument.rpartition(":") if ":" in argument else (argument, "", "")
+        labels.append(label)
+        order.append(int(index) if colon else place)
+    if sorted(order) != list(range(len(arguments))):
         raise ValueError("indexes are no permutation")
-    return [told[k] for k in range(len(arguments))]
+    return labels, order
+
+
+def label_order(arguments: list[str]) -> list[str]:
+    """Labels in the order in which they are printed."""
+    labels, order = output_order(arguments)
+    return [labels[k] for k in order]
+
+
+#: A header is within the first lines of its file, which are numbered from 0.
+MOST_HEADER = 100
 
 
 def sim_samples(lines: DataFrame) -> dict[str, int]:
     """Population labels and sample sizes from the headers of simulation files, which all have to be the same. A header names
-    the number of populations, and each of them after a line ``pop sampsize``; only these few lines reach the driver."""
-    f = F.split(F.trim("value"), r"\s+")
+    the number of populations, and each of them after a line ``pop sampsize``. Only the first ``MOST_HEADER`` lines of a file are looked
+    at; headers are gathered by file and compared on the executors, and at most two kinds of them reach the driver."""
     keys = file_key(lines)
-    told = lines.where(F.col("value").rlike(r"^\s*[A-Za-z_]\S*\s+\d+\s*$") | F.col("value").rlike(r"^\s*npops\s*="))
-    heads: dict = {}
-    for r in told.select(*keys, "line_no", "value", f.alias("f")).orderBy(*keys, "line_no").collect():
-        mine = heads.setdefault(r["file"] if keys else None, [0, {}])
-        if r["f"][0].startswith("npops"):
-            mine[0] = int(r["value"].rpartition("=")[2])
-        else:
-            mine[1][r["f"][0]] = int(r["f"][1])
-    if not heads or any(n <= 0 or n != len(sizes) for n, sizes in heads.values()) or len({tuple(s.items()) for _, s in heads.values()}) > 1:
+    head = lines.where((F.col("line_no") < MOST_HEADER) & ~F.col("value").rlike(r"^\s*(\d|$)"))
+    told = head.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", F.trim("value").alias("value")))).alias("h"))  # MOST_HEADER a file
+    kinds = told.select(F.transform("h", lambda x: x["value"]).alias("h"))
+    npops = F.filter("h", lambda v: v.rlike(r"^npops\s*=\s*\d+$"))
+    pops = F.filter("h", lambda v: v.rlike(r"^[A-Za-z_]\S*\s+\d+$"))
+    one = kinds.select(F.element_at(npops, -1).alias("npops"), F.transform(pops, lambda v: F.regexp_replace(v, r"\s+", " ")).alias("pops")).distinct().limit(2).collect()
+    n = int(one[0]["npops"].rpartition("=")[2]) if len(one) == 1 and one[0]["npops"] else 0
+    if n <= 0 or n != len(one[0]["pops"]):
         raise ValueError("bad or unlike headers of simulation files")
-    return next(iter(heads.values()))[1]
+    return {label: int(size) for label, size in (p.split(" ") for p in one[0]["pops"])}
 
 
 def sim_sites(lines: DataFrame, sizes: dict[str, int]) -> DataFrame:

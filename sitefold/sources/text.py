@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .transpose import transposed
+
 
 def read_lines(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
     """file, line_no and value. Large files are read in splits; for ordered reading lines are numbered within each split,
@@ -227,9 +229,7 @@ def scrm_sites(lines: DataFrame) -> DataFrame:
 
 def ms_transposed(rows: DataFrame) -> DataFrame:
     """rep, sample and ``value`` (a string of 0 and 1, one a site) to rep, site and the alleles of all samples in order."""
-    each = rows.select("rep", "sample", F.posexplode(F.split("value", "")).alias("site", "allele"))
-    told = each.groupBy("rep", "site").agg(F.array_sort(F.collect_list(F.struct("sample", "allele"))).alias("a"))
-    return told.select("rep", "site", F.array_join(F.transform("a", lambda x: x["allele"]), "").alias("alleles"))
+    return transposed(rows, ["rep"])
 
 
 def pattern_rows(lines: DataFrame) -> DataFrame:
