@@ -49,9 +49,11 @@ def block_starts(spark: SparkSession, n: int, length: int, reps: int, seed: int
         raise ValueError(f"blocks of {length} need more than {n} sites")
     blocks = n_blocks(n, length)
     every = spark.range(reps * blocks).select((F.col("id") / blocks).cast("long").alias("rep"), (F.col("id") % blocks).alias("block"))
-    r, b = F.col("rep"), F.col("block")
-    spread = ((r + 1) * 7919 + (b + 1) * (b + 1) * 104729 + (r + 1) * (b + 3) * 15485863) % (n - length + 1)
-    return every.withColumn("start", spread if seed is None else seeded_draw(seed, r, b, n - length + 1))
+    r, b, below = F.col("rep"), F.col("block"), n - length + 1
+    # remainders are taken between products, so that none leaves 64 bits for any number of blocks
+    square = ((b + 1) % below * ((b + 1) % below)) % below * 104_729
+    spread = ((r + 1) * 7_919 % below + square % below + ((r + 1) * (b + 3)) % below * 15_485_863 % below) % below
+    return every.withColumn("start", spread if seed is None else seeded_draw(seed, r, b, below))
 
 
 def multiplicity(starts: DataFrame, sites: DataFrame, length: int) -> DataFrame:

@@ -5,6 +5,8 @@ Populations are return flags, positions are part keys, and a chromosome is a res
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,14 +125,28 @@ def opf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPF = "opf AS (SELECT o_custkey % 10 AS tab, o_orderkey % 6 + 1 AS pat, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2)"
 
 
+def parameters(n: int) -> list:
+    """Columns p1..pn of an estimate: p_j is the sum of the components whose numbers leave j - 1 when divided by n, so that all are used."""
+    total = lambda j: reduce(lambda a, b: a + b, [F.get("embedding", F.lit(k)).cast("double") for k in range(j, COMPONENTS, n)])
+    return [total(j).alias(f"p{j + 1}") for j in range(n)]
+
+
+def parameter_sql(j: int, n: int) -> str:
+    """The SQL of p_j of n."""
+    return f"({' + '.join(f'embedding[{k + 1}]::DOUBLE' for k in range(j - 1, COMPONENTS, n))})"
+
+
+COMPONENTS = 64
+
+
 def estimate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row, model, name (p1..p4) and value: replicates of estimates."""
-    e = table(spark, sf_dir, "embeddings")
-    each = F.array(*[F.struct(F.lit(f"p{j}").alias("name"), F.get("embedding", F.lit(j - 1)).cast("double").alias("value")) for j in range(1, 5)])
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", *parameters(4))
+    each = F.array(*[F.struct(F.lit(f"p{j}").alias("name"), F.col(f"p{j}").alias("value")) for j in range(1, 5)])
     return e.select(F.col("vec_id").alias("row"), F.concat(F.lit("m"), F.col("label").cast("string")).alias("model"), F.inline(each))
 
 
-EST = "est AS (" + " UNION ALL ".join(f"SELECT vec_id AS row, 'm' || label AS model, 'p{j}' AS name, CAST(embedding[{j}] AS DOUBLE) AS value FROM embeddings" for j in range(1, 5)) + ")"
+EST = "est AS (" + " UNION ALL ".join(f"SELECT vec_id AS row, 'm' || label AS model, 'p{j}' AS name, {parameter_sql(j, 4)} AS value FROM embeddings" for j in range(1, 5)) + ")"
 
 
 MANY = [f"q{j}" for j in range(32)]

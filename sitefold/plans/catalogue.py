@@ -287,13 +287,7 @@ def _ms_lines(spark: SparkSession, d: str) -> DataFrame:
     block = [F.lit("//"), F.concat(F.lit("segsites: "), F.size("s").cast("string")), F.concat(F.lit("positions: "), F.array_join(F.transform("s", lambda r: F.format_string("%.4f", r["l_linenumber"] / 10)), " ")), *[hap(h) for h in range(4)], F.lit("")]
     lines = x.select("file", "l_orderkey", F.posexplode(F.array(*block)).alias("k", "value")).select("file", (F.col("l_orderkey") * 10 + F.col("k")).alias("line_no"), "value")
     heads = lines.select("file").distinct().select("file", F.posexplode(F.array(F.lit("ms 4 9 -t 5 -I 2 2 1 -eA 0.5 1 1 -n 1 2"), F.lit("1 2 3"))).alias("line_no", "value"))
-    return _kept(lines.unionByName(heads.withColumn("line_no", F.col("line_no").cast("long"))), "ms-lines")
-
-
-def _kept(lines: DataFrame, label: str) -> DataFrame:
-    path = stored.stored_path(lines.sparkSession, label)
-    lines.write.parquet(path)
-    return lines.sparkSession.read.parquet(path)
+    return stored.kept(lines.unionByName(heads.withColumn("line_no", F.col("line_no").cast("long"))), "ms-lines")
 
 
 MS = """m AS (SELECT l_linestatus AS file, l_orderkey, l_linenumber, l_partkey % 2 AS h0, (l_partkey >> 1) % 2 AS h1, (l_partkey >> 2) % 2 AS h2, (l_partkey >> 3) % 2 AS h3,
@@ -307,7 +301,7 @@ def _(spark, d):
 
 @query("ms_sim_patterns", f"WITH {MS}, f AS (SELECT file, h2::DOUBLE AS p0, h3::DOUBLE AS p1, (h0 + h1) / 2.0::DOUBLE AS p2 FROM m) {pattern_sql(MASKS1, 'f', 'true', extra='file, ')}")
 def _(spark, d):
-    lines = _kept(ms.sim_lines(_ms_lines(spark, d), ["x:1", "y:2", "z:0"]), "sim-lines")
+    lines = stored.kept(ms.sim_lines(_ms_lines(spark, d), ["x:1", "y:2", "z:0"]), "sim-lines")
     sizes = samples.sim_samples(lines)
     rows = samples.frequency_columns(samples.sim_sites(lines, sizes), sizes)
     return P.pattern_sums(rows, list(sizes), singletons=True, by=["file"]).select("file", "pat", r6("value", "value"))
@@ -490,11 +484,12 @@ st AS (SELECT r AS rep, b AS block, ((r + 1) * 7919 + (b + 1) * (b + 1) * 104729
 
 
 def _indexed(spark: SparkSession, d: str) -> DataFrame:
-    return bootstrap.numbered(_good(spark, d))
+    """Sites with their numbers, derived and numbered once for all that reads them."""
+    return stored.kept(bootstrap.numbered(stored.kept(_good(spark, d), "good-sites")), "numbered-sites")
 
 
-def _starts(spark: SparkSession, d: str) -> DataFrame:
-    return bootstrap.block_starts(spark, _good(spark, d).count(), LENGTH, REPS)
+def _starts(spark: SparkSession, sites_: DataFrame) -> DataFrame:
+    return bootstrap.block_starts(spark, sites_.count(), LENGTH, REPS)
 
 
 @query("boot_index", f"{BOOT} SELECT chr, pos, idx FROM ix")
@@ -504,7 +499,7 @@ def _(spark, d):
 
 @query("boot_blocks", f"{BOOT} SELECT rep, block, start FROM st")
 def _(spark, d):
-    return _starts(spark, d)
+    return _starts(spark, _good(spark, d))
 
 
 SEED = 20_301
@@ -531,14 +526,16 @@ def _(spark, d):
 
 @query("boot_multiplicity", f"{BOOT} SELECT rep, idx, count(*) AS w FROM ix JOIN st ON idx >= start AND idx < start + {LENGTH} GROUP BY rep, idx")
 def _(spark, d):
-    return bootstrap.multiplicity(_starts(spark, d), _indexed(spark, d), LENGTH)
+    placed = _indexed(spark, d)
+    return bootstrap.multiplicity(_starts(spark, placed), placed, LENGTH)
 
 
 BOOT_COUNTS = " UNION ALL ".join(f"SELECT rep, {m}::BIGINT AS pat, sum({product(m)}) AS v FROM ix JOIN st ON idx >= start AND idx < start + {LENGTH} GROUP BY rep" for m in MASKS)
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return bootstrap.replicate_counts(_indexed(spark, d), FREQ, _starts(spark, d), LENGTH)
+    placed = _indexed(spark, d)
+    return bootstrap.replicate_counts(placed, FREQ, _starts(spark, placed), LENGTH)
 
 
 @query("boot_counts", f"{BOOT} SELECT rep, pat, round(v, 6) AS value FROM ({BOOT_COUNTS})")
@@ -635,11 +632,10 @@ NAMES = ["p1", "p2", "p3", "p4"]
 
 
 def _estimates(spark: SparkSession, d: str) -> DataFrame:
-    e = A.table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("row"), *[F.get("embedding", F.lit(j)).cast("double").alias(n) for j, n in enumerate(NAMES)])
+    return A.table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), *A.parameters(4))
 
 
-COV = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, covar_pop(embedding[{i + 1}]::DOUBLE, embedding[{j + 1}]::DOUBLE) AS cov FROM embeddings" for i, a in enumerate(NAMES) for j, b in enumerate(NAMES))
+COV = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, covar_pop({A.parameter_sql(i + 1, 4)}, {A.parameter_sql(j + 1, 4)}) AS cov FROM embeddings" for i, a in enumerate(NAMES) for j, b in enumerate(NAMES))
 
 
 @query("covar", f"SELECT a, b, round(cov, 9) AS cov FROM ({COV})")
@@ -682,19 +678,47 @@ def _(spark, d):
     return model_choice.estimate_intervals(A.estimate_rows(spark, d)).select("name", r6("estimate", "estimate"), r6("low", "low"), r6("high", "high"))
 
 
-@query("pca_fracvar")
+def _shares_sql() -> str:
+    """Eigenvalues of the matrix of correlations: its power sums give the characteristic polynomial; Newton's steps from above find
+    the largest root, which is divided out, and so on. No power of the matrix depends on the signs of components."""
+    corr = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS v FROM est" for a in NAMES for b in NAMES)
+    step = "x - CASE WHEN g = 0 THEN 0 ELSE f / g END"
+    return f"""WITH RECURSIVE est AS (SELECT {', '.join(f'{A.parameter_sql(j + 1, 4)} AS {n}' for j, n in enumerate(NAMES))} FROM embeddings), r AS MATERIALIZED ({corr}),
+r2 AS (SELECT x.a, y.b, sum(x.v * y.v) AS v FROM r x JOIN r y ON x.b = y.a GROUP BY 1, 2),
+p AS (SELECT (SELECT sum(v) FROM r WHERE a = b) AS p1, (SELECT sum(v) FROM r2 WHERE a = b) AS p2, (SELECT sum(r.v * r2.v) FROM r JOIN r2 USING (a, b)) AS p3, (SELECT sum(v * v) FROM r2) AS p4),
+e AS (SELECT *, (e2 * p1 - p1 * p2 + p3) / 3 AS e3 FROM (SELECT *, (p1 * p1 - p2) / 2 AS e2 FROM p)),
+n(k, step, x, a4, a3, a2, a1, a0) AS (
+  SELECT 0, 0, 5.0::DOUBLE, 1.0::DOUBLE, -p1, e2, -e3, (e3 * p1 - e2 * p2 + p1 * p3 - p4) / 4 FROM e
+  UNION ALL SELECT CASE WHEN step < 100 THEN k ELSE k + 1 END, CASE WHEN step < 100 THEN step + 1 ELSE 0 END, CASE WHEN step < 100 THEN {step} ELSE 5.0::DOUBLE END,
+    CASE WHEN step < 100 THEN a4 ELSE 0 END, CASE WHEN step < 100 THEN a3 ELSE a4 END, CASE WHEN step < 100 THEN a2 ELSE a3 + x * a4 END,
+    CASE WHEN step < 100 THEN a1 ELSE a2 + x * (a3 + x * a4) END, CASE WHEN step < 100 THEN a0 ELSE a1 + x * (a2 + x * (a3 + x * a4)) END
+  FROM (SELECT *, (((a4 * x + a3) * x + a2) * x + a1) * x + a0 AS f, ((4 * a4 * x + 3 * a3) * x + 2 * a2) * x + a1 AS g FROM n) WHERE k < 4 AND NOT (k = 3 AND step = 100))
+SELECT k AS component, round(x / 4, 5) AS fraction FROM n WHERE step = 100"""
+
+
+@query("pca_fracvar", _shares_sql())
+def _(spark, d):
+    return model_choice.component_shares(_estimates(spark, d), NAMES).select("component", F.round("fraction", 5).alias("fraction"))
+
+
+@query("pca_correlations", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({A.parameter_sql(i + 1, 4)}, {A.parameter_sql(j + 1, 4)}), 9) AS value FROM embeddings" for i, a in enumerate(NAMES) for j, b in enumerate(NAMES)))
 def _(spark, d):
-    return model_choice.component_shares(_estimates(spark, d), NAMES)
+    """The correlations that the components and their shares make up: the same whatever the components' signs."""
+    _, _, shares, parts = model_choice.principal_components(_estimates(spark, d), NAMES)
+    made = (parts.T * shares * len(NAMES)) @ parts
+    return spark.createDataFrame([(a, b, float(made[i, j])) for i, a in enumerate(NAMES) for j, b in enumerate(NAMES)], "a string, b string, value double").select("a", "b", F.round("value", 9).alias("value"))
 
 
-@query("hessian_regression")
+#: Coefficients of a quadratic of four parameters, and its second derivatives.
+QUADRATIC = {("p1", "p1"): -3.0, ("p1", "p2"): 1.0, ("p2", "p2"): -2.0, ("p3", "p3"): -4.0, ("p1", "p4"): 0.5, ("p4", "p4"): -5.0}
+
+
+@query("hessian_regression", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {QUADRATIC.get((min(a, b), max(a, b)), 0.0) * (2 if a == b else 1)}::DOUBLE)" for a in NAMES for b in NAMES) + ") v(a, b, h) WHERE (SELECT count(*) FROM embeddings) > 0")
 def _(spark, d):
     """A quadratic with known second derivatives over the estimates: the regression gets them back."""
-    rows = _estimates(spark, d)
-    quad = lambda c: -3 * c["p1"] * c["p1"] + c["p1"] * c["p2"] - 2 * c["p2"] * c["p2"]
-    points = rows.select(F.col("row").alias("ord"), "p1", "p2", quad({n: F.col(n) for n in NAMES}).alias("lnL"))
-    h = model_choice.hessian(points, ["p1", "p2"])
-    return spark.createDataFrame([(a, b, float(h[i, j])) for i, a in enumerate(("p1", "p2")) for j, b in enumerate(("p1", "p2"))], "a string, b string, h double")
+    lnl = sum((F.lit(w) * F.col(a) * F.col(b) for (a, b), w in QUADRATIC.items()), F.lit(0.0))
+    h = model_choice.hessian(_estimates(spark, d).withColumnRenamed("row", "ord").withColumn("lnL", lnl), NAMES)
+    return spark.createDataFrame([(a, b, float(h[i, j])) for i, a in enumerate(NAMES) for j, b in enumerate(NAMES)], "a string, b string, h double").select("a", "b", (F.round("h", 4) + 0.0).alias("h"))
 
 
 # Functions and rewriting
@@ -728,6 +752,33 @@ def _(spark, d):
     return spark.createDataFrame(list(enumerate(lines)), "line_no int, value string")
 
 
+@query("component_values", f"WITH {A.EST} SELECT row, name, round(value, 6) AS value, true AS bounded FROM est")
+def _(spark, d):
+    """Every estimate as the statements of components make it, and whether all its components lie within their bounds: neither
+    depends on the components' signs."""
+    rows = _estimates(spark, d)
+    means, coefficients, bounds = rewriting.component_coefficients(rewriting.component_lines(rows, NAMES))
+    spread = rows.agg(*[F.stddev_samp(n).alias(n) for n in NAMES]).first()
+    score = {pc: sum(((F.col(n) - means[n]) * (coefficients[n][pc] / spread[n] ** 2) for n in NAMES), F.lit(0.0)) for pc in bounds}
+    value = lambda n: sum((coefficients[n][pc] * F.col(pc) for pc in bounds), F.lit(means[n]))
+    within = sum((F.when(F.abs(F.col(pc)) <= b, 0).otherwise(1) for pc, b in bounds.items()), F.lit(0)) == 0
+    scored = rows.select("row", *[x.alias(pc) for pc, x in score.items()])
+    return scored.select("row", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), r6(value(n), "value")) for n in NAMES])), within.alias("bounded"))
+
+
+@query("fitted_statements", """SELECT s_suppkey * 4 + k AS line_no, CASE
+  WHEN k = 0 THEN 'param constrained x' || s_suppkey || (CASE WHEN s_suppkey % 2 = 0 THEN ' = ' || (s_nationkey * 2) ELSE ' = a +' END) || ' # first'
+  WHEN k = 1 THEN (CASE WHEN s_suppkey % 2 = 0 THEN '# second' ELSE '  b * # second' END) WHEN k = 2 THEN '# all comment' ELSE '  c' END AS value
+FROM supplier, (SELECT unnest(range(4)) AS k) WHERE k < 3 OR s_suppkey % 2 = 1""")
+def _(spark, d):
+    x = A.table(spark, d, "supplier")
+    k = F.col("s_suppkey").cast("string")
+    texts = F.array(F.concat(F.lit("param constrained x"), k, F.lit(" = a + # first")), F.lit("  b * # second"), F.lit("# all comment"), F.lit("  c"))
+    lines = x.select("s_suppkey", F.posexplode(texts).alias("k", "value")).select((F.col("s_suppkey") * 4 + F.col("k")).alias("line_no"), "value")
+    fitted = x.where("s_suppkey % 2 = 0").select(F.concat(F.lit("x"), k).alias("name"), (F.col("s_nationkey") * 2).cast("double").alias("fit"))
+    return rewriting.with_fitted_values(lines, fitted).select("line_no", "value")
+
+
 @query("pts_parse", f"WITH {A.EST} SELECT row, name, round(value, 6) AS value FROM est")
 def _(spark, d):
     e = _estimates(spark, d)
@@ -803,15 +854,25 @@ def _(spark, d):
     return P.pattern_sums(samples.frequency_columns(text.scrm_sites(lines), sizes), ["x", "y"], singletons=True, by=["file"]).select("file", "pat", r6("value", "value"))
 
 
-@query("state_parse", "SELECT s_nationkey AS file, dense_rank() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pt, round(s_acctbal, 2) AS cost, u.name AS name, (CASE WHEN u.k = 0 THEN s_suppkey ELSE s_nationkey END)::DOUBLE AS value FROM supplier, (VALUES (0, 0, 'T'), (0, 1, 'N'), (1, 0, 'p0'), (1, 1, 'p1')) u(old, k, name) WHERE u.old = s_nationkey % 2")
-def _(spark, d):
+def _state_lines(spark: SparkSession, d: str) -> DataFrame:
     x = A.table(spark, d, "supplier")
     row = F.concat_ws(" ", F.format_string("%.2f", "s_acctbal"), F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string"))
     rows = x.select(F.col("s_nationkey").alias("file"), (F.col("s_suppkey") + 2).cast("long").alias("line_no"), row.alias("value"))
     old = F.col("file") % 2 == 1
     first = F.concat(F.col("n").cast("string"), F.when(old, F.lit(" 2")).otherwise(F.lit(" 2 fmt2")))
     heads = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select("file", F.inline(F.filter(F.array(F.struct(F.lit(0).cast("long").alias("line_no"), first.alias("value")), F.struct(F.lit(1).cast("long").alias("line_no"), F.when(~old, F.lit("cost T N")).alias("value"))), lambda h: h["value"].isNotNull())))
-    return text.state_points(rows.unionByName(heads)).select("file", "pt", "cost", "name", "value")
+    return rows.unionByName(heads)
+
+
+@query("state_parse", "SELECT s_nationkey AS file, dense_rank() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pt, round(s_acctbal, 2) AS cost, u.name AS name, (CASE WHEN u.k = 0 THEN s_suppkey ELSE s_nationkey END)::DOUBLE AS value FROM supplier, (VALUES (0, 0, 'T'), (0, 1, 'N'), (1, 0, 'p0'), (1, 1, 'p1')) u(old, k, name) WHERE u.old = s_nationkey % 2")
+def _(spark, d):
+    return text.state_points(_state_lines(spark, d)).select("file", "pt", "cost", "name", "value")
+
+
+@query("state_of_model", "SELECT s_nationkey AS file, dense_rank() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pt, round(s_acctbal, 2) AS cost, u.name AS name, (CASE WHEN u.k = 0 THEN s_suppkey ELSE s_nationkey END)::DOUBLE AS value FROM supplier, (VALUES (0, 'T'), (1, 'N')) u(k, name)")
+def _(spark, d):
+    lines = _state_lines(spark, d).withColumn("value", F.regexp_replace("value", " fmt2$", " format-2"))
+    return text.state_points(lines, ["T", "N"]).select("file", "pt", "cost", "name", "value")
 
 
 @query("model_weights_by_file", f"WITH f AS (SELECT o_custkey % 10 AS row, o_orderpriority AS model, min(floor(o_totalprice / 1000)) AS crit FROM orders GROUP BY 1, 2), win AS (SELECT row, model, CASE WHEN crit = min(crit) OVER (PARTITION BY row) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS b FROM f) SELECT model, round(avg(b / s), 9) AS weight FROM (SELECT model, b, sum(b) OVER (PARTITION BY row) AS s FROM win) GROUP BY model")
@@ -826,15 +887,15 @@ def _quadratic(p1, p2):
     return -3 * p1 * p1 + p1 * p2 - 2 * p2 * p2
 
 
-COV2 = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, covar_pop(embedding[{i}]::DOUBLE, embedding[{j}]::DOUBLE) AS cov FROM embeddings" for i, a in ((1, "p1"), (2, "p2")) for j, b in ((1, "p1"), (2, "p2")))
+COV2 = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, covar_pop({A.parameter_sql(i, 2)}, {A.parameter_sql(j, 2)}) AS cov FROM embeddings" for i, a in ((1, "p1"), (2, "p2")) for j, b in ((1, "p1"), (2, "p2")))
 
 
-@query("clic_by_file", f"WITH c AS ({COV2}), h(a, b, h) AS (VALUES ('p1', 'p1', -6.0::DOUBLE), ('p1', 'p2', 1.0::DOUBLE), ('p2', 'p1', 1.0::DOUBLE), ('p2', 'p2', -4.0::DOUBLE)), tr AS (SELECT sum(h.h * c.cov) AS t FROM h JOIN c ON h.a = c.b AND h.b = c.a), first AS (SELECT label AS file, arg_min(embedding[1]::DOUBLE, vec_id) AS x, arg_min(embedding[2]::DOUBLE, vec_id) AS y FROM embeddings GROUP BY label) SELECT file, round(-(-3 * x * x + x * y - 2 * y * y + t), 4) AS clic FROM first, tr")
+@query("clic_by_file", f"WITH c AS ({COV2}), h(a, b, h) AS (VALUES ('p1', 'p1', -6.0::DOUBLE), ('p1', 'p2', 1.0::DOUBLE), ('p2', 'p1', 1.0::DOUBLE), ('p2', 'p2', -4.0::DOUBLE)), tr AS (SELECT sum(h.h * c.cov) AS t FROM h JOIN c ON h.a = c.b AND h.b = c.a), first AS (SELECT label AS file, arg_min({A.parameter_sql(1, 2)}, vec_id) AS x, arg_min({A.parameter_sql(2, 2)}, vec_id) AS y FROM embeddings GROUP BY label) SELECT file, round(-(-3 * x * x + x * y - 2 * y * y + t), 4) AS clic FROM first, tr")
 def _(spark, d):
     """Points of a quadratic for each label; the regression finds its second derivatives."""
     from pyspark.sql import Window
 
-    rows = A.table(spark, d, "embeddings").select(F.col("label").alias("file"), "vec_id", *[F.get("embedding", F.lit(j)).cast("double").alias(n) for j, n in enumerate(("p1", "p2"))])
+    rows = A.table(spark, d, "embeddings").select(F.col("label").alias("file"), "vec_id", *A.parameters(2))
     nth = F.row_number().over(Window.partitionBy("file").orderBy("vec_id")) - 1
     points = rows.withColumns({"ord": nth, "lnL": _quadratic(F.col("p1"), F.col("p2"))})
     hess = model_choice.hessians(points, ["p1", "p2"])

@@ -282,15 +282,26 @@ def flat_rows(lines: DataFrame, width: int = 4096) -> DataFrame:
     return each.select(*keys, "row", "p.name", F.col("p.value").cast("double").alias("value"))
 
 
-def state_points(lines: DataFrame) -> DataFrame:
+#: The format that the first line of a state file names if a line with names follows (a fixed value of the format).
+STATE_FORMAT = "format-2"
+
+
+def state_points(lines: DataFrame, model: list[str] | None = None) -> DataFrame:
     """pt, cost, name, value (and file) of state files. Their first line tells the numbers of points and parameters; if it also
-    names a format, a line with ``cost`` and the parameters' names follows, else the names are p0, p1, ... Another number of
-    points or of values in a row than announced is an error."""
+    names a format, a line with ``cost`` and the parameters' names follows, else the names are those of the ``model`` (p0, p1, ...
+    without one). Another number of points or of values in a row than announced is an error; with a ``model``, so are another format, and other names or numbers
+    of parameters than the model's."""
     keys = file_key(lines)
     nth = running_count(lines.where(F.col("value").rlike(r"\S")), F.lit(True), "_n").withColumn("_f", F.split(F.trim("value"), r"\s+"))
     head = nth.groupBy(*keys).agg(F.max(F.when(F.col("_n") == 1, F.col("_f"))).alias("_h"), F.max(F.when(F.col("_n") == 2, F.col("_f"))).alias("_names"), F.max("_n").alias("_last"))
     npar, fresh = F.col("_h")[1].cast("int"), F.size("_h") > 2
-    names = F.when(fresh, F.slice("_names", 2, F.greatest(npar, F.lit(1)))).otherwise(F.transform(F.sequence(F.lit(0), npar - 1), lambda i: F.concat(F.lit("p"), i.cast("string"))))
+    known = None if model is None else F.array(*map(F.lit, model))
+    unnamed = F.transform(F.sequence(F.lit(0), npar - 1), lambda i: F.concat(F.lit("p"), i.cast("string"))) if model is None else known
+    names = F.when(fresh, F.slice("_names", 2, F.greatest(npar, F.lit(1)))).otherwise(unnamed)
+    if model is not None:
+        odd = fresh & ((F.size("_h") > 3) | ~F.get("_h", F.lit(2)).eqNullSafe(F.lit(STATE_FORMAT)) | ~F.get("_names", F.lit(0)).eqNullSafe(F.lit("cost")))
+        fault = F.when(odd, F.lit("state file of another format")).when((npar != len(model)) | ~names.eqNullSafe(known), F.lit("state file with other parameters than the model's"))
+        names = F.when(fault.isNotNull(), F.raise_error(fault).cast("array<string>")).otherwise(names)
     told = head.select(*keys, names.alias("_p"), F.when(fresh, F.lit(2)).otherwise(F.lit(1)).alias("_skip"), F.col("_h")[0].cast("long").alias("_pts"), npar.alias("_npar"), "_last")
     rows = (nth.join(told, keys) if keys else nth.join(F.broadcast(told))).where("_n > _skip")  # one row a file
     bad = (F.size("_f") != F.col("_npar") + 1) | (F.col("_last") - F.col("_skip") != F.col("_pts"))
