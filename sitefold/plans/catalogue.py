@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitefold.functions import numeric
 from sitefold.functions import patterns as P
 from sitefold.operators import bootstrap, model_choice, posterior, rewriting, sites, tables, tabulate
-from sitefold.sources import ms, samples, stored, text
+from sitefold.sources import ms, samples, site_lines, stored, text
 
 from . import adapters as A
 
@@ -219,6 +219,27 @@ def _(spark, d):
     return text.read_daf(lines).select("chr", "pos", "aa", "da", r6("daf", "daf"))
 
 
+def _site_files(spark: SparkSession, d: str) -> DataFrame:
+    """Derived-allele rows as files in order of (chr, pos), by the data source of site lines."""
+    path = stored.stored_path(spark, "sites")
+    rows = A.daf_rows(spark, d).repartitionByRange(4, "chr", "pos").sortWithinPartitions("chr", "pos")
+    rows.select(F.concat_ws("\t", "chr", F.col("pos").cast("string"), "aa", "da", F.col("daf").cast("string")).alias("value")).write.text(path)
+    site_lines.register(spark)
+    return spark.read.format("site_lines").option("sorted", "true").load(path)
+
+
+@query("site_lines_daf", ORACLE_SQL["daf_scan"])
+def _(spark, d):
+    return text.read_daf(_site_files(spark, d).drop("chr")).select("chr", "pos", "aa", "da", r6("daf", "daf"))
+
+
+@query("site_lines_chromosomes", ORACLE_SQL["daf_scan"] + " WHERE chr IN ('7', '21')")
+def _(spark, d):
+    """Two chromosomes: other splits are not read."""
+    lines = _site_files(spark, d).where(F.col("chr").isin("7", "21"))
+    return text.read_daf(lines.drop("chr")).select("chr", "pos", "aa", "da", r6("daf", "daf"))
+
+
 @query("sort_check", """WITH r AS (SELECT o_orderstatus AS file, o_orderkey AS line_no, CAST(o_custkey % 3 AS VARCHAR) AS chr, o_custkey AS pos FROM orders),
 l AS (SELECT *, lag(chr) OVER (PARTITION BY file ORDER BY line_no) AS c, lag(pos) OVER (PARTITION BY file ORDER BY line_no) AS p FROM r)
 SELECT file, line_no, chr, pos FROM l WHERE chr < c OR (chr = c AND pos <= p)""")
@@ -354,17 +375,23 @@ def _(spark, d):
 # Patterns and pattern tables
 
 
-@query("pattern_domain", """SELECT m AS pat, array_to_string(list_filter(['a', 'b', 'c', 'd'], lambda x: m & (1 << (list_position(['a', 'b', 'c', 'd'], x) - 1)) > 0), ':') AS label
-FROM (SELECT unnest(range(1, 15)) AS m) WHERE bit_count(m) > 1""")
-def _(spark, d):
-    return P.pattern_domain(spark, ["a", "b", "c", "d"]).select("pat", "label")
+BITS = "list_filter(range(0, 32), lambda j: (pat >> j) & 1 = 1)"
+
+
+def _shown(spark: SparkSession, d: str) -> DataFrame:
+    """Every pattern of many populations that some site shows."""
+    return P.pattern_sums(A.many_frequencies(spark, d), A.MANY, singletons=True).select("pat")
 
 
-@query("pattern_order", """SELECT m AS pat, row_number() OVER (ORDER BY bit_count(m), reverse(right(bin(m + 16), 4)) DESC) AS n FROM (SELECT unnest(range(1, 15)) AS m)""")
+@query("pattern_domain", f"WITH RECURSIVE {A.MANY_SQL}, d AS (SELECT DISTINCT pat FROM shown) SELECT pat, array_to_string(list_transform({BITS}, lambda j: 'q' || j), ':') AS label FROM d")
 def _(spark, d):
-    from pyspark.sql import Window
+    return _shown(spark, d).select("pat", P.pattern_label(F.col("pat"), A.MANY).alias("label"))
+
 
-    return P.pattern_domain(spark, ["a", "b", "c", "d"], singletons=True).select("pat", F.row_number().over(Window.orderBy("rank")).cast("long").alias("n"))
+@query("pattern_order", f"WITH RECURSIVE {A.MANY_SQL}, d AS (SELECT DISTINCT pat FROM shown) SELECT pat, (bit_count(pat)::BIGINT << 32) + 4294967295 - list_sum(list_transform({BITS}, lambda j: 1::BIGINT << (31 - j)))::BIGINT AS rank FROM d")
+def _(spark, d):
+    """What sorts patterns by the number of populations, then by their labels."""
+    return _shown(spark, d).select("pat", P.pattern_rank(F.col("pat"), len(A.MANY)).alias("rank"))
 
 
 @query("label_masks", f"WITH {A.OPF} SELECT tab, {LABEL_SQL} AS label, pat FROM opf")
@@ -469,9 +496,11 @@ def _(spark, d):
     return tables.table_matrix(rows, [f"f{k}" for k in range(4)], "of").select("of.name", "of.model", *[r6(f"f{k}", f"f{k}") for k in range(4)])
 
 
-@query("label_index", "SELECT name, row_number() OVER (ORDER BY ord, place) - 1 AS bit FROM (SELECT name, min(ord * 10 + place) // 10 AS ord, min(ord * 10 + place) % 10 AS place FROM (VALUES (0, 0, 'x'), (0, 1, 'y'), (1, 0, 'x'), (1, 1, 'z'), (2, 0, 'y'), (2, 1, 'z')) v(ord, place, name) GROUP BY name)")
+@query("label_index", """WITH n AS (SELECT o_orderkey AS ord, unnest(['c' || o_custkey % 1000, 's' || o_orderstatus]) AS name, unnest([0, 1]) AS place FROM orders),
+f AS (SELECT name, min(ord * 2 + place) AS first_at FROM n GROUP BY name) SELECT name, row_number() OVER (ORDER BY first_at) - 1 AS bit FROM f""")
 def _(spark, d):
-    return tables.label_index(spark.createDataFrame([(0, "x:y"), (1, "x:z"), (2, "y:z")], "ord long, label string"))
+    label = F.concat(F.lit("c"), (F.col("o_custkey") % 1000).cast("string"), F.lit(":s"), "o_orderstatus")
+    return tables.label_index(A.table(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), label.alias("label")))
 
 
 # Bootstrap
@@ -643,12 +672,23 @@ def _(spark, d):
     return model_choice.covariance(_estimates(spark, d), NAMES).select("a", "b", F.round("cov", 9).alias("cov"))
 
 
-HESS = [(a, b, -100.0 if a == b else 5.0) for a in NAMES for b in NAMES]
+#: Coefficients of a quadratic of four parameters: a log likelihood whose second derivatives are known.
+QUADRATIC = {("p1", "p1"): -3.0, ("p1", "p2"): 1.0, ("p2", "p2"): -2.0, ("p3", "p3"): -4.0, ("p1", "p4"): 0.5, ("p4", "p4"): -5.0}
+SECOND = "(VALUES " + ", ".join(f"('{a}', '{b}', {QUADRATIC.get((min(a, b), max(a, b)), 0.0) * (2 if a == b else 1)}::DOUBLE)" for a in NAMES for b in NAMES) + ")"
+
 
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    lnl = sum((F.lit(w) * F.col(a) * F.col(b) for (a, b), w in QUADRATIC.items()), F.lit(0.0))
+    return _estimates(spark, d).withColumnRenamed("row", "ord").withColumn("lnL", lnl)
 
-@query("clic_trace", f"WITH c AS ({COV}), h(a, b, h) AS (VALUES {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)}, {h}::DOUBLE)' for a, b, h in HESS)}) SELECT round(-(-1234.5::DOUBLE + sum(h.h * c.cov)), 6) AS clic FROM h JOIN c ON h.a = c.b AND h.b = c.a")
+
+@query("clic_trace", f"WITH c AS ({COV}), h AS (SELECT * FROM {SECOND} h(a, b, h)), e AS (SELECT vec_id, {', '.join(f'{A.parameter_sql(j + 1, 4)} AS {n}' for j, n in enumerate(NAMES))} FROM embeddings), l AS (SELECT {' + '.join(f'{w} * {a} * {b}' for (a, b), w in QUADRATIC.items())} AS lnl FROM e ORDER BY vec_id LIMIT 1) SELECT round(-((SELECT lnl FROM l) + sum(h.h * c.cov)), 4) AS clic FROM h JOIN c ON h.a = c.b AND h.b = c.a")
 def _(spark, d):
-    return model_choice.clic(-1234.5, spark.createDataFrame(HESS, "a string, b string, h double"), model_choice.covariance(_estimates(spark, d), NAMES)).select(r6("clic", "clic"))
+    points = _points(spark, d)
+    h = model_choice.hessian(points, NAMES)
+    hess = spark.createDataFrame([(a, b, float(h[i, j])) for i, a in enumerate(NAMES) for j, b in enumerate(NAMES)], "a string, b string, h double")
+    lnl = points.where("ord = 0").first()["lnL"]
+    return model_choice.clic(lnl, hess, model_choice.covariance(points, NAMES)).select(F.round("clic", 4).alias("clic"))
 
 
 CRIT = "crit AS (SELECT o_custkey % 50 AS row, o_orderpriority AS model, min(floor(o_totalprice / 1000)) AS crit FROM orders GROUP BY 1, 2)"
@@ -709,15 +749,10 @@ def _(spark, d):
     return spark.createDataFrame([(a, b, float(made[i, j])) for i, a in enumerate(NAMES) for j, b in enumerate(NAMES)], "a string, b string, value double").select("a", "b", F.round("value", 9).alias("value"))
 
 
-#: Coefficients of a quadratic of four parameters, and its second derivatives.
-QUADRATIC = {("p1", "p1"): -3.0, ("p1", "p2"): 1.0, ("p2", "p2"): -2.0, ("p3", "p3"): -4.0, ("p1", "p4"): 0.5, ("p4", "p4"): -5.0}
-
-
-@query("hessian_regression", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {QUADRATIC.get((min(a, b), max(a, b)), 0.0) * (2 if a == b else 1)}::DOUBLE)" for a in NAMES for b in NAMES) + ") v(a, b, h) WHERE (SELECT count(*) FROM embeddings) > 0")
+@query("hessian_regression", f"SELECT * FROM {SECOND} v(a, b, h) WHERE (SELECT count(*) FROM embeddings) > 0")
 def _(spark, d):
-    """A quadratic with known second derivatives over the estimates: the regression gets them back."""
-    lnl = sum((F.lit(w) * F.col(a) * F.col(b) for (a, b), w in QUADRATIC.items()), F.lit(0.0))
-    h = model_choice.hessian(_estimates(spark, d).withColumnRenamed("row", "ord").withColumn("lnL", lnl), NAMES)
+    """The regression over the estimates gets the second derivatives back."""
+    h = model_choice.hessian(_points(spark, d), NAMES)
     return spark.createDataFrame([(a, b, float(h[i, j])) for i, a in enumerate(NAMES) for j, b in enumerate(NAMES)], "a string, b string, h double").select("a", "b", (F.round("h", 4) + 0.0).alias("h"))
 
 

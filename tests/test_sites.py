@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from sitefold.functions import patterns as P
 from sitefold.operators import bootstrap, model_choice, posterior, sites, tables
-from sitefold.plans import expected
 from sitefold.sources import sinks, text
 from sitefold.streaming.tabulate import stream_patterns
 
@@ -153,21 +152,6 @@ def test_label_index_in_order_of_appearance(spark):
     assert {r["name"]: r["bit"] for r in got} == {"x": 0, "y": 1, "z": 2}
 
 
-def test_coalescent_closed_forms():
-    p, t = expected.lineage_probabilities(3, 1.0), expected.expected_lengths(3, 1.0)
-    assert p.tolist() == pytest.approx([1 - 0.4771385592 - 0.0497870684, 0.4771385592, 0.0497870684])
-    assert t[1:].tolist() == pytest.approx([0.4730743724, 0.3167376439]) and t.sum() == pytest.approx(1.0)
-
-
-def test_expected_shares(spark):
-    want = {"x": 0.2346716900, "y": 0.2346716900, "z": 0.3596716900, "x:y": 0.1403283100, "x:z": 0.0153283100, "y:z": 0.0153283100}
-    assert {r["label"]: r["value"] for r in expected.tree_shares(spark, 1.0, 1.0, 2.0).collect()} == pytest.approx(want, abs=1e-9)
-    half = {r["label"]: r["value"] for r in expected.tree_shares(spark, 1.0, 0.5, 2.0).collect()}
-    assert half == pytest.approx({"x": 0.1900831, "y": 0.1900831, "z": 0.3900831, "x:y": 0.2099169, "x:z": 0.0099169, "y:z": 0.0099169}, abs=1e-6)
-    drawn = {r["label"]: r["value"] for r in expected.simulated_shares(spark, 1.0, 1.0, 2.0, 100_000, 1).collect()}
-    assert drawn == pytest.approx(want, abs=0.004)
-
-
 def test_axt(spark):
     lines = ["# c", "0 chr1 1 5 chrB 1 5 + 10", "ac-gta", "acggt-", "", "1 chr1 4 6 chrB 1 3 + 10", "ggn", "tgn"]
     records = text.axt_records(spark.createDataFrame(list(enumerate(lines)), "line_no long, value string"))
