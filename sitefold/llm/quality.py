@@ -3,8 +3,10 @@
 Statistics of each text (words, symbols, repeated lines, words in repeated three-word windows) are transformed into a
 vector. For each language and source, each language, and all documents, a minimum-covariance-determinant estimate is made
 of the vectors that pass the base rules. From several starts (the coordinate-wise median, and small sets of vectors drawn
-by hashes) concentration steps take mean and covariance of the nearest three quarters by Mahalanobis distance again, until
-no determinant falls any more; the start that ends with the least determinant wins. Each coordinate has a scale below
+by hashes) concentration steps take mean and covariance of the nearest three quarters by Mahalanobis distance again. The weight
+of the nearest is fixed: distances are binned, and the last bin counts with the part of it that is needed. A start is done when a
+step does not lower its determinant, and keeps the estimate before that step; of all starts the least determinant wins. Each
+coordinate has a scale below
 which differences do not count; its square is added to the variance (the regularised form of the estimator), so that
 statistics that are constant in most documents do not make the covariance singular. A document is rejected if its distance
 is beyond a chi-square quantile.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,7 +37,9 @@ WORD, SPACE, SYMBOL = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+", r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Documents of a group whose estimate stands alone; share of them that it rests on; most steps; starts besides the median;
 #: quantile of the distance.
-FULL, SHARE, STEPS, STARTS, QUANTILE = 100, 0.75, 10, 3, 0.99999
+FULL, SHARE, STEPS, STARTS, QUANTILE = 100, 0.75, 60, 3, 0.99999
+#: A determinant's logarithm that falls by less has settled.
+SETTLED = 1e-9
 #: What each coordinate is and the scale below which differences do not count.
 COORDINATES = {
     "_z0": (lambda: F.col("word_chars") / F.col("n_words"), 0.3),
@@ -152,29 +157,18 @@ def factors() -> list[str]:
 
 def with_factor(estimate: DataFrame, consistency: float = CONSISTENCY) -> DataFrame:
     """Adds _l, the Cholesky factor of the covariance with the scales' squares (1) added, and its determinant's logarithm."""
+    told = []  # each refers to those before it in the same projection
     for i in range(len(Z)):
         for j in range(i + 1):
-            value = F.col(f"_v{j}_{i}") * consistency + (1.0 if i == j else 0.0)
-            for k in range(j):
-                value = value - F.col(f"_l{i}_{k}") * F.col(f"_l{j}_{k}")
-            estimate = estimate.withColumn(f"_l{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-6))) if i == j else value / F.col(f"_l{j}_{j}"))
-    log = F.lit(0.0)
-    for i in range(len(Z)):
-        log = log + 2 * F.ln(F.col(f"_l{i}_{i}"))
-    return estimate.withColumn("logdet", log)
+            value = f"_v{j}_{i} * {consistency!r}D + {1.0 if i == j else 0.0}D" + "".join(f" - _l{i}_{k} * _l{j}_{k}" for k in range(j))
+            told.append(f"sqrt(greatest({value}, 1e-6D)) AS _l{i}_{j}" if i == j else f"({value}) / _l{j}_{j} AS _l{i}_{j}")
+    return estimate.selectExpr("*", *told, " + ".join(f"2 * ln(_l{i}_{i})" for i in range(len(Z))) + " AS logdet")
 
 
 def with_distance(rows: DataFrame) -> DataFrame:
     """Adds _d2, the squared Mahalanobis distance, by forward substitution."""
-    for i, z in enumerate(Z):
-        value = F.col(z) - F.col(f"_m{i}")
-        for k in range(i):
-            value = value - F.col(f"_l{i}_{k}") * F.col(f"_y{k}")
-        rows = rows.withColumn(f"_y{i}", value / F.col(f"_l{i}_{i}"))
-    total = F.lit(0.0)
-    for i in range(len(Z)):
-        total = total + F.col(f"_y{i}") * F.col(f"_y{i}")
-    return rows.withColumn("_d2", total)
+    told = [f"({z} - _m{i}" + "".join(f" - _l{i}_{k} * _y{k}" for k in range(i)) + f") / _l{i}_{i} AS _y{i}" for i, z in enumerate(Z)]
+    return rows.selectExpr("*", *told, " + ".join(f"_y{i} * _y{i}" for i in range(len(Z))) + " AS _d2")
 
 
 def distance_bin(d2: Column) -> Column:
@@ -191,11 +185,12 @@ def first_estimates(rows: DataFrame) -> DataFrame:
     pick = lambda s, k: F.min(F.struct(F.xxhash64(F.lit(1000 * s + k), *Z).alias("h"), *Z)).alias(f"p{s}_{k}")
     drawn = rows.groupBy("key").agg(*[pick(s, k) for s in range(1, STARTS + 1) for k in range(some)])
     starts = median
+    ij = [(i, j) for i in range(len(Z)) for j in range(i, len(Z))]
     for s in range(1, STARTS + 1):
-        at = lambda i, k, s=s: F.col(f"p{s}_{k}.{Z[i]}")
-        means = {f"_m{i}": sum((at(i, k) for k in range(some)), F.lit(0.0)) / some for i in range(len(Z))}
-        spread = {f"_v{i}_{j}": sum(((at(i, k) - F.col(f"_m{i}")) * (at(j, k) - F.col(f"_m{j}")) for k in range(some)), F.lit(0.0)) / some for i in range(len(Z)) for j in range(i, len(Z))}
-        mine = with_factor(drawn.withColumns(means).withColumns(spread), 1.0)
+        mean = [f"({' + '.join(f'p{s}_{k}.{z}' for k in range(some))}) / {some}" for z in Z]
+        means = drawn.selectExpr("*", *[f"{m} AS _m{i}" for i, m in enumerate(mean)])
+        spread = [" + ".join(f"(p{s}_{k}.{Z[i]} - _m{i}) * (p{s}_{k}.{Z[j]} - _m{j})" for k in range(some)) for i, j in ij]
+        mine = with_factor(means.selectExpr("key", *[f"_m{i}" for i in range(len(Z))], *[f"({x}) / {some} AS _v{i}_{j}" for (i, j), x in zip(ij, spread, strict=True)]), 1.0)
         starts = starts.unionByName(mine.select("key", F.lit(s).alias("start"), *[f"_m{i}" for i in range(len(Z))], *factors()))
     return starts.withColumn("logdet", F.lit(float("inf")))
 
@@ -206,32 +201,42 @@ def concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     told = estimates.groupBy("key").agg(F.collect_list(F.struct("start", *[f"_m{i}" for i in range(len(Z))], *factors(), "logdet")).alias("e"))  # a few starts
     met = rows.join(told.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "_salt"])
     each = with_distance(met.select("key", "n", *Z, F.inline("e"))).withColumn("bin", distance_bin(F.col("_d2")))
-    off = lambda i: F.col(Z[i]) - F.col(f"_m{i}")
-    sums = {f"s{i}": F.sum(F.col("n") * off(i)) for i in range(len(Z))} | {f"s{i}_{j}": F.sum(F.col("n") * off(i) * off(j)) for i in range(len(Z)) for j in range(i, len(Z))}
-    same = [F.first(f"_m{i}").alias(f"_m{i}") for i in range(len(Z))]
-    binned = each.groupBy("key", "start", "bin").agg(F.sum("n").alias("n"), *[x.alias(k) for k, x in sums.items()], *same, F.first("logdet").alias("was"))
+    ij = [(i, j) for i in range(len(Z)) for j in range(i, len(Z))]
+    off = [f"({z} - _m{i})" for i, z in enumerate(Z)]
+    sums = {f"s{i}": f"sum(n * {x})" for i, x in enumerate(off)} | {f"s{i}_{j}": f"sum(n * {off[i]} * {off[j]})" for i, j in ij}
+    same = [F.expr(f"first(_m{i})").alias(f"_m{i}") for i in range(len(Z))]
+    binned = each.groupBy("key", "start", "bin").agg(F.sum("n").alias("n"), *[F.expr(x).alias(k) for k, x in sums.items()], *same, F.first("logdet").alias("was"))
     upto, whole = Window.partitionBy("key", "start").orderBy("bin"), Window.partitionBy("key", "start")
     near = binned.withColumns({"upto": F.sum("n").over(upto), "whole": F.sum("n").over(whole)})
-    # up to the first bin with which the share is reached
-    near = near.where((F.col("upto") - F.col("n")) < SHARE * F.col("whole")).groupBy("key", "start")
-    near = near.agg(F.sum("n").alias("h"), F.first("whole").alias("n"), F.first("was").alias("was"), *[F.sum(k).alias(k) for k in sums], *same)
-    share = {k: F.col(k) / F.col("h") for k in sums}
-    near = near.withColumns({f"_v{i}_{j}": share[f"s{i}_{j}"] - share[f"s{i}"] * share[f"s{j}"] for i in range(len(Z)) for j in range(i, len(Z))})
-    near = near.withColumns({f"_m{i}": F.col(f"_m{i}") + share[f"s{i}"] for i in range(len(Z))})
+    # the last bin counts with the part that makes the share full
+    want = f"({SHARE}D * whole - upto + n)"
+    near = near.where(f"{want} > 0").withColumn("part", F.expr(f"least(1.0D, {want} / n)")).groupBy("key", "start")
+    near = near.agg(F.expr("sum(n * part)").alias("h"), F.first("whole").alias("n"), F.first("was").alias("was"), *[F.expr(f"sum({k} * part)").alias(k) for k in sums], *same)
+    spread = [f"s{i}_{j} / h - s{i} / h * s{j} / h AS _v{i}_{j}" for i, j in ij]
+    near = near.selectExpr("key", "start", "n", "was", *spread, *[f"_m{i} + s{i} / h AS _m{i}" for i in range(len(Z))])
     return with_factor(near).select("key", "start", "n", "was", "logdet", *moments(), *factors())
 
 
 def mcd_estimates(stats: DataFrame) -> DataFrame:
-    """key, n, logdet, _m, _v and _l of each group, language and all documents: the least determinant over all starts."""
+    """key, n, logdet, _m, _v and _l of each group, language and all documents: the least determinant over all starts and steps.
+    Only starts whose determinant fell take another step; the others' points are not looked at any more."""
     rows = materialize(points(stats), "points")
-    estimates = materialize(first_estimates(rows), "mcd")
-    for _ in range(STEPS):
-        was, estimates = estimates, materialize(concentrated(rows, estimates), "mcd")
-        discard(was)
-        if estimates.where(F.col("was") - F.col("logdet") > 1e-9).isEmpty():
+    moving, done = materialize(first_estimates(rows), "mcd"), []
+    for step in range(STEPS):
+        stepped = materialize(concentrated(rows, moving), "mcd")
+        fell = F.col("was") - F.col("logdet") > SETTLED
+        if step:  # a start's first estimate is no estimate of the share
+            done.append(moving.join(stepped.where(~fell).select("key", "start"), ["key", "start"]).select("key", "start", "n", "logdet", *moments(), *factors()))
+        moving = stepped.where(fell)
+        if moving.isEmpty():
             break
+    else:
+        done.append(moving.select("key", "start", "n", "logdet", *moments(), *factors()))
+    every = reduce(DataFrame.unionByName, done or [moving.select("key", "start", "n", "logdet", *moments(), *factors())])
+    best = every.groupBy("key").agg(F.min_by(F.struct("n", "logdet", *moments(), *factors()), F.struct("logdet", "start")).alias("e"))
+    out = materialize(best.select("key", "e.*"), "mcd-best")
     discard(rows)
-    return estimates.groupBy("key").agg(F.min_by(F.struct("n", "logdet", *moments(), *factors()), F.struct("logdet", "start")).alias("e")).select("key", "e.*")
+    return out
 
 
 def mixed_with(groups: DataFrame, own: str, parent: str) -> DataFrame:

