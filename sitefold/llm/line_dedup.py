@@ -6,9 +6,9 @@ run is rare if at most ``RARE`` documents hold it: then each of them is paired w
 runs no cap loses any: a document is paired with the earliest holder, with the earliest that holds the run only once, and
 with the holder before it (of those with its salt, where a run is in more than ``HOT`` documents), so that a line shared by
 a third of all documents gives at most three pairs a document and not all pairs of a group. Anchors of the alignment are
-lines unique in both documents of a pair. What is left of the later document after an alignment is aligned again, so
-passages that stand in another order are found too: every line that is alone in the later document and in some earlier one
-goes, if its block is long enough. Only arrays of line hashes travel to the pairs, not texts. Blocks of aligned lines with
+lines unique in both documents of a pair. What an alignment leaves is matched where it is alone in both, and aligned again
+without all that was matched, until nothing is; so passages that stand in another order are found too: every line that is alone
+in the later document and in some earlier one goes, if its block is long enough, whatever short lines the alignment preferred. Only arrays of line hashes travel to the pairs, not texts. Blocks of aligned lines with
 ``MIN_WORDS`` words or more are deleted from the later document, with the short and blank lines inside them; the owner
 keeps them.
 
@@ -21,6 +21,7 @@ are replaced.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -90,27 +91,38 @@ def patience_matches(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def lone_matches(a: list, b: list) -> list[tuple[int, int]]:
+    """Equal elements that are unique in both sequences, in order of the first; they may cross."""
+    seen, once = Counter(a), Counter(b)
+    place = {x: q for q, x in enumerate(b) if once[x] == 1}
+    return [(p, place[x]) for p, x in enumerate(a) if seen[x] == 1 and x in place]
+
+
 def common_blocks(a: list, a_words: list, b: list, min_words: int = MIN_WORDS) -> list[int]:
-    """Positions in ``a`` of aligned blocks (runs that are adjacent in both) with at least ``min_words`` words. What is left
-    of ``a`` is aligned again until no block is found."""
+    """Positions in ``a`` of aligned blocks (runs that are adjacent in both) with at least ``min_words`` words. What an alignment
+    leaves, in another order in ``b``, is matched where it is alone in both; then all that was matched, in whatever block, is taken
+    out of ``a``, and the rest is aligned again until nothing is."""
     out: list[int] = []
     left: list = list(a)
     while True:
-        found: list[int] = []
-        block: list[int] = []
-        last = (-2, -2)
-        for p, q in [*patience_matches(left, b), (-2, -2)]:
-            if (p, q) != (last[0] + 1, last[1] + 1) or p < 0:
-                if sum(a_words[k] for k in block) >= min_words:
-                    found += block
-                block = []
-            block.append(p)
-            last = (p, q)
-        if not found:
+        aligned = patience_matches(left, b)
+        for p, _ in aligned:
+            left[p] = None  # equals no line
+        crossing = lone_matches(left, b)
+        for p, _ in crossing:
+            left[p] = None
+        if not aligned and not crossing:
             return sorted(out)
-        out += found
-        for k in found:
-            left[k] = None  # equals no line
+        for matches in (aligned, crossing):
+            block: list[int] = []
+            last = (-2, -2)
+            for p, q in [*matches, (-2, -2)]:
+                if (p, q) != (last[0] + 1, last[1] + 1) or p < 0:
+                    if sum(a_words[k] for k in block) >= min_words:
+                        out += block
+                    block = []
+                block.append(p)
+                last = (p, q)
 
 
 def line_table(docs: DataFrame) -> DataFrame:

@@ -25,6 +25,39 @@ def test_runs_of_short_lines_found_pairs(spark):
     assert kept(spark, data) == {1: data[0][1], 2: "p\nq", 3: data[2][1]}
 
 
+def test_a_long_line_goes_though_the_alignment_prefers_short_ones(spark):
+    line = prose(8)
+    data = [(1, "\n".join([line, "w1", "s one", "w2", "s two", "w3", "s three"])), (2, "\n".join(["s one", "u1", "s two", "u2", "s three", "u3", line]))]
+    assert kept(spark, data) == {1: data[0][1], 2: "s one\nu1\ns two\nu2\ns three\nu3"}
+
+
+def test_reversed_documents_lose_every_line_in_few_rounds(monkeypatch):
+    lines = [f"line {k} of a long reversed text" for k in range(4000)]
+    rounds, inner = [], line_dedup.patience_matches
+    monkeypatch.setattr(line_dedup, "patience_matches", lambda a, b: rounds.append(1) or inner(a, b))
+    assert line_dedup.common_blocks(lines, [7] * 4000, lines[::-1]) == list(range(4000)) and len(rounds) <= 3
+
+
+def test_random_documents_lose_what_an_independent_measure_asks_for(spark):
+    """At production settings: every line of enough words that is alone in its document and in some earlier one goes; what has no
+    equal line in an earlier document stays."""
+    rng = random.Random(18)
+    pool = [prose(rng.randint(5, 9)) for _ in range(40)] + ["", "short", "two words", "three more words"]
+    data = random_documents(rng, 120, pool)
+    got = kept(spark, data)
+    lost = 0
+    for k, (doc, text) in enumerate(data):
+        lines, left = text.split("\n"), got[doc].split("\n")
+        earlier = [t.split("\n") for _, t in data[:k] if t != text]
+        for line in lines:
+            if len(line.split()) >= 5 and lines.count(line) == 1 and any(e.count(line) == 1 for e in earlier):
+                assert line not in left
+                lost += 1
+        unknown = [x for x in lines if not any(x in e for e in earlier) and all(t != text for _, t in data[:k])]
+        assert all(left.count(x) == lines.count(x) for x in unknown)
+    assert lost > 100
+
+
 def gone_by_all_pairs(data):
     """Lines that some alignment with an earlier document deletes, over all pairs."""
     out = {}
