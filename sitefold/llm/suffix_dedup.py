@@ -12,8 +12,9 @@ equal strings choose alike. Anchors are dealt to shards by that hash, so all cop
 * The bytes around the remaining anchors, the first of their kind each, make up the shard: its suffixes are sorted with
   common-prefix values, and in every run of suffixes with ``LENGTH`` bytes in common all but the earliest are repeats. A
   shard is written to disk as its pieces arrive in order, and sorted there beyond ``BUDGET`` bytes.
-* A k-gram with more than ``HOT`` kinds of surroundings would be one large shard: its strings are dealt out by a checksum of
-  the whole string instead.
+* A k-gram with more than ``HOT`` kinds of surroundings would be one large shard: its strings are told by two hashes of the whole
+  string instead (64 and 32 bits). Equal strings are combined twice, in each task and then by hash, and no bytes travel: of a
+  passage in a third of all documents a task sends each string once, and one run of starts for each further copy.
 
 Defined results: a null text is empty, with no bytes and no spans; texts shorter than ``LENGTH`` bytes lose nothing; a
 null doc_id counts as the smallest; rows that repeat a doc_id are one document (equal offsets of them are no repeats of
@@ -48,6 +49,11 @@ _BLOCK = "kind int, bucket int, docs binary, starts binary, counts binary, grams
 _NAMES = [f.split(" ")[0] for f in _BLOCK.split(", ")]
 _KINDS = {"docs": np.int64, "starts": np.uint32, "counts": np.uint8, "grams": np.uint64, "wholes": np.uint64}
 ANCHOR, REPEAT, LOOSE = 0, 1, 2
+#: Strings of hot k-grams, and runs of starts, as rows of shards hold them; what their rows have instead of a count.
+_STRING = np.dtype([("hash", "<u8"), ("more", "<u4"), ("doc", "<i8"), ("start", "<u4")])
+_RUN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("count", "u1")])
+STRINGS, RUNS = 0, -1
+_OTHER = mix64(BYTE_EXACT)
 
 
 def document_key(doc_id: Column) -> Column:
@@ -185,8 +191,59 @@ def compared_anchors(blocks: DataFrame, buckets: int, shards: int, hot: int = HO
     return blocks.repartition(buckets, "bucket").mapInArrow(tidy(compare), _BLOCK)
 
 
+def string_hashes(raw: np.ndarray, begin: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the strings of anchors, some anchors at a time: the two hashes of each, and the anchor it belongs to. Windows have at most
+    ``2 * LENGTH`` bytes."""
+    for k in range(0, len(begin), 1024):
+        b, c = begin[k : k + 1024], count[k : k + 1024]
+        width = int(c.max()) - 1 + LENGTH
+        data = raw[np.minimum(b[:, None] + np.arange(width), len(raw) - 1)]
+        up, down = (p.copy() for p in powers(width + 1))
+        both = []
+        for table in (BYTE_EXACT, _OTHER):
+            sums = np.zeros((len(b), width + 1), np.uint64)
+            np.cumsum(table[data] * up[:width], axis=1, out=sums[:, 1:])
+            both.append(mix64((sums[:, LENGTH:] - sums[:, :-LENGTH]) * down[: width + 1 - LENGTH]))
+        real = np.arange(width + 1 - LENGTH) < c[:, None]
+        yield both[0][real], (both[1][real] >> np.uint64(32)).astype(np.uint32), np.nonzero(real)[0] + k
+
+
+def combined_strings(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each string by document and start, and those that are later, in order."""
+    strings = strings[np.lexsort((strings["start"], strings["doc"], strings["more"], strings["hash"]))]
+    new = np.r_[True, (strings["hash"][1:] != strings["hash"][:-1]) | (strings["more"][1:] != strings["more"][:-1])][: len(strings)]
+    of = np.maximum.accumulate(np.where(new, np.arange(len(strings)), 0))
+    later = (strings["doc"] != strings["doc"][of]) | (strings["start"] != strings["start"][of])
+    again = strings[later]
+    return strings[new], again[np.lexsort((again["start"], again["doc"]))]
+
+
+def packed_strings(strings: np.ndarray) -> bytes:
+    """By document and start, which compress well then; hashes do not."""
+    strings = strings[np.lexsort((strings["start"], strings["doc"]))]
+    places = zlib.compress(np.diff(strings["doc"], prepend=0).tobytes() + strings["start"].tobytes(), 1)
+    return len(strings).to_bytes(8, "little") + strings["hash"].tobytes() + strings["more"].tobytes() + places
+
+
+def unpacked_strings(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    strings, places = np.zeros(n, _STRING), zlib.decompress(data[8 + 12 * n :])
+    strings["hash"], strings["more"] = np.frombuffer(data, "<u8", n, 8), np.frombuffer(data, "<u4", n, 8 + 8 * n)
+    strings["doc"], strings["start"] = np.cumsum(np.frombuffer(places, "<i8", n)), np.frombuffer(places, "<u4", n, 8 * n)
+    return strings
+
+
+def runs_of_starts(ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts one after the other as (document, first, count), of at most 255."""
+    first = np.r_[True, (ids[1:] != ids[:-1]) | (begin[1:] != begin[:-1] + 1)][: len(ids)]
+    nth = np.arange(len(ids)) - np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))
+    cut = np.flatnonzero(first | (nth % 255 == 0))
+    return ids[cut], begin[cut], np.diff(np.r_[cut, len(ids)])
+
+
 def shard_rows(compared: DataFrame, docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, key, start, count, bytes): what the suffixes of each shard are sorted in."""
+    """(shard, key, start, count, bytes): what the suffixes of each shard are sorted in. Rows with STRINGS or RUNS for a count hold
+    packed strings of hot k-grams, by hash, and runs of starts of those that the task knows to be repeats."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,27 +254,50 @@ def shard_rows(compared: DataFrame, docs: DataFrame, shards: int) -> DataFrame:
 
     asked = compared.where(F.col("kind") != REPEAT).select("kind", "bucket", "docs", "starts", "counts").mapInArrow(tidy(rows), "shard int, key long, start long, count int")
     asked = asked.groupBy("key").agg(F.collect_list(F.struct("shard", "start", "count")).alias("asked"))
+    names = ["shard", "key", "start", "count", "bytes"]
+
+    def packed_rows(values: np.ndarray, shard: np.ndarray, mark: int) -> pa.RecordBatch:
+        order = np.argsort(shard, kind="stable")
+        full, cuts = np.unique(shard[order], return_index=True)
+        pack = packed_strings if mark == STRINGS else np.ndarray.tobytes
+        data = [pack(values[order[a:b]]) for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+        zeros = pa.array(np.zeros(len(full), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), zeros, zeros, pa.array(np.full(len(full), mark, np.int32)), pa.array(data, pa.binary())], names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            strings, again = combined_strings(np.concatenate(held))
+            held.clear()
+            yield packed_rows(strings, _bucket(strings["hash"], shards), STRINGS)
+            ids, begin, count = runs_of_starts(again["doc"], again["start"].astype(np.int64))
+            told = np.zeros(len(ids), _RUN)
+            told["doc"], told["start"], told["count"] = ids, begin, count
+            if len(told):
+                yield packed_rows(told, _bucket(np.ascontiguousarray(told["doc"]), shards), RUNS)
+
         for batch in batches:
             lists = batch.column("asked")
             fields = lists.flatten()
             shard, start, count = (fields.field(n).to_numpy() for n in ("shard", "start", "count"))
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            loose = shard < 0
-            if loose.any():  # each string of a hot k-gram by itself
-                many = np.where(loose, count, 1)
-                nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                shard, start, count, row = np.repeat(shard, many), np.repeat(start, many) + nth, np.repeat(np.where(loose, 1, count), many), np.repeat(row, many)
             raw, at = text_bytes(batch.column("text"))
             begin, data = at[row] + start, raw.tobytes()
             inside = begin + count - 1 + LENGTH <= at[row + 1]  # not so only for rows that repeat a doc_id with another text
-            pieces = [data[b:e] for b, e in zip(begin[inside].tolist(), (begin + count - 1 + LENGTH)[inside].tolist(), strict=True)]
-            shard = shard[inside].copy()
-            for k in np.flatnonzero(shard < 0).tolist():
-                shard[k] = zlib.crc32(pieces[k]) % shards
             keys = batch.column("key").to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(keys[inside]), pa.array(start[inside]), pa.array(count[inside]), pa.array(pieces, pa.binary())], ["shard", "key", "start", "count", "bytes"])
+            whole, loose = inside & (shard >= 0), np.flatnonzero(inside & (shard < 0))
+            pieces = [data[b:e] for b, e in zip(begin[whole].tolist(), (begin + count - 1 + LENGTH)[whole].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[whole]), pa.array(keys[whole]), pa.array(start[whole]), pa.array(count[whole]), pa.array(pieces, pa.binary())], names)
+            for hashes, more, of in string_hashes(raw, begin[loose], count[loose]):
+                strings, anchor = np.zeros(len(of), _STRING), loose[of]
+                nth = np.arange(len(of)) - np.maximum.accumulate(np.where(np.r_[True, of[1:] != of[:-1]], np.arange(len(of)), 0))
+                strings["hash"], strings["more"], strings["doc"], strings["start"] = hashes, more, keys[anchor], start[anchor] + nth
+                held.append(strings)
+                if sum(map(len, held)) >= COMBINE:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     return docs.join(asked.hint("shuffle_hash"), "key").select("key", "text", "asked").mapInArrow(tidy(cut), "shard int, key long, start long, count int, bytes binary")
 
@@ -293,22 +373,32 @@ def repeated_starts(rows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def fine_repeats(rows: DataFrame, buckets: int, shards: int) -> DataFrame:
-    """REPEAT blocks by document of the strings that suffix sorting finds in the shards."""
+    """REPEAT blocks by document of the strings that suffix sorting finds in the shards, and of equal strings of hot k-grams."""
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        for batch in batches:
-            if batch.num_rows:
-                key, start, count = (batch.column(n).to_numpy() for n in ("key", "start", "count"))
-                yield key, start, count.astype(np.int64), text_bytes(batch.column("bytes"))[0]
+    def block(ids: np.ndarray, begin: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        return _pack(REPEAT, _bucket(np.ascontiguousarray(ids), buckets), buckets, {"docs": ids, "starts": begin, "counts": count})
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, begin in repeated_starts(pieces(batches)):
-            # runs of starts one after the other, of at most 255
-            first = np.r_[True, (ids[1:] != ids[:-1]) | (begin[1:] != begin[:-1] + 1)]
-            nth = np.arange(len(ids)) - np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))
-            cut = np.flatnonzero(first | (nth % 255 == 0))
-            count = np.diff(np.r_[cut, len(ids)])
-            yield _pack(REPEAT, _bucket(ids[cut], buckets), buckets, {"docs": ids[cut], "starts": begin[cut], "counts": count})
+        strings: list[np.ndarray] = []
+        runs: list[np.ndarray] = []
+
+        def pieces() -> Iterator[tuple[np.ndarray, ...]]:
+            for batch in batches:
+                count = batch.column("count").to_numpy()
+                strings.extend(unpacked_strings(x) for x in batch.filter(pa.array(count == STRINGS)).column("bytes").to_pylist())
+                runs.extend(np.frombuffer(x, _RUN) for x in batch.filter(pa.array(count == RUNS)).column("bytes").to_pylist())
+                batch = batch.filter(pa.array(count > 0))
+                if batch.num_rows:
+                    key, start, count = (batch.column(n).to_numpy() for n in ("key", "start", "count"))
+                    yield key, start, count.astype(np.int64), text_bytes(batch.column("bytes"))[0]
+
+        for ids, begin in repeated_starts(pieces()):
+            yield block(*runs_of_starts(ids, begin))
+        for told in runs:
+            yield block(told["doc"], told["start"], told["count"])
+        if strings:
+            again = combined_strings(np.concatenate(strings))[1]
+            yield block(*runs_of_starts(again["doc"], again["start"].astype(np.int64)))
 
     return rows.repartition(shards, "shard").sortWithinPartitions("key", "start").mapInArrow(tidy(sort), _BLOCK)
 

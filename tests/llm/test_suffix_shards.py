@@ -62,6 +62,40 @@ def test_hot_grams_are_dealt_by_whole_strings(spark, monkeypatch):
     assert told(suffix_dedup.suffix_dedup(frame)) == want
 
 
+def test_a_passage_in_all_documents_is_combined_before_it_is_sent(spark, monkeypatch):
+    hot = prose(40)[:150]
+    rng = random.Random(3)
+    odd_text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    data = [(i, f"{odd_text(300)} {hot} {odd_text(300)}") for i in range(900)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    compare, cut = suffix_dedup.compared_anchors, suffix_dedup.shard_rows
+    seen = []
+    monkeypatch.setattr(suffix_dedup, "COMBINE", 20_000)
+    monkeypatch.setattr(suffix_dedup, "compared_anchors", lambda blocks, buckets, shards: compare(blocks, buckets, shards, 100))
+    monkeypatch.setattr(suffix_dedup, "shard_rows", lambda *a: seen.append(cut(*a)) or seen[-1])
+    got = told(suffix_dedup.suffix_dedup(frame))
+    assert got == repeated_bytes(data)
+    rows = seen[0].select("count", "bytes").collect()
+    strings = np.concatenate([suffix_dedup.unpacked_strings(r["bytes"]) for r in rows if r["count"] == suffix_dedup.STRINGS])
+    assert len(strings) > 900  # those that reach over an end of the passage
+    assert sum(len(r["bytes"]) for r in rows) < 2 * sum(len(t) for _, t in data)
+    times = np.unique(strings["hash"], return_counts=True)[1]
+    assert 2 <= times.max() <= 10  # one for each time that a task combines
+
+
+def test_hashes_of_strings_are_those_of_their_bytes():
+    rng = np.random.default_rng(1)
+    raw = np.tile(rng.integers(97, 100, 400).astype(np.uint8), 3)
+    begin, count = np.array([0, 400, 7, 1000]), np.array([69, 69, 3, 101])
+    parts = list(suffix_dedup.string_hashes(raw, begin, count))
+    hashes, more, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+    assert of.tolist() == np.repeat(np.arange(4), count).tolist()
+    by_bytes = {}
+    for h, m, b in zip(hashes.tolist(), more.tolist(), [begin[i] + k for i in range(4) for k in range(count[i])], strict=True):
+        by_bytes.setdefault(raw[b : b + 100].tobytes(), set()).add((h, m))
+    assert all(len(x) == 1 for x in by_bytes.values()) and len({next(iter(x)) for x in by_bytes.values()}) == len(by_bytes)
+
+
 def test_own_names_of_the_caller_pass_through(spark):
     names = ["_spans", "_done", "_span_key", "key", "_key", "row", "done", "asked", "spans"]
     frame = spark.createDataFrame([(1, "a" * 150), (2, "a" * 150)], "doc_id long, text string").select("*", *[F.lit(f"its {n}").alias(n) for n in names])
