@@ -5,27 +5,41 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 
-#: Entries each cache holds in one Python worker; beyond it, ids are computed each time.
-CACHE_ENTRIES = 200_000
+#: Bytes that all caches of a tokenizer take in one Python worker; beyond them, ids are computed each time.
+CACHE_BYTES = 32 << 20
 #: Punctuation that may end a chunk; apostrophes are left to the pre-tokenizer.
 _TAIL = ".,;:!?$%&*#)(]["
 #: Characters that str.split() takes for white space and the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
+class Room:
+    """What is left of a number of bytes."""
+
+    def __init__(self, size: int):
+        self.left = size
+
+    def keep(self, cache: dict, key: str, value: bytes) -> None:
+        """Into ``cache``, if there is room for both objects and their entry."""
+        cost = sys.getsizeof(key) + sys.getsizeof(value) + 100
+        if cost <= self.left:
+            self.left -= cost
+            cache[key] = value
+
+
 class Pieces(dict):
     """Pre-tokens, as the tokenizer's own pre-tokenizer gives them, to little-endian 32-bit ids."""
 
-    def __init__(self, model):
+    def __init__(self, model, room: Room):
         super().__init__()
-        self.model = model
+        self.model, self.room = model, room
 
     def __missing__(self, piece: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(piece)]
         out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) < CACHE_ENTRIES:
-            self[piece] = out
+        self.room.keep(self, piece, out)
         return out
 
 
@@ -35,7 +49,8 @@ class Chunks(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.normalizer, self.splitter = tokenizer, tokenizer.normalizer, tokenizer.pre_tokenizer
-        self.pieces, self.heads = Pieces(tokenizer.model), {}
+        self.room = Room(CACHE_BYTES)
+        self.pieces, self.heads = Pieces(tokenizer.model, self.room), {}
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
@@ -58,14 +73,12 @@ class Chunks(dict):
                 out = self.heads.get(head)
                 if out is None:
                     out = self.general(head)
-                    if len(self.heads) < CACHE_ENTRIES:
-                        self.heads[head] = out
+                    self.room.keep(self.heads, head, out)
             if tail:
                 out += self.pieces[tail]
         else:
             out = self.general(chunk)
-        if len(self) < CACHE_ENTRIES:
-            self[chunk] = out
+        self.room.keep(self, chunk, out)
         return out
 
     def ids(self, text: str) -> bytes:

@@ -90,3 +90,21 @@ def test_other_tokenizers_files_give_their_own_ids(tmp_path):
     chunks = tokenizer(str(tmp_path / "cased.json"))
     assert [chunks.ids(t) for t in texts] == [chunks.whole(t) for t in texts]
     assert re.fullmatch(b"(?:....)*", chunks.ids("Abc"), re.S)
+
+
+def test_caches_are_bound_by_bytes(monkeypatch):
+    import random
+    import sys
+
+    from sitefold.llm import _tokens
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdeé,.1") for _ in range(rng.randint(1, 90))) for _ in range(200)) for _ in range(30)]
+    free = _tokens.tokenizer("word_bpe_49k.json")
+    want = [free.ids(t) for t in texts]
+    monkeypatch.setattr(_tokens, "CACHE_BYTES", 50_000)
+    monkeypatch.setattr(_tokens, "_loaded", {})
+    small = _tokens.tokenizer("word_bpe_49k.json")
+    assert [small.ids(t) for t in texts] == want
+    held = [(k, v) for cache in (small, small.heads, small.pieces) for k, v in cache.items()]
+    assert 0 <= small.room.left < 300 and 40_000 < sum(sys.getsizeof(k) + sys.getsizeof(v) + 100 for k, v in held) <= 50_000
