@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitefold.functions import numeric
 from sitefold.functions import patterns as P
 from sitefold.operators import bootstrap, model_choice, posterior, rewriting, sites, tables, tabulate
-from sitefold.sources import ms, samples, site_lines, stored, text
+from sitefold.sources import ms, samples, sinks, site_lines, stored, text
 
 from . import adapters as A
 
@@ -935,3 +935,66 @@ def _(spark, d):
     points = rows.withColumns({"ord": nth, "lnL": _quadratic(F.col("p1"), F.col("p2"))})
     hess = model_choice.hessians(points, ["p1", "p2"])
     return model_choice.clic_by_file(hess, model_choice.covariance(rows, ["p1", "p2"])).select("file", F.round("clic", 4).alias("clic"))
+
+
+# What is written and read again
+
+
+@query("gz_scan", ORACLE_SQL["daf_scan"])
+def _(spark, d):
+    """Gzipped lines."""
+    path = stored.stored_path(spark, "lines-gz")
+    rows = A.daf_rows(spark, d)
+    rows.select(F.concat_ws("\t", "chr", F.col("pos").cast("string"), "aa", "da", F.col("daf").cast("string")).alias("value")).write.option("compression", "gzip").text(path)
+    return text.read_daf(text.read_lines(spark, path)).select("chr", "pos", "aa", "da", r6("daf", "daf"))
+
+
+@query("axt_from_lines", f"WITH {AXT} SELECT chr, pos, ref, alt, raf FROM bases WHERE alt NOT IN ('-', 'n') AND 5 + rec % 10 >= 8")
+def _(spark, d):
+    """From the lines of records, of which those with low scores are left out."""
+    k = F.col("c_custkey")
+    b = F.substring(F.lit("acgtacgtnacgt-acgtacgtaccgt"), (k % 13 + 1).cast("int"), F.lit(10))
+    head = F.format_string("%d chr%d %d %d chrB 1 %d + %d", k, k % 5, k * 7, k * 7 + 7, F.length(F.replace(b, F.lit("-"), F.lit(""))), 5 + k % 10)
+    lines = A.table(spark, d, "customer").select("c_custkey", F.posexplode(F.array(head, F.lit("ACG-TNGAT-"), b, F.lit(""))).alias("j", "value"))
+    records = text.axt_records(lines.select((k * 4 + F.col("j")).alias("line_no"), "value"))
+    return text.axt_bases(records, min_length=8, min_score=8).select("chr", "pos", "ref", "alt", "raf")
+
+
+@query("bad_genotypes", f"WITH {A.GENOTYPES} SELECT coalesce({DAF_REJECT.replace('WHEN zeros + ones = 0', 'WHEN k % 41 = 0 THEN $$badgtype$$ WHEN zeros + ones = 0').replace('$$', chr(39))}, 'good') AS reason, count(*) AS n_rows FROM gc GROUP BY 1")
+def _(spark, d):
+    """One genotype of some lines is malformed."""
+    odd = F.split("value", "\t")[1].cast("long") % 41 == 0
+    broken = F.regexp_replace("value", "^((?:[^\t]*\t){5})[^\t]*", "$12|0")
+    lines = A.genotype_lines(spark, d).withColumn("value", F.when(odd, broken).otherwise(F.col("value")))
+    return text.reject_counts(text.genotype_daf(lines))
+
+
+@query("patterns_file", ORACLE_SQL["daf_patterns_singletons"])
+def _(spark, d):
+    sums = P.pattern_sums(_good(spark, d), FREQ, singletons=True)
+    path = stored.stored_path(spark, "patterns")
+    sinks.write_patterns(sums.select(P.pattern_label(F.col("pat"), LABELS).alias("label"), P.pattern_rank(F.col("pat"), 3).alias("rank"), "value"), path)
+    return tables.by_mask(text.pattern_section(text.read_lines(spark, path, ordered=True).drop("file")), LABELS).select("pat", r6("value", "value"))
+
+
+@query("chromosome_files", f"WITH {A.DAF} SELECT pop, chr, pos, aa, da, round(daf, 6) AS daf FROM daf_rows")
+def _(spark, d):
+    path = stored.stored_path(spark, "by-chromosome")
+    sinks.write_by_chromosome(A.daf_rows(spark, d), path)
+    back = spark.read.schema("pop string, pos long, aa string, da string, daf double, chr string").option("sep", "\t").csv(path)
+    return back.select("pop", "chr", "pos", "aa", "da", r6("daf", "daf"))
+
+
+@query("replicate_files", ORACLE_SQL["boot_counts"])
+def _(spark, d):
+    path = stored.stored_path(spark, "replicates")
+    sinks.write_replicates(_counts(spark, d), path)
+    back = spark.read.schema("pat long, value double, rep long").option("sep", "\t").csv(path)
+    return back.select("rep", "pat", r6("value", "value"))
+
+
+@query("frequency_files", f"SELECT chr, pos, aa, da, daf FROM ({ORACLE_SQL['raf_to_daf_long']})")
+def _(spark, d):
+    path = stored.stored_path(spark, "frequencies")
+    sinks.write_frequencies(sites.raf_to_daf_long(A.raf_rows(spark, d), A.POPS, A.OUTGROUP).select("chr", "pos", "aa", "da", "daf"), path)
+    return text.read_daf(text.read_lines(spark, path)).select("chr", "pos", "aa", "da", r6("daf", "daf"))

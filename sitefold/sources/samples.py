@@ -15,14 +15,12 @@ def scrm_samples(command: str) -> list[int]:
         raise ValueError("not the command line of scrm")
     if "-transpose-segsites" not in words:
         raise ValueError("sites have to be transposed")
-    sizes: list[list[int]] = []
-    for i, word in enumerate(words):
-        if word in ("-I", "-eI"):
-            if not sizes:
-                told = words[i + 2 :]
-                sizes = [[] for _ in range(next((k for k, w in enumerate(told) if not w.isdigit()), len(told)))]
-            for mine, size in zip(sizes, words[i + 2 : i + 2 + len(sizes)], strict=True):
-                mine += [int(size)] * (int(size) > 0)
+    at = words.index("-I") if "-I" in words else len(words)
+    pops = int(words[at + 1]) if at + 1 < len(words) else 0  # -I tells how many sizes it has, and each -eI has as many after its time
+    listed = [[int(n) for n in words[i + 2 : i + 2 + pops]] for i, word in enumerate(words) if word in ("-I", "-eI")]
+    if any(len(sizes) != pops for sizes in listed):
+        raise ValueError("an option without a size for each population")
+    sizes = [[n for n in mine if n > 0] for mine in zip(*listed, strict=True)]
     found = [n for mine in sizes for n in mine]
     if not found:
         raise ValueError("no samples")

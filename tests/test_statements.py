@@ -92,3 +92,21 @@ def test_bad_genotypes_and_scores_are_told(spark):
     records = spark.createDataFrame([(0, "c", 1, 3, 5, "acg", "acg"), (1, "c", 1, 2, 50, "ac", "at"), (2, "c", 1, 3, 50, "acg", "aaa")], "rec long, chr string, start long, end long, score long, a string, b string")
     assert {r["rec"] for r in text.axt_bases(records, min_score=10).collect()} == {1, 2}
     assert {r["rec"] for r in text.axt_bases(records, min_length=3, min_score=10).collect()} == {2}
+
+
+def test_genotypes_of_a_line_are_counted_together(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        gts = [rng.choice(".01") + rng.choice("|/x") + rng.choice(".01") for _ in range(rng.randrange(0, 6))]
+        if rng.random() < 0.2 and gts:
+            gts[rng.randrange(len(gts))] = rng.choice(["", "0", "0|", "0|12", "2|0", "0||1", "01"])
+        rows.append((i, gts))
+    lines = spark.createDataFrame([("\t".join(["1", str(i), "a", "c", "a", *g]),) for i, g in rows], "value string")
+    got = {r["pos"]: r for r in text.genotype_daf(lines).collect()}
+    for i, gts in rows:
+        alleles = "".join(g[:1] + g[2:3] for g in gts)
+        bad = any(len(g) != 3 or g[0] not in ".01" or g[2] not in ".01" for g in gts)
+        called = len(alleles) - alleles.count(".")
+        assert got[i]["reject"] == ("badgtype" if bad else "zerogtype" if not called else None)
+        assert bad or got[i]["daf"] == (alleles.count("1") / called if called else None)
