@@ -12,7 +12,9 @@ equal strings choose alike. Anchors are dealt to shards by that hash, so all cop
 * The bytes around the remaining anchors, the first of their kind each, make up the shard: its suffixes are sorted with
   common-prefix values, and in every run of suffixes with ``LENGTH`` bytes in common all but the earliest are repeats. A
   shard is written to disk as its pieces arrive in order, and sorted there beyond ``BUDGET`` bytes.
-* A k-gram with more than ``HOT`` kinds of surroundings would be one large shard: its strings are told by two hashes of the whole
+* A k-gram with more than ``HOT`` kinds of surroundings would be one large shard, and one with more than ``OFTEN`` of them in what one
+  task combines (a passage in many documents, each time with other text around it) would fill its bucket of anchors, too: the
+  task sends a mark there instead, and all anchors of a marked k-gram count as hot wherever they are. Their strings are told by two hashes of the whole
   string instead (64 and 32 bits). Equal strings are combined twice, in each task and then by hash, and no bytes travel: of a
   passage in a third of all documents a task sends each string once, and one run of starts for each further copy.
 
@@ -41,6 +43,8 @@ from ._words import BYTE_EXACT, mix64, powers, prefix_sums, range_hash, text_byt
 #: Bytes of a string, and of the k-gram that anchors it; bytes that are hashed at once; anchors that a task combines;
 #: bytes of a shard's arrays that a task keeps in memory; kinds of surroundings beyond which a k-gram is hot.
 LENGTH, GRAM, CHUNK, COMBINE, BUDGET, HOT = 100, 32, 1 << 19, 1 << 19, 1 << 27, 2048
+#: Kinds of surroundings of one k-gram among the COMBINE anchors of a task beyond which it is hot at once.
+OFTEN = 32
 #: Bytes of input for each bucket of anchors, and for each shard.
 BUCKET_BYTES, SHARD_BYTES = 1 << 26, 1 << 22
 _PLACE = np.uint64((1 << 21) - 1)
@@ -48,7 +52,7 @@ _NULL_ID = -(1 << 63)
 _BLOCK = "kind int, bucket int, docs binary, starts binary, counts binary, grams binary, wholes binary"
 _NAMES = [f.split(" ")[0] for f in _BLOCK.split(", ")]
 _KINDS = {"docs": np.int64, "starts": np.uint32, "counts": np.uint8, "grams": np.uint64, "wholes": np.uint64}
-ANCHOR, REPEAT, LOOSE = 0, 1, 2
+ANCHOR, REPEAT, LOOSE, MARK = 0, 1, 2, 3
 #: Strings of hot k-grams, and runs of starts, as rows of shards hold them; what their rows have instead of a count.
 _STRING = np.dtype([("hash", "<u8"), ("more", "<u4"), ("doc", "<i8"), ("start", "<u4")])
 _RUN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("count", "u1")])
@@ -142,8 +146,14 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
             ids, starts, counts, grams, wholes = (np.concatenate(x) for x in zip(*held, strict=True))
             order, first = _first_of_pairs(grams, wholes, ids, starts)
             ids, starts, counts, grams, wholes = (x[order] for x in (ids, starts, counts, grams, wholes))
-            yield _pack(ANCHOR, _bucket(grams[first], buckets), buckets, {"docs": ids[first], "starts": starts[first], "counts": counts[first], "grams": grams[first], "wholes": wholes[first]})
-            again = ~first
+            gram = np.cumsum(np.r_[0, grams[1:] != grams[:-1]])
+            often = np.bincount(gram, weights=first)[gram] > OFTEN
+            rare, many, again = first & ~often, first & often, ~first
+            yield _pack(ANCHOR, _bucket(grams[rare], buckets), buckets, {"docs": ids[rare], "starts": starts[rare], "counts": counts[rare], "grams": grams[rare], "wholes": wholes[rare]})
+            if many.any():
+                marked = np.unique(grams[many])
+                yield _pack(MARK, _bucket(marked, buckets), buckets, {"grams": marked})
+                yield _pack(LOOSE, _bucket(wholes[many], buckets), buckets, {"docs": ids[many], "starts": starts[many], "counts": counts[many]})
             yield _pack(REPEAT, _bucket(ids[again], buckets), buckets, {"docs": ids[again], "starts": starts[again], "counts": counts[again]})
 
         size = 0
@@ -166,16 +176,18 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
 
 def compared_anchors(blocks: DataFrame, buckets: int, shards: int, hot: int = HOT) -> DataFrame:
     """Blocks of REPEAT by document for anchors that an earlier one equals; of ANCHOR by shard (one k-gram in one shard) for
-    the first of each kind where a k-gram has several kinds of surroundings, or of LOOSE where it has more than ``hot``."""
+    the first of each kind where a k-gram has several kinds of surroundings, or of LOOSE where it has more than ``hot`` or a mark."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
+        marks = [np.zeros(0, np.uint64)]
         for batch in batches:
-            repeats = batch.filter(pa.array(batch.column("kind").to_numpy() == REPEAT))
-            if repeats.num_rows:
-                yield repeats
-            fresh = batch.filter(pa.array(batch.column("kind").to_numpy() == ANCHOR))
-            parts += [columns for _, columns in _unpack(iter([fresh]), list(_KINDS))]
+            kind = batch.column("kind").to_numpy()
+            done = batch.filter(pa.array((kind == REPEAT) | (kind == LOOSE)))
+            if done.num_rows:
+                yield done
+            marks += [np.frombuffer(x, np.uint64) for x in batch.filter(pa.array(kind == MARK)).column("grams").to_pylist()]
+            parts += [columns for _, columns in _unpack(iter([batch.filter(pa.array(kind == ANCHOR))]), list(_KINDS))]
         if not parts:
             return
         ids, starts, counts, grams, wholes = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -185,6 +197,7 @@ def compared_anchors(blocks: DataFrame, buckets: int, shards: int, hot: int = HO
         yield _pack(REPEAT, _bucket(ids[again], buckets), buckets, {"docs": ids[again], "starts": starts[again], "counts": counts[again]})
         gram = np.cumsum(np.r_[0, grams[1:] != grams[:-1]])
         kinds = np.bincount(gram, weights=first)[gram]
+        kinds[np.isin(grams, np.unique(np.concatenate(marks)))] = hot + 1
         for kind, some in ((ANCHOR, first & (kinds > 1) & (kinds <= hot)), (LOOSE, first & (kinds > hot))):
             yield _pack(kind, _bucket(grams[some], shards), shards, {"docs": ids[some], "starts": starts[some], "counts": counts[some]})
 

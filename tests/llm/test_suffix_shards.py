@@ -83,6 +83,25 @@ def test_a_passage_in_all_documents_is_combined_before_it_is_sent(spark, monkeyp
     assert 2 <= times.max() <= 10  # one for each time that a task combines
 
 
+def test_marked_grams_are_hot_in_every_task(spark, monkeypatch):
+    """A passage that is frequent in what one task combines and rare in what others do."""
+    hot = prose(40)[:150]
+    rng = random.Random(4)
+    odd_text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    data = [(i, odd_text(200) + (hot if i < 60 or i % 40 == 0 else "") + odd_text(200)) for i in range(240)]
+    data += [(1000 + i, data[i][1][150:] + odd_text(20)) for i in (3, 70, 71)]
+    monkeypatch.setattr(suffix_dedup, "OFTEN", 8)
+    blocks, compare, seen = suffix_dedup.anchor_blocks, suffix_dedup.compared_anchors, []
+    monkeypatch.setattr(suffix_dedup, "anchor_blocks", lambda *a: seen.append(blocks(*a)) or seen[-1])
+    monkeypatch.setattr(suffix_dedup, "compared_anchors", lambda *a: seen.append(compare(*a)) or seen[-1])
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartitionByRange(2, "doc_id")
+    assert told(suffix_dedup.suffix_dedup(frame)) == repeated_bytes(data)
+    count = lambda f, kind: sum(len(r["docs"] or r["grams"]) // 8 for r in f.where(F.col("kind") == kind).collect())
+    assert count(seen[0], suffix_dedup.MARK) > 0
+    # tasks that saw it a few times sent anchors, which the mark made hot as well
+    assert count(seen[1], suffix_dedup.LOOSE) > count(seen[0], suffix_dedup.LOOSE) > 0
+
+
 def test_hashes_of_strings_are_those_of_their_bytes():
     rng = np.random.default_rng(1)
     raw = np.tile(rng.integers(97, 100, 400).astype(np.uint8), 3)
