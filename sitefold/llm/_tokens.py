@@ -8,7 +8,7 @@ import struct
 import sys
 
 #: Bytes that all caches of a tokenizer take in one Python worker; beyond them, ids are computed each time.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 128 << 20
 #: Punctuation that may end a chunk; apostrophes are left to the pre-tokenizer.
 _TAIL = ".,;:!?$%&*#)(]["
 #: Characters that str.split() takes for white space and the tokenizer does not.
