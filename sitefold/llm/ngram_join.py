@@ -366,7 +366,9 @@ def ngram_jaccard_classes(docs: DataFrame) -> DataFrame:
 
     # third step: lists that hold sets of several components and families. Those of the smaller component ask the other family
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    known = groups.withColumnRenamed("node", "doc").join(sizes, "component").join(same.select(F.col("a").alias("doc"), F.col("b").alias("rep")), "doc", "left")
+    # sets with a candidate have a family, whether a link was found or not
+    everyone = groups.join(families.select("node"), "node", "full_outer").select(F.col("node").alias("doc"), F.coalesce("component", "node").alias("component"))
+    known = everyone.join(sizes, "component", "left").join(same.select(F.col("a").alias("doc"), F.col("b").alias("rep")), "doc", "left")
     known = known.select("doc", F.coalesce("rep", "doc").alias("rep"), "component", "members").join(families.withColumnRenamed("node", "rep"), "rep", "left")
     named = entries.select("token", "doc", "size").join(met, "doc", "left_semi").join(known, "doc", "left").select(
         "token", "size", F.coalesce("rep", "doc").alias("z"), F.coalesce("family", "rep", "doc").alias("family"),
