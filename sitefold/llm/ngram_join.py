@@ -9,8 +9,9 @@ Answers are shared between similar sets: equal sets are one class, and each set
 shares most lists with, its head. Sets that are linked so have one component, whose answers they inherit: every pair
 inside it is skipped. Sets that candidates tie together are a family: those outside its largest component are compared
 with all others of the family. Where a list still holds sets of different families and components, those of the smaller
-component ask the other family, if they share enough lists with it for a link. Both comparisons take blocks of sets: their
-overlaps follow from the few shingles in which each differs from one highly similar set of the block, whose overlaps are
+component ask the other family, if they share enough lists with it for a link. A family that no pair of blocks holds may be tied
+by candidates that are no links; there a set asks only components with a set that it agrees with in whole parts of the
+shingles, as linked sets must (``part_keys``). All comparisons take blocks of sets: their overlaps follow from the few shingles in which each differs from one highly similar set of the block, whose overlaps are
 counted once. So a group of thousands of near copies costs about one verification a set, sets are never rows of pairs,
 and no link between components is lost.
 
@@ -41,6 +42,8 @@ _SLICES = 32
 BUCKET_BYTES = 1 << 26
 #: Sets of a block of a family; pairs of equal shingles counted at once; bytes of text hashed at once.
 FAMILY, PAIRS, BYTES = 768, 1 << 20, 1 << 20
+#: Sets that may differ in no more shingles than this have to agree in two parts, others in one.
+TWO_PARTS = 8
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -295,14 +298,87 @@ def overlaps(tokens: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.nda
     return shared.reshape(len(left), len(right)) + len(x) - lost[left][:, None] - lost[right][None, :]
 
 
+def size_ranges(largest: int) -> np.ndarray:
+    """Where ranges of sizes begin, up to the one behind ``largest``. Similar sets are of one range or of neighbours."""
+    first = [1]
+    while first[-1] <= largest:
+        first.append(first[-1] * DEN // NUM + 1)
+    return np.array(first, np.int64)
+
+
+def part_keys(tokens: np.ndarray) -> np.ndarray:
+    """Keys of a set, of which any two similar sets have one in common. Similar sets with the smaller one in a range of sizes
+    differ in at most k shingles, which spoil at most k of k + m parts that shingles are dealt to by hash: in m parts the sets
+    are equal. A key is a range, m of its parts and what the set holds there. A set is in its own range and, as the larger
+    one, in the range before."""
+    first = size_ranges(len(tokens))
+    mixed, keys = mix64(tokens ^ _STEP), []
+    for own in range(max(len(first) - 3, 0), len(first) - 1):
+        last = int(first[own + 1]) - 1
+        k = (last + last * DEN // NUM) * (DEN - NUM) // (DEN + NUM)
+        m = 2 if k <= TWO_PARTS else 1
+        held = np.full(k + m, own, np.uint64)
+        np.add.at(held, ((mixed >> np.uint64(32)) % np.uint64(k + m)).astype(np.int64), mixed)
+        held = mix64(held * _STEP + np.arange(k + m, dtype=np.uint64))
+        if m == 2:
+            one, two = np.triu_indices(k + m, 1)
+            held = mix64(held[one] * _STEP + held[two])
+        keys.append(held)
+    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+
+
 def links_in_families(families: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
     """families: (node, family). Links between different components of a family: sets outside its largest component
-    against all of its sets."""
+    against all of its sets where a pair of blocks holds them, else against those that agree in parts."""
     sets = families.join(groups, "node", "left").select("family", F.col("node").alias("doc"), F.coalesce("component", "node").alias("component"))
-    parts = sets.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    shape = parts.groupBy("family").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top")).where("all > top.n")
-    placed = sets.join(shape.select("family", F.col("top.component").alias("top")), "family")
-    return links_by_blocks(placed.where("component <> top").drop("top"), placed.drop("top"), docs)
+    parts = sets.groupBy("family", "component").agg(F.count(F.lit(1)).alias("members"))
+    shape = parts.groupBy("family").agg(F.sum("members").alias("all"), F.max(F.struct("members", "component")).alias("top")).where("all > top.members")
+    large = (F.col("all") - F.col("top.members")) * F.col("all") > FAMILY * FAMILY
+    placed = sets.join(shape.select("family", F.col("top.component").alias("top"), large.alias("large")), "family").join(parts, ["family", "component"])
+    placed = materialize(placed, "placed")
+    small = placed.where("not large").select("family", "doc", "component", "top")
+    found = links_by_blocks(small.where("component <> top").drop("top"), small.drop("top"), docs)
+    spread, asked = placed.where("large").select("family", "doc", "component", "members"), None
+    if not spread.isEmpty():
+        asked, members = asks_by_parts(spread, docs)
+        found = found.union(links_by_blocks(asked, members, docs))
+    found = materialize(found, "links")
+    for table in (placed, asked):
+        discard(table)
+    return found
+
+
+def asks_by_parts(sets: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sets: (family, doc, component, members: sets of the component). Returns what ``links_by_blocks`` takes, with a
+    component for a family: sets that ask it, as one of its sets has a key of theirs, and its sets."""
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
+    columns = ["family", "doc", "component", "members"]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, at = shingle_sets(batch.column("text"))
+            keys = [part_keys(tokens[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
+            row = np.repeat(np.arange(batch.num_rows), [len(k) for k in keys])
+            size = pa.array(np.diff(at)[row])
+            key = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(row)) for c in columns], size, pa.array(key)], [*columns, "size", "key"])
+
+    signed = sets.join(texts, "doc").select(*columns, "text").mapInArrow(tidy(sign), "family long, doc long, component long, members long, size long, key long")
+    signed = materialize(signed, "part-keys")
+    at = ["family", "key"]
+    split = signed.groupBy(*at).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(*at)
+    met = signed.join(split, at)
+    sides = met.groupBy(*at, F.col("component").alias("other"), F.col("members").alias("others")).agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    asked = (
+        met.join(sides, at)
+        .where("component <> other and (members < others or (members = others and component > other))")
+        .where(f"{DEN} * high >= {NUM} * size and {NUM} * low <= {DEN} * size")
+        .select(F.col("other").alias("family"), "doc", "component").distinct()
+    )
+    asked = materialize(asked, "asked")
+    discard(signed)
+    members = sets.join(asked.select(F.col("family").alias("component")).distinct(), "component", "left_semi")
+    return asked, members.select(F.col("component").alias("family"), "doc", "component")
 
 
 def links_by_blocks(asking: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
@@ -362,7 +438,9 @@ def ngram_jaccard_classes(docs: DataFrame) -> DataFrame:
 
     # second step: within families, that is sets tied by candidates, sets outside the largest component against all others
     families = components(best.select("a", F.col("head").alias("b"))).select("node", F.col("component").alias("family"))
-    groups = components(linked().union(links_in_families(families, groups, docs)))
+    within = links_in_families(families, groups, docs)
+    groups = components(linked().union(within))
+    discard(within)
 
     # third step: lists that hold sets of several components and families. Those of the smaller component ask the other family
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
