@@ -10,28 +10,26 @@ from pyspark.sql import functions as F
 
 from ._spark import discard, materialize
 
-#: Rounds after which something is wrong: labels reach across a component of diameter d in about log2(d) rounds.
-MAX_ROUNDS = 64
-
 
 def components(links: DataFrame) -> DataFrame:
     """links: (a, b) longs, in any order, repeated or not. Returns (node, component): for every node of a link the
-    smallest node that is reachable. Each round every node takes the smallest label among its neighbours, and then the
-    label of that label; rounds end when no label changes."""
+    smallest node that is reachable. Each round every node takes the smallest label among its neighbours, then the smallest that any
+    node of its label took, or the label's own label; so whole groups move at once, long chains in any order too. Rounds end when no
+    label changes, however many that takes: then all labels of linked nodes are equal."""
     both = links.where("a is not null and b is not null and a <> b")
     edges = materialize(both.select("a", "b").union(both.select("b", "a")).distinct(), "edges")
     labels = materialize(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(MAX_ROUNDS):
+    changed = True
+    while changed:
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         least = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("was"), F.least("component", "near").alias("c"))
-        jump = labels.select(F.col("node").alias("c"), F.col("component").alias("further"))
-        new = least.join(jump, "c", "left").select("node", F.least(F.col("c"), F.col("further")).alias("component"), F.col("was"))
-        new = materialize(new, "labels")
+        moves = least.select("was", "c").union(least.select("node", "c")).groupBy("was").agg(F.min("c").alias("further"))
+        jump = least.join(moves, "was").select("node", "was", F.least("c", "further").alias("c"))
+        further = labels.select(F.col("node").alias("c"), F.col("component").alias("further"))
+        new = materialize(jump.join(further, "c", "left").select("node", F.least("c", "further").alias("component"), "was"), "labels")
         changed = not new.where("component <> was").isEmpty()
         discard(labels)
         labels = new
-        if not changed:
-            break
     discard(edges)
     return labels.select("node", "component")
 

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from sitefold.llm import ngram_join
+from sitefold.llm._components import components
 
 from .test_operators import groups_by_brute_force
 
@@ -63,3 +64,10 @@ def test_families_of_loosely_alike_texts(spark, monkeypatch, family):
     monkeypatch.setattr(ngram_join, "FAMILY", family)
     data = two_words(300) + [(1000 + 2 * k + i, " ".join(w)) for k in range(20) for i, w in enumerate((words_of(k), changed(words_of(k), 50, 51, "y")))]
     assert classes(spark, data) == groups_by_brute_force(data)
+
+
+def test_components_of_long_chains(spark):
+    """The smallest node at one end of a chain and the next at the other: labels have to pass the whole chain."""
+    path = [*range(1, 150), 0]
+    got = components(spark.createDataFrame(list(zip(path[:-1], path[1:], strict=True)), "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in got} == dict.fromkeys(range(150), 0)
