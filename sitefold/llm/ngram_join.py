@@ -204,8 +204,8 @@ def candidate_heads(token: np.ndarray, doc: np.ndarray, size: np.ndarray, place:
 
 
 def list_entries(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(token, doc, size, early, head): entries of the inverted lists with a set of similar size in their list, whether the
-    places allow a link there, and the head that each could be linked to first (null: none)."""
+    """(token, doc, size, place, early, head): entries of the inverted lists with a set of similar size in their list, whether
+    the places allow a link there, and the head that each could be linked to first (null: none)."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[], [], [], []]
@@ -235,12 +235,12 @@ def list_entries(blocks: DataFrame, buckets: int) -> DataFrame:
         same = (token[1:] == token[:-1]) & (size[1:] == size[:-1])
         early = (head >= 0) | ((place < index_length(size.astype(np.int64))) & (np.r_[like, False] | np.r_[False, same]))
         heads = np.where(head >= 0, doc[head], 0)[usable]
-        token, doc, size, head, early = (x[usable] for x in (token, doc, size, head, early))
+        token, doc, size, place, head, early = (x[usable] for x in (token, doc, size, place, head, early))
         heads = pa.array(heads, mask=head < 0)
-        table = pa.Table.from_arrays([pa.array(token.view(np.int64)), pa.array(doc), pa.array(size), pa.array(early), heads], ["token", "doc", "size", "early", "head"])
+        table = pa.Table.from_arrays([pa.array(token.view(np.int64)), pa.array(doc), pa.array(size), pa.array(place), pa.array(early), heads], ["token", "doc", "size", "place", "early", "head"])
         yield from table.to_batches(max_chunksize=50_000)
 
-    return blocks.repartition(buckets, "bucket").drop("bucket").mapInArrow(tidy(lists), "token long, doc long, size int, early boolean, head long")
+    return blocks.repartition(buckets, "bucket").drop("bucket").mapInArrow(tidy(lists), "token long, doc long, size int, place int, early boolean, head long")
 
 
 def verified_heads(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -335,6 +335,35 @@ def links_by_blocks(asking: DataFrame, members: DataFrame, docs: DataFrame) -> D
     return rows.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def asks_of_lists(open_lists: DataFrame) -> DataFrame:
+    """open_lists: (token, z, size, rest, early, family, component, members). (z, kin, other, component): sets ``z`` that share enough
+    lists with component ``other`` of family ``kin``, another one and no smaller, for a link."""
+    sides = [F.col("component").alias("other"), F.col("members").alias("others"), F.col("family").alias("kin")]
+    span = [F.min("size").alias("low"), F.max("size").alias("high")]
+    fits = f"{DEN} * high >= {NUM} * size and {NUM} * low <= {DEN} * size"
+    smallest = lambda n: F.greatest(F.col("low"), F.ceil(F.col(n) * NUM / DEN))
+    need = lambda n: F.ceil((F.col(n) + smallest(n)) * NUM / (NUM + DEN))
+    # the first shingle that two linked sets share is early in both, and no more can be common than is left of each from there on.
+    # Frequent shingles are late, so few sets meet in long lists
+    early = open_lists.where("early")
+    first = early.groupBy("token", "z", "size", "component", "members", "family").agg(F.max("rest").alias("rest"))
+    meant = (
+        first.join(early.groupBy("token", *sides).agg(*span, F.max("rest").alias("left")), "token")
+        .where("family <> kin and component <> other and (members < others or (members = others and component > other))").where(fits)
+        .where(F.least("rest", "left") >= need("size")).select("z", "kin", "other").distinct()
+    )
+    # those pairs alone count all lists they share
+    asking = open_lists.select("token", "z", "size", "component").distinct().join(meant, "z")
+    counted = [F.count(F.lit(1)).alias("lists"), F.first("size").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("component").alias("component")]
+    # of what the prefixes do not hold, all may be common at best; ``lists`` counts all that the whole prefixes share
+    beyond = F.ceil(F.greatest("n", "high") * NUM / DEN) - 1
+    # a set shares no more lists with a set of a family's component than with all of them together
+    return (
+        asking.join(open_lists.groupBy("token", *sides).agg(*span), ["token", "kin", "other"]).where(fits)
+        .groupBy("z", "kin", "other").agg(*counted).where(F.col("lists") + beyond >= need("n")).select("z", "kin", "other", "component")
+    )
+
+
 def ngram_jaccard_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row for each row of ``docs``."""
     spark = docs.sparkSession
@@ -370,29 +399,14 @@ def ngram_jaccard_classes(docs: DataFrame) -> DataFrame:
     everyone = groups.join(families.select("node"), "node", "full_outer").select(F.col("node").alias("doc"), F.coalesce("component", "node").alias("component"))
     known = everyone.join(sizes, "component", "left").join(same.select(F.col("a").alias("doc"), F.col("b").alias("rep")), "doc", "left")
     known = known.select("doc", F.coalesce("rep", "doc").alias("rep"), "component", "members").join(families.withColumnRenamed("node", "rep"), "rep", "left")
-    named = entries.select("token", "doc", "size").join(met, "doc", "left_semi").join(known, "doc", "left").select(
-        "token", "size", F.coalesce("rep", "doc").alias("z"), F.coalesce("family", "rep", "doc").alias("family"),
+    named = entries.drop("head").join(met, "doc", "left_semi").join(known, "doc", "left").select(
+        "token", "size", (F.col("size") - F.col("place")).alias("rest"), "early", F.coalesce("rep", "doc").alias("z"), F.coalesce("family", "rep", "doc").alias("family"),
         F.coalesce("component", "doc").alias("component"), F.coalesce("members", F.lit(1)).alias("members"),
     )
     split = named.groupBy("token").agg(*[f(c).alias(f"{c}_{n}") for c in ("component", "family") for f, n in ((F.min, "low"), (F.max, "high"))])
     split = split.where("component_low < component_high and family_low < family_high").select("token")
     open_lists = materialize(named.join(split, "token"), "open")
-    asking = open_lists.select("token", "z", "size", "component", "members", "family").distinct()
-    sides = [F.col("component").alias("other"), F.col("members").alias("others"), F.col("family").alias("kin")]
-    span = [F.min("size").alias("low"), F.max("size").alias("high")]
-    fits = f"{DEN} * high >= {NUM} * size and {NUM} * low <= {DEN} * size"
-    counted = [F.count(F.lit(1)).alias("lists"), F.first("size").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("component").alias("component")]
-    # of what the prefixes do not hold, all may be common at best; ``lists`` counts all that the whole prefixes share
-    beyond = F.ceil(F.greatest("n", "high") * NUM / DEN) - 1
-    least = F.greatest(F.col("low"), F.ceil(F.col("n") * NUM / DEN))
-    enough = F.col("lists") + beyond >= F.ceil((F.col("n") + least) * NUM / (NUM + DEN))
-    # a set shares no more lists with a set of a family's component than with all of them together
-    asked = (
-        asking.join(open_lists.groupBy("token", *sides).agg(*span), "token")
-        .where("family <> kin and component <> other and (members < others or (members = others and component > other))").where(fits)
-        .groupBy("z", "kin", "other").agg(*counted).where(enough).select("z", "kin", "other", "component")
-    )
-    asked = materialize(asked, "asked")
+    asked = materialize(asks_of_lists(open_lists), "asked")
     if not asked.isEmpty():
         kin = asked.select(F.col("kin").alias("family"), F.col("other").alias("component")).distinct()
         told = families.select(F.col("node").alias("doc"), "family").join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left")

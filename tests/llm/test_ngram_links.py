@@ -71,3 +71,19 @@ def test_components_of_long_chains(spark):
     path = [*range(1, 150), 0]
     got = components(spark.createDataFrame(list(zip(path[:-1], path[1:], strict=True)), "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in got} == dict.fromkeys(range(150), 0)
+
+
+def test_sets_meet_in_lists_of_shingles_early_in_both(spark, monkeypatch):
+    """300 sets with one list late in each and one list early in two of them: those two meet, not all pairs."""
+    schema = "token long, z long, size int, rest long, early boolean, family long, component long, members long"
+    late = [(7, k, 100, 82, False, k, k, 1) for k in range(300)]
+    early = [(t, k, 100, 100 - t, True, k, k, 1) for t in range(5) for k in (3, 5)]
+    met = []
+    frame = spark.createDataFrame(late + early, schema)
+    join = type(frame).join
+    monkeypatch.setattr(type(frame), "join", lambda *rows: met.append(join(*rows)) or met[-1])
+    got = ngram_join.asks_of_lists(frame).collect()
+    assert [tuple(r) for r in got] == [] and max(rows.count() for rows in met) <= 20
+    more = [(t, k, 100, 100 - t, True, k, k, 1) for t in range(8, 20) for k in (3, 5)]
+    got = ngram_join.asks_of_lists(spark.createDataFrame(late + early + more, schema)).collect()
+    assert [tuple(r) for r in got] == [(5, 3, 3, 5)]
