@@ -88,3 +88,19 @@ def test_matrices_are_turned_in_blocks(spark):
     for odd in ([(0, 0, "01"), (0, 1, "011")], [(0, 0, "02")]):
         with pytest.raises(Exception, match="unlike|other than"):
             text.ms_transposed(spark.createDataFrame(odd, "rep int, sample long, value string")).collect()
+
+
+def test_blocks_are_whole_across_batches_and_runs(spark, monkeypatch):
+    """Small blocks are turned round many at once, whether batches or runs end within them; null keys are keys."""
+    rng = random.Random(8)
+    data = [(k, h, "".join(rng.choice("01") for _ in range(w))) for k, w in [(None, 5), *((k, rng.randrange(1, 20)) for k in range(40))] for h in range(5)]
+    rows = spark.createDataFrame(data, "rep int, sample long, value string")
+    want = {(k, i): "".join(v[i] for r, _, v in data if r == k) for k, _, first in data for i in range(len(first))}
+    monkeypatch.setattr("sitefold.sources.transpose.CELLS", 64)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in ("3", before):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            assert {(r["rep"], r["site"]): r["alleles"] for r in transposed(rows, ["rep"], one_block=True, sites=8).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
