@@ -104,3 +104,9 @@ def test_blocks_are_whole_across_batches_and_runs(spark, monkeypatch):
             assert {(r["rep"], r["site"]): r["alleles"] for r in transposed(rows, ["rep"], one_block=True, sites=8).collect()} == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_frequencies_of_few_and_many_samples_and_short_rows(spark):
+    sites = spark.createDataFrame([(1, [1, 0, 1] + [1] * 20), (2, [1, 0])], "chr int, g array<int>")
+    got = samples.frequency_columns(sites, {"x": 1, "y": 2, "z": 20}).orderBy("chr").collect()
+    assert [tuple(r) for r in got] == [(1, 1.0, 0.5, 1.0), (2, 1.0, 0.0, 0.0)]
