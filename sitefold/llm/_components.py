@@ -17,7 +17,10 @@ def components(links: DataFrame) -> DataFrame:
     node of its label took, or the label's own label; so whole groups move at once, long chains in any order too. Rounds end when no
     label changes, however many that takes: then all labels of linked nodes are equal."""
     both = links.where("a is not null and b is not null and a <> b")
-    edges = materialize(both.select("a", "b").union(both.select("b", "a")).distinct(), "edges")
+    # both directions come from one evaluation of the links: evaluated twice, a step whose rows arrive in another order could give
+    # other links of the same group, and edges that lead one way only
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("way")
+    edges = materialize(both.select(ways).select("way.a", "way.b").distinct(), "edges")
     labels = materialize(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"), "labels")
     changed = True
     while changed:

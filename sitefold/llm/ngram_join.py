@@ -317,6 +317,7 @@ def links_by_blocks(asking: DataFrame, members: DataFrame, docs: DataFrame) -> D
     rows = left.unionByName(right).join(docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text"), "doc")
 
     def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc", "ascending"), ("asks", "ascending")])  # the same links in whatever order rows arrive
         doc, component, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "component", "asks"))
         left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
         tokens, at = shingle_sets(table.column("text").combine_chunks())

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from sitefold.llm import ngram_join
@@ -73,6 +74,20 @@ def test_components_of_long_chains(spark):
     assert {r["node"]: r["component"] for r in got} == dict.fromkeys(range(150), 0)
 
 
+def test_components_of_links_that_differ_between_evaluations(spark):
+    """A group's links are a star whose centre depends on the order in which rows arrive: both directions are of one evaluation."""
+
+    def star(batches):
+        for batch in batches:
+            nodes = batch.column("id").to_pylist()
+            centre = random.SystemRandom().choice(nodes)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([centre] * len(nodes))], ["a", "b"])
+
+    links = spark.range(0, 400, 1, 4).mapInArrow(star, "a long, b long")
+    got = components(links).collect()
+    assert {r["node"]: r["component"] for r in got} == {k: k // 100 * 100 for k in range(400)}
+
+
 def test_sets_meet_in_lists_of_shingles_early_in_both(spark, monkeypatch):
     """300 sets with one list late in each and one list early in two of them: those two meet, not all pairs."""
     schema = "token long, z long, size int, rest long, early boolean, family long, component long, members long"
